@@ -3,6 +3,7 @@
 from spanloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from spanloom.llm.licenses import op9_license_scan
 from spanloom.llm.mixing import op10_mixing
+from spanloom.llm.ngram_jaccard import OP4_SQL, op4_ngram_jaccard
 from spanloom.llm.packing import op2_packing
 from spanloom.llm.quality import op7_quality
 from spanloom.llm.secrets import OP1_SQL, op1_secret_scan
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_packing": op2_packing,
     "op3_exact_dedup": op3_exact_dedup,
+    "op4_ngram_jaccard": op4_ngram_jaccard,
     "op5_token_counts": op5_token_counts,
     "op6_sharding": op6_sharding,
     "op7_quality": op7_quality,
@@ -24,5 +26,6 @@ QUERIES = {
 ORACLES = {
     "op1_secret_scan": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
+    "op4_ngram_jaccard": OP4_SQL,
     "op8_exact_topk": OP8_SQL,
 }
