@@ -78,7 +78,7 @@ class Mix:
         spark = docs.sparkSession
         bound_batches(spark)
         size = F.arrow_udf(count_words, T.LongType())(text_of(docs))
-        rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"))
+        rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of(docs)).alias("hash"))
         self.rows = rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
         if len(found) > MOST_SOURCES:
@@ -100,7 +100,7 @@ class Mix:
         # Places in a source's stream: buckets of the shuffled order, each source's buckets summed up, then rows in a bucket.
         most = max((r["docs"] for r in found), default=1)
         rows = rows.join(F.broadcast(self.sources), rows["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
-        shuffled = F.xxhash64("doc_id", "size")
+        shuffled = F.xxhash64("doc_id", "hash")
         rows = rows.withColumn("key", shuffled).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(-(-most // BUCKET))).cast("int"))
         buckets = prefix_sums(rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")), ["source_no"], "bucket", "words", "before").select("source_no", "bucket", "before")
         rows = rows.join(buckets, ["source_no", "bucket"])
