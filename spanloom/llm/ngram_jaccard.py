@@ -9,13 +9,15 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
    the sketch: any order is exact.
 2. Documents with equal sets are one class; classes with equal prefixes and sizes are one group. Only groups are
    indexed: their prefixes are inverted, and lists of one group are dropped.
-3. Every list's smallest group is paired with the others, every group's smallest class with its other classes, so
-   pairs are as many as rows of lists. Pairs are filtered by size, by what their two prefixes leave possible, and then
-   verified on whole sets, which are made again for the classes that need it.
-4. The links' components are found. What is left to look at are pairs in a list, or classes in a group, that aren't in
-   the same component yet; only members outside of a list's most frequent component are paired with the rest. They
-   are filtered and verified as before. So a large group of near copies costs as many pairs as it has rows, and no
-   link between different components is lost.
+3. Every group is paired with one group: of the smallest groups of its lists that with which it shares most lists.
+   Every group's smallest class is paired with its other classes. So pairs are no more than classes. They are filtered
+   by size, by what their two prefixes leave possible, and then verified on whole sets, which are made again for the
+   classes that need it. The links' components are found; lists whose groups are all of one component are done. The
+   others take a second such round, with their largest groups.
+4. What is left to look at are pairs in a list, or classes in a group, that aren't in the same component yet; only
+   members outside of a list's most frequent component are paired with the rest. All of them are filtered and verified
+   as before. So a large group of near copies costs as many pairs as it has rows, and no link between different
+   components is lost.
 
 Texts are fetched by id and hash; a bitmap of fixed size first drops, on the map side, those that nothing asks for.
 
@@ -29,7 +31,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -249,10 +251,7 @@ class Join:
         classes = full.groupBy("gkey", "sig").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.min_by(F.struct("id", "hash"), "row").alias("of"))
         classes = classes.join(self.groups.select("gkey", "gid"), "gkey")
         self.classes = stage(classes.select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash"), "jaccard-classes")
-        links = self.star_links()
-        stars = stage(components(links), "jaccard-stars")
-        rest = self.rest_links(stars)
-        parts = stars if rest is None else components(stars.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
+        parts = self.components()
         named = self.classes.join(parts, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("cid").alias("first"))
         named = stage(named.join(ids, "component").select("gkey", "sig", "cid", "first", "component_id"), "jaccard-components")
@@ -260,16 +259,30 @@ class Join:
         component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
         self.members = joined.select(F.col("id").alias("doc_id"), "hash", "row", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "first")
 
-    def star_links(self) -> DataFrame:
-        """Links of each list's smallest group with the others, and of each group's smallest class with its others."""
+    def components(self) -> DataFrame:
+        """node, component of the classes that links reach."""
         index = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "h"))
-        same = Window.partitionBy("h")
-        index = index.select("h", "gid", "n", "pos", F.min(F.struct("gid", "n")).over(same).alias("least"), F.count("*").over(same).alias("k"))
-        self.lists = stage(index.where("k > 1").select("h", "gid", "n", "pos", F.col("least.gid").alias("pivot"), F.col("least.n").alias("pivot_n")), "jaccard-lists")
-        near = F.least("n", "pivot_n") * 100 >= F.greatest("n", "pivot_n") * self.percent
-        pairs = self.lists.where((F.col("gid") != F.col("pivot")) & near).select(F.col("pivot").alias("a"), F.col("gid").alias("b")).distinct()
+        index = index.withColumn("k", F.count("*").over(Window.partitionBy("h")))
+        lists = stage(index.where("k > 1").select("h", "gid", "n", "pos"), "jaccard-lists")
         inside = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-        return self.verify(self.filter(pairs).unionByName(inside))
+        first = self.stars(lists.withColumn("part", F.lit(None).cast("long")), F.min).unionByName(inside)
+        parts = stage(components(self.verify(first)), "jaccard-parts")
+        known, lists = self.open(lists, parts)
+        second = stage(self.stars(lists, F.max), "jaccard-second")
+        if not second.isEmpty():
+            parts = stage(components(_edges(parts).unionByName(self.verify(second))), "jaccard-parts")
+            known, lists = self.open(lists, parts)
+        rest = stage(self.rest(known, lists), "jaccard-rest")
+        return parts if rest.isEmpty() else components(_edges(parts).unionByName(self.verify(rest)))
+
+    def stars(self, lists: DataFrame, pick: Callable) -> DataFrame:
+        """Pairs (a, b) of groups: each group with one picked group of its lists, that of another component with which it shares most lists. A row a group at most."""
+        picked = pick(F.struct("gid", "n", "part")).over(Window.partitionBy("h"))
+        rows = lists.withColumn("p", picked).where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)))
+        rows = rows.where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * self.percent)
+        shared = rows.groupBy("gid", F.col("p.gid").alias("pivot")).agg(F.count("*").alias("c"))
+        best = shared.groupBy("gid").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
+        return self.filter(best.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
 
     def filter(self, pairs: DataFrame) -> DataFrame:
         """Pairs of groups (a, b) that their prefixes leave possible."""
@@ -291,18 +304,21 @@ class Join:
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
 
-    def rest_links(self, stars: DataFrame) -> DataFrame | None:
-        """Links between different components that no star has looked at; None if there is nothing to look at."""
-        classes = self.classes.join(stars, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("component", "cid").alias("part"))
-        classes = stage(classes, "jaccard-parts")
-        parts = classes.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    def open(self, lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(gid, cid, part of all classes; the lists with groups of several components, with `part` and the list's most frequent one)."""
+        classes = self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("component", "cid").alias("part"))
+        classes = stage(classes, "jaccard-class-parts")
+        groups = classes.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
         # A group's component; null if its classes are in several.
-        parts = stage(parts.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part")), "jaccard-group-parts")
-        lists = self.lists.join(parts, "gid").select("h", "gid", "n", "pos", "part")
+        groups = stage(groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part")), "jaccard-group-parts")
+        lists = lists.select("h", "gid", "n", "pos").join(groups, "gid").select("h", "gid", "n", "pos", "part")
         counts = lists.groupBy("h", "part").agg(F.count("*").alias("k"))
         open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
         open_ = open_.where("parts > 1 or mixed > 0").select("h", "most")
-        lists = stage(lists.join(open_, "h"), "jaccard-open-lists")
+        return classes, stage(lists.join(open_, "h"), "jaccard-open-lists")
+
+    def rest(self, classes: DataFrame, lists: DataFrame) -> DataFrame:
+        """Pairs of classes (a, b) of different components that share a list or a group, as far as prefixes leave a link possible."""
         apart = F.coalesce(F.col("part") != F.col("most"), F.lit(True))
         left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"))
         right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), apart.alias("apart"))
@@ -316,11 +332,14 @@ class Join:
         across = pairs.join(side("b"), F.col("b") == F.col("gb")).join(side("a"), F.col("a") == F.col("ga")).where("pa <> pb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         # In a group of several components, the classes outside of the smallest class' component with all others.
         own = classes.where("cid = gid").select(F.col("gid").alias("g"), F.col("part").alias("main"))
-        mixed = classes.join(parts.where("part is null").select(F.col("gid").alias("g")), F.col("gid") == F.col("g"), "left_semi").join(own, F.col("gid") == F.col("g")).drop("g")
+        mixed = classes.join(own, F.col("gid") == F.col("g")).drop("g")
         out = mixed.where("part <> main").select("gid", F.col("cid").alias("a"), F.col("part").alias("part_a"))
         inside = out.join(mixed.select("gid", F.col("cid").alias("b"), "part", "main"), "gid").where("part_a <> part and (a < b or part = main)").select("a", "b")
-        todo = stage(across.unionByName(inside), "jaccard-rest")
-        return None if todo.isEmpty() else self.verify(todo)
+        return across.unionByName(inside)
+
+
+def _edges(parts: DataFrame) -> DataFrame:
+    return parts.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
 
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
