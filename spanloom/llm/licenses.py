@@ -1,7 +1,8 @@
 """Licence scan: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
 Headers are the lines of a file; a licence file is a file by its name, and one unit with all of its lines. A unit's
-terms weigh tf * idf, with the idf of the templates. A unit without any of a template's anchors - the heaviest terms,
+terms weigh tf * idf; the idf of the templates' terms counts all files, and terms of no template weigh as these do on
+average. A unit without any of a template's anchors - the heaviest terms,
 as many as leave the others' share of the norm below the threshold - can't reach the threshold, so only lines with an
 anchor are compared; that loses nothing. The best template at or above the threshold is the unit's licence.
 
@@ -44,12 +45,21 @@ TEMPLATES = {
 }
 
 
+def term_files(files: DataFrame, text: str, templates: dict[str, str] = TEMPLATES) -> tuple[dict[str, int], int]:
+    """In how many of all files each of the templates' terms is, and the files; one row a term reaches the driver."""
+    terms = sorted({t for own in templates.values() for t in re.findall(TERM, own.lower())})
+    found = F.array_intersect(F.regexp_extract_all(F.lower(text_of(files, text)), F.lit(TERM), F.lit(0)), F.lit(terms))
+    counts = files.select(F.explode(F.concat(found, F.array(F.lit("")))).alias("term")).groupBy("term").agg(F.count("*").alias("n")).collect()
+    got = {r["term"]: r["n"] for r in counts}
+    return {t: got.get(t, 0) for t in terms}, got.get("", 0)
+
+
 class Templates:
-    def __init__(self, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
+    def __init__(self, files_with: dict[str, int], files: int, templates: dict[str, str] = TEMPLATES, threshold: float = THRESHOLD):
         terms = {name: re.findall(TERM, text.lower()) for name, text in templates.items()}
-        self.threshold, n = threshold, len(terms)
-        self.idf = {t: math.log((1 + n) / (1 + sum(t in own for own in terms.values()))) + 1 for own in terms.values() for t in own}
-        self.other = math.log(1 + n) + 1
+        self.threshold = threshold
+        self.idf = {t: math.log((2 + files) / (1 + files_with.get(t, 0))) for own in terms.values() for t in own}
+        self.other = sum(self.idf.values()) / len(self.idf)
         self.weights = {name: {t: own.count(t) * self.idf[t] for t in own} for name, own in terms.items()}
         self.norms = {name: math.sqrt(sum(w * w for w in own.values())) for name, own in self.weights.items()}
         anchors: set[str] = set()
@@ -100,7 +110,7 @@ def scan(files: DataFrame, key: str, path: str, text: str, is_licence_file: Colu
 
     Files are told apart by `key`, which all rows of one file share; those rows must agree.
     """
-    templates = templates or Templates()
+    templates = templates or Templates(*term_files(files, text))
     rows = files.select(files[key].alias("_key"), files[path].cast("string").alias("_path"), F.coalesce(is_licence_file, F.lit(False)).alias("_whole"), text_of(files, text).alias("_text"))
     unique = rows.where(F.col("_text").rlike(templates.pattern) & F.col("_key").isNotNull()).dropDuplicates(["_key"])
     unique = stage(unique, "licence-candidates")  # only files with an anchor
