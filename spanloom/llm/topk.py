@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import bound_batches, stage, table
 
 #: Most rows of a tile, whose scores take 8 * BLOCK * VECTORS bytes at a time; below that, about COLUMNS columns of LEAST vectors at least.
-QUERIES, VECTORS, LEAST, COLUMNS, BLOCK, FAN = 8192, 1 << 16, 1 << 10, 64, 128, 16
+QUERIES, VECTORS, LEAST, COLUMNS, BLOCK, FAN = 8192, 1 << 16, 1 << 10, 16, 128, 16
 
 
 def tile(k: int) -> Callable:
