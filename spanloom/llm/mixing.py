@@ -31,7 +31,7 @@ BLOCK, TIMES, MOST_SOURCES = 64, 3, 100_000
 #: 2^31 / golden ratio, made odd: multiples modulo 2^31 pass every point once.
 GOLDEN, POINTS = 1327217885, 1 << 31
 #: Slots of a chunk, and documents of a bucket on average.
-CHUNK, BUCKET = 1 << 15, 4096
+CHUNK, BUCKET = 1 << 15, 256
 
 
 def count_words(texts: pa.Array) -> pa.Array:
@@ -57,9 +57,9 @@ def targets(sizes: list[int], weights: list[float], times: float = TIMES) -> lis
 
 
 def slots(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Chunk numbers to chunk, slot, source (its number) and rank among the source's slots of the chunk. bounds: cumulative targets as points."""
+    """Chunks (chunk, begin, end, bases) to slot, source_no (its number) and rank: bases has the source's slots in earlier chunks. bounds: cumulative targets as points."""
     for batch in batches:
-        for chunk, begin, end in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for chunk, begin, end, bases in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             i = np.arange(begin, end, dtype="i8")
             source = np.searchsorted(bounds, (i % POINTS) * GOLDEN % POINTS, side="right")
             order = np.argsort(source, kind="stable")
@@ -67,7 +67,10 @@ def slots(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.
             first = np.searchsorted(grouped, grouped, side="left")
             rank = np.empty(len(i), "i8")
             rank[order] = np.arange(len(i)) - first
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), chunk, "i8")), pa.array(i), pa.array(source.astype("i4")), pa.array(rank)], ["chunk", "slot", "source_no", "rank"])
+            base = np.zeros(len(bounds) + 1, "i8")
+            for x in bases or ():
+                base[x["source_no"]] = x["before"]
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(i), chunk, "i8")), pa.array(i), pa.array(source.astype("i4")), pa.array(rank + base[source])], ["chunk", "slot", "source_no", "rank"])
 
 
 class Mix:
@@ -120,11 +123,16 @@ class Mix:
         """slot, source_no, block and pass of every slot."""
         spark = self.rows.sparkSession
         bounds, n = self.bounds, self.n_slots
-        chunks = spark.range(-(-n // CHUNK)).select("id", (F.col("id") * CHUNK).alias("begin"), F.least((F.col("id") + 1) * CHUNK, F.lit(n)).alias("end"))
-        drawn = chunks.mapInArrow(lambda b: slots(b, bounds), "chunk long, slot long, source_no int, rank long")
-        counts = prefix_sums(drawn.groupBy("source_no", "chunk").agg(F.count("*").alias("n")), ["source_no"], "chunk", "n", "before").select("source_no", "chunk", "before")
-        counts = stage(counts, "mix-slot-counts")
-        ranked = drawn.join(counts, ["source_no", "chunk"]).join(F.broadcast(self.sources.select("source_no", "n_blocks")), "source_no").withColumn("rank", F.col("rank") + F.col("before"))
+        count = -(-n // CHUNK)
+        chunks = spark.range(0, count, 1, max(1, min(count // 4, 10_000))).select("id", (F.col("id") * CHUNK).alias("begin"), F.least((F.col("id") + 1) * CHUNK, F.lit(n)).alias("end"))
+        draw = lambda c: c.mapInArrow(lambda b: slots(b, bounds), "chunk long, slot long, source_no int, rank long")
+        bases = "array<struct<source_no:int,before:bigint>>"
+        counts = draw(chunks.withColumn("bases", F.lit(None).cast(bases))).groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
+        counts = prefix_sums(counts, ["source_no"], "chunk", "n", "before").groupBy("chunk").agg(F.collect_list(F.struct("source_no", "before")).alias("bases"))
+        # The slots are drawn again, from where earlier chunks end: what is joined has a row a chunk.
+        counts = stage(counts, "mix-chunks")
+        ranked = draw(chunks.join(counts, F.col("id") == F.col("chunk"), "left").select("id", "begin", "end", "bases"))
+        ranked = ranked.join(F.broadcast(self.sources.select("source_no", "n_blocks")), "source_no")
         return ranked.select("slot", "source_no", F.expr("rank % n_blocks").alias("block"), F.expr("rank div n_blocks").alias("pass")).where(F.col("pass") < self.times)
 
     def taken(self) -> DataFrame:
