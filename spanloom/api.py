@@ -36,12 +36,12 @@ class Result:
         return trees(self.notes, self.plan)
 
     @cached_property
-    def matches(self) -> DataFrame:
-        return matching.matches(self.trees, self.plan)
+    def seeds(self) -> DataFrame:
+        return matching.seeds(self.trees, self.plan)
 
     @cached_property
     def resolved(self) -> DataFrame:
-        return resolve.resolve(self.matches, self.plan)
+        return resolve.resolve(self.seeds, self.plan)
 
     @cached_property
     def items(self) -> DataFrame:
@@ -49,7 +49,7 @@ class Result:
 
     @cached_property
     def roots(self) -> DataFrame:
-        return item_ops.note_items(self.resolved, self.plan)
+        return item_ops.note_items(self.trees, self.plan)
 
     @property
     def dropped(self) -> DataFrame:

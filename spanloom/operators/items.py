@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.text import cut, uuid_urn
+from spanloom.operators.matching import text_of_node
 from spanloom.operators.resolve import WINDOW
 from spanloom.plans.mapping import Plan
 
@@ -45,9 +46,9 @@ def items(resolved: DataFrame, plan: Plan) -> DataFrame:
     )
 
 
-def note_items(resolved: DataFrame, plan: Plan) -> DataFrame:
-    """The root item of each note."""
-    return resolved.select("note_id", note_urn(plan).alias("id"), _strings(list(plan.types)).alias("types"), F.lit(plan.types_scalar).alias("types_scalar"), F.col("note_text").alias("text"), F.col("ser").alias("html"))
+def note_items(trees: DataFrame, plan: Plan) -> DataFrame:
+    """The root item of each note; it needs the tree and no match."""
+    return trees.select("note_id", note_urn(plan).alias("id"), _strings(list(plan.types)).alias("types"), F.lit(plan.types_scalar).alias("types_scalar"), text_of_node(F.col("raw"), F.get("nodes", F.lit(0))).alias("text"), F.col("ser").alias("html"))
 
 
 def variant_of(types: Column, scalar: Column) -> Column:

@@ -1,95 +1,126 @@
-"""XPath rules applied to trees: one array of matches a note, in document order, with texts, contexts and markup.
+"""XPath rules applied to trees: matches in document order, with texts, contexts and markup.
 
-All of it is a projection of the note's row: no join and no shuffle.
+XPaths run in the JVM and give seeds - which node, by which XPath - as one sorted array in the note's row: no join, no
+shuffle. Texts are slices of the note's streams; each node's is cut once, however many matches or children ask for it.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import canonical, collapse, context, cut
+from spanloom.functions.plain import canonical as plain_canonical
+from spanloom.functions.plain import collapse as plain_collapse
+from spanloom.functions.plain import context as plain_context
+from spanloom.functions.text import canonical, cut
 from spanloom.plans.mapping import SAME_AS, Plan, anchored, branches, kind_of
 from spanloom.sources.notes import ids_of
 
+#: Neither attributes nor texts have a place among the nodes: they come last.
 LATE = 2**31 - 1
-
-
-def _by_id(nodes: Column, i: Column) -> Column:
-    """Node ids are places in the array."""
-    return F.get(nodes, i)
+SEED = "array<struct<order:int,xp:int,pos:int,owner:int,value:string>>"
+FIELDS = [("order", pa.int32()), ("xp", pa.int32()), ("pos", pa.int32()), ("node", pa.int32()), ("tree_index", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("prefix", pa.string()), ("suffix", pa.string()), ("html", pa.string()), ("same_as", pa.string()), ("up", pa.list_(pa.int32()))]
+MATCHES = "array<struct<order:int,xp:int,pos:int,node:int,tree_index:int,tag:string,text:string,prefix:string,suffix:string,html:string,same_as:string,up:array<int>>>"
 
 
 def text_of_node(raw: Column, node: Column) -> Column:
     return canonical(cut(raw, node["raw_start"], node["raw_end"]))
 
 
-def html_of_node(ser: Column, node: Column) -> Column:
-    return collapse(cut(ser, node["ser_start"], node["ser_end"]))
-
-
-def same_as(plan: Plan, node: Column) -> Column:
-    """The first result of the sameAs path of a node; null without any."""
-    if not plan.same_as:
-        return F.lit(None).cast("string")
-    if plan.same_as == SAME_AS:
-        mine = F.filter("links", lambda x: (x["id"] >= node["id"]) & (x["id"] <= node["last"]))
-        return F.get(mine, F.lit(0))["href"]
-    path = " | ".join(anchored(b, "/*") for b in branches(plan.same_as))
-    return F.get(F.xpath(cut(F.col("xml"), node["xml_start"], node["xml_end"]), F.lit(path)), F.lit(0))
+def _pairs(values: Column, owners: Column, xp: int) -> Column:
+    both = F.arrays_zip(values.alias("v"), owners.alias("o"))
+    return F.transform(both, lambda x, p: F.struct(F.lit(LATE).alias("order"), F.lit(xp).alias("xp"), p.alias("pos"), x["o"].alias("owner"), x["v"].alias("value")))
 
 
-def _owned(xpath: str, i: int) -> list[Column]:
-    """Match seeds of one XPath: struct(order, xp, pos, owner, value). value is null for nodes."""
+def _seeds(xpath: str, xp: int) -> list[Column]:
+    """Seeds of one XPath; value is null for nodes."""
     out = []
     for branch in branches(xpath):
-        kind = kind_of(branch)
-        if kind == "node":
-            continue
-        path = anchored(branch, "//*[@__root]")
-        owners = F.transform(F.xpath("xml", F.lit(f"({path})/../@__nid")), lambda x: x.cast("int"))
-        values = F.xpath("xml", F.lit(path))
-        # Neither attributes nor texts have a place among the nodes: they come last.
-        out.append(_zip(values, owners, i))
-    nodes = [b for b in branches(xpath) if kind_of(b) == "node"]
-    if nodes:
-        ids = ids_of("xml", " | ".join(nodes))
+        if kind_of(branch) != "node":
+            path = anchored(branch, "//*[@__root]")
+            owners = F.transform(F.xpath("xml", F.lit(f"({path})/../@__nid")), lambda x: x.cast("int"))
+            out.append(_pairs(F.xpath("xml", F.lit(path)), owners, xp))
+    own = [b for b in branches(xpath) if kind_of(b) == "node"]
+    if own:
+        ids = ids_of("xml", " | ".join(own))
         if "comment" not in xpath and "node()" not in xpath:
-            ids = F.filter(ids, lambda x: _by_id(F.col("nodes"), x)["tag"] != "__comment__")
-        out.append(F.transform(ids, lambda x, p: F.struct(x.alias("order"), F.lit(i).alias("xp"), p.alias("pos"), x.alias("owner"), F.lit(None).cast("string").alias("value"))))
+            ids = F.filter(ids, lambda x: F.get("nodes", x)["tag"] != "__comment__")
+        out.append(F.transform(ids, lambda x, p: F.struct(x.alias("order"), F.lit(xp).alias("xp"), p.alias("pos"), x.alias("owner"), F.lit(None).cast("string").alias("value"))))
     return out
 
 
-def _zip(values: Column, owners: Column, i: int) -> Column:
-    pairs = F.arrays_zip(values.alias("v"), owners.alias("o"))
-    return F.transform(pairs, lambda x, p: F.struct(F.lit(LATE).alias("order"), F.lit(i).alias("xp"), p.alias("pos"), x["o"].alias("owner"), x["v"].alias("value")))
-
-
-def matches(trees: DataFrame, plan: Plan) -> DataFrame:
-    """trees with note_text and matches: array(struct(order, xp, pos, node, value, tag, text, prefix, suffix, html, same_as, up)).
-
-    up holds the node's and its ancestors' ids, nearest first.
-    """
-    seeds = [s for i, x in enumerate(plan.xpaths) for s in _owned(x, i)]
-    links = F.transform(F.filter("nodes", lambda n: (n["tag"] == "a") & n["href"].isNotNull()), lambda n: F.struct(n["id"].alias("id"), n["href"].alias("href")))
-    rows = trees.withColumn("links", links).withColumn("note_text", text_of_node(F.col("raw"), _by_id(F.col("nodes"), F.lit(0))))
-    seed = F.array_sort(F.concat(*seeds)) if seeds else F.array().cast("array<struct<order:int,xp:int,pos:int,owner:int,value:string>>")
-    rows = rows.withColumn("seeds", seed)
-
-    def full(s: Column) -> Column:
-        node = _by_id(F.col("nodes"), s["owner"])
-        above = _by_id(F.col("nodes"), node["parent"])
-        own = text_of_node(F.col("raw"), node)
-        around = F.when(node["parent"] >= 0, context(own, text_of_node(F.col("raw"), above))).otherwise(F.struct(F.lit("").alias("prefix"), F.lit("").alias("suffix")))
-        text = F.when(s["value"].isNull(), own).otherwise(canonical(s["value"]))
-        linked = F.when(s["value"].isNull(), same_as(plan, node))
-        up = F.transform(F.filter("nodes", lambda n: (n["id"] <= s["owner"]) & (n["last"] >= s["owner"])), lambda n: n["id"])
-        tree_index = F.when(s["value"].isNull(), s["owner"])
-        return F.struct(s["order"], s["xp"], s["pos"], s["owner"].alias("node"), tree_index.alias("tree_index"), node["tag"].alias("tag"), text.alias("text"), around["prefix"].alias("prefix"), around["suffix"].alias("suffix"), html_of_node(F.col("ser"), node).alias("html"), linked.alias("same_as"), F.reverse(up).alias("up"))
-
-    return rows.select("note_id", "note_uri", "ser", "note_text", F.transform("seeds", full).alias("matches"))
+def seeds(trees: DataFrame, plan: Plan) -> DataFrame:
+    """note_id, note_uri, raw, ser, nodes, seeds, linked: `linked` has a custom sameAs path's result for each seed, and is null for the usual path."""
+    found = [s for i, x in enumerate(plan.xpaths) for s in _seeds(x, i)]
+    rows = trees.withColumn("seeds", F.array_sort(F.concat(*found)) if found else F.array().cast(SEED))
+    linked = F.lit(None).cast("array<string>")
+    if plan.same_as and plan.same_as != SAME_AS:
+        path = F.lit(" | ".join(anchored(b, "/*") for b in branches(plan.same_as)))
+        node = lambda s: F.get("nodes", s["owner"])
+        linked = F.transform("seeds", lambda s: F.get(F.xpath(cut(F.col("xml"), node(s)["xml_start"], node(s)["xml_end"]), path), F.lit(0)))
+    return rows.select("note_id", "note_uri", "raw", "ser", "nodes", "seeds", linked.alias("linked"))
+
+
+class Cutter:
+    """One note's nodes as columns, with their texts, each made once."""
+
+    def __init__(self, raw: str, ser: str, nodes: dict[str, list], plan: Plan):
+        self.raw, self.ser, self.nodes, self.plan = raw, ser, nodes, plan
+        self._texts: dict[int, str] = {}
+        self._links = [(i, h) for i, (t, h) in enumerate(zip(nodes["tag"], nodes["href"], strict=True)) if t == "a" and h is not None]
+
+    def text(self, node: int) -> str:
+        if node not in self._texts:
+            self._texts[node] = plain_canonical(self.raw[self.nodes["raw_start"][node] : self.nodes["raw_end"][node]])
+        return self._texts[node]
+
+    def same_as(self, node: int) -> str | None:
+        last = self.nodes["last"][node]
+        return next((h for i, h in self._links if node <= i <= last), None) if self.plan.same_as else None
+
+    def match(self, seed: dict, linked: str | None) -> dict:
+        node, value = seed["owner"], seed["value"]
+        parent = self.nodes["parent"][node]
+        own = self.text(node)
+        prefix, suffix = plain_context(own, self.text(parent)) if parent >= 0 else ("", "")
+        up, at = [], node
+        while at >= 0:
+            up.append(at)
+            at = self.nodes["parent"][at]
+        custom = self.plan.same_as != SAME_AS
+        return {
+            "order": seed["order"], "xp": seed["xp"], "pos": seed["pos"], "node": node, "tree_index": None if value is not None else node, "tag": self.nodes["tag"][node],
+            "text": own if value is None else plain_canonical(value), "prefix": prefix, "suffix": suffix, "html": plain_collapse(self.ser[self.nodes["ser_start"][node] : self.nodes["ser_end"][node]]),
+            "same_as": None if value is not None else linked if custom else self.same_as(node), "up": up,
+        }
+
+
+def described(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[str, list[dict]]]:
+    """The text of each note of a batch of seeds(), and its matches."""
+    nodes = batch.column(4)
+    flat, ends = nodes.flatten(), nodes.offsets.to_pylist()
+    columns = {n: flat.field(n).to_pylist() for n in ("parent", "last", "tag", "href", "raw_start", "raw_end", "ser_start", "ser_end")}
+    base = ends[0]
+    for i, (raw, ser, found, linked) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5, 6)), strict=True)):
+        own = {n: v[ends[i] - base : ends[i + 1] - base] for n, v in columns.items()}
+        cutter = Cutter(raw, ser, own, plan)
+        yield cutter.text(0), [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
+
+
+def matches(seeded: DataFrame, plan: Plan) -> DataFrame:
+    """note_id, note_text, matches. up holds a match's node and its ancestors, nearest first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, found = zip(*described(batch, plan), strict=True) if len(batch) else ((), ())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.struct(FIELDS)))], ["note_id", "note_text", "matches"])
+
+    return seeded.mapInArrow(run, f"note_id {dict(seeded.dtypes)['note_id']}, note_text string, matches {MATCHES}")
 
 
 def matched_nodes(trees: DataFrame, plan: Plan) -> DataFrame:
     """One row a match: note_id, xp, pos, node, tag, text, prefix, suffix, html, same_as."""
-    return matches(trees, plan).select("note_id", F.explode("matches").alias("m")).select("note_id", "m.*")
+    return matches(seeds(trees, plan), plan).select("note_id", F.explode("matches").alias("m")).select("note_id", "m.*")

@@ -1,7 +1,7 @@
 """The sequential step: which matches are found in their container, and the items they give.
 
 Whether a match is taken depends on containers that earlier matches opened, so this is a fold over a note's matches;
-a note is one row, and notes need no shuffle. What it reads and returns is narrow: all texts come from Catalyst.
+a note is one row, and notes need no shuffle.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.functions.plain import collapse
+from spanloom.operators.matching import described
 from spanloom.plans.mapping import ITEM_CLASSES, Plan, Rule
 
 WINDOW = 30
@@ -23,20 +25,15 @@ ITEM = [
 ]
 ITEM_DDL = "array<struct<" + ",".join(f"{n}:{'string' if t == pa.string() else 'int'}" for n, t in ITEM) + ">>"
 DROPPED_DDL = "array<struct<xp:int,node:int,text:string>>"
-_BLANKS = re.compile(r"\s+")
-
-
-def _collapse(text: str) -> str:
-    return _BLANKS.sub(" ", text).strip()
 
 
 def locate(text: str, prefix: str, suffix: str, within: str, window: int = WINDOW) -> int:
     """Where text stands in `within` between that prefix and suffix, white space aside; -1 if nowhere."""
-    before, after = _collapse(prefix), _collapse(suffix)
+    before, after = collapse(prefix), collapse(suffix)
     at = within.find(text)
     while at >= 0:
         end = at + len(text)
-        if (not before or _collapse(within[max(0, at - window) : at]).endswith(before)) and (not after or _collapse(within[end : end + window]).startswith(after)):
+        if (not before or collapse(within[max(0, at - window) : at]).endswith(before)) and (not after or collapse(within[end : end + window]).startswith(after)):
             return at
         at = within.find(text, max(end, at + 1)) if at < len(within) else -1
     return -1
@@ -122,19 +119,19 @@ def _fold(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBa
         own.sort(key=lambda r: {"Document": 0, "Quotation": 1}.get(r.cls, 2))
     dropped_type = pa.list_(pa.struct([("xp", pa.int32()), ("node", pa.int32()), ("text", pa.string())]))
     for batch in batches:
-        items, dropped = [], []
-        for note_text, found in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+        texts, items, dropped = [], [], []
+        for note_text, found in described(batch, plan):
             state = _State(note_text)
             dropped.append([{"xp": m["xp"], "node": m["node"], "text": m["text"]} for m in found if not state.take(m, by_xpath[m["xp"]])])
+            texts.append(note_text)
             items.append(state.items)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(items, pa.list_(pa.struct(ITEM))), pa.array(dropped, dropped_type)], ["note_id", "note_uri", "ser", "note_text", "items", "dropped"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(texts, pa.string()), pa.array(items, pa.list_(pa.struct(ITEM))), pa.array(dropped, dropped_type)], ["note_id", "note_uri", "ser", "note_text", "items", "dropped"])
 
 
-def resolve(matches: DataFrame, plan: Plan) -> DataFrame:
+def resolve(seeded: DataFrame, plan: Plan) -> DataFrame:
     """note_id, note_uri, ser, note_text, items, dropped: one row a note."""
-    kind = dict(matches.dtypes)["note_id"]
-    rows = matches.select("note_id", "note_uri", "ser", "note_text", "matches")
-    return rows.mapInArrow(lambda b: _fold(b, plan), f"note_id {kind}, note_uri string, ser string, note_text string, items {ITEM_DDL}, dropped {DROPPED_DDL}")
+    kind = dict(seeded.dtypes)["note_id"]
+    return seeded.mapInArrow(lambda b: _fold(b, plan), f"note_id {kind}, note_uri string, ser string, note_text string, items {ITEM_DDL}, dropped {DROPPED_DDL}")
 
 
 def dropped_matches(resolved: DataFrame) -> DataFrame:

@@ -72,11 +72,19 @@ def ids_of(xml: str, xpath: str) -> F.Column:
 def check_xpaths(spark: SparkSession, plan: Plan) -> None:
     """Raises ValueError for an XPath that can't be evaluated, before any note is read."""
     probe = spark.range(1).select(F.lit('<html __nid="0" __root="1"/>').alias("xml"))
-    for xpath in (*plan.xpaths, *plan.ignore_xpaths):
+    paths = [*plan.xpaths, *plan.ignore_xpaths]
+
+    def error(some: list[str]) -> Exception | None:
         try:
-            probe.select(ids_of("xml", xpath)).collect()
+            probe.select(*[ids_of("xml", x).alias(f"x{i}") for i, x in enumerate(some)]).collect()
         except Exception as e:
-            raise ValueError(f"Invalid XPath '{xpath}': {str(e).splitlines()[0]}") from e
+            return e
+        return None
+
+    if paths and error(paths):
+        for path in paths:
+            if e := error([path]):
+                raise ValueError(f"Invalid XPath '{path}': {str(e).splitlines()[0]}") from e
 
 
 def trees(notes: DataFrame, plan: Plan) -> DataFrame:
