@@ -147,7 +147,8 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, length
     cols = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), text_of(docs).alias("text"))
     tokens = stage(cols.mapInArrow(lambda b: tokenize(b, tokenizer), f"part int, source string, doc_id {kind}, at long, n long, ids binary"), "packed-ids")
     parts = tokens.groupBy("source", "part").agg(F.sum("n").alias("tokens"))
-    before = prefix_sums(parts, ["source"], "part", "tokens", "before").select(F.col("source").alias("_source"), F.col("part").alias("_part"), "before")
+    # Staged, its size is known before the join is planned: a row for each task and source, broadcast while small.
+    before = stage(prefix_sums(parts, ["source"], "part", "tokens", "before").select(F.col("source").alias("_source"), F.col("part").alias("_part"), "before"), "packed-offsets")
     totals = {r[0]: r[1] for r in parts.groupBy("source").agg(F.sum("tokens")).collect()}
     schedule = Schedule(totals, weights, window)
     placed = tokens.join(before, (F.col("part") == F.col("_part")) & F.col("source").eqNullSafe(F.col("_source")))
