@@ -85,7 +85,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     held = parts.join(plan.rows.select("row", "doc_id", "hash", "size"), "row").select("doc_id", "hash", "size", "parts")
     kind = dict(docs.dtypes)["doc_id"]
     turns = stage(held.mapInArrow(_runs, f"_id {kind}, _hash long, _size long, _runs array<struct<from:long,to:long>>"), "mix-turns")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_key"), F.xxhash64(text_of(docs)).alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_key"), F.xxhash64(text_of(docs)).alias("_text"))
     # Rows of one id and text are alike in the mix: one of them takes the turns of all.
     out = rows.dropDuplicates(["_text", "_key"]).join(turns, (F.col("_text") == F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_id")))
     whole = (F.size("_runs") == 1) & (F.col("_runs")[0]["from"] == 0) & (F.col("_runs")[0]["to"] == F.col("_size"))

@@ -80,7 +80,7 @@ def keep_largest(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     bound_batches(spark)
     rows = stage(docs.select(docs["doc_id"], digest(text_of(docs)).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     heavy = stage(heavy_winners(rows, counters), "heavy-winners").select(F.col("digest").alias("_hot"), F.col("win.doc_id").alias("_win"))
-    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_id"), digest(text_of(docs)).alias("_digest"))
+    held = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_id"), digest(text_of(docs)).alias("_digest"))
     held = held.join(F.broadcast(heavy), F.col("_digest") == F.col("_hot"), "left").where(F.col("_hot").isNull() | F.col("_id").eqNullSafe(F.col("_win")))
     best = held.groupBy("_digest").agg(F.max_by("_row", F.struct("_id", "_digest")).alias("_row"))
     return best.select("_row.*")

@@ -133,7 +133,7 @@ def keep_good(docs: DataFrame, labels: DataFrame, keep: float = KEEP) -> DataFra
     """The rows of docs that the classifier doesn't reject, all columns."""
     bound_batches(docs.sparkSession)
     model = fit(docs, labels)
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), score(model)(text_of(docs)).alias("_score"))
+    rows = docs.select(F.struct("*").alias("_row"), score(model)(text_of(docs)).alias("_score"))
     return rows.where(F.col("_score") >= keep).select("_row.*")
 
 

@@ -102,7 +102,7 @@ def write_shards(docs: DataFrame, path: str, shards: int = SHARDS, column: str =
     keys = placed.select(F.col("doc_id").alias("_id"), F.col("shard").alias("_shard"), F.col("slot").alias("_slot"))
     held = docs.join(keys, docs[column].eqNullSafe(keys["_id"]))
     held = held.repartitionByRange("_shard", "_slot").sortWithinPartitions("_shard", "_slot")
-    held.select(*[docs[c] for c in docs.columns], F.col("_shard").alias("shard")).write.partitionBy("shard").parquet(path)
+    held.withColumn("shard", F.col("_shard")).drop("_id", "_shard", "_slot").write.partitionBy("shard").parquet(path)
     return placed
 
 
