@@ -29,13 +29,13 @@ def _run(spark: SparkSession, sf_dir: str, mapping: dict) -> Result:
     return Engine(mapping).parse(read_pages(spark, sf_dir))
 
 
-def _items(cls: str, *columns: str | F.Column, mapping: dict = MAPPING) -> Callable[[SparkSession, str], DataFrame]:
+def _items(cls: str, *columns: str, mapping: dict = MAPPING) -> Callable[[SparkSession, str], DataFrame]:
     """A class' items in order, numbered within the class and note."""
 
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = _run(spark, sf_dir, mapping).items.where(F.col("cls") == cls)
         k = F.row_number().over(Window.partitionBy("note_id").orderBy("order_index"))
-        return rows.select("note_id", k.alias("k"), *columns)
+        return rows.select("note_id", k.alias("k"), *map(F.expr, columns))
 
     return query
 
@@ -202,7 +202,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "structure_items": _items("Structure", "text", "level"),
     "locator_items": _items("Locator", "text"),
     "quotation_items": _items("Quotation", "doc"),
-    "annotation_items": _items("Annotation", F.concat_ws(",", "types").alias("types")),
+    "annotation_items": _items("Annotation", "concat_ws(',', types) AS types"),
     "node_counts_by_tag": node_counts_by_tag,
     "link_same_as": link_same_as,
     "regex_mark_items": regex_mark_items,
