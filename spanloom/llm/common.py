@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -54,13 +55,15 @@ def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def unstage(df: DataFrame) -> None:
-    """Deletes the files of a staged table that nothing reads any more."""
-    spark = df.sparkSession
-    for file in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if file.startswith(("file:", "hdfs:", "viewfs:", "s3")) and "/part-" not in file:
-            at = spark._jvm.org.apache.hadoop.fs.Path(file)
+def unstage(*tables: DataFrame) -> None:
+    """Deletes staged tables that nothing reads any more, and has Spark's cleaner drop the shuffle files of finished steps, which else wait for the driver's garbage collection."""
+    spark = tables[0].sparkSession
+    for df in tables:
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            at = spark._jvm.org.apache.hadoop.fs.Path(folder)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

@@ -9,11 +9,11 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
    the sketch: any order is exact.
 2. Documents with equal sets are one class; classes with equal prefixes and sizes are one group. Only groups are
    indexed: their prefixes are inverted, and lists of one group are dropped.
-3. Every group is paired with one group: of the smallest groups of its lists that with which it shares most lists.
-   Every group's smallest class is paired with its other classes. So pairs are no more than classes. They are filtered
+3. Every group is paired with TRIES groups: of the smallest groups of its lists those with which it shares most lists.
+   Every group's smallest class is paired with its other classes. So pairs are in proportion to classes. They are filtered
    by size, by what their two prefixes leave possible, and then verified on whole sets, which are made again for the
    classes that need it. The links' components are found; lists whose groups are all of one component are done. The
-   others take a second such round, with their largest groups.
+   others take further rounds, each with other groups of the lists, while these find links.
 4. What is left to look at are pairs in a list, or classes in a group, that aren't in the same component yet; only
    members outside of a list's most frequent component are paired with the rest. All of them are filtered and verified
    as before. So a large group of near copies costs as many pairs as it has rows, and no link between different
@@ -29,6 +29,7 @@ whatever their names; an empty table gives no rows.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import struct
 from collections.abc import Callable, Iterator
@@ -38,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import LOWER, UPPER, bound_batches, stage, table, text_of
+from spanloom.llm.common import LOWER, UPPER, bound_batches, stage, table, text_of, unstage
 from spanloom.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -46,6 +47,8 @@ WORDS, PERCENT = 5, 80
 BUCKETS, SENT, HELD = 1 << 20, 4096, 1 << 16
 #: Bytes that are hashed at once, and the length from which words are hashed one by one.
 BLOCK, LONG = 1 << 19, 4096
+#: Pairs of a group in a round, most rounds before all that remain are looked at, and the share of links that makes another worth while.
+TRIES, ROUNDS, FEW = 8, 8, 0.005
 #: Bits of the bitmap of wanted texts: 4 MB, broadcast.
 WANTED = 1 << 25
 
@@ -245,17 +248,20 @@ class Join:
         self.order = spark.sparkContext.broadcast(order)
         texts = self.texts.withColumn("row", F.monotonically_increasing_id()).select("id", "hash", "row", "text")
         held = self.order
-        self.rows = stage(texts.mapInArrow(lambda b: describe(b, held.value, size, percent), f"id {kind}, hash long, row long, n int, sig binary, gkey binary, prefix array<long>"), "jaccard-rows")
-        full = self.rows.where("n > 0")
+        rows = stage(texts.mapInArrow(lambda b: describe(b, held.value, size, percent), f"id {kind}, hash long, row long, n int, sig binary, gkey binary, prefix array<long>"), "jaccard-rows")
+        full = rows.where("n > 0")
         self.groups = stage(full.groupBy("gkey").agg(F.min("row").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-groups")
         classes = full.groupBy("gkey", "sig").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.min_by(F.struct("id", "hash"), "row").alias("of"))
         classes = classes.join(self.groups.select("gkey", "gid"), "gkey")
         self.classes = stage(classes.select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash"), "jaccard-classes")
+        self.rows = stage(rows.drop("prefix"), "jaccard-members")
+        unstage(rows)
+        self.sets: list[DataFrame] = []
         parts = self.components()
         named = self.classes.join(parts, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("cid").alias("first"))
         named = stage(named.join(ids, "component").select("gkey", "sig", "cid", "first", "component_id"), "jaccard-components")
-        joined = self.rows.drop("prefix").join(named, ["gkey", "sig"], "left")
+        joined = self.rows.join(named, ["gkey", "sig"], "left")
         component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
         self.members = joined.select(F.col("id").alias("doc_id"), "hash", "row", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "first")
 
@@ -264,42 +270,61 @@ class Join:
         index = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "h"))
         index = index.withColumn("k", F.count("*").over(Window.partitionBy("h")))
         lists = stage(index.where("k > 1").select("h", "gid", "n", "pos"), "jaccard-lists")
+        # Only these groups can be paired: later joins move their prefixes and no others.
+        self.listed = stage(self.groups.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "n", "prefix"), "jaccard-listed")
+        unstage(self.groups)
         inside = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-        first = self.stars(lists.withColumn("part", F.lit(None).cast("long")), F.min).unionByName(inside)
-        parts = stage(components(self.verify(first)), "jaccard-parts")
+        pairs = stage(self.stars(lists.withColumn("part", F.lit(None).cast("long")), 0).unionByName(inside), "jaccard-pairs")
+        links = self.verify(pairs)
+        parts = stage(components(links), "jaccard-parts")
         known, lists = self.open(lists, parts)
-        second = stage(self.stars(lists, F.max), "jaccard-second")
-        if not second.isEmpty():
-            parts = stage(components(_edges(parts).unionByName(self.verify(second))), "jaccard-parts")
-            known, lists = self.open(lists, parts)
+        for salt in range(1, ROUNDS):
+            pairs = stage(self.stars(lists, salt), "jaccard-pairs")
+            tried = pairs.count()
+            if not tried:
+                break
+            links = self.verify(pairs)
+            found = links.count()
+            if found:
+                parts = stage(components(_edges(parts).unionByName(links)), "jaccard-parts")
+                known, lists = self.open(lists, parts)
+            if found < FEW * tried:
+                break
         rest = stage(self.rest(known, lists), "jaccard-rest")
         return parts if rest.isEmpty() else components(_edges(parts).unionByName(self.verify(rest)))
 
-    def stars(self, lists: DataFrame, pick: Callable) -> DataFrame:
-        """Pairs (a, b) of groups: each group with one picked group of its lists, that of another component with which it shares most lists. A row a group at most."""
-        picked = pick(F.struct("gid", "n", "part")).over(Window.partitionBy("h"))
+    def stars(self, lists: DataFrame, salt: int) -> DataFrame:
+        """Pairs (a, b) of groups: each group with those TRIES of its lists' picked groups, of other components, with which it shares most lists.
+
+        A list's picked group is the first by id in the first round, and by a hash with the round's salt in later ones.
+        """
+        key = F.xxhash64("gid", F.lit(salt)) if salt else F.col("gid")
+        picked = F.min(F.struct(key.alias("key"), "gid", "n", "part")).over(Window.partitionBy("h"))
         rows = lists.withColumn("p", picked).where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)))
         rows = rows.where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * self.percent)
         shared = rows.groupBy("gid", F.col("p.gid").alias("pivot")).agg(F.count("*").alias("c"))
-        best = shared.groupBy("gid").agg(F.max_by("pivot", F.struct("c", -F.col("pivot"))).alias("pivot"))
+        best = shared.withColumn("i", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("c"), "pivot"))).where(F.col("i") <= TRIES)
         return self.filter(best.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
 
     def filter(self, pairs: DataFrame) -> DataFrame:
         """Pairs of groups (a, b) that their prefixes leave possible."""
         held, percent = self.order, self.percent
-        side = lambda x: self.groups.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
+        side = lambda x: self.listed.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
         return both.mapInArrow(lambda b: possible(b, held.value, percent), "a long, b long")
 
     def verify(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of classes (a, b) that link, staged."""
+        """Of staged pairs of classes (a, b) those that link, staged. Sets that earlier calls made are used again."""
         size, percent = self.size, self.percent
-        pairs = stage(pairs, "jaccard-pairs")
         asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        for known in self.sets:
+            asked = asked.join(known.select("cid"), "cid", "left_anti")
         asked = stage(self.classes.join(asked, "cid", "left_semi").select("cid", F.col("id").alias("_id"), F.col("hash").alias("_hash")), "jaccard-asked")
-        texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
-        got = texts.join(asked, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("cid", "text").dropDuplicates(["cid"])
-        sets = stage(got.mapInArrow(lambda b: make_sets(b, size), "cid long, set array<long>"), "jaccard-sets")
+        if not self.sets or not asked.isEmpty():
+            texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
+            got = texts.join(asked, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("cid", "text").dropDuplicates(["cid"])
+            self.sets.append(stage(got.mapInArrow(lambda b: make_sets(b, size), "cid long, set array<long>"), "jaccard-sets"))
+        sets = functools.reduce(DataFrame.unionByName, self.sets)
         side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
@@ -324,10 +349,11 @@ class Join:
         right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), apart.alias("apart"))
         differ = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))
         once = (F.col("a") < F.col("b")) | ~F.col("apart")
-        most = F.least("ia", "ib") + 1 + F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) - 1
-        near = most * (100 + self.percent) >= (F.col("na") + F.col("nb")) * self.percent
+        # Two sets that link share `least` shingles; behind the first of them each must have as many left.
+        least = F.expr(f"((na + nb) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
+        near = (F.col("ia") + least <= F.col("na")) & (F.col("ib") + least <= F.col("nb"))
         pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(self.filter(pairs), "jaccard-open-pairs")
+        pairs = stage(self.filter(stage(pairs, "jaccard-shared")), "jaccard-open-pairs")
         side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"))
         across = pairs.join(side("b"), F.col("b") == F.col("gb")).join(side("a"), F.col("a") == F.col("ga")).where("pa <> pb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         # In a group of several components, the classes outside of the smallest class' component with all others.
@@ -348,7 +374,7 @@ def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> Data
     gone = stage(members.where("n_shingles > 0 and row <> first").select(F.col("doc_id").alias("_id"), "hash"), "jaccard-gone")
     kept = stage(members.where("n_shingles = 0 or row = first").select(F.col("doc_id").alias("_id"), "hash"), "jaccard-kept")
     gone = stage(gone.join(kept.withColumnRenamed("_id", "_k").withColumnRenamed("hash", "_h"), (F.col("hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_k")), "left_anti"), "jaccard-gone")
-    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(text_of(docs)).alias("hash"))
+    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(text_of(docs)).alias("hash"))
     rows = maybe_among(rows, gone)
     sure = rows.where("not maybe").select("_row.*")
     other = gone.select("_id", F.col("hash").alias("_hash"))
