@@ -389,6 +389,27 @@ class TestLicences:
         )
         assert scan(df.where("false"), "id", "path", "text", named).count() == 0
 
+    def test_notices_within_lines_and_across_breaks(self, spark):
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.licenses import TEMPLATES, scan
+
+        more = "and then some twelve other words of prose follow here on this line"
+        files = [
+            (1, f"{more} Released under the MIT License. {more}", "MIT"),
+            (2, "Copyright 2024 Jane Doe. Released under the MIT License. See the file in the root of the project for details.", "MIT"),
+            (3, f"{more} Licensed under CC BY-NC 4.0. {more}", "CC-BY-NC-4.0"),
+            (4, f"{more} Licensed under the Apache License, Version 2.0; you may not use this file except in compliance with it", "Apache-2.0"),
+            (None, f"{more}\nThis work is licensed under the GNU\nGeneral Public License, version 3. {more}", "GPL-3.0"),
+            (None, f"{more} {more}", None),
+            (5, f"{more} {TEMPLATES['LGPL-2.1/header']} {more}", "LGPL-2.1"),
+            (6, f"// SPDX-License-Identifier: BSD-2-Clause\n{more}", "BSD-2-Clause"),
+            (7, f"// SPDX-License-Identifier: Zlib\n{more}", None),
+        ]
+        df = spark.createDataFrame([(i, f"d/{n}.txt", t) for n, (i, t, _) in enumerate(files)], "id long, path string, text string")
+        out = {r["path"]: (r["id"], r["licence"], r["via"]) for r in scan(df, "id", "path", "text", F.lit(False)).collect()}
+        assert out == {f"d/{n}.txt": (i, licence, licence and "header") for n, (i, _, licence) in enumerate(files)}
+
     def test_anchors_lose_nothing(self):
         from spanloom.llm.licenses import TERM, TEMPLATES, Templates
 
