@@ -216,15 +216,18 @@ def scan(files: DataFrame, key: str, path: str, text: str, is_licence_file: Colu
     return out.select(F.col("_key").alias(key), F.col("_path").alias("path"), F.coalesce("licence", "got.dir_licence").alias("licence"), via.alias("via"), F.coalesce("cosine", "got.dir_cosine").alias("cosine"), F.when(F.col("via").isNull(), F.col("got.dir")).alias("from_dir"))
 
 
+def directory(name: Column) -> Column:
+    """A directory of this name; null has one of its own, ~null, which no name can take."""
+    name = name.cast("string")
+    return F.coalesce(F.when(name.startswith("~"), F.concat(F.lit("~"), name)).otherwise(name), F.lit("~null"))
+
+
 def document_files(docs: DataFrame) -> DataFrame:
-    """Documents as files: source/lang/doc_id.txt, and source/lang/LICENSE-doc_id where the text has at most 60 words, for which a directory's notice is taken."""
-    words = F.size(F.split(F.trim(F.regexp_replace(text_of(docs), r"[\x20\x09-\x0D]+", " ")), " "))
-    name = F.when(words <= 60, F.concat(F.lit("LICENSE-"), docs["doc_id"].cast("string"))).otherwise(F.concat(docs["doc_id"].cast("string"), F.lit(".txt")))
-    return docs.select(docs["doc_id"], F.concat_ws("/", docs["source"].cast("string"), docs["lang"].cast("string"), name).alias("path"), docs["text"])
+    """Documents as files source/lang/doc_id.txt. No name tells a licence file; whole texts do."""
+    name = F.concat(F.coalesce(docs["doc_id"].cast("string"), F.lit("~null")), F.lit(".txt"))
+    return docs.select(docs["doc_id"], F.concat_ws("/", directory(docs["source"]), directory(docs["lang"]), name).alias("path"), docs["text"])
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licences of all documents as files under source/lang/."""
-    files = document_files(table(spark, sf_dir, "documents"))
-    named = F.element_at(F.split(files["path"], "/"), -1).rlike("(?i)^(licen[cs]e|copying)")
-    return scan(files, "doc_id", "path", "text", named)
+    return scan(document_files(table(spark, sf_dir, "documents")), "doc_id", "path", "text", F.lit(False))

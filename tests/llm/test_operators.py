@@ -410,6 +410,21 @@ class TestLicences:
         out = {r["path"]: (r["id"], r["licence"], r["via"]) for r in scan(df, "id", "path", "text", F.lit(False)).collect()}
         assert out == {f"d/{n}.txt": (i, licence, licence and "header") for n, (i, _, licence) in enumerate(files)}
 
+    def test_documents_are_licence_files_by_their_whole_text(self, spark):
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.licenses import FULL, document_files, scan
+
+        rows = [(1, f"{name} License\n\nCopyright (c) 2024 Jane Doe\n\n{text}", name, "en") for name, text in FULL.items()]
+        rows += [(2, "no notice at all", name, "en") for name in FULL]
+        rows += [(3, "Released under the MIT License.", None, None), (4, "no notice at all", "s", "en"), (5, "no notice at all", None, None), (6, "Released under the MIT License.", "s", "en")]
+        rows += [(7, FULL["MIT"], None, "de"), (8, "no notice at all", None, "de"), (9, "no notice at all", "~null", "de")]
+        df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+        out = Counter((r["doc_id"], r["licence"], r["via"], r["from_dir"]) for r in scan(document_files(df), "doc_id", "path", "text", F.lit(False)).collect())
+        want = Counter((1, name, "file", None) for name in FULL) + Counter((2, name, "inherited", f"{name}/en") for name in FULL)
+        want += Counter([(3, "MIT", "header", None), (4, None, None, None), (5, None, None, None), (6, "MIT", "header", None), (7, "MIT", "file", None), (8, "MIT", "inherited", "~null/de"), (9, None, None, None)])
+        assert out == want
+
     def test_anchors_lose_nothing(self):
         from spanloom.llm.licenses import TERM, TEMPLATES, Templates
 
