@@ -20,6 +20,8 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
+import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Iterator
@@ -36,6 +38,9 @@ from spanloom.llm.common import bound_batches, prefix_sums, stage, table, text_o
 LENGTH, WINDOW, CLOSING = 2048, 64 * 2048, 1
 #: The tokenizer's one special token.
 SPECIAL = {"<|endoftext|>": 50256}
+#: Runs of white space from this many characters on go to the tokenizers library: tiktoken's regular expression fails on very long ones.
+RUN = 100_000
+_LONG_RUN = re.compile(rf"\s{{{RUN}}}")
 
 
 @functools.cache
@@ -49,15 +54,34 @@ def encoder(name: str):
     return tiktoken.Encoding(name, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=SPECIAL)
 
 
+@functools.cache
+def library(name: str):
+    """The tokenizers library over the vocabulary that the rank file was made from."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(public_tokenizers.path(f"{os.path.splitext(name)[0]}.json"))
+
+
+def ids_of(text: str, name: str) -> list[int]:
+    """The ids that the tokenizers library gives; by the faster encoder, unless that can't take the text."""
+    if len(text) < RUN or not _LONG_RUN.search(text):
+        try:
+            return encoder(name).encode(text, allowed_special="all")
+        except ValueError:  # its regular expression gave up
+            pass
+    return library(name).encode(text, add_special_tokens=False).ids
+
+
 def tokenize(batches: Iterator[pa.RecordBatch], name: str) -> Iterator[pa.RecordBatch]:
     """part, source, doc_id, at (tokens of the source before it in this task), n, ids (little-endian unsigned 32-bit, closed by CLOSING)."""
-    enc, at = encoder(name), {}
+    at: dict[str | None, int] = {}
     part = TaskContext.get().partitionId()
     for batch in batches:
         doc_ids, sources, texts = (batch.column(i) for i in range(3))
         starts, sizes, ids = [], [], []
         for source, text in zip(sources.to_pylist(), texts.to_pylist(), strict=True):
-            one = enc.encode(text, allowed_special="all")
+            one = ids_of(text, name)
             one.append(CLOSING)
             starts.append(at.get(source, 0))
             at[source] = starts[-1] + len(one)

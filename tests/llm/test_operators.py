@@ -260,6 +260,21 @@ class TestPacking:
         want = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode(text, add_special_tokens=False).ids
         assert encoder("byte_bpe_50k.tiktoken").encode(text, allowed_special="all") == want
 
+    def test_runs_of_over_a_million_blanks(self, spark):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        from spanloom.llm.packing import pack
+
+        whole = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        texts = ["a <|endoftext|>" + blank * 1_100_000 + tail for blank in " \n" for tail in ("", " b", "<|endoftext|> c")]
+        rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").selectExpr("doc_id", "text", "'s' AS source")).collect()
+        for i, text in enumerate(texts):
+            want = np.array([*whole.encode(text, add_special_tokens=False).ids, 1], "<u4")
+            own = [r for r in rows if r["doc_id"] == i]
+            assert sum(r["length"] for r in own) == len(want)
+            assert all(r["doc_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
+
 
 class TestSharding:
     def test_rows_law(self, docs, empty, spark):
