@@ -2,12 +2,13 @@
 
 Queries and vectors are dealt over a grid: each query goes to one row of tiles, each vector to one column, by its
 number, so tiles are equal whatever the ids and no vector is hot. A tile holds at most QUERIES x VECTORS rows; it is
-one matrix product in 64-bit floats, exact for integers below 2^53 (larger ones are computed as Python integers), and
-keeps each query's k best by partial selection. The lists of a row of tiles merge in FAN-fold levels of a tree.
+one matrix product in 64-bit floats while no sum can reach 2^53, else of Python integers, and keeps each query's k best
+by partial selection. The lists of a row of tiles merge in FAN-fold levels of a tree.
 
 Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors
 count as if filled with zeros; repeated rows are rows of their own, and a query leaves out its own row only; null ids
-are no queries and sort last among ties; other columns aren't read; an empty table gives no rows.
+are no queries and sort last among ties; other columns aren't read; an empty table gives no rows. Bound: components
+times scale and scores of a result lie below 2^63; others fail the query, none is rounded.
 """
 
 from __future__ import annotations
@@ -35,14 +36,16 @@ def tile(k: int) -> Callable:
         if len(queries) and len(vectors):
             vectors = vectors.sort_by([("id", "ascending"), ("row", "ascending")])  # nulls last
             width = max(pc.max(pc.list_value_length(t.column("v"))).as_py() for t in (queries, vectors))
-            dense = lambda t: _dense(t.column("v"), width)
-            q, v = dense(queries), dense(vectors)
+            dense = lambda t, kind: _dense(t.column("v"), width, kind)
+            q, v = dense(queries, "f8"), dense(vectors, "f8")
             n, ids, rows = len(vectors), vectors.column("id").to_pylist(), vectors.column("row").to_numpy()
             exact = float(max(np.abs(q).max(initial=0), 1)) * float(max(np.abs(v).max(initial=0), 1)) * width < 2**53
+            if not exact:
+                q, v = dense(queries, object), dense(vectors, object)
             places, take = np.arange(n), min(n, k + 1)
             query_rows, query_ids = queries.column("row").to_pylist(), queries.column("id").to_pylist()
             for at in range(0, len(q), BLOCK):
-                scores = q[at : at + BLOCK] @ v.T if exact else q[at : at + BLOCK].astype(object) @ v.astype(object).T
+                scores = q[at : at + BLOCK] @ v.T
                 for i, line in enumerate(scores):
                     if exact:
                         floor = np.partition(line, n - take)[n - take]
@@ -59,13 +62,14 @@ def tile(k: int) -> Callable:
     return best
 
 
-def _dense(column: pa.ChunkedArray, width: int) -> np.ndarray:
+def _dense(column: pa.ChunkedArray, width: int, kind: str | type) -> np.ndarray:
+    """Rows of 64-bit integers as a matrix of kind; object makes Python integers of them."""
     column = column.combine_chunks()
     sizes = pc.list_value_length(column).to_numpy()
-    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype("f8"), np.cumsum([0, *sizes])
+    flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum([0, *sizes])
     if (sizes == width).all():
         return flat.reshape(-1, width)
-    out = np.zeros((len(column), width))
+    out = np.zeros((len(column), width), kind)
     for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
         out[i, : b - a] = flat[a:b]
     return out
@@ -77,7 +81,8 @@ def top_k(vectors: DataFrame, key: str, values: str, is_query: Column, k: int, s
     bound_batches(spark)
     sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)))
     rows = vectors.select(vectors[key].alias("id"), vectors[values].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    whole = F.transform("v", lambda x: F.floor(x * scale).cast("long"))
+    beyond = F.raise_error(F.lit("a component times scale is 2^63 or more")).cast("long")
+    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) >= 2.0**63, beyond).otherwise(F.floor(x * scale).cast("long")))
     rows = rows.where(sound).select("id", whole.alias("v"), "asks").withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows, "topk-vectors")
     asked, total = rows.agg(F.count_if("asks"), F.count("*")).first()

@@ -379,6 +379,27 @@ class TestTopK:
         got = [tuple(r) for r in top_k(df, "vec_id", "embedding", F.col("vec_id") == 0, 20).orderBy("rank").collect()]
         assert got == [(0, 1, 2, 2**46 * 2**16 + 64 * 256), (0, 2, 1, 2**46 * 2**16 + 64 * 192)]
 
+    def test_large_values_are_not_rounded(self, spark):
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.topk import top_k
+
+        whole = np.random.default_rng(2).integers(2**26, 2**27, (40, 64)) | 1
+        ints = [[int(x) for x in row] for row in whole]
+        ints += [[*ints[7][:-1], ints[7][-1] + 1], ints[7][:-1]]
+        df = spark.createDataFrame([(i, [x / 64 for x in row]) for i, row in enumerate(ints)], "vec_id long, embedding array<double>")
+        want = []
+        for i in range(0, len(ints), 20):
+            best = sorted((-sum(a * b for a, b in zip(ints[i], row, strict=False)), j) for j, row in enumerate(ints) if j != i)[:20]
+            want += [(i, k + 1, j, -s) for k, (s, j) in enumerate(best)]
+        assert max(s for *_, s in want) > 2**53
+        got = top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        for value in (2.0**57, 2.0**40):  # a component, and a score
+            beyond = spark.createDataFrame([(0, [value]), (1, [value])], "vec_id long, embedding array<double>")
+            with pytest.raises(Exception, match="2\\^63|too (big|large)|out of|overflow"):
+                top_k(beyond, "vec_id", "embedding", F.col("vec_id") == 0, 20).collect()
+
 
 class TestLicences:
     def test_headers_files_and_inheritance(self, spark):
