@@ -337,6 +337,20 @@ class TestQuality:
         flipped = labels.withColumn("quality", F.when(held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
         assert fit(docs, labels) == fit(docs, flipped)
 
+    def test_what_comes_late_in_long_texts_is_learnt(self, spark):
+        import random
+
+        from spanloom.llm.quality import classify
+
+        random.seed(3)
+        some = lambda words, n: " ".join(random.choice(words) for _ in range(n))
+        start = some(["plain", "words", "that", "both", "kinds", "begin", "with"], 6500)
+        assert len(start) > 1 << 15
+        rows = [(i, f"{start} {some(['and', 'of', 'river', 'stone'] if i % 3 else ['BUY!!', '$$$', 'now!!', 'click###'], 9000)}", "s") for i in range(150)]
+        labels = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(150)], "doc_id long, quality int, toxic int")
+        held = [r for r in classify(frame(spark, rows), labels).collect() if r["held_out"]]
+        assert min(r["score"] for r in held if r["doc_id"] % 3) > max(r["score"] for r in held if not r["doc_id"] % 3) + 0.5
+
     def test_one_class_and_nothing(self, corpus, spark, empty):
         from spanloom.llm.quality import classify, keep_good
 
