@@ -1,7 +1,7 @@
 """Incremental secret scan over a ledger of content-addressed blobs.
 
 Every historical version of every path is a blob, addressed by the SHA-256 of its text. The ledger is a Parquet
-table with one row per blob and scan run, which says which rule versions were applied and where they matched.
+table with one row per blob and scan run, which says which rule versions were applied and where each of them matched.
 A run groups the versions by address (combined on the map side, so that a text that a third of all rows hold
 sends one row per task), drops the (blob, rule version) pairs that the ledger has, scans the rest once, appends
 to the ledger, and joins the findings back to all paths. DataFrame functions only.
@@ -42,15 +42,15 @@ RULES = (
     Rule("access", 1, r"AKIA[A-Z0-9]{12,}", 0, 16),
     Rule("hex", 1, r"[0-9a-f]{32,}", 0, 32),
 )
-LEDGER = "blob binary, rules array<string>, layout array<struct<rule:int,pos:int,gap:int,len:int,glen:int>>"
+LEDGER = "blob binary, rules array<string>, layout array<struct<rule:string,pos:int,gap:int,len:int,glen:int>>"
 
 
-def _layout(rule: Rule, at: int):
+def _layout(rule: Rule):
     """A rule's matches in order: the length of the text since the last match, of the match, and of its group. Code points."""
     gaps = F.split("text", rule.pattern, -1)
     lens = lambda group: F.transform(F.regexp_extract_all("text", F.lit(rule.pattern), F.lit(group)), F.length)
     rows = F.arrays_zip(F.transform(gaps, F.length).alias("gap"), lens(0).alias("len"), lens(rule.group).alias("glen"))
-    rows = F.transform(F.filter(rows, lambda x: x["len"].isNotNull()), lambda x, i: F.struct(F.lit(at).alias("rule"), i.alias("pos"), x["gap"].alias("gap"), x["len"].alias("len"), x["glen"].alias("glen")))
+    rows = F.transform(F.filter(rows, lambda x: x["len"].isNotNull()), lambda x, i: F.struct(F.lit(rule.key).alias("rule"), i.alias("pos"), x["gap"].alias("gap"), x["len"].alias("len"), x["glen"].alias("glen")))
     return rows
 
 
@@ -66,17 +66,18 @@ def scan_new(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES,
     blobs = versions.select(text_of(versions, text).alias("text")).select(F.unhex(F.sha2("text", 256)).alias("blob"), "text").groupBy("blob").agg(F.first("text").alias("text"))
     todo = F.array_except(F.array(*[F.lit(r.key) for r in rules]), F.coalesce("done", F.array().cast("array<string>")))
     unseen = blobs.join(done, "blob", "left").withColumn("rules", todo).where(F.size("rules") > 0)
-    none = F.array().cast("array<struct<rule:int,pos:int,gap:int,len:int,glen:int>>")
-    found = [F.when(F.array_contains("rules", r.key) & F.col("text").rlike(r.pattern), _layout(r, i)).otherwise(none) for i, r in enumerate(rules)]
-    unseen.select("blob", "rules", F.concat(*found).cast("array<struct<rule:int,pos:int,gap:int,len:int,glen:int>>").alias("layout")).write.mode("append").parquet(ledger)
+    none = F.array().cast("array<struct<rule:string,pos:int,gap:int,len:int,glen:int>>")
+    found = [F.when(F.array_contains("rules", r.key) & F.col("text").rlike(r.pattern), _layout(r)).otherwise(none) for r in rules]
+    unseen.select("blob", "rules", F.concat(*found).cast("array<struct<rule:string,pos:int,gap:int,len:int,glen:int>>").alias("layout")).write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """blob, rule (its place in rules), start, end of every match that is long enough, of the given rule versions."""
-    spans = ledger.where(F.size("layout") > 0).select("blob", "rules", F.explode("layout").alias("m")).select("blob", "rules", "m.*")
+    spans = ledger.where(F.size("layout") > 0).select("blob", F.explode("layout").alias("m")).select("blob", "m.*")
     key, least = F.array(*[F.lit(r.key) for r in rules]), F.array(*[F.lit(r.least) for r in rules])
-    spans = spans.where(F.array_contains("rules", F.get(key, F.col("rule"))))
+    # The ledger has the rule's key, as a rule's place is another one in each run.
+    spans = spans.withColumn("rule", (F.array_position(key, F.col("rule")) - 1).cast("int")).where(F.col("rule") >= 0)
     so_far = Window.partitionBy("blob", "rule").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
     spans = spans.withColumn("end", F.sum(F.col("gap").cast("long") + F.col("len")).over(so_far))
     return spans.where(F.col("glen") >= F.get(least, F.col("rule"))).select("blob", "rule", (F.col("end") - F.col("len")).alias("start"), "end")

@@ -85,6 +85,17 @@ class TestSecrets:
         assert again.count() == 2 * n + 1 and {tuple(r["rules"]) for r in again.collect()} == {tuple(r.key for r in s.RULES), ("assign@2",)}
         assert s.scan(empty, ["doc_id"], path).count() == 0
 
+    def test_a_known_ledger_serves_other_lists_of_rules(self, spark, docs):
+        from spanloom.llm import secrets as s
+
+        path = f"{common.shared_dir(spark)}/ledger-lists-{id(docs)}"
+        s.scan(docs, ["doc_id"], path).count()
+        more = s.Rule("words", 1, "SOME WORDS", 0, 4)
+        for n, rules in enumerate((s.RULES[1:], s.RULES[::-1], (more, *s.RULES))):
+            known = s.scan(docs, ["doc_id", "text"], path, rules).collect()
+            fresh = s.scan(docs, ["doc_id", "text"], f"{path}-{n}", rules).collect()
+            assert Counter(map(str, known)) == Counter(map(str, fresh)) and any(r["found"] for r in known)
+
 
 class TestExactDedup:
     @pytest.mark.parametrize("counters", [1, 1000])
