@@ -1,13 +1,11 @@
-"""Token counts by a compiled finite-state machine.
+"""Token counts by memoised calls of the library between proved cuts.
 
-The vocabulary is compiled into a deterministic transducer over characters. Two neighbouring characters that no piece
-holds side by side can't be merged, so between them the tokenization always splits: a transition over such a pair is a
-cut. The state is the text since the last cut, in a trie; a transition within it emits nothing, and one over a cut
-emits the number of tokens of the text that it ends. States are determined as texts reach them: each word's count is
-taken once from the library and kept, in a table whose size is bounded.
+Two neighbouring characters that no piece holds side by side can't be merged, so between them the tokenization always
+splits: a cut. The text between two cuts is counted by the library once and kept, in a table whose size is bounded.
+This stands in for a compiled transducer, which isn't built: within a word, merges depend on what follows, so that a
+BPE model has no small finite set of states there.
 
-A chunk of text is thus a map over all states, "pending text" to (tokens emitted, new pending text), and it has a
-short form: the head before its first cut, the tokens from there to its last cut, and the tail after it. Such maps
+A chunk of text is thus a map from pending text to (tokens, new pending text), and it has a short form: the head before its first cut, the tokens from there to its last cut, and the tail after it. Such maps
 compose associatively: (h1, n1, t1) * (h2, n2, t2) = (h1, n1 + tokens(t1 h2) + n2, t2). Long texts are cut into
 chunks that any tasks may take, and their maps compose through a scan in FAN-fold levels, in parallel.
 
@@ -38,7 +36,7 @@ BLANK = "▁"
 
 
 class Machine(dict):
-    """Words to the tokens that they emit. A word stands for itself behind one blank; one that begins with a line feed has no blank."""
+    """Words to their tokens. A word stands for itself behind one blank; one that begins with a line feed has no blank."""
 
     def __init__(self, model: str):
         import public_tokenizers
