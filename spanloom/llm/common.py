@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-import gc
+import contextlib
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Most rows and bytes of one Arrow batch, so that a Python worker's memory doesn't follow the texts' lengths.
 BATCH_ROWS, BATCH_BYTES = 2048, 8 << 20
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,13 +34,12 @@ def bound_batches(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir of the session; a temporary one only where that is unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: spark.checkpoint.dir of the session. In local mode, where that is unset, a temporary one."""
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if path:
         return path.rstrip("/")
-    set_by = spark.sparkContext.getCheckpointDir()
-    if set_by:
-        return set_by.rstrip("/")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir is unset: working tables need a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spanloom-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -47,23 +49,33 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
+@contextlib.contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Has executions that end in here delete their shuffle files, which else stay until the driver collects its garbage."""
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+
+
 def stage(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """df written as Parquet in the shared folder and read again: it cuts the lineage, and a lost executor costs no more than its own tasks."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", compression).parquet(path)
+    with shuffles_dropped(spark):
+        df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def unstage(*tables: DataFrame) -> None:
-    """Deletes staged tables that nothing reads any more, and has Spark's cleaner drop the shuffle files of finished steps, which else wait for the driver's garbage collection."""
-    spark = tables[0].sparkSession
+    """Deletes staged tables that nothing reads any more."""
     for df in tables:
+        spark = df.sparkSession
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
             at = spark._jvm.org.apache.hadoop.fs.Path(folder)
             at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    gc.collect()
-    spark._jvm.System.gc()
 
 
 def text_of(df: DataFrame, column: str = "text") -> Column:

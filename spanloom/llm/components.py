@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import stage
+from spanloom.llm.common import stage, unstage
 
 
 def _large(edges: DataFrame) -> DataFrame:
@@ -26,16 +26,17 @@ def _small(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node points to one other, which points nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select("v", F.lit(0).alias("out"), F.lit(1).alias("in")).withColumnRenamed("v", "node"))
+    return ends.groupBy("node").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where("out > 1 or out = 1 and in = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
-    """edges: a, b (long). node, component (its smallest node) of every node that isn't the smallest of its component."""
+    """edges: a, b (long). node, component (its smallest node) of every node that isn't the smallest of its component; staged."""
     edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     held = stage(edges, "edges")
-    mark = lambda e: e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    before = mark(held)
-    while before[0]:
-        held = stage(_small(_large(held)), "edges")
-        after = mark(held)
-        if after == before:
-            break
-        before = after
+    while not _stars(held):
+        held, old = stage(_small(_large(held)), "edges"), held
+        unstage(old)
     return held.select(F.col("u").alias("node"), F.col("v").alias("component"))

@@ -7,14 +7,15 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
 1. A pass over all texts counts shingles in fixed-size sketches, of which each task sends its heaviest buckets; the
    order puts shingles of heavier buckets later. Passages that many documents share so leave the prefixes, whatever
    the sketch: any order is exact.
-2. Documents with equal sets are one class; classes with equal prefixes and sizes are one group. Only groups are
-   indexed: their prefixes are inverted, and lists of one group are dropped.
-3. Every group is paired with TRIES groups: of the smallest groups of its lists those with which it shares most lists.
-   Every group's smallest class is paired with its other classes. So pairs are in proportion to classes. They are filtered
-   by size, by what their two prefixes leave possible, and then verified on whole sets, which are made again for the
-   classes that need it. The links' components are found; lists whose groups are all of one component are done. The
-   others take further rounds, each with other groups of the lists, while these find links.
-4. What is left to look at are pairs in a list, or classes in a group, that aren't in the same component yet; only
+2. Documents with equal sets are one class; classes with equal prefixes and sizes are one group.
+3. The lists of each group's FIRST first shingles give the first pairs: each group with a group of each of these lists,
+   picked by a hash, so that a large family meets in many different ones; and each group's smallest class with its
+   other classes. They are verified on whole sets, which are made again for the classes that need it.
+4. All prefixes are inverted. Only lists that hold groups of several components are kept, and move again.
+5. In rounds, while more pairs remain than a few for each row of the lists and rounds find links, every group of an open list is paired with TRIES groups: of the picked groups of
+   its lists those with which it shares most lists. So pairs are in proportion to groups. They are filtered by size, by
+   what their two prefixes leave possible, and then verified. Lists that are of one component by now are done.
+6. What is left to look at are pairs in a list, or classes in a group, that aren't in the same component yet; only
    members outside of a list's most frequent component are paired with the rest. All of them are filtered and verified
    as before. So a large group of near copies costs as many pairs as it has rows, and no link between different
    components is lost.
@@ -36,7 +37,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import LOWER, UPPER, bound_batches, stage, table, text_of, unstage
@@ -44,11 +45,11 @@ from spanloom.llm.components import components
 
 WORDS, PERCENT = 5, 80
 #: Sketch: buckets, the heaviest that a task sends, and the most that are broadcast.
-BUCKETS, SENT, HELD = 1 << 20, 4096, 1 << 16
+BUCKETS, SENT, HELD = 1 << 22, 4096, 1 << 16
 #: Bytes that are hashed at once, and the length from which words are hashed one by one.
 BLOCK, LONG = 1 << 19, 4096
-#: Pairs of a group in a round, most rounds before all that remain are looked at, and the share of links that makes another worth while.
-TRIES, ROUNDS, FEW = 8, 8, 0.005
+#: Shingles whose lists give the first pairs; pairs of a group in a round, most rounds before all that remain are looked at, the share of links that makes another worth while, and the pairs of a row of the lists that need no round before.
+FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 8, 0.25, 32
 #: Bits of the bitmap of wanted texts: 4 MB, broadcast.
 WANTED = 1 << 25
 
@@ -100,6 +101,11 @@ def _shingles(words: np.ndarray, size: int) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes], size: int = WORDS) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of each text (UTF-8), A-Z lower-cased."""
+    return map(np.unique, shingles(texts, size))
+
+
+def shingles(texts: list[bytes], size: int = WORDS) -> Iterator[np.ndarray]:
+    """The shingle hashes of each text in their order, with repeats."""
     group, held = [], 0
     for text in [*texts, None]:
         if group and (text is None or held + len(text) > BLOCK):
@@ -108,7 +114,7 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> Iterator[np.ndarray]:
             ends = np.searchsorted(starts, np.cumsum([len(t) + 1 for t in group]))
             begin = 0
             for end in ends:
-                yield np.unique(_shingles(words[begin:end], size))
+                yield _shingles(words[begin:end], size)
                 begin = end
             group, held = [], 0
         if text is None:
@@ -121,7 +127,7 @@ def shingle_sets(texts: list[bytes], size: int = WORDS) -> Iterator[np.ndarray]:
                     end += 1
                 parts.append(_block_words(text[at:end].lower())[0])
                 at = end
-            yield np.unique(_shingles(np.concatenate(parts), size))
+            yield _shingles(np.concatenate(parts), size)
         else:
             group.append(text)
             held += len(text) + 1
@@ -132,34 +138,44 @@ def _sets(texts: pa.Array, size: int) -> Iterator[np.ndarray]:
 
 
 def sketch(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """The task's heaviest buckets of shingles, each shingle counted once a document."""
-    counts, held, n = np.zeros(BUCKETS, "i8"), [], 0
+    """The task's heaviest buckets of shingles. Repeats within a text count, as nothing but speed follows from the counts."""
+    counts, held, n = np.zeros(BUCKETS, "i4"), [], 0
     for batch in batches:
-        for one in _sets(batch.column(0), size):
+        for one in shingles(batch.column(0).cast(pa.binary()).to_pylist(), size):
             held.append(one)
             n += len(one)
             if n > BUCKETS:
-                counts += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype("i8"), minlength=BUCKETS)
+                counts += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype("i8"), minlength=BUCKETS).astype("i4")
                 held, n = [], 0
     if held:
-        counts += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype("i8"), minlength=BUCKETS)
+        counts += np.bincount((np.concatenate(held) & np.uint64(BUCKETS - 1)).astype("i8"), minlength=BUCKETS).astype("i4")
     top = np.argpartition(counts, BUCKETS - SENT)[-SENT:]
     top = top[counts[top] > 1]
-    yield pa.RecordBatch.from_arrays([pa.array(top.astype("i4")), pa.array(counts[top])], ["bucket", "n"])
+    yield pa.RecordBatch.from_arrays([pa.array(top.astype("i4")), pa.array(counts[top].astype("i8"))], ["bucket", "n"])
 
 
 class Order:
-    """The order of all shingles: by the weight of their bucket, then by hash."""
+    """The order of all shingles: by the weight of their bucket, then by hash. Sent as HELD buckets at most; workers lay them out."""
 
     def __init__(self, buckets: list[int], weights: list[int]):
+        self.__setstate__((buckets, weights))
+
+    def __getstate__(self) -> tuple[list[int], list[int]]:
+        return self.heavy
+
+    def __setstate__(self, heavy: tuple[list[int], list[int]]) -> None:
+        self.heavy = heavy
         self.weight = np.zeros(BUCKETS, "i8")
-        self.weight[buckets] = weights
+        self.weight[heavy[0]] = heavy[1]
 
     def weights(self, hashes: np.ndarray) -> np.ndarray:
         return self.weight[(hashes & np.uint64(BUCKETS - 1)).astype("i8")]
 
     def first(self, hashes: np.ndarray, n: int) -> np.ndarray:
-        return hashes[np.lexsort((hashes, self.weights(hashes)))[:n]]
+        """The first n of sorted hashes."""
+        weights = self.weights(hashes)
+        light = hashes[weights == 0]
+        return light[:n] if len(light) >= n else hashes[np.argsort(weights, kind="stable")[:n]]
 
 
 def prefix_size(n: int, percent: int = PERCENT) -> int:
@@ -242,70 +258,102 @@ class Join:
         self.size, self.percent = size, percent
         bound_batches(spark)
         self.texts = docs.select(docs["doc_id"].alias("id"), text_of(docs).alias("text")).withColumn("hash", F.xxhash64("text"))
-        self.kind = kind = dict(docs.dtypes)["doc_id"]
+        kind = dict(docs.dtypes)["doc_id"]
         heavy = docs.select(text_of(docs).alias("text")).mapInArrow(lambda b: sketch(b, size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(HELD).collect()
-        order = Order([r["bucket"] for r in heavy], [r["n"] for r in heavy])
-        self.order = spark.sparkContext.broadcast(order)
+        self.order = held = spark.sparkContext.broadcast(Order([r["bucket"] for r in heavy], [r["n"] for r in heavy]))
         texts = self.texts.withColumn("row", F.monotonically_increasing_id()).select("id", "hash", "row", "text")
-        held = self.order
-        rows = stage(texts.mapInArrow(lambda b: describe(b, held.value, size, percent), f"id {kind}, hash long, row long, n int, sig binary, gkey binary, prefix array<long>"), "jaccard-rows")
-        full = rows.where("n > 0")
-        self.groups = stage(full.groupBy("gkey").agg(F.min("row").alias("gid"), F.first("n").alias("n"), F.first("prefix").alias("prefix")), "jaccard-groups")
+        self.rows = stage(texts.mapInArrow(lambda b: describe(b, held.value, size, percent), f"id {kind}, hash long, row long, n int, sig binary, gkey binary, prefix array<long>"), "jaccard-rows")
+        full = self.rows.where("n > 0")
+        self.groups = stage(full.groupBy("gkey").agg(F.min("row").alias("gid"), F.first("n").alias("n"), F.first(F.slice("prefix", 1, FIRST)).alias("firsts")), "jaccard-groups")
         classes = full.groupBy("gkey", "sig").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.min_by(F.struct("id", "hash"), "row").alias("of"))
-        classes = classes.join(self.groups.select("gkey", "gid"), "gkey")
-        self.classes = stage(classes.select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash"), "jaccard-classes")
-        self.rows = stage(rows.drop("prefix"), "jaccard-members")
-        unstage(rows)
+        self.classes = stage(classes.join(self.groups.select("gkey", "gid"), "gkey").select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash"), "jaccard-classes")
         self.sets: list[DataFrame] = []
         parts = self.components()
         named = self.classes.join(parts, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("cid").alias("first"))
         named = stage(named.join(ids, "component").select("gkey", "sig", "cid", "first", "component_id"), "jaccard-components")
+        unstage(parts, self.classes, *self.sets)
         joined = self.rows.join(named, ["gkey", "sig"], "left")
         component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
         self.members = joined.select(F.col("id").alias("doc_id"), "hash", "row", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "first")
 
     def components(self) -> DataFrame:
-        """node, component of the classes that links reach."""
-        index = self.groups.select("gid", "n", F.posexplode("prefix").alias("pos", "h"))
-        index = index.withColumn("k", F.count("*").over(Window.partitionBy("h")))
-        lists = stage(index.where("k > 1").select("h", "gid", "n", "pos"), "jaccard-lists")
-        # Only these groups can be paired: later joins move their prefixes and no others.
-        self.listed = stage(self.groups.join(lists.select("gid").distinct(), "gid", "left_semi").select("gid", "n", "prefix"), "jaccard-listed")
-        unstage(self.groups)
+        """node, component of the classes that links reach. Each staged table is deleted as soon as its successor is there."""
         inside = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-        pairs = stage(self.stars(lists.withColumn("part", F.lit(None).cast("long")), 0).unionByName(inside), "jaccard-pairs")
+        pairs = stage(self.first_pairs().unionByName(inside), "jaccard-pairs")
         links = self.verify(pairs)
-        parts = stage(components(links), "jaccard-parts")
+        parts = components(links)
+        unstage(pairs, links)
+        lists = self.shared_lists(parts)
+        # Only these groups can be paired any more: later joins move their prefixes and no others.
+        listed = lists.select("gid").distinct()
+        self.listed = stage(self.prefixes().join(listed, F.col("row") == F.col("gid"), "left_semi").select(F.col("row").alias("gid"), "n", "prefix"), "jaccard-listed")
         known, lists = self.open(lists, parts)
-        for salt in range(1, ROUNDS):
+        for salt in range(ROUNDS):
+            if self.few(lists):
+                break
             pairs = stage(self.stars(lists, salt), "jaccard-pairs")
             tried = pairs.count()
-            if not tried:
-                break
-            links = self.verify(pairs)
-            found = links.count()
+            links = self.verify(pairs) if tried else pairs
+            found = links.count() if tried else 0
             if found:
-                parts = stage(components(_edges(parts).unionByName(links)), "jaccard-parts")
+                parts, old = components(_edges(parts).unionByName(links)), parts
+                unstage(old, known)
                 known, lists = self.open(lists, parts)
-            if found < FEW * tried:
+            unstage(pairs, links)
+            if found <= FEW * tried:
                 break
-        rest = stage(self.rest(known, lists), "jaccard-rest")
-        return parts if rest.isEmpty() else components(_edges(parts).unionByName(self.verify(rest)))
+        rest = self.rest(known, lists)
+        if not rest.isEmpty():
+            links = self.verify(rest)
+            parts, old = components(_edges(parts).unionByName(links)), parts
+            unstage(old, links)
+        unstage(rest, known, lists, self.listed, self.groups)
+        return parts
+
+    def first_pairs(self) -> DataFrame:
+        """Pairs (a, b) of groups: each group with one of each list of its first shingles, picked by a hash of the list's own, as far as sizes leave a link possible."""
+        lists = self.groups.select("gid", "n", F.explode("firsts").alias("h"))
+        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "gid").alias("key"), "gid", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("h", "p")
+        near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * self.percent
+        pairs = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & near)
+        return pairs.select(F.least("gid", "p.gid").alias("a"), F.greatest("gid", "p.gid").alias("b")).distinct()
+
+    def prefixes(self) -> DataFrame:
+        """row, n, prefix of every group's first row, which names it."""
+        return self.rows.join(self.groups.select("gid"), F.col("row") == F.col("gid"), "left_semi").select("row", "n", "prefix")
+
+    def shared_lists(self, parts: DataFrame) -> DataFrame:
+        """h, gid, n, pos: the lists that hold groups of several components, staged."""
+        spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(F.coalesce("component", "cid")).alias("low"), F.max(F.coalesce("component", "cid")).alias("high"))
+        groups = stage(self.rows.join(spans, F.col("row") == F.col("gid")).select("gid", "n", "low", "high", "prefix"), "jaccard-spans")
+        index = groups.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
+        shared = index.groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
+        shared = stage(shared, "jaccard-shared-lists")
+        wanted = maybe_among(index.select("gid", "n", "pos", F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
+        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "pos"), "jaccard-lists")
+        unstage(groups, shared)
+        return lists
 
     def stars(self, lists: DataFrame, salt: int) -> DataFrame:
         """Pairs (a, b) of groups: each group with those TRIES of its lists' picked groups, of other components, with which it shares most lists.
 
-        A list's picked group is the first by id in the first round, and by a hash with the round's salt in later ones.
+        A list's picked group is the first by a hash with the round's salt.
         """
-        key = F.xxhash64("gid", F.lit(salt)) if salt else F.col("gid")
-        picked = F.min(F.struct(key.alias("key"), "gid", "n", "part")).over(Window.partitionBy("h"))
-        rows = lists.withColumn("p", picked).where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)))
+        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("gid", F.lit(salt)).alias("key"), "gid", "n", "part")).alias("p"))
+        rows = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)))
         rows = rows.where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * self.percent)
         shared = rows.groupBy("gid", F.col("p.gid").alias("pivot")).agg(F.count("*").alias("c"))
         best = shared.withColumn("i", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("c"), "pivot"))).where(F.col("i") <= TRIES)
         return self.filter(best.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
 
+    @staticmethod
+    def few(lists: DataFrame) -> bool:
+        """Whether all pairs that rest() would look at are in proportion to the lists, so that rounds can't save any."""
+        sizes = lists.groupBy("h").agg(F.count("*").alias("k"), F.count_if(_apart()).alias("out"))
+        k, pairs = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("out"))).first()
+        return (pairs or 0) <= WORTH * (k or 0)
+
     def filter(self, pairs: DataFrame) -> DataFrame:
         """Pairs of groups (a, b) that their prefixes leave possible."""
         held, percent = self.order, self.percent
@@ -324,27 +372,31 @@ class Join:
             texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
             got = texts.join(asked, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("cid", "text").dropDuplicates(["cid"])
             self.sets.append(stage(got.mapInArrow(lambda b: make_sets(b, size), "cid long, set array<long>"), "jaccard-sets"))
+        unstage(asked)
         sets = functools.reduce(DataFrame.unionByName, self.sets)
         side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
 
     def open(self, lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(gid, cid, part of all classes; the lists with groups of several components, with `part` and the list's most frequent one)."""
+        """(gid, cid, part of all classes; the lists with groups of several components, with `part` and the list's most frequent one). The old lists are deleted."""
         classes = self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("component", "cid").alias("part"))
         classes = stage(classes, "jaccard-class-parts")
         groups = classes.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
         # A group's component; null if its classes are in several.
-        groups = stage(groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part")), "jaccard-group-parts")
-        lists = lists.select("h", "gid", "n", "pos").join(groups, "gid").select("h", "gid", "n", "pos", "part")
-        counts = lists.groupBy("h", "part").agg(F.count("*").alias("k"))
+        groups = groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part"))
+        placed = stage(lists.select("h", "gid", "n", "pos").join(groups, "gid").select("h", "gid", "n", "pos", "part"), "jaccard-placed")
+        unstage(lists)
+        counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"))
         open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
         open_ = open_.where("parts > 1 or mixed > 0").select("h", "most")
-        return classes, stage(lists.join(open_, "h"), "jaccard-open-lists")
+        lists = stage(placed.join(open_, "h"), "jaccard-open-lists")
+        unstage(placed)
+        return classes, lists
 
     def rest(self, classes: DataFrame, lists: DataFrame) -> DataFrame:
-        """Pairs of classes (a, b) of different components that share a list or a group, as far as prefixes leave a link possible."""
-        apart = F.coalesce(F.col("part") != F.col("most"), F.lit(True))
+        """Pairs of classes (a, b) of different components that share a list or a group, as far as prefixes leave a link possible; staged."""
+        apart = _apart()
         left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"))
         right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), apart.alias("apart"))
         differ = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))
@@ -353,7 +405,9 @@ class Join:
         least = F.expr(f"((na + nb) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
         near = (F.col("ia") + least <= F.col("na")) & (F.col("ib") + least <= F.col("nb"))
         pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(self.filter(stage(pairs, "jaccard-shared")), "jaccard-open-pairs")
+        shared = stage(pairs, "jaccard-shared")
+        pairs = stage(self.filter(shared), "jaccard-open-pairs")
+        unstage(shared)
         side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"))
         across = pairs.join(side("b"), F.col("b") == F.col("gb")).join(side("a"), F.col("a") == F.col("ga")).where("pa <> pb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         # In a group of several components, the classes outside of the smallest class' component with all others.
@@ -361,7 +415,14 @@ class Join:
         mixed = classes.join(own, F.col("gid") == F.col("g")).drop("g")
         out = mixed.where("part <> main").select("gid", F.col("cid").alias("a"), F.col("part").alias("part_a"))
         inside = out.join(mixed.select("gid", F.col("cid").alias("b"), "part", "main"), "gid").where("part_a <> part and (a < b or part = main)").select("a", "b")
-        return across.unionByName(inside)
+        found = stage(across.unionByName(inside), "jaccard-rest")
+        unstage(pairs)
+        return found
+
+
+def _apart() -> Column:
+    """Whether a row of the open lists is outside of its list's most frequent component."""
+    return F.coalesce(F.col("part") != F.col("most"), F.lit(True))
 
 
 def _edges(parts: DataFrame) -> DataFrame:
@@ -371,9 +432,9 @@ def _edges(parts: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, size: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """docs, all columns, with one document of each component: that of its first class. Equal rows (id and text) stay or go together."""
     members = Join(docs, size, percent).members
-    gone = stage(members.where("n_shingles > 0 and row <> first").select(F.col("doc_id").alias("_id"), "hash"), "jaccard-gone")
-    kept = stage(members.where("n_shingles = 0 or row = first").select(F.col("doc_id").alias("_id"), "hash"), "jaccard-kept")
-    gone = stage(gone.join(kept.withColumnRenamed("_id", "_k").withColumnRenamed("hash", "_h"), (F.col("hash") == F.col("_h")) & F.col("_id").eqNullSafe(F.col("_k")), "left_anti"), "jaccard-gone")
+    out = F.coalesce((F.col("n_shingles") > 0) & (F.col("row") != F.col("first")), F.lit(False))
+    gone = members.groupBy(F.col("doc_id").alias("_id"), "hash").agg(F.bool_and(out).alias("_out")).where("_out").select("_id", "hash")
+    gone = stage(gone, "jaccard-gone")
     rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_doc"), F.xxhash64(text_of(docs)).alias("hash"))
     rows = maybe_among(rows, gone)
     sure = rows.where("not maybe").select("_row.*")
