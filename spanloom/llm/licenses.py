@@ -35,7 +35,8 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import stage, table, text_of
 
 THRESHOLD, SPDX_THRESHOLD, FULL_THRESHOLD = 0.6, 0.95, 0.8
-TERM = "[a-z0-9]+(?:[.-][a-z0-9]+)*"
+#: Possessive, so that Java matches long dotted runs in a loop and not by recursion.
+TERM = "[a-z0-9]++(?:[.-][a-z0-9]++)*+"
 #: Names of licences, up to a slash, and phrases by which headers and licence files give them.
 TEMPLATES = {
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
