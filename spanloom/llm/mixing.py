@@ -7,7 +7,7 @@ block r mod n in pass r div n, so that all blocks of a source have been taken eq
 Any prefix of the schedule meets the targets to within a few blocks.
 
 Slots and blocks are numbered by prefix sums over chunks, so neither a hot source nor the whole schedule meets in one
-task; the driver holds one row a source (MOST_SOURCES at most). A target is at most TIMES its source's size, which the
+task. The driver holds one row a source, and tasks one number a source, as targets depend on all sources. A target is at most TIMES its source's size, which the
 surplus of words is dealt around, and a pass of a source beyond TIMES is never begun.
 
 Defined results: a null text has no words and takes no part in a block (taken is 0); a null source is a source of its
@@ -27,7 +27,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.common import bound_batches, prefix_sums, stage, table, text_of
 
-BLOCK, TIMES, MOST_SOURCES = 64, 3, 100_000
+BLOCK, TIMES = 64, 3
 #: 2^31 / golden ratio, made odd: multiples modulo 2^31 pass every point once.
 GOLDEN, POINTS = 1327217885, 1 << 31
 #: Slots of a chunk, and documents of a bucket on average.
@@ -83,9 +83,7 @@ class Mix:
         size = F.arrow_udf(count_words, T.LongType())(text_of(docs))
         rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of(docs)).alias("hash"))
         self.rows = rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
-        found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).limit(MOST_SOURCES + 1).collect()
-        if len(found) > MOST_SOURCES:
-            raise ValueError(f"more than {MOST_SOURCES} sources")
+        found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
         found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in found]
         weights = weights or [i % 3 + 1 for i in range(len(found))]
