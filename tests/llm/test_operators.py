@@ -339,6 +339,36 @@ class TestQuality:
         assert np.mean([r["predicted"] == (r["doc_id"] % 3 > 0) for r in held if r["doc_id"] < 400]) > 0.97
         assert {r["score"] for r in out if r["doc_id"] in (500, 501)} == {next(r["score"] for r in out if r["doc_id"] == 500)}
 
+    def test_scores_against_brute_force(self, corpus):
+        """Each text compressed in blocks by compressors of its own making, the curve applied to the difference."""
+        import math
+
+        import zstandard
+
+        from spanloom.llm.quality import BLOCK, LEVEL, classify, fit
+
+        docs, labels = corpus
+        model = fit(docs, labels)
+
+        def size(text, content):
+            params = zstandard.ZstdCompressionParameters.from_level(LEVEL, write_content_size=False, write_checksum=False, write_dict_id=False)
+            one = lambda block: len(zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(content), compression_params=params).compress(block))
+            return sum(one(text[at : at + BLOCK]) for at in range(0, len(text), BLOCK))
+
+        texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.where("doc_id < 40 or doc_id >= 500").collect()}
+        got = {r["doc_id"]: r for r in classify(docs, labels).collect()}
+        for i, text in texts.items():
+            a, b = size(text, model.good), size(text, model.bad)
+            want = 1 / (1 + math.exp(-(model.slope * (b - a) / max(a, b, 1) + model.offset)))
+            assert abs(got[i]["score"] - want) < 0.02 and got[i]["predicted"] == (got[i]["score"] >= 0.7)
+
+    def test_few_labels(self, spark):
+        from spanloom.llm.quality import classify
+
+        docs = frame(spark, [(i, "x" if i % 2 else "some good words", "s") for i in range(9)])
+        labels = spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id long, quality int, toxic int")
+        assert all(0 <= r["score"] <= 1 for r in classify(docs, labels).collect())
+
     def test_held_out_labels_are_never_read(self, corpus, spark):
         from pyspark.sql import functions as F
 
@@ -486,6 +516,56 @@ class TestLicences:
         want += Counter([(3, "MIT", "header", None), (4, None, None, None), (5, None, None, None), (6, "MIT", "header", None), (7, "MIT", "file", None), (8, "MIT", "inherited", "~null/de"), (9, None, None, None)])
         assert out == want
 
+    def test_long_dotted_runs(self, spark):
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.licenses import scan
+
+        rows = [(1, "a/x.txt", "a.1-" * 20_000 + " Released under the MIT License"), (2, "a/y.txt", "a." * 20_000)]
+        df = spark.createDataFrame(rows, "id long, path string, text string")
+        assert {(r["id"], r["licence"]) for r in scan(df, "id", "path", "text", F.lit(False)).collect()} == {(1, "MIT"), (2, None)}
+
+    def test_headers_against_brute_force(self, spark):
+        """Every run of as many terms as a template has, every line and every paragraph against every template, nothing left out ahead."""
+        import math
+        import random
+
+        from spanloom.llm.licenses import SPDX_THRESHOLD, TEMPLATES, TERM, Templates, header_licences
+
+        random.seed(5)
+        vocabulary = sorted({t for x in TEMPLATES.values() for t in re.findall(TERM, x.lower())}) + ["river", "stone", "walked"]
+        texts = []
+        for _ in range(60):
+            words = random.choice(list(TEMPLATES.values())).split()
+            words = [random.choice(vocabulary) if random.random() < random.choice([0.05, 0.3, 0.5]) else w for w in words]
+            around = [random.choice(vocabulary[-40:]) for _ in range(random.randrange(12))]
+            texts.append(random.choice([" ", "\n"]).join([" ".join(around), " ".join(words), " ".join(around[:3])]))
+        counts = {t: sum(t in re.findall(TERM, x.lower()) for x in texts) for t in vocabulary}
+        templates = Templates(counts, len(texts))
+        df = spark.createDataFrame(list(enumerate(texts)), "_row long, _text string")
+        got = {r["_row"]: (r["licence"], r["cosine"]) for r in header_licences(df, "_row", templates).collect()}
+
+        def cosines(terms, of=None):
+            own = {t: n * templates.idf.get(t, templates.other) for t, n in Counter(terms).items()}
+            norm = math.sqrt(sum(w * w for w in own.values()))
+            for name, weights in templates.weights.items():
+                cosine = sum(w * weights.get(t, 0) for t, w in own.items()) / norm / templates.norms[name] if norm and of in (None, templates.sizes[name]) else 0
+                if cosine >= (max(SPDX_THRESHOLD, templates.threshold) if "/spdx/" in name else templates.threshold):
+                    yield cosine, name.split("/")[0]
+
+        for row, text in enumerate(texts):
+            terms = re.findall(TERM, text.lower())
+            units = [re.findall(TERM, x.lower()) for x in [*text.split("\n"), *re.split(r"\n[ \t\r]*\n", text)]]
+            runs = [(n, terms[max(0, at) : at + n]) for n in set(templates.sizes.values()) for at in range(1 - n, len(terms))]
+            whole = [x for u in units for x in cosines(u)]
+            # A run is cut for templates of its length; that it may be near one of another length is no more than a find.
+            least = max([*whole, *(x for n, u in runs for x in cosines(u, n))], default=None)
+            most = {x for _, u in runs for x in cosines(u)} | set(whole)
+            if least:
+                assert got[row][1] >= least[0] - 1e-8, text
+            if row in got:
+                assert any(got[row][0] == name and abs(got[row][1] - cosine) < 1e-8 for cosine, name in most), text
+
     def test_anchors_lose_nothing(self):
         from spanloom.llm.licenses import TERM, TEMPLATES, Templates
 
