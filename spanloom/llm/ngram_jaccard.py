@@ -13,13 +13,17 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
    other classes. They are verified on whole sets, which are made again for the classes that need it.
 4. All prefixes are inverted. Only lists that hold groups of several components are kept, and move again.
 5. In rounds, while more pairs remain than a few for each row of the lists and rounds find links, every group of an open list is paired with TRIES groups: of the picked groups of
-   its lists those with which it shares most lists. So pairs are in proportion to groups. They are filtered by size, by
-   what their two prefixes leave possible, and then verified. Lists that are of one component by now are done.
+   its lists that it may link with those with which it shares most lists. So pairs are in proportion to groups. Lists
+   that are of one component by now are done.
 6. What is left to look at are pairs in a list, or classes in a group, that aren't in the same component yet; only
-   members outside of a list's most frequent component are paired with the rest. All of them are filtered and verified
-   as before. So a large group of near copies costs as many pairs as it has rows, and no link between different
+   members outside of a list's most frequent component are paired with the rest. So a large group of near copies costs as many pairs as it has rows, and no link between different
    components is lost.
 
+Pairs are filtered by size, by their places in the list, and by signatures: the parities of a set's hashes by residue,
+of which two sets can't differ in more than in members. Group pairs with one class each are filtered so ahead of the
+shuffle, others when they are expanded to classes; what is left is verified. Sets are exact up to collisions of 64-bit
+hashes.
+
 Texts are fetched by id and hash; a bitmap of fixed size first drops, on the map side, those that nothing asks for.
 
 Defined results: a null text counts as empty; texts without words have an empty set and are linked with nothing (their
@@ -49,7 +53,9 @@ BUCKETS, SENT, HELD = 1 << 22, 4096, 1 << 16
 #: Bytes that are hashed at once, and the length from which words are hashed one by one.
 BLOCK, LONG = 1 << 19, 4096
 #: Shingles whose lists give the first pairs; pairs of a group in a round, most rounds before all that remain are looked at, the share of links that makes another worth while, and the pairs of a row of the lists that need no round before.
-FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 8, 0.25, 32
+FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 2, 0.25, 32
+#: 64-bit words of a set's signature.
+SIGNATURE = 8
 #: Bits of the bitmap of wanted texts: 4 MB, broadcast.
 WANTED = 1 << 25
 
@@ -178,24 +184,31 @@ class Order:
         return light[:n] if len(light) >= n else hashes[np.argsort(weights, kind="stable")[:n]]
 
 
+def signature(hashes: np.ndarray) -> np.ndarray:
+    """The parity of the hashes of each of 64 * SIGNATURE residues. Two signatures differ in no more bits than two sets in members."""
+    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(64 * SIGNATURE - 1)).astype("i8"), minlength=64 * SIGNATURE).astype("u1") & 1
+    return np.packbits(odd).view("i8")
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
 
 def describe(batches: Iterator[pa.RecordBatch], order: Order, size: int, percent: int) -> Iterator[pa.RecordBatch]:
-    """id, hash, row, text to id, hash, row, n, sig (of the set), gkey (of size and prefix), prefix."""
+    """id, hash, row, text to id, hash, row, n, sig (of the set), bits (its signature), gkey (of size and prefix), prefix."""
     for batch in batches:
-        ns, sigs, keys, flat, ends = [], [], [], [], [0]
+        ns, sigs, bits, keys, flat, ends = [], [], [], [], [], [0]
         for one in _sets(batch.column(3), size):
             head = order.first(one, prefix_size(len(one), percent))
             ns.append(len(one))
             sigs.append(struct.pack("<QQ", int(one.sum(dtype="u8")), int(_mix(one + np.uint64(1)).sum(dtype="u8"))))
+            bits.append(signature(one))
             keys.append(hashlib.md5(struct.pack("<q", len(one)) + head.tobytes(), usedforsecurity=False).digest())
             flat.append(head)
             ends.append(ends[-1] + len(head))
         values = pa.array((np.concatenate(flat) if flat else np.zeros(0, "u8")).view("i8"))
         prefixes = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(keys, pa.binary()), prefixes], ["id", "hash", "row", "n", "sig", "gkey", "prefix"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(ns, pa.int32()), pa.array(sigs, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.binary()), prefixes], ["id", "hash", "row", "n", "sig", "bits", "gkey", "prefix"])
 
 
 def _lists(column: pa.Array) -> Iterator[np.ndarray]:
@@ -203,24 +216,6 @@ def _lists(column: pa.Array) -> Iterator[np.ndarray]:
     return (flat[a:b] for a, b in zip(ends, ends[1:], strict=False))
 
 
-def possible(batches: Iterator[pa.RecordBatch], order: Order, percent: int) -> Iterator[pa.RecordBatch]:
-    """a, b, na, nb, pa, pb: the pairs whose prefixes leave a link possible.
-
-    Up to the smaller of the two prefixes' ends both sets are known: what they share there, and all that the smaller rest could add.
-    """
-    for batch in batches:
-        keep = []
-        for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _lists(batch.column(4)), _lists(batch.column(5)), strict=True):
-            wx, wy = order.weights(x), order.weights(y)
-            if (wx[-1], x[-1]) <= (wy[-1], y[-1]):
-                cx, cy = len(x), np.count_nonzero((wy < wx[-1]) | ((wy == wx[-1]) & (y <= x[-1])))
-            else:
-                cx, cy = np.count_nonzero((wx < wy[-1]) | ((wx == wy[-1]) & (x <= y[-1]))), len(y)
-            most = len(np.intersect1d(x, y, assume_unique=True)) + min(na - cx, nb - cy)
-            keep.append((100 + percent) * most >= percent * (na + nb))
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
 def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """a, b and their whole sets: the pairs that link."""
     for batch in batches:
@@ -262,11 +257,11 @@ class Join:
         heavy = docs.select(text_of(docs).alias("text")).mapInArrow(lambda b: sketch(b, size), "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "bucket").limit(HELD).collect()
         self.order = held = spark.sparkContext.broadcast(Order([r["bucket"] for r in heavy], [r["n"] for r in heavy]))
         texts = self.texts.withColumn("row", F.monotonically_increasing_id()).select("id", "hash", "row", "text")
-        self.rows = stage(texts.mapInArrow(lambda b: describe(b, held.value, size, percent), f"id {kind}, hash long, row long, n int, sig binary, gkey binary, prefix array<long>"), "jaccard-rows")
+        self.rows = stage(texts.mapInArrow(lambda b: describe(b, held.value, size, percent), f"id {kind}, hash long, row long, n int, sig binary, bits array<long>, gkey binary, prefix array<long>"), "jaccard-rows")
         full = self.rows.where("n > 0")
-        self.groups = stage(full.groupBy("gkey").agg(F.min("row").alias("gid"), F.first("n").alias("n"), F.first(F.slice("prefix", 1, FIRST)).alias("firsts")), "jaccard-groups")
-        classes = full.groupBy("gkey", "sig").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.min_by(F.struct("id", "hash"), "row").alias("of"))
-        self.classes = stage(classes.join(self.groups.select("gkey", "gid"), "gkey").select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash"), "jaccard-classes")
+        self.groups = stage(full.groupBy("gkey").agg(F.min("row").alias("gid"), F.first("n").alias("n"), F.first(F.slice("prefix", 1, FIRST)).alias("firsts"), F.min_by("bits", "row").alias("bits")), "jaccard-groups")
+        classes = full.groupBy("gkey", "sig").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.min_by(F.struct("id", "hash", "n", "bits"), "row").alias("of"))
+        self.classes = stage(classes.join(self.groups.select("gkey", "gid"), "gkey").select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash", "of.n", "of.bits"), "jaccard-classes")
         self.sets: list[DataFrame] = []
         parts = self.components()
         named = self.classes.join(parts, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
@@ -285,9 +280,6 @@ class Join:
         parts = components(links)
         unstage(pairs, links)
         lists = self.shared_lists(parts)
-        # Only these groups can be paired any more: later joins move their prefixes and no others.
-        listed = lists.select("gid").distinct()
-        self.listed = stage(self.prefixes().join(listed, F.col("row") == F.col("gid"), "left_semi").select(F.col("row").alias("gid"), "n", "prefix"), "jaccard-listed")
         known, lists = self.open(lists, parts)
         for salt in range(ROUNDS):
             if self.few(lists):
@@ -308,30 +300,35 @@ class Join:
             links = self.verify(rest)
             parts, old = components(_edges(parts).unionByName(links)), parts
             unstage(old, links)
-        unstage(rest, known, lists, self.listed, self.groups)
+        unstage(rest, known, lists, self.groups)
         return parts
 
     def first_pairs(self) -> DataFrame:
-        """Pairs (a, b) of groups: each group with one of each list of its first shingles, picked by a hash of the list's own, as far as sizes leave a link possible."""
-        lists = self.groups.select("gid", "n", F.explode("firsts").alias("h"))
-        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "gid").alias("key"), "gid", "n")).alias("p"), F.count("*").alias("k")).where("k > 1").select("h", "p")
-        near = F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * self.percent
-        pairs = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & near)
+        """Pairs (a, b) of groups' first classes: each group with one of each list of its first shingles, picked by a hash of the list's own, as far as may_link()."""
+        lists = self.groups.select("gid", "n", "bits", F.explode("firsts").alias("h"))
+        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "gid").alias("key"), "gid", "n", "bits")).alias("p"), F.count("*").alias("k")).where("k > 1").select("h", "p")
+        pairs = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & self.may_link("n", "p.n", "bits", "p.bits"))
         return pairs.select(F.least("gid", "p.gid").alias("a"), F.greatest("gid", "p.gid").alias("b")).distinct()
 
-    def prefixes(self) -> DataFrame:
-        """row, n, prefix of every group's first row, which names it."""
-        return self.rows.join(self.groups.select("gid"), F.col("row") == F.col("gid"), "left_semi").select("row", "n", "prefix")
+    def may_link(self, na: str, nb: str, a: str, b: str) -> Column:
+        """Whether two sets of these sizes and signatures can link: they differ in so many members at least as their signatures in bits. A null signature says nothing."""
+        low, high = F.least(na, nb), F.greatest(na, nb)
+        shared = F.expr(f"(({na} + {nb}) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
+        bits = [F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(SIGNATURE)]
+        differ = functools.reduce(Column.__add__, bits)
+        return (low * 100 >= high * self.percent) & F.coalesce(differ <= F.col(na) + F.col(nb) - 2 * shared, F.lit(True))
 
     def shared_lists(self, parts: DataFrame) -> DataFrame:
-        """h, gid, n, pos: the lists that hold groups of several components, staged."""
-        spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(F.coalesce("component", "cid")).alias("low"), F.max(F.coalesce("component", "cid")).alias("high"))
-        groups = stage(self.rows.join(spans, F.col("row") == F.col("gid")).select("gid", "n", "low", "high", "prefix"), "jaccard-spans")
-        index = groups.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
+        """h, gid, n, bits, pos: the lists that hold groups of several components, staged. A group of several classes has no signature."""
+        part = F.coalesce("component", "cid")
+        spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count("*").alias("own"))
+        groups = self.rows.join(spans, F.col("row") == F.col("gid")).select("gid", "n", F.when(F.col("own") == 1, F.col("bits")).alias("bits"), "low", "high", "prefix")
+        groups = stage(groups, "jaccard-spans")
+        index = groups.select("gid", "n", "bits", "low", "high", F.posexplode("prefix").alias("pos", "h"))
         shared = index.groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
         shared = stage(shared, "jaccard-shared-lists")
-        wanted = maybe_among(index.select("gid", "n", "pos", F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
-        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "pos"), "jaccard-lists")
+        wanted = maybe_among(index.select("gid", "n", "bits", "pos", F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
+        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "bits", "pos"), "jaccard-lists")
         unstage(groups, shared)
         return lists
 
@@ -340,12 +337,11 @@ class Join:
 
         A list's picked group is the first by a hash with the round's salt.
         """
-        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("gid", F.lit(salt)).alias("key"), "gid", "n", "part")).alias("p"))
-        rows = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)))
-        rows = rows.where(F.least("n", "p.n") * 100 >= F.greatest("n", "p.n") * self.percent)
+        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("gid", F.lit(salt)).alias("key"), "gid", "n", "part", "bits")).alias("p"))
+        rows = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)) & self.may_link("n", "p.n", "bits", "p.bits"))
         shared = rows.groupBy("gid", F.col("p.gid").alias("pivot")).agg(F.count("*").alias("c"))
         best = shared.withColumn("i", F.row_number().over(Window.partitionBy("gid").orderBy(F.desc("c"), "pivot"))).where(F.col("i") <= TRIES)
-        return self.filter(best.select(F.col("pivot").alias("a"), F.col("gid").alias("b")))
+        return best.select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
 
     @staticmethod
     def few(lists: DataFrame) -> bool:
@@ -354,13 +350,6 @@ class Join:
         k, pairs = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("out"))).first()
         return (pairs or 0) <= WORTH * (k or 0)
 
-    def filter(self, pairs: DataFrame) -> DataFrame:
-        """Pairs of groups (a, b) that their prefixes leave possible."""
-        held, percent = self.order, self.percent
-        side = lambda x: self.listed.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("prefix").alias(f"p{x}"))
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "pa", "pb")
-        return both.mapInArrow(lambda b: possible(b, held.value, percent), "a long, b long")
-
     def verify(self, pairs: DataFrame) -> DataFrame:
         """Of staged pairs of classes (a, b) those that link, staged. Sets that earlier calls made are used again."""
         size, percent = self.size, self.percent
@@ -380,12 +369,12 @@ class Join:
 
     def open(self, lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
         """(gid, cid, part of all classes; the lists with groups of several components, with `part` and the list's most frequent one). The old lists are deleted."""
-        classes = self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", F.coalesce("component", "cid").alias("part"))
+        classes = self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", "n", "bits", F.coalesce("component", "cid").alias("part"))
         classes = stage(classes, "jaccard-class-parts")
         groups = classes.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
         # A group's component; null if its classes are in several.
         groups = groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part"))
-        placed = stage(lists.select("h", "gid", "n", "pos").join(groups, "gid").select("h", "gid", "n", "pos", "part"), "jaccard-placed")
+        placed = stage(lists.select("h", "gid", "n", "bits", "pos").join(groups, "gid").select("h", "gid", "n", "bits", "pos", "part"), "jaccard-placed")
         unstage(lists)
         counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"))
         open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
@@ -395,26 +384,26 @@ class Join:
         return classes, lists
 
     def rest(self, classes: DataFrame, lists: DataFrame) -> DataFrame:
-        """Pairs of classes (a, b) of different components that share a list or a group, as far as prefixes leave a link possible; staged."""
+        """Pairs of classes (a, b) of different components that share a list or a group, as far as places in the lists and signatures leave a link possible; staged."""
         apart = _apart()
-        left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"))
-        right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), apart.alias("apart"))
+        left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"), F.col("bits").alias("ba"))
+        right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), F.col("bits").alias("bb"), apart.alias("apart"))
         differ = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))
         once = (F.col("a") < F.col("b")) | ~F.col("apart")
         # Two sets that link share `least` shingles; behind the first of them each must have as many left.
         least = F.expr(f"((na + nb) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
-        near = (F.col("ia") + least <= F.col("na")) & (F.col("ib") + least <= F.col("nb"))
+        near = (F.col("ia") + least <= F.col("na")) & (F.col("ib") + least <= F.col("nb")) & self.may_link("na", "nb", "ba", "bb")
         pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        shared = stage(pairs, "jaccard-shared")
-        pairs = stage(self.filter(shared), "jaccard-open-pairs")
-        unstage(shared)
-        side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"))
-        across = pairs.join(side("b"), F.col("b") == F.col("gb")).join(side("a"), F.col("a") == F.col("ga")).where("pa <> pb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+        pairs = stage(pairs, "jaccard-open-pairs")
+        side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+        may = self.may_link("na", "nb", "sa", "sb")
+        across = pairs.join(side("b"), F.col("b") == F.col("gb")).join(side("a"), F.col("a") == F.col("ga")).where((F.col("pa") != F.col("pb")) & may).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
         # In a group of several components, the classes outside of the smallest class' component with all others.
         own = classes.where("cid = gid").select(F.col("gid").alias("g"), F.col("part").alias("main"))
         mixed = classes.join(own, F.col("gid") == F.col("g")).drop("g")
-        out = mixed.where("part <> main").select("gid", F.col("cid").alias("a"), F.col("part").alias("part_a"))
-        inside = out.join(mixed.select("gid", F.col("cid").alias("b"), "part", "main"), "gid").where("part_a <> part and (a < b or part = main)").select("a", "b")
+        out = mixed.where("part <> main").select("gid", F.col("cid").alias("a"), F.col("part").alias("part_a"), F.col("n").alias("na"), F.col("bits").alias("sa"))
+        other = mixed.select("gid", F.col("cid").alias("b"), "part", "main", F.col("n").alias("nb"), F.col("bits").alias("sb"))
+        inside = out.join(other, "gid").where("part_a <> part and (a < b or part = main)").where(may).select("a", "b")
         found = stage(across.unionByName(inside), "jaccard-rest")
         unstage(pairs)
         return found
