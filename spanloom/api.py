@@ -12,7 +12,7 @@ from spanloom.operators import conll as conll_ops
 from spanloom.operators import items as item_ops
 from spanloom.operators import matching, rdfa, resolve, tei, wadm
 from spanloom.plans.mapping import Plan, compile_mapping
-from spanloom.sources.notes import check_xpaths, trees
+from spanloom.sources.notes import blank, check_xpaths, trees
 
 
 @dataclass(frozen=True)
@@ -51,6 +51,11 @@ class Result:
     def roots(self) -> DataFrame:
         return item_ops.note_items(self.trees, self.plan)
 
+    @property
+    def errors(self) -> DataFrame:
+        """note_id, error of notes without markup: null or blank. They give no rows elsewhere and don't stop the others."""
+        return blank(self.notes)
+
     @property
     def dropped(self) -> DataFrame:
         return resolve.dropped_matches(self.resolved)

@@ -1,9 +1,10 @@
-"""The text functions that the sequential step needs, on Python strings; spanloom.functions.text has them as expressions."""
+"""Text functions on Python strings: those that the sequential step needs, which spanloom.functions.text has as expressions, and tokens."""
 
 from __future__ import annotations
 
 import re
 
+_TOKEN = re.compile(r"\w+|[^\w\s]")
 _BLANKS, _RUN, _FEEDS, _AROUND = re.compile(r"\s+"), re.compile("[ \t]+"), re.compile("\n{3,}"), re.compile(" *\n *")
 
 
@@ -19,3 +20,8 @@ def context(text: str, parent: str, most: int = 30) -> tuple[str, str]:
     at = parent.find(text)
     end = at + len(text)
     return ("", "") if at < 0 else (parent[max(0, at - most) : at], parent[end : end + most])
+
+
+def token_spans(text: str) -> list[dict]:
+    """Runs of word characters, and single other characters that aren't white space, with their places; one pass."""
+    return [{"ix": i, "token": m[0], "start": m.start(), "end": m.end()} for i, m in enumerate(_TOKEN.finditer(text))]

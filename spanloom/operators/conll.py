@@ -21,16 +21,22 @@ def flat_selectors(selectors: Column) -> Column:
     return F.transform(F.filter(selectors, lambda s: s["type"].isin("TextQuoteSelector", "TextPositionSelector")), lambda s: F.struct(s["type"], s["exact"], s["start"], s["end"]))
 
 
+#: Selectors that are kept as they are, and where others hold their parts.
+PLAIN = ("TextQuoteSelector", "TextPositionSelector")
+PARTS = {"Choice": "items", "List": "members"}
+
+
 def flatten_selector(value: object) -> list[dict]:
-    """Selectors of a foreign annotation: choices and lists are entered, refinements kept and entered, others left out."""
-    if not isinstance(value, dict):
-        return []
-    if value.get("type") in ("TextPositionSelector", "TextQuoteSelector"):
-        return [value]
-    if "refinedBy" in value:
-        return [value, *flatten_selector(value["refinedBy"])]
-    inner = value.get("items", []) if value.get("type") == "Choice" else value.get("members", []) if value.get("type") == "List" else []
-    return [s for x in inner for s in flatten_selector(x)]
+    """Plain selectors of a foreign annotation and those that are refined, in the order in which they are met: choices and lists are entered, refinements too, what is anything else is left out."""
+    met, ahead = [], [value]
+    while ahead:
+        one = ahead.pop()
+        if isinstance(one, dict):
+            plain, refined = one.get("type") in PLAIN, "refinedBy" in one
+            met += [one] if plain or refined else []
+            below = [] if plain else [one["refinedBy"]] if refined else one.get(PARTS.get(one.get("type")), [])
+            ahead += reversed(below)
+    return met
 
 
 def parse_annotations(json_text: Column) -> Column:

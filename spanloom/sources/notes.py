@@ -20,6 +20,8 @@ NODE = pa.struct(
     + [(f"{s}_{e}", pa.int32()) for s in ("raw", "ser", "xml") for e in ("start", "end")]
 )
 NODE_DDL = "struct<id:int,parent:int,last:int,depth:int,tag:string,href:string,raw_start:int,raw_end:int,ser_start:int,ser_end:int,xml_start:int,xml_end:int>"
+#: What str.strip() leaves.
+NOT_SPACE = r"(?U)[^\s\x1C-\x1F]"
 #: Notes of an Arrow batch: a batch's markup, not its rows, is what fills memory.
 BATCH_ROWS = 256
 
@@ -87,13 +89,24 @@ def check_xpaths(spark: SparkSession, plan: Plan) -> None:
                 raise ValueError(f"Invalid XPath '{path}': {str(e).splitlines()[0]}") from e
 
 
+def has_markup(html: F.Column) -> F.Column:
+    """Neither null nor white space only; the first other character ends the search."""
+    return F.coalesce(html.rlike(NOT_SPACE), F.lit(False))
+
+
+def blank(notes: DataFrame) -> DataFrame:
+    """note_id, error of the notes that have no markup and so no tree."""
+    html = notes["html"]
+    return notes.where(~has_markup(html)).select(notes["note_id"], F.when(html.isNull(), F.lit("'html' is null")).otherwise("'html' is empty").alias("error"))
+
+
 def trees(notes: DataFrame, plan: Plan) -> DataFrame:
-    """note_id, note_uri, raw, ser, xml, nodes of every note; a blank note is a ValueError, as in the tree builder."""
+    """note_id, note_uri, raw, ser, xml, nodes of every note with markup; the others are in blank()."""
     spark = notes.sparkSession
     _bound(spark)
     kind = dict(notes.dtypes)["note_id"]
     uri = notes["note_uri"].cast("string") if "note_uri" in notes.columns else F.lit(None).cast("string")
-    rows = notes.select(notes["note_id"], notes["html"], uri.alias("note_uri"))
+    rows = notes.select(notes["note_id"], notes["html"], uri.alias("note_uri")).where(has_markup(F.col("html")))
     if plan.ignore_xpaths:
         rows = rows.mapInArrow(lambda b: _first_pass(b, plan), f"note_id {kind}, html string, note_uri string, xml string")
         drop = F.array_distinct(F.flatten(F.array(*[ids_of("xml", x) for x in plan.ignore_xpaths])))

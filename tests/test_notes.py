@@ -187,3 +187,36 @@ def test_foreign_annotations(spark):
     texts = spark.createDataFrame([(1, "s", "Ann met Bob.", 1)], "note_id long, source string, text string, first_seq int")
     labels = c.bio(c.tokens(texts), c.spans(rows, texts, whitelist=["Per"]))
     assert c.conll(labels, texts).first()["text"] == "Ann\tB-Per\nmet\tB-Per\nBob\tB-Per\n.\tO\n"
+
+
+def test_notes_without_markup_stop_nobody(spark):
+    rows = [(1, None, None), (2, " \n \x1c", None), (3, "<p>a</p>", None), (None, "", None)]
+    run = Engine({"Document": {"xpath": "//p"}, "IGNORE": {"xpath": "//i"}}).parse(spark.createDataFrame(rows, "note_id long, html string, note_uri string"))
+    assert [tuple(r) for r in run.items.select("note_id", "text").collect()] == [(3, "a")]
+    assert [r["note_id"] for r in run.roots.collect()] == [3] and run.jsonld().count() == 1
+    assert {tuple(r) for r in run.errors.collect()} == {(1, "'html' is null"), (2, "'html' is empty"), (None, "'html' is empty")}
+
+
+def test_opening_texts_with_hits_move_behind_the_children(spark):
+    from spanloom.sources.html_tree import Streams, Wrap, parse, wrap_matches
+
+    root, document = parse("<div>a #x b <i>#y</i> c #z d</div>")
+    wrap_matches(root, (Wrap(r"#\w", "T", "r"),))
+    span = lambda t: f'<span class="T" data-rw-uuid="r">{t}</span>'
+    assert Streams(root, document).ser == f"<div><i>#y</i> c {span('#z')} da {span('#x')} b </div>"
+
+
+def test_selectors_nest():
+    from spanloom.operators.conll import flatten_selector
+
+    quote, position = {"type": "TextQuoteSelector", "exact": "a"}, {"type": "TextPositionSelector", "start": 1, "end": 2}
+    refined = {"type": "X", "refinedBy": {"type": "Choice", "items": [quote, 3, position]}}
+    assert flatten_selector({"type": "List", "members": [position, refined, quote]}) == [position, refined, quote, position, quote]
+    assert flatten_selector([quote]) == [] and flatten_selector({"type": "X", "items": [quote]}) == []
+
+
+def test_long_texts_are_cut_into_tokens_in_one_pass():
+    from spanloom.functions.plain import token_spans
+
+    found = token_spans("ab, c " * 50_000)
+    assert len(found) == 150_000 and found[-1] == {"ix": 149_999, "token": "c", "start": 299_998, "end": 299_999}
