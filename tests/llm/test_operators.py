@@ -203,24 +203,51 @@ class TestTokens:
             assert Counter(map(tuple, got)) == want
         assert count_tokens(empty, "doc_id").count() == 0
 
-    def test_maps_compose_in_any_grouping(self):
+    def test_texts_against_the_library(self):
         import random
 
-        from spanloom.llm.token_counts import MODEL, compile, compose, finish
+        import public_tokenizers
+        import sentencepiece
+
+        from spanloom.llm.token_counts import BLANK, MODEL, blanked, compile
 
         machine = compile(MODEL)
+        library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
         random.seed(2)
-        for _ in range(150):
-            text = "".join(random.choice(["a", "the", " ", "  ", "\n", "é", "日", "x.", "<s>"]) for _ in range(40))
-            cuts = sorted(random.sample(range(len(text) + 1), 4))
-            parts = [machine.chunk(text[a:b]) for a, b in zip([0, *cuts], [*cuts, len(text)], strict=True)]
-            left = parts[0]
-            for p in parts[1:]:
-                left = compose(machine, left, p)
-            right = parts[-1]
-            for p in reversed(parts[:-1]):
-                right = compose(machine, p, right)
-            assert finish(machine, *left) == finish(machine, *right) == len(machine.library.encode(text))
+        some = ["a", "the", " the", "ing", " ", "  ", "\n", "\t", "é", "日本", "語", "x.", "<s>", "<0x0A>", "🙂", "▁", "19", "=="]
+        pieces = [p.replace(BLANK, " ") for p in machine.scores]
+        for _ in range(4000):
+            text = "".join(random.choice(random.choice([some, pieces])) for _ in range(random.randrange(30)))
+            # Paths may be left at any place and taken up again by their state's name.
+            n, state, text_ = 0, machine.start, (BLANK if text else "") + blanked(text)
+            at = random.randrange(len(text_) + 1)
+            for part in (text_[:at], text_[at:]):
+                m, state = machine.run(machine.named(state.name()), part)
+                n += m
+            assert n == len(library.encode(text)), text
+
+    def test_tables_are_emptied(self, monkeypatch):
+        from spanloom.llm import token_counts as t
+
+        whole = t.compile(t.MODEL)
+        text = "▁the▁river▁日本語walked" * 3 + "▁".join(map(str, range(3000)))
+        want = whole.run(whole.start, text)[0]
+        monkeypatch.setattr(t, "TRANSITIONS", 50)
+        monkeypatch.setattr(t, "KEPT", 200)
+        small = t.Machine(whole.scores)
+        assert small.run(small.start, text)[0] == want and len(small.states) < 500 and len(small.words) < 100
+
+    def test_long_texts_without_cuts(self, spark):
+        import public_tokenizers
+        import sentencepiece
+
+        from spanloom.llm.token_counts import MODEL, count_tokens
+
+        library = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(MODEL))
+        texts = ["a" * 901, "日本語" * 300, " " * 1000, "\n" * 700, "the" * 200 + " x" * 100, "=" * 997]
+        df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        got = {r["doc_id"]: r["n_tokens"] for r in count_tokens(df, "doc_id", chunk=301, warm=7).collect()}
+        assert got == {i: len(library.encode(t)) for i, t in enumerate(texts)}
 
 
 class TestPacking:
