@@ -19,6 +19,9 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
    members outside of a list's most frequent component are paired with the rest. So a large group of near copies costs as many pairs as it has rows, and no link between different
    components is lost.
 
+Two groups that share a list and also one of the AHEAD shingles ahead of it in both prefixes meet in that shingle's list
+already, under looser bounds; so a pair of long documents isn't made once for every shingle that they share.
+
 Pairs are filtered by size, by their places in the list, and by signatures: the parities of a set's hashes by residue,
 of which two sets can't differ in more than in members. Group pairs with one class each are filtered so ahead of the
 shuffle, others when they are expanded to classes; what is left is verified. Sets are exact up to collisions of 64-bit
@@ -56,6 +59,8 @@ BLOCK, LONG = 1 << 19, 4096
 FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 2, 0.25, 32
 #: 64-bit words of a set's signature.
 SIGNATURE = 8
+#: Shingles ahead of its own that a row of the lists carries.
+AHEAD = 8
 #: Bits of the bitmap of wanted texts: 4 MB, broadcast.
 WANTED = 1 << 25
 
@@ -280,7 +285,7 @@ class Join:
         parts = components(links)
         unstage(pairs, links)
         lists = self.shared_lists(parts)
-        known, lists = self.open(lists, parts)
+        lists = self.open(lists, parts)
         for salt in range(ROUNDS):
             if self.few(lists):
                 break
@@ -290,11 +295,12 @@ class Join:
             found = links.count() if tried else 0
             if found:
                 parts, old = components(_edges(parts).unionByName(links)), parts
-                unstage(old, known)
-                known, lists = self.open(lists, parts)
+                unstage(old)
+                lists = self.open(lists, parts)
             unstage(pairs, links)
             if found <= FEW * tried:
                 break
+        known = stage(self.parted(parts), "jaccard-class-parts")
         rest = self.rest(known, lists)
         if not rest.isEmpty():
             links = self.verify(rest)
@@ -319,16 +325,18 @@ class Join:
         return (low * 100 >= high * self.percent) & F.coalesce(differ <= F.col(na) + F.col(nb) - 2 * shared, F.lit(True))
 
     def shared_lists(self, parts: DataFrame) -> DataFrame:
-        """h, gid, n, bits, pos: the lists that hold groups of several components, staged. A group of several classes has no signature."""
+        """h, gid, n, bits, pos, ahead: the lists that hold groups of several components, staged. A group of several classes has no signature."""
         part = F.coalesce("component", "cid")
         spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count("*").alias("own"))
         groups = self.rows.join(spans, F.col("row") == F.col("gid")).select("gid", "n", F.when(F.col("own") == 1, F.col("bits")).alias("bits"), "low", "high", "prefix")
         groups = stage(groups, "jaccard-spans")
-        index = groups.select("gid", "n", "bits", "low", "high", F.posexplode("prefix").alias("pos", "h"))
-        shared = index.groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
+        shared = groups.select("low", "high", F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
         shared = stage(shared, "jaccard-shared-lists")
-        wanted = maybe_among(index.select("gid", "n", "bits", "pos", F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
-        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "bits", "pos"), "jaccard-lists")
+        # An array of structs, not the whole prefix beside each row: a long document costs in proportion to its prefix.
+        ahead = lambda i: F.slice("prefix", F.greatest(i - AHEAD, F.lit(0)) + 1, F.least(i, F.lit(AHEAD)))
+        index = groups.select("gid", "n", "bits", F.explode(F.transform("prefix", lambda h, i: F.struct(h.alias("h"), i.alias("pos"), ahead(i).alias("ahead")))).alias("e"))
+        wanted = maybe_among(index.select("gid", "n", "bits", "e.pos", "e.ahead", F.col("e.h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
+        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "bits", "pos", "ahead"), "jaccard-lists")
         unstage(groups, shared)
         return lists
 
@@ -354,8 +362,9 @@ class Join:
         """Of staged pairs of classes (a, b) those that link, staged. Sets that earlier calls made are used again."""
         size, percent = self.size, self.percent
         asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        for known in self.sets:
-            asked = asked.join(known.select("cid"), "cid", "left_anti")
+        if self.sets:
+            known = functools.reduce(DataFrame.unionByName, [x.select("cid") for x in self.sets])
+            asked = asked.join(known, "cid", "left_anti")
         asked = stage(self.classes.join(asked, "cid", "left_semi").select("cid", F.col("id").alias("_id"), F.col("hash").alias("_hash")), "jaccard-asked")
         if not self.sets or not asked.isEmpty():
             texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
@@ -367,33 +376,37 @@ class Join:
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
 
-    def open(self, lists: DataFrame, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """(gid, cid, part of all classes; the lists with groups of several components, with `part` and the list's most frequent one). The old lists are deleted."""
-        classes = self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", "n", "bits", F.coalesce("component", "cid").alias("part"))
-        classes = stage(classes, "jaccard-class-parts")
-        groups = classes.groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
+    def parted(self, parts: DataFrame) -> DataFrame:
+        """gid, cid, n, bits, part (component) of all classes."""
+        return self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", "n", "bits", F.coalesce("component", "cid").alias("part"))
+
+    def open(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
+        """The lists with groups of several components, with `part` and the list's most frequent one. The old lists are deleted."""
+        groups = self.parted(parts).groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
         # A group's component; null if its classes are in several.
         groups = groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part"))
-        placed = stage(lists.select("h", "gid", "n", "bits", "pos").join(groups, "gid").select("h", "gid", "n", "bits", "pos", "part"), "jaccard-placed")
+        placed = stage(lists.select("h", "gid", "n", "bits", "pos", "ahead").join(groups, "gid").select("h", "gid", "n", "bits", "pos", "ahead", "part"), "jaccard-placed")
         unstage(lists)
         counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"))
         open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
         open_ = open_.where("parts > 1 or mixed > 0").select("h", "most")
         lists = stage(placed.join(open_, "h"), "jaccard-open-lists")
         unstage(placed)
-        return classes, lists
+        return lists
 
     def rest(self, classes: DataFrame, lists: DataFrame) -> DataFrame:
         """Pairs of classes (a, b) of different components that share a list or a group, as far as places in the lists and signatures leave a link possible; staged."""
         apart = _apart()
-        left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"), F.col("bits").alias("ba"))
-        right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), F.col("bits").alias("bb"), apart.alias("apart"))
+        left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"), F.col("bits").alias("ba"), F.col("ahead").alias("ha"))
+        right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), F.col("bits").alias("bb"), F.col("ahead").alias("hb"), apart.alias("apart"))
         differ = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))
         once = (F.col("a") < F.col("b")) | ~F.col("apart")
         # Two sets that link share `least` shingles; behind the first of them each must have as many left.
         least = F.expr(f"((na + nb) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
         near = (F.col("ia") + least <= F.col("na")) & (F.col("ib") + least <= F.col("nb")) & self.may_link("na", "nb", "ba", "bb")
-        pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        # A list that both are in is open, as they are of several components; so the first of those that they share makes the pair.
+        first = ~F.arrays_overlap("ha", "hb")
+        pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stage(pairs, "jaccard-open-pairs")
         side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
         may = self.may_link("na", "nb", "sa", "sb")
