@@ -13,10 +13,10 @@ from spanloom.llm.common import stage, unstage
 
 
 def _large(edges: DataFrame) -> DataFrame:
-    """Each node's larger neighbours are tied to the smallest of its neighbours and itself."""
+    """Each node's larger neighbours are tied to the smallest of its neighbours and itself; with repeats, which _small() drops."""
     both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
 
 
 def _small(edges: DataFrame) -> DataFrame:
@@ -34,8 +34,8 @@ def _stars(edges: DataFrame) -> bool:
 
 def components(edges: DataFrame) -> DataFrame:
     """edges: a, b (long). node, component (its smallest node) of every node that isn't the smallest of its component; staged."""
-    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    held = stage(edges, "edges")
+    edges = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    held = stage(_small(_large(edges)), "edges")
     while not _stars(held):
         held, old = stage(_small(_large(held)), "edges"), held
         unstage(old)
