@@ -19,7 +19,7 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
    members outside of a list's most frequent component are paired with the rest. So a large group of near copies costs as many pairs as it has rows, and no link between different
    components is lost.
 
-Two groups that share a list and also one of the AHEAD shingles ahead of it in both prefixes meet in that shingle's list
+Two groups that share an open list and also one of the AHEAD open lists ahead of it in both prefixes meet in that one
 already, under looser bounds; so a pair of long documents isn't made once for every shingle that they share.
 
 Pairs are filtered by size, by their places in the list, and by signatures: the parities of a set's hashes by residue,
@@ -59,7 +59,7 @@ BLOCK, LONG = 1 << 19, 4096
 FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 2, 0.25, 32
 #: 64-bit words of a set's signature.
 SIGNATURE = 8
-#: Shingles ahead of its own that a row of the lists carries.
+#: Open lists of a group ahead of a row's own that the row is given for the last pairs.
 AHEAD = 8
 #: Bits of the bitmap of wanted texts: 4 MB, broadcast.
 WANTED = 1 << 25
@@ -325,18 +325,16 @@ class Join:
         return (low * 100 >= high * self.percent) & F.coalesce(differ <= F.col(na) + F.col(nb) - 2 * shared, F.lit(True))
 
     def shared_lists(self, parts: DataFrame) -> DataFrame:
-        """h, gid, n, bits, pos, ahead: the lists that hold groups of several components, staged. A group of several classes has no signature."""
+        """h, gid, n, bits, pos: the lists that hold groups of several components, staged. A group of several classes has no signature."""
         part = F.coalesce("component", "cid")
         spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count("*").alias("own"))
         groups = self.rows.join(spans, F.col("row") == F.col("gid")).select("gid", "n", F.when(F.col("own") == 1, F.col("bits")).alias("bits"), "low", "high", "prefix")
         groups = stage(groups, "jaccard-spans")
-        shared = groups.select("low", "high", F.explode("prefix").alias("h")).groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
+        index = groups.select("gid", "n", "bits", "low", "high", F.posexplode("prefix").alias("pos", "h"))
+        shared = index.groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
         shared = stage(shared, "jaccard-shared-lists")
-        # An array of structs, not the whole prefix beside each row: a long document costs in proportion to its prefix.
-        ahead = lambda i: F.slice("prefix", F.greatest(i - AHEAD, F.lit(0)) + 1, F.least(i, F.lit(AHEAD)))
-        index = groups.select("gid", "n", "bits", F.explode(F.transform("prefix", lambda h, i: F.struct(h.alias("h"), i.alias("pos"), ahead(i).alias("ahead")))).alias("e"))
-        wanted = maybe_among(index.select("gid", "n", "bits", "e.pos", "e.ahead", F.col("e.h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
-        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "bits", "pos", "ahead"), "jaccard-lists")
+        wanted = maybe_among(index.select("gid", "n", "bits", "pos", F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
+        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "bits", "pos"), "jaccard-lists")
         unstage(groups, shared)
         return lists
 
@@ -385,7 +383,7 @@ class Join:
         groups = self.parted(parts).groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
         # A group's component; null if its classes are in several.
         groups = groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part"))
-        placed = stage(lists.select("h", "gid", "n", "bits", "pos", "ahead").join(groups, "gid").select("h", "gid", "n", "bits", "pos", "ahead", "part"), "jaccard-placed")
+        placed = stage(lists.select("h", "gid", "n", "bits", "pos").join(groups, "gid").select("h", "gid", "n", "bits", "pos", "part"), "jaccard-placed")
         unstage(lists)
         counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"))
         open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
@@ -397,6 +395,8 @@ class Join:
     def rest(self, classes: DataFrame, lists: DataFrame) -> DataFrame:
         """Pairs of classes (a, b) of different components that share a list or a group, as far as places in the lists and signatures leave a link possible; staged."""
         apart = _apart()
+        before = Window.partitionBy("gid").orderBy("pos").rowsBetween(-AHEAD, -1)
+        lists = stage(lists.withColumn("ahead", F.collect_list("h").over(before)), "jaccard-ahead")
         left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"), F.col("bits").alias("ba"), F.col("ahead").alias("ha"))
         right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), F.col("bits").alias("bb"), F.col("ahead").alias("hb"), apart.alias("apart"))
         differ = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))
@@ -408,6 +408,7 @@ class Join:
         first = ~F.arrays_overlap("ha", "hb")
         pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         pairs = stage(pairs, "jaccard-open-pairs")
+        unstage(lists)
         side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
         may = self.may_link("na", "nb", "sa", "sb")
         across = pairs.join(side("b"), F.col("b") == F.col("gb")).join(side("a"), F.col("a") == F.col("ga")).where((F.col("pa") != F.col("pb")) & may).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
