@@ -189,12 +189,24 @@ class Order:
         return light[:n] if len(light) >= n else hashes[np.argsort(weights, kind="stable")[:n]]
 
 
-def signature(hashes: np.ndarray) -> np.ndarray:
-    """The parity of the hashes of each of 64 * SIGNATURE residues. Two signatures differ in no more bits than two sets in members."""
-    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(64 * SIGNATURE - 1)).astype("i8"), minlength=64 * SIGNATURE).astype("u1") & 1
+def signature(hashes: np.ndarray, words: int = SIGNATURE) -> np.ndarray:
+    """The parity of the hashes of each of 64 * words residues. Two signatures differ in no more bits than two sets in members."""
+    odd = np.bincount((hashes >> np.uint64(32) & np.uint64(64 * words - 1)).astype("i8"), minlength=64 * words).astype("u1") & 1
     return np.packbits(odd).view("i8")
 
 
+def wide_signature(hashes: np.ndarray) -> np.ndarray:
+    """A signature of about a bit or two a member, a power of two of them: an array of a 64th or so of the set's bytes."""
+    return signature(hashes, max(SIGNATURE, 1 << max(0, (len(hashes) - 1).bit_length() - 6)))
+
+
+def folded(wide: np.ndarray, words: int) -> np.ndarray:
+    """The signature of fewer words of the same set."""
+    while len(wide) > words:
+        wide = wide[: len(wide) // 2] ^ wide[len(wide) // 2 :]
+    return wide
+
+
 def prefix_size(n: int, percent: int = PERCENT) -> int:
     return n - (percent * n + 99) // 100 + 1 if n else 0
 
@@ -231,12 +243,29 @@ def linked(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
 
+def near_enough(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """a, b, their sizes and wide signatures: the pairs that these leave possible."""
+    for batch in batches:
+        keep = []
+        for na, nb, x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), _lists(batch.column(4)), _lists(batch.column(5)), strict=True):
+            words = min(len(x), len(y))
+            differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+            least = ((na + nb) * percent + 99 + percent) // (100 + percent)
+            keep.append(differ <= na + nb - 2 * least)
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _flat(arrays: list[np.ndarray]) -> pa.Array:
+    values = pa.array((np.concatenate(arrays) if arrays else np.zeros(0, "u8")).view("i8"))
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), values)
+
+
 def make_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """cid, text to cid, set."""
+    """cid, text to cid, n, wide (signature), set."""
     for batch in batches:
         sets = list(_sets(batch.column(1), size))
-        values = pa.array((np.concatenate(sets) if sets else np.zeros(0, "u8")).view("i8"))
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), values)], ["cid", "set"])
+        ns = pa.array([len(x) for x in sets], pa.int32())
+        yield pa.RecordBatch.from_arrays([batch.column(0), ns, _flat([wide_signature(x) for x in sets]), _flat(sets)], ["cid", "n", "wide", "set"])
 
 
 def maybe_among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
@@ -303,7 +332,7 @@ class Join:
         known = stage(self.parted(parts), "jaccard-class-parts")
         rest = self.rest(known, lists)
         if not rest.isEmpty():
-            links = self.verify(rest)
+            links = self.verify(rest, screened=True)
             parts, old = components(_edges(parts).unionByName(links)), parts
             unstage(old, links)
         unstage(rest, known, lists, self.groups)
@@ -356,8 +385,8 @@ class Join:
         k, pairs = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("out"))).first()
         return (pairs or 0) <= WORTH * (k or 0)
 
-    def verify(self, pairs: DataFrame) -> DataFrame:
-        """Of staged pairs of classes (a, b) those that link, staged. Sets that earlier calls made are used again."""
+    def verify(self, pairs: DataFrame, screened: bool = False) -> DataFrame:
+        """Of staged pairs of classes (a, b) those that link, staged. Sets that earlier calls made are used again. screened: wide signatures go first, where most pairs won't link, so that few sets move."""
         size, percent = self.size, self.percent
         asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
         if self.sets:
@@ -367,10 +396,14 @@ class Join:
         if not self.sets or not asked.isEmpty():
             texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
             got = texts.join(asked, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("cid", "text").dropDuplicates(["cid"])
-            self.sets.append(stage(got.mapInArrow(lambda b: make_sets(b, size), "cid long, set array<long>"), "jaccard-sets"))
+            self.sets.append(stage(got.mapInArrow(lambda b: make_sets(b, size), "cid long, n int, wide array<long>, set array<long>"), "jaccard-sets"))
         unstage(asked)
         sets = functools.reduce(DataFrame.unionByName, self.sets)
         side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
+        if screened:
+            wide = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+            both = pairs.join(wide("b"), "b").join(wide("a"), "a").select("a", "b", "na", "nb", "wa", "wb")
+            pairs = stage(both.mapInArrow(lambda b: near_enough(b, percent), "a long, b long"), "jaccard-near-pairs")
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
 

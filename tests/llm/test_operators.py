@@ -658,3 +658,18 @@ class TestComponents:
         got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
         assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 130)} | {201: 200, 202: 200}
         assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_wide_signatures_never_differ_in_more_bits_than_sets_in_members():
+    import numpy as np
+
+    from spanloom.llm.ngram_jaccard import SIGNATURE, folded, signature, wide_signature
+
+    draw = np.random.default_rng(1)
+    for n in (1, 5, 513, 3000, 20000):
+        x = np.unique(draw.integers(0, 2**64, n, dtype="u8"))
+        y = np.unique(np.concatenate([x[: n * 7 // 10], draw.integers(0, 2**64, n, dtype="u8")]))
+        a, b = wide_signature(x), wide_signature(y)
+        words = min(len(a), len(b))
+        assert (folded(a, SIGNATURE) == signature(x)).all()
+        assert np.bitwise_count(folded(a, words) ^ folded(b, words)).sum() <= len(np.setxor1d(x, y))
