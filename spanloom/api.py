@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from functools import cached_property
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.operators import conll as conll_ops
@@ -94,6 +94,41 @@ class Result:
         return conll_ops.bio(conll_ops.tokens(texts), found, o.max_span_tokens), texts
 
 
+def label_foreign(annotations: DataFrame, texts: DataFrame, options: Conll | None = None) -> tuple[DataFrame, DataFrame]:
+    """Token labels, and the texts, of annotations and texts as operators.conll.foreign_annotations and foreign_texts give them."""
+    o = options or Conll()
+    texts = texts.where(F.length("text") > 0)
+    found = conll_ops.spans(annotations, texts, o.whitelist, o.blacklist)
+    return conll_ops.bio(conll_ops.tokens(texts), found, o.max_span_tokens), texts
+
+
+def foreign_conll(annotations: DataFrame, graphs: DataFrame, options: Conll | None = None) -> DataFrame:
+    """note_id, text: CoNLL of web annotations from elsewhere (note_id, seq, json), whose texts are in JSON-LD graphs (note_id, json)."""
+    o = options or Conll()
+    rows = conll_ops.foreign_annotations(annotations, o.blacklist)
+    return conll_ops.conll(*label_foreign(rows, conll_ops.foreign_texts(graphs, rows, o.type_whitelist), o))
+
+
+def conll_of(spark: SparkSession, annotations: dict | list, options: Conll | None = None, jsonld: dict | None = None) -> str:
+    """CoNLL of {"text", "annotations"}, whatever these point to, or of a list of annotations with the JSON-LD that holds their texts."""
+    import json
+
+    def table(values: list) -> DataFrame:
+        return spark.createDataFrame([(0, i, json.dumps(v)) for i, v in enumerate(values)], "note_id long, seq int, json string")
+
+    if isinstance(annotations, list):
+        if not jsonld:
+            raise ValueError("a list of annotations needs the JSON-LD that holds their texts")
+        out = foreign_conll(table(annotations), table([jsonld]), options)
+    elif isinstance(annotations, dict) and {"text", "annotations"} <= annotations.keys():
+        rows = conll_ops.foreign_annotations(table(annotations["annotations"])).withColumn("source", F.lit(""))
+        texts = spark.createDataFrame([(0, "", annotations["text"], 0)], "note_id long, source string, text string, first_seq int")
+        out = conll_ops.conll(*label_foreign(rows, texts, options))
+    else:
+        raise ValueError("annotations must be a list, or a dictionary with 'text' and 'annotations'")
+    return next((r["text"] for r in out.collect()), "")
+
+
 class Engine:
     """Applies one mapping. Errors of the mapping, its patterns and its XPaths are raised here, before any note is read."""
 

@@ -107,6 +107,29 @@ def own_annotations(items: DataFrame, type_whitelist: list[str] | None = None, b
     return rows, texts
 
 
+def foreign_annotations(rows: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
+    """Annotations from elsewhere (note_id, seq, json) for spans(). blacklist: annotations of one of these types are left out."""
+    out = rows.select("note_id", "seq", parse_annotations(F.col("json")).alias("a")).select("note_id", "a.source", "seq", "a.types", "a.labels", "a.selectors")
+    if blacklist:
+        out = out.where(~F.coalesce(F.arrays_overlap("types", F.lit(blacklist)), F.lit(False)))
+    return out.drop("types")
+
+
+def foreign_texts(graphs: DataFrame, annotations: DataFrame, type_whitelist: list[str] | None = None) -> DataFrame:
+    """Texts that annotations point to, for spans() and conll(): resources of JSON-LD graphs (note_id, json), by their id.
+
+    Of resources with one id the last with a text counts. type_whitelist: resources without one of these types are left out.
+    """
+    one = F.posexplode(F.try_variant_get(F.parse_json("json"), "$['@graph']", "array<variant>")).alias("ix", "r")
+    get = lambda field, kind: F.try_variant_get("r", f"$['{field}']", kind)
+    types = F.coalesce(get("@type", "array<string>"), F.array(get("@type", "string")))
+    found = graphs.select("note_id", one).select("note_id", "ix", get("@id", "string").alias("source"), get("text", "string").alias("text"), types.alias("types"))
+    if type_whitelist:
+        found = found.where(F.arrays_overlap("types", F.lit(type_whitelist)))
+    texts = found.where("text is not null").groupBy("note_id", "source").agg(F.max_by("text", "ix").alias("text"))
+    return texts.join(annotations.groupBy("note_id", "source").agg(F.min("seq").alias("first_seq")), ["note_id", "source"])
+
+
 def conll(bio_: DataFrame, texts: DataFrame) -> DataFrame:
     """note_id, text: tokens and labels of each note's texts, in order of their first annotation, with an empty line behind each."""
     line = F.concat_ws("\t", F.col("token"), F.col("label"))

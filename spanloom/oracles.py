@@ -58,7 +58,19 @@ SELECT note_id, k::INT AS k, {_text("x")} AS text, {_text("h")} AS same_as FROM
     "ignore_regex_text": f"SELECT page_id AS note_id, 1 AS order_index, {_text(_STRIPPED)} AS text FROM pages",
     "regex_mark_items": f"""WITH h AS (SELECT page_id AS note_id, {_one("h1")} AS t FROM pages), m AS (SELECT note_id, t, regexp_extract_all(t, '\\b[Tt]h[\\p{{L}}\\p{{N}}_]*') AS m FROM h)
 SELECT note_id, generate_subscripts(m, 1)::INT AS k, unnest(m) AS text FROM m WHERE NOT (len(m) = 1 AND m[1] = t)""",
-    "current_state": _P1 + f"SELECT p.note_id, p.k::INT AS k, {_one('h1')}[1:20] AS structure_text, {_one('title')}[1:20] AS locator_text FROM p JOIN pages ON pages.page_id = p.note_id",
+    "current_state": _P1 + f"SELECT p.note_id, p.k::INT AS k, {_one('h1')} AS structure_text, {_one('title')} AS locator_text FROM p JOIN pages ON pages.page_id = p.note_id",
+    "regex_mark_words": rf"""WITH t AS (SELECT page_id AS note_id, unnest(regexp_extract_all({_BODY}, '>([^<]+)', 1)) AS x FROM pages), w AS (SELECT note_id, x, unnest(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+')) AS text FROM t)
+SELECT note_id, text, count(*) AS n FROM w WHERE regexp_matches(text, '^[Tt]h') AND trim(x) <> text GROUP BY ALL""",
+    "heading_levels": rf"""WITH h AS (SELECT page_id AS note_id, {_one('h1')} AS h1, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)<', 1) AS a, regexp_extract_all(html, '<p><b>([^<]*)<', 1) AS b, regexp_extract_all(html, '<div class="ad">([^<]*)<', 1) AS d FROM pages),
+r AS (SELECT note_id, h1, a[-1] AS last_a, 1 AS level, [h1] AS l, 1 AS g FROM h UNION ALL SELECT note_id, h1, a[-1], 2, a, 2 FROM h UNION ALL SELECT note_id, h1, a[-1], 3, b, 3 FROM h UNION ALL SELECT note_id, h1, a[-1], 2, d, 4 FROM h),
+u AS (SELECT note_id, h1, last_a, level, g, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM r), t AS (SELECT note_id, h1, {_text("last_a")} AS last_a, level, g, i, {_text("x")} AS x FROM u)
+SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY g, i)::INT AS order_index, level, x AS text, CASE level WHEN 2 THEN h1 WHEN 3 THEN coalesce(last_a, h1) END AS above FROM t""",
+    "jsonld_items": _P1 + "SELECT note_id, k::INT AS order_index, t AS text, 'Doc' AS type, true AS of_note FROM p",
+    "wadm_items": _P1 + "SELECT note_id, k::INT AS order_index, t AS exact, length(t)::INT AS span, '//p' AS xpath, 'Doc' AS tag FROM p",
+    "conll_lines": _P1 + f""", w AS (SELECT note_id, k, {_TOKENS} AS w FROM p WHERE lead), u AS (SELECT note_id, k, generate_subscripts(w, 1) AS i, unnest(w) AS token FROM w)
+SELECT note_id, (row_number() OVER (PARTITION BY note_id ORDER BY k, i) - 1)::INT AS line, token, CASE WHEN i = 1 THEN 'B-Key' ELSE 'I-Key' END AS label FROM u""",
+    "rdfa_types": rf"""WITH {_P}, c AS (SELECT note_id, count(*) AS n FROM p GROUP BY 1), m AS (SELECT note_id, count(*) AS n FROM p WHERE lead GROUP BY 1)
+SELECT note_id, 'p' AS tag, 'Doc' AS types, n FROM c UNION ALL SELECT note_id, 'b', 'Lead Key', n FROM m""",
     "structure_parent": f"SELECT page_id AS note_id, {_one('h1')} AS text, 1 AS level, true AS top FROM pages",
     "container_of": _P1 + f""", n AS (SELECT note_id, count(*) AS p, count(*) FILTER (lead) AS leads FROM p GROUP BY 1), c AS (SELECT page_id AS note_id, {_LINKS} + 1 AS free FROM pages)
 SELECT note_id, cls, container, n FROM (SELECT note_id, unnest([{{'cls': 'Locator', 'container': 'Note', 'n': 1}}, {{'cls': 'Quotation', 'container': 'Note', 'n': 1}}, {{'cls': 'Structure', 'container': 'Quotation', 'n': 1}},

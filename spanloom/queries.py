@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from spanloom.api import Conll, Engine, Result
@@ -76,11 +76,17 @@ def regex_mark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("note_id", F.row_number().over(Window.partitionBy("note_id").orderBy("node")).alias("k"), "text")
 
 
+def regex_mark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Regex hits in all text of whole pages, counted."""
+    rows = _run(spark, sf_dir, {"Annotation": {"Th": {"regex": r"\b[Tt]h\w*"}}, "IGNORE": {"xpath": ["//head", "//comment()"]}})
+    return matching.matched_nodes(rows.trees, rows.plan).groupBy("note_id", "text").agg(F.count("*").alias("n"))
+
+
 def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What structure, locator and quotation each lead carries: by class numbers, all from one running pass."""
     rows = _run(spark, sf_dir, MAPPING).items
     names = rows.select("note_id", F.col("order_index").alias("o"), F.col("text").alias("t"))
-    one = lambda column: names.select("note_id", F.col("o").alias(column), F.substring("t", 1, 20).alias(f"{column}_text"))
+    one = lambda column: names.select("note_id", F.col("o").alias(column), F.col("t").alias(f"{column}_text"))
     leads = rows.where("cls = 'Document'").select("note_id", "order_index", "structure", "locator")
     out = leads.join(one("structure"), ["note_id", "structure"], "left").join(one("locator"), ["note_id", "locator"], "left")
     k = F.row_number().over(Window.partitionBy("note_id").orderBy("order_index"))
@@ -194,6 +200,56 @@ def conll_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, MAPPING).conll(Conll(max_span_tokens=10, type_whitelist=["Doc"], blacklist=["Key"]))
 
 
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of three levels, made of each page's title, links and leads, with the text of the heading above."""
+    pages = read_pages(spark, sf_dir)
+    heads = lambda tag, pattern: F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")))
+    made = F.concat(heads("h1", "<h1>([^<]*)</h1>"), heads("h2", "<li><a href=\"[^\"]*\">([^<]*)<"), heads("h3", "<p><b>([^<]*)<"), heads("h2", "<div class=\"ad\">([^<]*)<"))
+    notes = pages.select("note_id", F.array_join(made, "").alias("html"), "note_uri")
+    rows = Engine({"Structure": {"xpath": "//h1 | //h2 | //h3"}}).parse(notes).items
+    above = rows.select("note_id", F.col("order_index").alias("structure"), F.col("text").alias("above"))
+    out = rows.select("note_id", "order_index", "level", "text", "structure").join(above, ["note_id", "structure"], "left")
+    return out.select("note_id", "order_index", "level", "text", "above")
+
+
+def _graph(rows: DataFrame) -> DataFrame:
+    """note_id, ix, r: the resources of each note's JSON, parsed back."""
+    return rows.select("note_id", F.posexplode(F.variant_get(F.parse_json("json"), "$['@graph']", "array<variant>")).alias("ix", "r"))
+
+
+def _at(path: str, kind: str = "string") -> Column:
+    return F.variant_get("r", f"$.{path}", kind)
+
+
+def jsonld_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON-LD of paragraphs says; the note is the first resource."""
+    rows = _graph(_run(spark, sf_dir, PARAGRAPHS).jsonld())
+    note = F.variant_get("r", "$.note", "string")
+    items = rows.where("ix > 0").select("note_id", _at("orderIndex", "int").alias("order_index"), _at("text").alias("text"), F.variant_get("r", "$['@type'][0]", "string").alias("type"), note.alias("note"))
+    root = rows.where("ix = 0").select("note_id", F.variant_get("r", "$['@id']", "string").alias("root"))
+    return items.join(root, "note_id").select("note_id", "order_index", "text", "type", (F.col("note") == F.col("root")).alias("of_note"))
+
+
+def wadm_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the web annotations of paragraphs say."""
+    rows = _graph(_run(spark, sf_dir, PARAGRAPHS).wadm())
+    start, end = _at("target.selector.items[1].start", "int"), _at("target.selector.items[1].end", "int")
+    return rows.select("note_id", (F.col("ix") + 1).alias("order_index"), _at("target.selector.items[0].exact").alias("exact"), (end - start).alias("span"), _at("target.selector.items[2].value").alias("xpath"), _at("body[1].value").alias("tag"))
+
+
+def conll_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the CoNLL text of leads."""
+    rows = _run(spark, sf_dir, LEADS).conll(Conll(type_whitelist=["Doc"]))
+    lines = rows.select("note_id", F.posexplode(F.filter(F.split("text", "\n"), lambda x: x != "")).alias("line", "t"))
+    return lines.select("note_id", "line", F.split("t", "\t")[0].alias("token"), F.split("t", "\t")[1].alias("label"))
+
+
+def rdfa_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Elements of each type in the RDFa of leads."""
+    rows = _run(spark, sf_dir, LEADS).rdfa().select("note_id", F.explode(F.regexp_extract_all("html", F.lit(r"<([a-z0-9]+ [^>]*typeof=\"[^\"]*)\""), F.lit(1))).alias("t"))
+    return rows.groupBy("note_id", F.split("t", " ")[0].alias("tag"), F.regexp_extract("t", "typeof=\"([^\"]*)$", 1).alias("types")).agg(F.count("*").alias("n"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "note_scan": note_scan,
     "note_text": note_text,
@@ -230,4 +286,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "rdfa_html": rdfa_html,
     "tei_xml": tei_xml,
     "conll_text": conll_text,
+    "regex_mark_words": regex_mark_words,
+    "heading_levels": heading_levels,
+    "jsonld_items": jsonld_items,
+    "wadm_items": wadm_items,
+    "conll_lines": conll_lines,
+    "rdfa_types": rdfa_types,
 }

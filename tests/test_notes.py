@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.api import Conll, Engine, parse_note
+from spanloom.api import Conll, Engine, conll_of, parse_note
 
 
 def run(spark, html, mapping, **options):
@@ -189,6 +189,21 @@ def test_foreign_annotations(spark):
     assert c.conll(labels, texts).first()["text"] == "Ann\tB-Per\nmet\tB-Per\nBob\tB-Per\n.\tO\n"
 
 
+def test_conll_of_foreign_annotations(spark):
+    quote = lambda source, value, exact, kind="Annotation": {"@type": kind, "body": {"purpose": "tagging", "value": value}, "target": {"source": source, "selector": {"type": "TextQuoteSelector", "exact": exact}}}
+    given = [quote("b", "Place", "Rome"), quote("a", "Per", "Ann"), quote("a", "Not", "met", ["Note", "Draft"]), quote("c", "Per", "Ann")]
+    graph = {"@graph": [{"@id": "a", "@type": "Doc", "text": "Ann met"}, {"@id": "b", "@type": ["Page", "Doc"], "text": "In Rome"}, {"@id": "d", "text": "unasked"}]}
+    assert conll_of(spark, given, jsonld=graph) == "In\tO\nRome\tB-Place\n\nAnn\tB-Per\nmet\tB-Not\n"
+    assert conll_of(spark, given, Conll(blacklist=["Draft"], type_whitelist=["Doc"]), graph) == "In\tO\nRome\tB-Place\n\nAnn\tB-Per\nmet\tO\n"
+    assert conll_of(spark, given, Conll(type_whitelist=["Page"]), graph) == "In\tO\nRome\tB-Place\n"
+    assert conll_of(spark, {"text": "Ann met Rome", "annotations": given}, Conll(whitelist=["Per", "Place"])) == "Ann\tB-Per\nmet\tO\nRome\tB-Place\n"
+    assert conll_of(spark, {"text": "Ann", "annotations": []}) == "Ann\tO\n"
+    assert conll_of(spark, [], jsonld=graph) == ""
+    for wrong in (given, "text", {"text": "x"}):
+        with pytest.raises(ValueError):
+            conll_of(spark, wrong)
+
+
 def test_notes_without_markup_stop_nobody(spark):
     rows = [(1, None, None), (2, " \n \x1c", None), (3, "<p>a</p>", None), (None, "", None)]
     run = Engine({"Document": {"xpath": "//p"}, "IGNORE": {"xpath": "//i"}}).parse(spark.createDataFrame(rows, "note_id long, html string, note_uri string"))
