@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from copy import copy
 from dataclasses import dataclass, field
 from functools import cached_property
+from xml.etree import ElementTree
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -143,16 +145,26 @@ class Engine:
         return Result(notes, self.plan)
 
 
-def parse_note(spark, html: str, mapping: dict, note_uri: str | None = None, metadata: dict | None = None, rdfa: bool = False, wadm: bool = False, tei: bool = False, conll: bool | dict | Conll = False, remove_empty_tags: bool = True) -> dict:
+def markup_of(note: object) -> str:
+    """A note's markup: a string as it is; a parsed element of xml.etree as HTML, without the text behind it."""
+    if isinstance(note, ElementTree.Element):
+        alone = copy(note)
+        alone.tail = None
+        return ElementTree.tostring(alone, encoding="unicode", method="html")
+    if not isinstance(note, str):
+        raise TypeError(f"'html' must be a string or an element, got {type(note).__name__}")
+    if not note.strip():
+        raise ValueError("'html' is empty")
+    return note
+
+
+def parse_note(spark, html: str | ElementTree.Element, mapping: dict, note_uri: str | None = None, metadata: dict | None = None, rdfa: bool = False, wadm: bool = False, tei: bool = False, conll: bool | dict | Conll = False, remove_empty_tags: bool = True) -> dict:
     """One note, for interactive use: the outputs asked for as a dictionary. A corpus goes through Engine.parse."""
     import json
 
-    if not isinstance(html, str):
-        raise TypeError(f"'html' must be a string, got {type(html).__name__}")
-    if not html.strip():
-        raise ValueError("'html' is empty")
+    markup = markup_of(html)
     engine = Engine(mapping, metadata, remove_empty_tags)
-    run = engine.parse(spark.createDataFrame([(0, html, note_uri)], "note_id long, html string, note_uri string"))
+    run = engine.parse(spark.createDataFrame([(0, markup, note_uri)], "note_id long, html string, note_uri string"))
     one = lambda df, column: next(iter(df.select(column).collect()), [None])[0]
     out = {"MAP": json.loads(run.mapping), "JSON-LD": json.loads(one(run.jsonld(), "json"))}
     if wadm or conll:

@@ -71,6 +71,7 @@ SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY g, i)::INT AS o
 SELECT note_id, (row_number() OVER (PARTITION BY note_id ORDER BY k, i) - 1)::INT AS line, token, CASE WHEN i = 1 THEN 'B-Key' ELSE 'I-Key' END AS label FROM u""",
     "rdfa_types": rf"""WITH {_P}, c AS (SELECT note_id, count(*) AS n FROM p GROUP BY 1), m AS (SELECT note_id, count(*) AS n FROM p WHERE lead GROUP BY 1)
 SELECT note_id, 'p' AS tag, 'Doc' AS types, n FROM c UNION ALL SELECT note_id, 'b', 'Lead Key', n FROM m""",
+    "tei_paragraphs": _P1 + "SELECT note_id, k::INT AS order_index, t AS text FROM p",
     "structure_parent": f"SELECT page_id AS note_id, {_one('h1')} AS text, 1 AS level, true AS top FROM pages",
     "container_of": _P1 + f""", n AS (SELECT note_id, count(*) AS p, count(*) FILTER (lead) AS leads FROM p GROUP BY 1), c AS (SELECT page_id AS note_id, {_LINKS} + 1 AS free FROM pages)
 SELECT note_id, cls, container, n FROM (SELECT note_id, unnest([{{'cls': 'Locator', 'container': 'Note', 'n': 1}}, {{'cls': 'Quotation', 'container': 'Note', 'n': 1}}, {{'cls': 'Structure', 'container': 'Quotation', 'n': 1}},

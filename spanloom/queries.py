@@ -250,6 +250,15 @@ def rdfa_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("note_id", F.split("t", " ")[0].alias("tag"), F.regexp_extract("t", "typeof=\"([^\"]*)$", 1).alias("types")).agg(F.count("*").alias("n"))
 
 
+def tei_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of the paragraphs of the TEI, read back."""
+    rows = _run(spark, sf_dir, PARAGRAPHS).tei().select("note_id", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<tei:p [^>]*>(.*?)</tei:p>"), F.lit(1))).alias("k", "t"))
+    text = F.regexp_replace("t", "<[^>]*>", "")
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return rows.select("note_id", (F.col("k") + 1).alias("order_index"), text.alias("text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "note_scan": note_scan,
     "note_text": note_text,
@@ -292,4 +301,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "wadm_items": wadm_items,
     "conll_lines": conll_lines,
     "rdfa_types": rdfa_types,
+    "tei_paragraphs": tei_paragraphs,
 }

@@ -1,6 +1,7 @@
 """Hand-derived notes: one test for each rule of the semantics that is easy to get wrong."""
 
 import json
+from xml.etree import ElementTree
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,6 +190,16 @@ def test_foreign_annotations(spark):
     assert c.conll(labels, texts).first()["text"] == "Ann\tB-Per\nmet\tB-Per\nBob\tB-Per\n.\tO\n"
 
 
+def test_parsed_elements(spark):
+    top = ElementTree.fromstring("<div><p>A &amp; B<br/>C</p> tail<section><p>D <b>E</b></p>behind</section></div>")
+    mapping = {"Document": {"xpath": "//p"}, "Annotation": {"X": {"xpath": "//b"}}}
+    texts = lambda note: [r["text"] for r in parse_note(spark, note, mapping)["JSON-LD"]["@graph"]]
+    assert texts(top) == texts("<div><p>A &amp; B<br>C</p> tail<section><p>D <b>E</b></p>behind</section></div>")
+    assert texts(top[1]) == ["D E\nbehind", "D E", "E"] and texts(top[0]) == ["A & B\nC"] * 2
+    with pytest.raises(TypeError):
+        parse_note(spark, b"<p>x</p>", mapping)
+
+
 def test_conll_of_foreign_annotations(spark):
     quote = lambda source, value, exact, kind="Annotation": {"@type": kind, "body": {"purpose": "tagging", "value": value}, "target": {"source": source, "selector": {"type": "TextQuoteSelector", "exact": exact}}}
     given = [quote("b", "Place", "Rome"), quote("a", "Per", "Ann"), quote("a", "Not", "met", ["Note", "Draft"]), quote("c", "Per", "Ann")]
