@@ -1,5 +1,6 @@
 """The operators' queries and the SQL of those that SQL can express."""
 
+from spanloom.llm.alignment import op11_token_alignment
 from spanloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from spanloom.llm.licenses import op9_license_scan
 from spanloom.llm.mixing import op10_mixing
@@ -22,6 +23,7 @@ QUERIES = {
     "op8_exact_topk": op8_exact_topk,
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
+    "op11_token_alignment": op11_token_alignment,
 }
 ORACLES = {
     "op1_secret_scan": OP1_SQL,
