@@ -7,7 +7,8 @@ does. So tokens of a text are those of its segments one behind the other, and gr
 over a segment's end.
 
 Blocks of whole documents are turned into numbers by a dictionary of the block's segments. The dictionaries meet in
-Spark: distinct segments of the corpus are tokenised and aligned once, and joined back to every block that has them.
+Spark, dealt and sorted by segment: each distinct segment of the corpus is tokenised and aligned once, as its rows
+come by, and its alignment joins the rows of all blocks that have it.
 A block then counts in how many of its documents each pair of ids is linked; summed up over blocks, the counts are
 joined back to the blocks' pairs, and documents are composed by sums over their segments' numbers. Nothing whole
 reaches the driver or one task: blocks are bounded, a frequent segment has one row a block, and pairs are summed on
@@ -22,7 +23,9 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import json
+import os
 import re
 from collections.abc import Iterator
 
@@ -40,7 +43,7 @@ BLOCK, ROWS, TOGETHER = 1 << 25, 1 << 15, 1 << 19
 _ODD = re.compile(rf"[\s{BLANK}] |\A | \Z|{BLANK}")
 _CUT = re.compile(rf"(?<=[^\s{BLANK}]) ++(?!\Z)")
 PARTS = "block long, part int, ids array<{kind}>, sizes array<int>, codes binary, idx int, segment string"
-ALIGNED = "segment string, n_a int, n_b int, n_groups int, groups string, pairs array<long>"
+ALIGNED = "block long, idx int, groups string, links binary"
 
 
 def segments(text: str) -> list[str]:
@@ -98,6 +101,7 @@ def number(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
 @functools.cache
 def compile(a_name: str, b_name: str):
     """Both tokenizers, and the bytes of each of their tokens; refused where a cut isn't proved."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task's cores are Spark's to deal out
     import public_tokenizers
     import sentencepiece
     from tokenizers import Tokenizer
@@ -128,45 +132,81 @@ def compile(a_name: str, b_name: str):
     return a, a_bytes, [len(x) for x in a_bytes], b, b_bytes, [len(x) for x in b_bytes]
 
 
-def aligned(a_ids: list[int], b_ids: list[int], a_sizes: list[int], b_sizes: list[int], wide: int) -> tuple[list[str], list[int]]:
-    """Groups as 'a,a|b,b', and the linked pairs, with repeats, as a * wide + b. Both sides have the same bytes."""
-    groups, pairs = [], []
-    i = j = at_a = at_b = from_a = from_b = 0
-    n, m = len(a_ids), len(b_ids)
-    while i < n or j < m:
-        if at_a <= at_b and i < n:
-            at_a += a_sizes[a_ids[i]]
-            i += 1
-        else:
-            at_b += b_sizes[b_ids[j]]
-            j += 1
-        if at_a == at_b:
-            own_a, own_b = a_ids[from_a:i], b_ids[from_b:j]
-            groups.append(f"{','.join(map(str, own_a))}|{','.join(map(str, own_b))}")
-            pairs += [x * wide + y for x in own_a for y in own_b]
-            from_a, from_b = i, j
-    return groups, pairs
+class Aligner:
+    """Aligns segments whose tokens have the same bytes on both sides, many at once: places where tokens end are common to all."""
+
+    def __init__(self, a_sizes: list[int], b_sizes: list[int]):
+        self.a_sizes, self.b_sizes, self.wide = np.array(a_sizes), np.array(b_sizes), len(b_sizes)
+        #: An id as text with what follows it: a token of its own side, the other side, or a group.
+        self.texts = [f"{i}{sign}" for i in range(max(len(a_sizes), len(b_sizes))) for sign in ",|;"]
+
+    def __call__(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Each segment's groups as 'a,a|b,b;a|b'; where its links begin, and all links, as rows n_a, n_b, n_groups, pairs (a * wide + b, with repeats)."""
+        n_a, n_b = np.array([*map(len, a)], "i8"), np.array([*map(len, b)], "i8")
+        flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), "i8") for x in (a, b))
+        ends_a, ends_b = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
+        cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
+        of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
+        sizes_a, sizes_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
+        first_a, first_b = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes_a, sizes_b))
+        groups = np.concatenate([[0], of_a[np.cumsum(n_a) - 1] + 1])
+        # Pairs of a group: each of its a with each of its b.
+        each = sizes_a * sizes_b
+        edges = np.concatenate([[0], np.cumsum(each)])
+        group = np.repeat(np.arange(len(cuts)), each)
+        within = np.arange(edges[-1]) - edges[group]
+        pairs = flat_a[first_a[group] + within // sizes_b[group]] * self.wide + flat_b[first_b[group] + within % sizes_b[group]]
+        # A group's text: its a, then its b.
+        codes = np.empty(len(flat_a) + len(flat_b), "i8")
+        codes[np.arange(len(flat_a)) + first_b[of_a]] = flat_a * 3 + np.isin(ends_a, cuts, assume_unique=True)
+        codes[np.arange(len(flat_b)) + first_a[of_b + 1]] = flat_b * 3 + 2 * np.isin(ends_b, cuts, assume_unique=True)
+        parts, at = [*map(self.texts.__getitem__, codes.tolist())], [0, *np.cumsum(n_a + n_b).tolist()]
+        texts = ["".join(parts[i:j])[:-1] for i, j in zip(at, at[1:], strict=False)]
+        starts = edges[groups] + 3 * np.arange(len(groups))
+        links = np.empty(starts[-1], "i8")
+        links[starts[:-1]], links[starts[:-1] + 1], links[starts[:-1] + 2] = n_a, n_b, np.diff(groups)
+        links[_spread(starts[:-1] + 3, np.diff(edges[groups]))] = pairs
+        return texts, starts, links
 
 
 def align(batches: Iterator[pa.RecordBatch], a_name: str, b_name: str) -> Iterator[pa.RecordBatch]:
-    """Distinct segments to ALIGNED. groups is null where bytes differ."""
+    """block, idx, segment, in order of segment, to ALIGNED: each distinct segment is tokenised and aligned once, for all blocks that have it. groups is null where bytes differ."""
     a, a_bytes, a_sizes, b, b_bytes, b_sizes = compile(a_name, b_name)
+    aligner, kind = Aligner(a_sizes, b_sizes), link_type(len(a_sizes), len(b_sizes))
+    last: tuple[str, str | None, bytes] | None = None
+
+    def once(segments_: list[str]) -> tuple[list[str | None], list[bytes]]:
+        found_a = [x.ids for x in a.encode_batch([" " + s for s in segments_], add_special_tokens=False)]
+        found_b = b.encode(segments_, num_threads=1)
+        good = [b"".join([a_bytes[i] for i in x]) == b" " + s.encode() == b"".join([b_bytes[i] for i in y]) for s, x, y in zip(segments_, found_a, found_b, strict=True)]
+        groups: list[str | None] = [None] * len(good)
+        links = [np.zeros(3, kind).tobytes()] * len(good)
+        if any(good):
+            texts, starts, made = aligner(list(itertools.compress(found_a, good)), list(itertools.compress(found_b, good)))
+            made, starts = made.astype(kind), starts.tolist()
+            for n, i in enumerate(np.flatnonzero(good)):
+                groups[i], links[i] = texts[n], made[starts[n] : starts[n + 1]].tobytes()
+        return groups, links
+
     for batch in batches:
-        for at in range(0, batch.num_rows, 4096):
-            part = batch.column(0).slice(at, 4096)
-            known = part.to_pylist()
-            out: list[list] = [[], [], [], [], []]
-            found = zip(known, a.encode_batch([" " + s for s in known], add_special_tokens=False), b.encode(known, num_threads=1), strict=True)
-            for segment, a_found, b_ids in found:
-                a_ids, goal = a_found.ids, b" " + segment.encode()
-                row = (0, 0, 0, None, [])
-                if b"".join([a_bytes[x] for x in a_ids]) == goal == b"".join([b_bytes[x] for x in b_ids]):
-                    groups, pairs = aligned(a_ids, b_ids, a_sizes, b_sizes, len(b_bytes))
-                    row = (len(a_ids), len(b_ids), len(groups), ";".join(groups), pairs)
-                for column, value in zip(out, row, strict=True):
-                    column.append(value)
-            kinds = [pa.int32()] * 3 + [pa.string(), pa.list_(pa.int64())]
-            yield pa.RecordBatch.from_arrays([part, *(pa.array(c, t) for c, t in zip(out, kinds, strict=True))], ["segment", "n_a", "n_b", "n_groups", "groups", "pairs"])
+        coded = batch.column(2).dictionary_encode()
+        known = coded.dictionary.to_pylist()
+        groups, links = [], []
+        held = last is not None and bool(known) and known[0] == last[0]
+        if held:
+            groups, links = [last[1]], [last[2]]
+        for at in range(int(held), len(known), ROWS):
+            more = once(known[at : at + ROWS])
+            groups += more[0]
+            links += more[1]
+        if known:
+            last = known[-1], groups[-1], links[-1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(groups, pa.string()).take(coded.indices), pa.array(links, pa.binary()).take(coded.indices)], ["block", "idx", "groups", "links"])
+
+
+def link_type(a: int, b: int) -> str:
+    """Integers that hold a pair of ids of vocabularies of these sizes."""
+    return "i4" if a * b < 2**31 else "i8"
 
 
 def _sums(values: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -205,17 +245,18 @@ def _filled(columns: dict[str, list]) -> pa.Table:
     return pa.table([pa.array(columns.get(f.name, [None] * n), f.type) for f in _FIGURES], schema=_FIGURES)
 
 
-def figures(key: tuple, parts: pa.Table, known: pa.Table) -> pa.Table:
+def figures(key: tuple, parts: pa.Table, known: pa.Table, kind: str) -> pa.Table:
     """One block: its documents' figures by part, its segments' pairs in numbers of its own, and in how many of its documents each pair is."""
     block = key[0].as_py()
     known = known.sort_by("idx")
-    n_a, n_b, n_groups = (known.column(c).to_numpy().astype("i8") for c in ("n_a", "n_b", "n_groups"))
     bad = np.asarray(known.column("groups").is_null()).astype("i8")
     groups = known.column("groups").to_pylist()
-    lists = known.column("pairs").combine_chunks()
-    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype("i8")
+    lists = known.column("links").to_pylist()
+    flat_links, edges = np.frombuffer(b"".join(lists), kind), np.concatenate([[0], np.cumsum([*map(len, lists)])]) // np.dtype(kind).itemsize
+    n_a, n_b, n_groups = (flat_links[edges[:-1] + i].astype("i8") for i in range(3))
+    sizes = np.diff(edges) - 3
     first = np.concatenate([[0], np.cumsum(sizes)])
-    names, pairs = np.unique(lists.flatten().to_numpy(), return_inverse=True)
+    names, pairs = np.unique(flat_links[_spread(edges[:-1] + 3, sizes)], return_inverse=True)
     counts, out = np.zeros(len(names), "i8"), []
     for row in parts.select(["part", "sizes", "codes"]).to_pylist():
         codes, ends = np.frombuffer(row["codes"], "i4"), np.concatenate([[0], np.cumsum(row["sizes"])]).astype("i8")
@@ -262,17 +303,18 @@ def compose(key: tuple, parts: pa.Table, counted: pa.Table) -> pa.Table:
 def align_corpus(docs: DataFrame, key: str, text: str = "text", a: str = A_NAME, b: str = B_NAME, block: int = BLOCK) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     bound_batches(docs.sparkSession)
-    wide = len(compile(a, b)[4])
+    both = compile(a, b)
+    wide, numbers = len(both[4]), link_type(len(both[1]), len(both[4]))
     rows = docs.select(docs[key].alias("doc_id"), text_of(docs, text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     numbered = stage(rows.mapInArrow(lambda x: number(x, block), PARTS.format(kind=kind)), "align-blocks")
     known = numbered.where("segment is not null").select("block", "idx", "segment")
-    once = known.select("segment").distinct().mapInArrow(lambda x: align(x, a, b), ALIGNED)
-    back = known.join(once, "segment").select("block", "idx", "n_a", "n_b", "n_groups", "groups", "pairs")
+    # Rows of one segment lie side by side, so that its tokens are found once and handed back to all of its blocks.
+    back = known.repartition("segment").sortWithinPartitions("segment").mapInArrow(lambda x: align(x, a, b), ALIGNED)
     parts = numbered.where("codes is not null").select("block", "part", "ids", "sizes", "codes")
     # Named anew: a cogroup of tables of one origin mixes up columns of the same identity.
     fresh = lambda df: df.select(*[F.col(c).alias(c, metadata={}) for c in df.columns])
-    found = stage(parts.groupBy("block").cogroup(fresh(back).groupBy("block")).applyInArrow(figures, FIGURES), "align-figures")
+    found = stage(parts.groupBy("block").cogroup(fresh(back).groupBy("block")).applyInArrow(lambda k, x, y: figures(k, x, y, numbers), FIGURES), "align-figures")
     local = found.where("pair is not null").select("block", "local", "pair", "n")
     totals = local.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.floor(F.col("pair") / wide).cast("int"))
     totals = stage(totals, "align-pairs")
