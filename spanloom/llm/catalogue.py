@@ -1,6 +1,7 @@
 """The operators' queries and the SQL of those that SQL can express."""
 
 from spanloom.llm.alignment import op11_token_alignment
+from spanloom.llm.collocations import OP13_SQL, op13_phrases
 from spanloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from spanloom.llm.licenses import op9_license_scan
 from spanloom.llm.mixing import op10_mixing
@@ -24,10 +25,12 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op13_phrases": op13_phrases,
 }
 ORACLES = {
     "op1_secret_scan": OP1_SQL,
     "op3_exact_dedup": OP3_SQL,
     "op4_ngram_jaccard": OP4_SQL,
     "op8_exact_topk": OP8_SQL,
+    "op13_phrases": OP13_SQL,
 }
