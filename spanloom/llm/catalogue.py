@@ -4,6 +4,7 @@ from spanloom.llm.alignment import op11_token_alignment
 from spanloom.llm.collocations import OP13_SQL, op13_phrases
 from spanloom.llm.exact_dedup import OP3_SQL, op3_exact_dedup
 from spanloom.llm.licenses import op9_license_scan
+from spanloom.llm.main_text import op12_main_text
 from spanloom.llm.mixing import op10_mixing
 from spanloom.llm.ngram_jaccard import OP4_SQL, op4_ngram_jaccard
 from spanloom.llm.packing import op2_packing
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_license_scan": op9_license_scan,
     "op10_mixing": op10_mixing,
     "op11_token_alignment": op11_token_alignment,
+    "op12_main_text": op12_main_text,
     "op13_phrases": op13_phrases,
 }
 ORACLES = {
