@@ -1,7 +1,7 @@
 """Main text of web pages: subtrees that recur across a site's pages are found by hash and deleted.
 
-A page is read once, in an Arrow batch, by a tolerant reader of tags; it becomes blocks of text, each with the hashes
-of the elements around it. An element's hash covers its tag, its text and its children, not its attributes, so the
+A page is read in an Arrow batch by a tolerant reader of tags; it becomes blocks of text, and the hashes of the
+elements around them. An element's hash covers its tag, its text and its children, not its attributes, so the
 same menu is the same subtree wherever links to the present page are marked. Spark counts, per host, the pages that
 hold a subtree, and joins the counts back to pages; a page then loses every block that lies in a subtree which recurs.
 The counts are salted on the way back, as a host, and so its menu, may hold a third of all pages.
@@ -26,7 +26,6 @@ empty table gives no rows.
 from __future__ import annotations
 
 import html
-import itertools
 import re
 from collections import Counter
 from collections.abc import Container, Iterator
@@ -34,6 +33,7 @@ from dataclasses import dataclass, field
 from hashlib import blake2b
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -223,23 +223,42 @@ def read(markup: str) -> Page:
     return Page(blocks, marks, int.from_bytes(article.digest(), "big", signed=True))
 
 
-PAGES = "page_id {page}, url {url}, row long, host string, article long, marks array<struct<hash:bigint,prose:boolean,inside:boolean,first:int,behind:int>>, blocks array<struct<text:string,boilerplate:boolean,inside:boolean>>"
-_MARK, _BLOCK = [("hash", pa.int64()), ("prose", pa.bool_()), ("inside", pa.bool_()), ("first", pa.int32()), ("behind", pa.int32())], [("text", pa.string()), ("boilerplate", pa.bool_()), ("inside", pa.bool_())]
+MARKS = "host string, key long, article long, marks array<struct<hash:bigint,prose:boolean,inside:boolean>>"
+_MARKS = pa.list_(pa.struct([("hash", pa.int64()), ("prose", pa.bool_()), ("inside", pa.bool_())]))
 
 
-def _structs(lists: list[list[tuple]], fields: list[tuple[str, pa.DataType]]) -> pa.Array:
-    flat = [x for own in lists for x in own]
-    columns = zip(*flat, strict=True) if flat else [()] * len(fields)
-    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
-    return pa.ListArray.from_arrays(pa.array([0, *itertools.accumulate(map(len, lists))], pa.int32()), rows)
+def read_marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """host, key, html to MARKS."""
+    for batch in batches:
+        pages = [read(m) for m in batch.column(2).to_pylist()]
+        marks = [[{"hash": h, "prose": p, "inside": i} for h, p, i in dict.fromkeys(m[:3] for m in page.marks)] for page in pages]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([p.article for p in pages], pa.int64()), pa.array(marks, _MARKS)], ["host", "key", "article", "marks"])
+
+
+def text_without(page: Page, gone: set[int]) -> str:
+    """The text of a page without the subtrees of these hashes."""
+    article = any(inside for _, _, inside in page.blocks)
+    own = [not boilerplate and (inside or not article) for _, boilerplate, inside in page.blocks]
+    left = own.copy()
+    for digest, _, _, first, behind in page.marks:
+        if digest in gone:
+            left[first:behind] = [False] * (behind - first)
+    kept = own if article and not any(left) else left
+    return "\n".join(text for (text, _, _), keep in zip(page.blocks, kept, strict=True) if keep)
+
+
+def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """page_id, url, packed html, gone (hashes, or null) to page_id, url, text."""
+    unpack = zstandard.ZstdDecompressor().decompress
+    for batch in batches:
+        texts = [text_without(read(unpack(m).decode()), set(g or ())) for m, g in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
-def read_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """page_id, url, row, host, html to PAGES."""
-    for batch in batches:
-        pages = [read(m) for m in batch.column(4).to_pylist()]
-        made = [_structs([p.marks for p in pages], _MARK), _structs([p.blocks for p in pages], _BLOCK)]
-        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array([p.article for p in pages], pa.int64()), *made], ["page_id", "url", "row", "host", "article", "marks", "blocks"])
+def packed(markup: pa.Array) -> pa.Array:
+    """Pages as they move: one zstandard frame each."""
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return pa.array([pack(x) for x in markup.cast(pa.binary()).to_pylist()], pa.binary())
 
 
 def host_of(url: Column) -> Column:
@@ -258,27 +277,29 @@ def templates(pages: DataFrame, many: int = MANY) -> DataFrame:
     return on_pages.unionByName(in_articles).where(F.col("n") >= many)
 
 
+def recurring(marks: DataFrame, many: int = MANY, salts: int = SALTS) -> DataFrame:
+    """host, key, gone: of each page the hashes of its subtrees that recur."""
+    counts = templates(marks, many).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    pages = marks.where("host is not null").dropDuplicates(["host", "key"]).select("host", "key", "marks", F.pmod("key", F.lit(salts)).cast("int").alias("salt"))
+    asked = F.concat(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), F.array_distinct("marks.hash"))
+    # Of each page at most its own subtrees.
+    met = pages.select("host", "key", "salt", F.explode(asked).alias("hash")).join(counts, ["host", "hash", "salt"])
+    met = met.groupBy("host", "key").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n"))).alias("met"))
+    of_host = lambda m: F.col("met")[F.when(m["inside"], F.lit(1)).otherwise(F.lit(0)).cast("long")]
+    recurs = lambda m: F.col("met")[m["hash"]].isNotNull() & (~m["prose"] & ~m["inside"] | (2 * F.col("met")[m["hash"]] > of_host(m)))
+    return pages.join(met, ["host", "key"]).select("host", "key", F.transform(F.filter("marks", recurs), lambda m: m["hash"]).alias("gone"))
+
+
 def main_text(pages: DataFrame, page: str, url: str, markup: str, many: int = MANY, salts: int = SALTS) -> DataFrame:
-    """page, url, text of every row."""
+    """page, url, text of every row. Pages are read twice: only the hashes of their subtrees are kept in between, by host and a hash of the page."""
     bound_batches(pages.sparkSession)
-    rows = pages.select(pages[page].alias("page_id"), pages[url].alias("url"), F.monotonically_increasing_id().alias("row"), host_of(pages[url]).alias("host"), text_of(pages, markup).alias("html"))
+    html_ = text_of(pages, markup)
+    rows = pages.select(pages[page].alias("page_id"), pages[url].alias("url"), host_of(pages[url]).alias("host"), F.xxhash64(html_).alias("key"), html_.alias("html"))
     kinds = dict(rows.dtypes)
-    read_ = stage(rows.mapInArrow(read_pages, PAGES.format(page=kinds["page_id"], url=kinds["url"])), "pages-read")
-    recurring = templates(read_, many).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    asked = F.concat(F.array(F.lit(0).cast("long"), F.lit(1).cast("long")), F.array_distinct("marks.hash"))
-    held = read_.where("host is not null").select("row", "host", F.pmod("row", F.lit(salts)).cast("int").alias("salt"), F.explode(asked).alias("hash"))
-    # Of each page at most its own subtrees.
-    met = held.join(recurring, ["host", "hash", "salt"]).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("hash", "n"))).alias("met"))
-    out = read_.join(met, "row", "left")
-    pages_of = lambda m: F.col("met")[F.when(m["inside"], F.lit(1)).otherwise(F.lit(0)).cast("long")]
-    recurs = lambda m: F.col("met")[m["hash"]].isNotNull() & (~m["prose"] & ~m["inside"] | (2 * F.col("met")[m["hash"]] > pages_of(m)))
-    out = out.withColumn("gone", F.filter("marks", recurs))
-    article = F.exists("blocks", lambda b: b["inside"])
-    may = lambda b: ~b["boilerplate"] & (b["inside"] | ~article)
-    own = F.filter("blocks", may)
-    left = F.filter("blocks", lambda b, i: may(b) & ~F.coalesce(F.exists("gone", lambda g: (g["first"] <= i) & (i < g["behind"])), F.lit(False)))
-    kept = F.when(article & (F.size(left) == 0), own).otherwise(left)
-    return out.select(F.col("page_id").alias(page), F.col("url").alias(url), F.array_join(F.transform(kept, lambda b: b["text"]), "\n").alias("text"))
+    gone = recurring(stage(rows.select("host", "key", "html").mapInArrow(read_marks, MARKS), "pages-marks"), many, salts)
+    moved = rows.select("page_id", "url", "host", "key", F.arrow_udf(packed, "binary")("html").alias("packed")).join(gone, ["host", "key"], "left")
+    out = moved.select("page_id", "url", "packed", "gone").mapInArrow(extract, f"page_id {kinds['page_id']}, url {kinds['url']}, text string")
+    return out.select(F.col("page_id").alias(page), F.col("url").alias(url), "text")
 
 
 def op12_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
