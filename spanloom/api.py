@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from copy import copy
+from collections.abc import Callable
 from dataclasses import dataclass, field
 from functools import cached_property
 from xml.etree import ElementTree
@@ -14,7 +14,9 @@ from spanloom.operators import conll as conll_ops
 from spanloom.operators import items as item_ops
 from spanloom.operators import matching, rdfa, resolve, tei, wadm
 from spanloom.plans.mapping import Plan, compile_mapping
-from spanloom.sources.notes import blank, check_xpaths, trees
+from spanloom.operators.structural import programs
+from spanloom.sources.html_tree import COMMENT
+from spanloom.sources.notes import ELEMENT, Source, check_xpaths, html_source, node_source, trees
 
 
 @dataclass(frozen=True)
@@ -30,12 +32,12 @@ class Conll:
 class Result:
     """Lazy outputs of a run; what isn't asked for isn't computed."""
 
-    def __init__(self, notes: DataFrame, plan: Plan):
-        self.notes, self.plan = notes, plan
+    def __init__(self, source: Source, plan: Plan):
+        self.source, self.plan = source, plan
 
     @cached_property
     def trees(self) -> DataFrame:
-        return trees(self.notes, self.plan)
+        return trees(self.source, self.plan)
 
     @cached_property
     def seeds(self) -> DataFrame:
@@ -43,6 +45,8 @@ class Result:
 
     @cached_property
     def resolved(self) -> DataFrame:
+        if programs(self.plan):
+            return resolve.resolve_source(self.source, self.plan)
         return resolve.resolve(self.seeds, self.plan)
 
     @cached_property
@@ -55,8 +59,8 @@ class Result:
 
     @property
     def errors(self) -> DataFrame:
-        """note_id, error of notes without markup: null or blank. They give no rows elsewhere and don't stop the others."""
-        return blank(self.notes)
+        """note_id, error of notes that can't be read: null or blank markup, nodes that are no tree. They give no rows elsewhere and don't stop the others."""
+        return self.source.errors
 
     @property
     def dropped(self) -> DataFrame:
@@ -71,10 +75,10 @@ class Result:
         return item_ops.jsonld(self.resolved, self.plan)
 
     def annotations(self) -> DataFrame:
-        return wadm.annotations(self.items)
+        return wadm.annotations(self.resolved, self.plan)
 
     def wadm(self) -> DataFrame:
-        return wadm.wadm(self.items, self.plan)
+        return wadm.wadm(self.resolved, self.plan)
 
     def rdfa(self) -> DataFrame:
         return rdfa.rdfa(self.trees, self.plan)
@@ -84,31 +88,32 @@ class Result:
 
     def tokens(self, options: Conll | None = None) -> DataFrame:
         """BIO labels: note_id, source (order index of the text's item, 0 for the note), tok_ix, token, label."""
-        return self._labels(options or Conll())[0]
+        return conll_ops.labelled(self._sentences(options or Conll()))
 
     def conll(self, options: Conll | None = None) -> DataFrame:
-        return conll_ops.conll(*self._labels(options or Conll()))
+        return conll_ops.conll(self._sentences(options or Conll()))
 
-    def _labels(self, o: Conll) -> tuple[DataFrame, DataFrame]:
-        rows, texts = conll_ops.own_annotations(self.items, o.type_whitelist, o.blacklist)
-        texts = texts.where(F.length("text") > 0)
-        found = conll_ops.spans(rows, texts, o.whitelist, o.blacklist)
-        return conll_ops.bio(conll_ops.tokens(texts), found, o.max_span_tokens), texts
+    def _sentences(self, o: Conll) -> DataFrame:
+        return conll_ops.own_sentences(self.resolved, self.plan, o.max_span_tokens, o.whitelist, o.blacklist, o.type_whitelist)
 
 
-def label_foreign(annotations: DataFrame, texts: DataFrame, options: Conll | None = None) -> tuple[DataFrame, DataFrame]:
-    """Token labels, and the texts, of annotations and texts as operators.conll.foreign_annotations and foreign_texts give them."""
+def label_foreign(annotations: DataFrame, texts: DataFrame, options: Conll | None = None) -> DataFrame:
+    """Labelled sentences of annotations and texts as operators.conll.foreign_annotations and foreign_texts give them."""
     o = options or Conll()
-    texts = texts.where(F.length("text") > 0)
-    found = conll_ops.spans(annotations, texts, o.whitelist, o.blacklist)
-    return conll_ops.bio(conll_ops.tokens(texts), found, o.max_span_tokens), texts
+    return conll_ops.gathered(conll_ops.foreign_sentences(annotations, texts, o.max_span_tokens, o.whitelist, o.blacklist))
+
+
+def foreign_errors(annotations: DataFrame, graphs: DataFrame | None = None) -> DataFrame:
+    """note_id, seq (null for a graph), error of what foreign_conll leaves out because it can't be read."""
+    out = conll_ops.annotation_errors(annotations)
+    return out if graphs is None else out.unionByName(conll_ops.graph_errors(graphs), allowMissingColumns=True)
 
 
 def foreign_conll(annotations: DataFrame, graphs: DataFrame, options: Conll | None = None) -> DataFrame:
-    """note_id, text: CoNLL of web annotations from elsewhere (note_id, seq, json), whose texts are in JSON-LD graphs (note_id, json)."""
+    """note_id, text: CoNLL of web annotations from elsewhere (note_id, seq, json), whose texts are in JSON-LD graphs (note_id, json). What can't be read is left out; foreign_errors has it."""
     o = options or Conll()
     rows = conll_ops.foreign_annotations(annotations, o.blacklist)
-    return conll_ops.conll(*label_foreign(rows, conll_ops.foreign_texts(graphs, rows, o.type_whitelist), o))
+    return conll_ops.conll(label_foreign(rows, conll_ops.foreign_texts(graphs, rows, o.type_whitelist), o))
 
 
 def conll_of(spark: SparkSession, annotations: dict | list, options: Conll | None = None, jsonld: dict | None = None) -> str:
@@ -125,7 +130,7 @@ def conll_of(spark: SparkSession, annotations: dict | list, options: Conll | Non
     elif isinstance(annotations, dict) and {"text", "annotations"} <= annotations.keys():
         rows = conll_ops.foreign_annotations(table(annotations["annotations"])).withColumn("source", F.lit(""))
         texts = spark.createDataFrame([(0, "", annotations["text"], 0)], "note_id long, source string, text string, first_seq int")
-        out = conll_ops.conll(*label_foreign(rows, texts, options))
+        out = conll_ops.conll(label_foreign(rows, texts, options))
     else:
         raise ValueError("annotations must be a list, or a dictionary with 'text' and 'annotations'")
     return next((r["text"] for r in out.collect()), "")
@@ -134,37 +139,52 @@ def conll_of(spark: SparkSession, annotations: dict | list, options: Conll | Non
 class Engine:
     """Applies one mapping. Errors of the mapping, its patterns and its XPaths are raised here, before any note is read."""
 
-    def __init__(self, mapping: dict, metadata: dict | None = None, remove_empty_tags: bool = True):
-        self.plan = compile_mapping(mapping, metadata, remove_empty_tags)
+    def __init__(self, mapping: dict, metadata: dict | None = None, remove_empty_tags: bool = True, structural: bool = True):
+        """structural: whether XPaths may be evaluated by structural joins; else, and where these can't, the JVM's XPath does it."""
+        self.plan = compile_mapping(mapping, metadata, remove_empty_tags, structural)
 
     def parse(self, notes: DataFrame) -> Result:
         """notes: note_id, html, and note_uri if there is one."""
+        return self._result(notes, html_source)
+
+    def parse_nodes(self, nodes: DataFrame) -> Result:
+        """nodes: parsed documents, one row a node, as spanloom.sources.notes.elements() gives them: note_id, id, parent, tag, attrs, text, tail, and note_uri if there is one."""
+        return self._result(nodes, node_source)
+
+    def _result(self, notes: DataFrame, source: Callable[[DataFrame], Source]) -> Result:
         if not isinstance(notes, DataFrame):
             raise TypeError(f"'notes' must be a DataFrame, got {type(notes).__name__}")
         check_xpaths(notes.sparkSession, self.plan)
-        return Result(notes, self.plan)
+        return Result(source(notes), self.plan)
 
 
-def markup_of(note: object) -> str:
-    """A note's markup: a string as it is; a parsed element of xml.etree as HTML, without the text behind it."""
+def note_table(spark: SparkSession, note: object, uri: str | None) -> tuple[DataFrame, bool]:
+    """One note as a table, and whether it is one of nodes: a string is markup, an element of xml.etree is taken as it was parsed, without the text behind it."""
     if isinstance(note, ElementTree.Element):
-        alone = copy(note)
-        alone.tail = None
-        return ElementTree.tostring(alone, encoding="unicode", method="html")
+        rows, todo = [], [(note, None)]
+        while todo:
+            element, parent = todo.pop()
+            comment = element.tag is ElementTree.Comment
+            if comment or isinstance(element.tag, str):
+                rows.append((0, uri, len(rows), parent, COMMENT if comment else element.tag, dict(element.attrib), element.text, element.tail if parent is not None else None))
+                todo += [(c, len(rows) - 1) for c in reversed(element)]
+            elif element.tail and rows:  # instructions go, what stands behind them stays
+                raise ValueError("'html' has a processing instruction with text behind it")
+        return spark.createDataFrame(rows, f"note_id long, note_uri string, {ELEMENT}"), True
     if not isinstance(note, str):
         raise TypeError(f"'html' must be a string or an element, got {type(note).__name__}")
     if not note.strip():
         raise ValueError("'html' is empty")
-    return note
+    return spark.createDataFrame([(0, note, uri)], "note_id long, html string, note_uri string"), False
 
 
 def parse_note(spark, html: str | ElementTree.Element, mapping: dict, note_uri: str | None = None, metadata: dict | None = None, rdfa: bool = False, wadm: bool = False, tei: bool = False, conll: bool | dict | Conll = False, remove_empty_tags: bool = True) -> dict:
     """One note, for interactive use: the outputs asked for as a dictionary. A corpus goes through Engine.parse."""
     import json
 
-    markup = markup_of(html)
+    table, parsed = note_table(spark, html, note_uri)
     engine = Engine(mapping, metadata, remove_empty_tags)
-    run = engine.parse(spark.createDataFrame([(0, markup, note_uri)], "note_id long, html string, note_uri string"))
+    run = engine.parse_nodes(table) if parsed else engine.parse(table)
     one = lambda df, column: next(iter(df.select(column).collect()), [None])[0]
     out = {"MAP": json.loads(run.mapping), "JSON-LD": json.loads(one(run.jsonld(), "json"))}
     if wadm or conll:

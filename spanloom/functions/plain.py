@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BLANKS, _RUN, _FEEDS, _AROUND = re.compile(r"\s+"), re.compile("[ \t]+"), re.compile("\n{3,}"), re.compile(" *\n *")
@@ -25,3 +26,30 @@ def context(text: str, parent: str, most: int = 30) -> tuple[str, str]:
 def token_spans(text: str) -> list[dict]:
     """Runs of word characters, and single other characters that aren't white space, with their places; one pass."""
     return [{"ix": i, "token": m[0], "start": m.start(), "end": m.end()} for i, m in enumerate(_TOKEN.finditer(text))]
+
+
+def bio(text: str, spans: list[tuple[str, int, int]], most: int | None = None) -> tuple[list[str], list[str]]:
+    """Tokens and their labels. spans: (label, start, end), of which later ones overwrite earlier ones; those of more than `most` tokens are left out.
+
+    A span's tokens are a run, found by bisection. Spans are laid from the last to the first, and what is taken is
+    skipped, so each token is labelled once.
+    """
+    found = list(_TOKEN.finditer(text))
+    starts, ends = [m.start() for m in found], [m.end() for m in found]
+    labels, free = ["O"] * len(found), list(range(len(found) + 1))
+
+    def next_free(i: int) -> int:
+        while free[i] != i:
+            free[i] = i = free[free[i]]
+        return i
+
+    for label, start, end in reversed(spans):
+        first, last = bisect_right(ends, start), bisect_left(starts, end)
+        if last <= first or most is not None and last - first > most:
+            continue
+        i = next_free(first)
+        while i < last:
+            labels[i] = f"{'B' if i == first else 'I'}-{label}"
+            free[i] = i + 1
+            i = next_free(i + 1)
+    return [m[0] for m in found], labels

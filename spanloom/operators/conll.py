@@ -1,24 +1,94 @@
 """Token labels (BIO) from annotations, and CoNLL text.
 
-Annotations are grouped by the text they point to. Each of an annotation's labels is put on the tokens of each of its
-selectors: its position, and the first place of its quoted text. Later ones overwrite earlier ones. Everything is a
-join of tokens and spans on the text's key, with an overlap condition.
+Each of an annotation's labels is put on the tokens of each of its selectors: its position, and the first place of its
+quoted text. Later ones overwrite earlier ones. A note's own annotations and texts are in its row, so they are labelled
+there, in one Arrow pass. Annotations from elsewhere are grouped by the text that they point to and joined to it.
+
+Annotations and graphs from elsewhere that can't be read don't stop the others: they are rows of errors.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from spanloom.functions import plain
 from spanloom.functions.text import token_spans
+from spanloom.plans.mapping import Plan
+
+SENTENCE = pa.struct([("source", pa.int32()), ("first_seq", pa.int32()), ("tokens", pa.list_(pa.string())), ("labels", pa.list_(pa.string()))])
+SENTENCES_DDL = "array<struct<source:int,first_seq:int,tokens:array<string>,labels:array<string>>>"
+
+
+def placed(text: str, labels: list[str], selectors: list[dict], first: dict[str, int]) -> list[tuple[str, int, int]]:
+    """Spans of one annotation in a text. first: where quoted texts were found so far."""
+    places = []
+    for s in selectors:
+        start, end, exact = s["start"], s["end"], s["exact"]
+        if s["type"] != "TextPositionSelector":
+            start = first.setdefault(exact, text.find(exact)) if s["type"] == "TextQuoteSelector" and exact else -1
+            start, end = (start, start + len(exact)) if start >= 0 else (None, None)
+        if start is not None and end is not None:
+            places.append((start, end))
+    return [(label, *place) for label in labels for place in places]
+
+
+def _kept(labels: list[str], whitelist: list[str] | None, blacklist: list[str] | None) -> list[str]:
+    return [x for x in labels if (not whitelist or x in whitelist) and (not blacklist or x not in blacklist)]
+
+
+def own_sentences(resolved: DataFrame, plan: Plan, most: int | None = None, whitelist: list[str] | None = None, blacklist: list[str] | None = None, type_whitelist: list[str] | None = None) -> DataFrame:
+    """note_id, sentences (source, first_seq, tokens, labels): the texts that a note's items stand in, by order index, 0 for the note, with their labels.
+
+    type_whitelist: types of which a text's own item must have one; blacklist: also annotation types left out.
+    """
+    types = [list(r.types) for r in plan.rules]
+    labels = [_kept(t, whitelist, blacklist) for t in types]
+    allowed = [not type_whitelist or not set(t).isdisjoint(type_whitelist) for t in types]
+
+    def one(note_text: str, items: list[dict]) -> list[dict]:
+        by_source: dict[int, list[dict]] = {}
+        for item in items:
+            by_source.setdefault(item["doc"], []).append(item)
+        out = []
+        for source, own in by_source.items():
+            text = items[source - 1]["text"] if source else note_text
+            if not text or type_whitelist and not (source and allowed[items[source - 1]["rule"]]):
+                continue
+            spans, first = [], {}
+            for i in own:
+                both = [{"type": "TextQuoteSelector", "exact": i["text"], "start": None, "end": None}, {"type": "TextPositionSelector", "exact": None, "start": i["start"], "end": i["end"]}]
+                spans += placed(text, labels[i["rule"]], both, first)
+            tokens, marks = plain.bio(text, spans, most)
+            out.append({"source": source, "first_seq": own[0]["order_index"], "tokens": tokens, "labels": marks})
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [one(text, items) for text, items in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(SENTENCE))], ["note_id", "sentences"])
+
+    rows = resolved.select("note_id", "note_text", F.transform("items", lambda i: F.struct(*[i[c].alias(c) for c in ("order_index", "rule", "doc", "text", "start", "end")])).alias("items"))
+    if blacklist and "Annotation" in blacklist:
+        rows = rows.where(F.lit(False))
+    return rows.mapInArrow(run, f"note_id {dict(resolved.dtypes)['note_id']}, sentences {SENTENCES_DDL}")
 
-SELECTORS = "array<struct<type:string,exact:string,start:int,end:int>>"
 
+def labelled(sentences: DataFrame) -> DataFrame:
+    """One row a token: note_id, source, tok_ix, token, label."""
+    rows = sentences.select("note_id", F.explode("sentences").alias("s")).select("note_id", "s.source", F.posexplode(F.arrays_zip(F.col("s.tokens").alias("token"), F.col("s.labels").alias("label"))).alias("tok_ix", "t"))
+    return rows.select("note_id", "source", "tok_ix", "t.token", "t.label")
 
-def flat_selectors(selectors: Column) -> Column:
-    """Quote and position selectors of own annotations, which nest no further."""
-    return F.transform(F.filter(selectors, lambda s: s["type"].isin("TextQuoteSelector", "TextPositionSelector")), lambda s: F.struct(s["type"], s["exact"], s["start"], s["end"]))
+
+def conll(sentences: DataFrame) -> DataFrame:
+    """note_id, text: tokens and labels of each note's texts, in order of their first annotation, with an empty line behind each."""
+    ordered = F.array_sort(F.transform(F.filter("sentences", lambda s: F.size(s["tokens"]) > 0), lambda s: F.struct(s["first_seq"].alias("first_seq"), s["tokens"].alias("tokens"), s["labels"].alias("labels"))))
+    lines = F.transform(ordered, lambda s: F.concat(F.array_join(F.zip_with(s["tokens"], s["labels"], lambda t, m: F.concat_ws("\t", t, m)), "\n"), F.lit("\n")))
+    return sentences.select("note_id", F.array_join(lines, "\n").alias("text")).where(F.col("text") != "")
 
 
 #: Selectors that are kept as they are, and where others hold their parts.
@@ -39,40 +109,53 @@ def flatten_selector(value: object) -> list[dict]:
     return met
 
 
-def parse_annotations(json_text: Column) -> Column:
-    """A foreign annotation's JSON to struct(types, source, labels, selectors)."""
-    import json
+_SELECTOR = pa.struct([("type", pa.string()), ("exact", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
+_PARSED = pa.struct([("types", pa.list_(pa.string())), ("source", pa.string()), ("labels", pa.list_(pa.string())), ("selectors", pa.list_(_SELECTOR)), ("error", pa.string())])
+_PARSED_DDL = "struct<types:array<string>,source:string,labels:array<string>,selectors:array<struct<type:string,exact:string,start:int,end:int>>,error:string>"
+
 
-    import pyarrow as pa
+def _many(x: object) -> list:
+    return x if isinstance(x, list) else [] if x is None else [x]
 
-    selector = pa.struct([("type", pa.string()), ("exact", pa.string()), ("start", pa.int32()), ("end", pa.int32())])
-    out = pa.struct([("types", pa.list_(pa.string())), ("source", pa.string()), ("labels", pa.list_(pa.string())), ("selectors", pa.list_(selector))])
 
-    def many(x: object) -> list:
-        return x if isinstance(x, list) else [] if x is None else [x]
+def _typed(value: object, kind: type, name: str) -> object:
+    """A value of a kind, or null; others are an error."""
+    if value is None or isinstance(value, kind) and not isinstance(value, bool):
+        return value
+    raise ValueError(f"{name} is no {'number' if kind is int else 'string'}: {json.dumps(value, ensure_ascii=False)[:60]}")
 
-    def one(text: str | None) -> dict | None:
+
+def read_annotation(text: str | None) -> dict:
+    """An annotation's JSON as its types, source, labels and selectors; or its error."""
+    none = {"types": None, "source": None, "labels": None, "selectors": None}
+    try:
         if text is None:
-            return None
+            raise ValueError("annotation is null")
         a = json.loads(text)
-        labels = [b["value"] if isinstance(b, dict) else b.split("/")[-1] for b in many(a.get("body")) if isinstance(b, str) or isinstance(b, dict) and b.get("purpose") == "tagging" and b.get("value")]
-        targets = [t for t in many(a.get("target")) if isinstance(t, dict)]
-        flat = [s for t in targets for x in many(t.get("selector")) for s in flatten_selector(x)]
-        return {"types": many(a.get("@type")), "source": next((t["source"] for t in targets if t.get("source")), None), "labels": labels, "selectors": [{"type": s.get("type"), "exact": s.get("exact"), "start": s.get("start"), "end": s.get("end")} for s in flat]}
-
-    kind = T.StructType([T.StructField("types", T.ArrayType(T.StringType())), T.StructField("source", T.StringType()), T.StructField("labels", T.ArrayType(T.StringType())), T.StructField("selectors", T.ArrayType(T.StructType([T.StructField("type", T.StringType()), T.StructField("exact", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])))])
-    return F.arrow_udf(lambda texts: pa.array([one(x) for x in texts.to_pylist()], out), kind)(json_text)
+        if not isinstance(a, dict):
+            raise ValueError("annotation is no object")
+        bodies = [b for b in _many(a.get("body")) if isinstance(b, str) or isinstance(b, dict) and b.get("purpose") == "tagging" and b.get("value")]
+        labels = [_typed(b["value"], str, "a body's value") if isinstance(b, dict) else b.split("/")[-1] for b in bodies]
+        targets = [t for t in _many(a.get("target")) if isinstance(t, dict)]
+        flat = [s for t in targets for x in _many(t.get("selector")) for s in flatten_selector(x)]
+        selectors = [{"type": _typed(s.get("type"), str, "type"), "exact": _typed(s.get("exact"), str, "exact")} | {k: _offset(s.get(k), k) for k in ("start", "end")} for s in flat]
+        source = _typed(next((t["source"] for t in targets if t.get("source")), None), str, "source")
+        return {"types": [_typed(t, str, "@type") for t in _many(a.get("@type"))], "source": source, "labels": labels, "selectors": selectors, "error": None}
+    except RecursionError:
+        return none | {"error": "annotation is nested too deeply"}
+    except ValueError as e:  # of json as well
+        return none | {"error": str(e)}
+
+
+def _offset(value: object, name: str) -> int | None:
+    if _typed(value, int, name) is not None and not -(2**31) <= value < 2**31:
+        raise ValueError(f"{name} is beyond 32 bits: {value}")
+    return value
 
 
-def spans(annotations: DataFrame, texts: DataFrame, whitelist: list[str] | None = None, blacklist: list[str] | None = None) -> DataFrame:
-    """annotations: note_id, source, seq, labels, selectors; texts: note_id, source, text. One row a label and selector: note_id, source, ord, label, start, end."""
-    keep = lambda x: (~x.isin(*blacklist) if blacklist else F.lit(True)) & (x.isin(*whitelist) if whitelist else F.lit(True))
-    rows = annotations.select("note_id", "source", "seq", F.posexplode(F.filter("labels", keep)).alias("label_ix", "label"), "selectors")
-    rows = rows.select("note_id", "source", "seq", "label_ix", "label", F.posexplode("selectors").alias("sel_ix", "s")).join(texts.where(F.length("text") > 0), ["note_id", "source"])
-    quote = F.when((F.col("s.type") == "TextQuoteSelector") & (F.length("s.exact") > 0), F.instr(F.col("text"), F.col("s.exact")) - 1)
-    start = F.when(F.col("s.type") == "TextPositionSelector", F.col("s.start")).otherwise(F.when(quote >= 0, quote))
-    end = F.when(F.col("s.type") == "TextPositionSelector", F.col("s.end")).otherwise(start + F.length("s.exact"))
-    return rows.select("note_id", "source", F.struct("seq", "label_ix", "sel_ix").alias("ord"), "label", start.alias("start"), end.alias("end")).where("start is not null and end is not null")
+def parse_annotations(json_text: Column) -> Column:
+    """A foreign annotation's JSON to struct(types, source, labels, selectors, error)."""
+    return F.arrow_udf(lambda texts: pa.array([read_annotation(x) for x in texts.to_pylist()], _PARSED), _PARSED_DDL)(json_text)
 
 
 def tokens(texts: DataFrame) -> DataFrame:
@@ -80,60 +163,62 @@ def tokens(texts: DataFrame) -> DataFrame:
     return texts.select("note_id", "source", F.explode(token_spans(F.col("text"))).alias("t")).select("note_id", "source", F.col("t.ix").alias("tok_ix"), F.col("t.token").alias("token"), F.col("t.start").alias("start"), F.col("t.end").alias("end"))
 
 
-def bio(tokens_: DataFrame, spans_: DataFrame, max_span_tokens: int | None = None) -> DataFrame:
-    """note_id, source, tok_ix, token, label of every token."""
-    t, s = tokens_.alias("t"), spans_.alias("s")
-    hit = t.join(s, (F.col("t.note_id") == F.col("s.note_id")) & (F.col("t.source") == F.col("s.source")) & (F.col("t.end") > F.col("s.start")) & (F.col("t.start") < F.col("s.end")))
-    hit = hit.select("t.note_id", "t.source", "t.tok_ix", "s.ord", "s.label")
-    first = hit.groupBy("note_id", "source", "ord").agg(F.min("tok_ix").alias("first"), F.count("*").alias("n"))
-    if max_span_tokens is not None:
-        first = first.where(F.col("n") <= max_span_tokens)
-    marked = hit.join(first, ["note_id", "source", "ord"]).withColumn("mark", F.concat(F.when(F.col("tok_ix") == F.col("first"), F.lit("B-")).otherwise("I-"), F.col("label")))
-    last = marked.groupBy("note_id", "source", "tok_ix").agg(F.max_by("mark", "ord").alias("label"))
-    return tokens_.join(last, ["note_id", "source", "tok_ix"], "left").select("note_id", "source", "tok_ix", "token", F.coalesce("label", F.lit("O")).alias("label"))
+def foreign_annotations(rows: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
+    """note_id, source, seq, labels, selectors of annotations from elsewhere (note_id, seq, json) that can be read. blacklist: annotations of one of these types are left out."""
+    out = rows.select("note_id", "seq", parse_annotations(F.col("json")).alias("a")).where("a.error is null").select("note_id", "a.source", "seq", "a.types", "a.labels", "a.selectors")
+    if blacklist:
+        out = out.where(~F.coalesce(F.arrays_overlap("types", F.lit(blacklist)), F.lit(False)))
+    return out.drop("types")
 
 
-def own_annotations(items: DataFrame, type_whitelist: list[str] | None = None, blacklist: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(annotations, texts) of items, for spans(). type_whitelist: types of which a text's own item must have one; blacklist: also annotation types left out."""
-    from spanloom.operators.wadm import selectors
+def annotation_errors(rows: DataFrame) -> DataFrame:
+    """note_id, seq, error of the annotations that can't be read: no JSON, no object, or a part of a wrong type."""
+    return rows.select("note_id", "seq", parse_annotations(F.col("json"))["error"].alias("error")).where("error is not null")
 
-    if blacklist and "Annotation" in blacklist:
-        items = items.where(F.lit(False))
-    rows = items.select("note_id", F.col("doc").alias("source"), F.col("order_index").alias("seq"), F.col("types").alias("labels"), flat_selectors(selectors()).alias("selectors"))
-    texts = items.groupBy("note_id", F.col("doc").alias("source")).agg(F.first("container_text").alias("text"), F.min("order_index").alias("first_seq"))
-    if type_whitelist:
-        allowed = items.where(F.arrays_overlap("types", F.lit(type_whitelist))).select("note_id", F.col("order_index").alias("source"))
-        texts = texts.join(allowed, ["note_id", "source"], "left_semi")
-    return rows, texts
 
+def _graph(json_text: Column) -> Column:
+    return F.try_variant_get(F.try_parse_json(json_text), "$['@graph']", "array<variant>")
 
-def foreign_annotations(rows: DataFrame, blacklist: list[str] | None = None) -> DataFrame:
-    """Annotations from elsewhere (note_id, seq, json) for spans(). blacklist: annotations of one of these types are left out."""
-    out = rows.select("note_id", "seq", parse_annotations(F.col("json")).alias("a")).select("note_id", "a.source", "seq", "a.types", "a.labels", "a.selectors")
-    if blacklist:
-        out = out.where(~F.coalesce(F.arrays_overlap("types", F.lit(blacklist)), F.lit(False)))
-    return out.drop("types")
+
+def graph_errors(graphs: DataFrame) -> DataFrame:
+    """note_id, error of the JSON-LD documents that can't be read or have no list of resources."""
+    wrong = F.when(graphs["json"].isNull(), F.lit("graph is null")).when(F.try_parse_json(graphs["json"]).isNull(), F.lit("graph is no JSON")).when(_graph(graphs["json"]).isNull(), F.lit("graph has no list of resources in @graph"))
+    return graphs.select(graphs["note_id"], wrong.alias("error")).where("error is not null")
 
 
 def foreign_texts(graphs: DataFrame, annotations: DataFrame, type_whitelist: list[str] | None = None) -> DataFrame:
-    """Texts that annotations point to, for spans() and conll(): resources of JSON-LD graphs (note_id, json), by their id.
+    """note_id, source, text, first_seq of texts that annotations point to: resources of JSON-LD graphs (note_id, json), by their id.
 
     Of resources with one id the last with a text counts. type_whitelist: resources without one of these types are left out.
     """
-    one = F.posexplode(F.try_variant_get(F.parse_json("json"), "$['@graph']", "array<variant>")).alias("ix", "r")
     get = lambda field, kind: F.try_variant_get("r", f"$['{field}']", kind)
     types = F.coalesce(get("@type", "array<string>"), F.array(get("@type", "string")))
-    found = graphs.select("note_id", one).select("note_id", "ix", get("@id", "string").alias("source"), get("text", "string").alias("text"), types.alias("types"))
+    found = graphs.select("note_id", F.posexplode(_graph(F.col("json"))).alias("ix", "r")).select("note_id", "ix", get("@id", "string").alias("source"), get("text", "string").alias("text"), types.alias("types"))
     if type_whitelist:
         found = found.where(F.arrays_overlap("types", F.lit(type_whitelist)))
     texts = found.where("text is not null").groupBy("note_id", "source").agg(F.max_by("text", "ix").alias("text"))
     return texts.join(annotations.groupBy("note_id", "source").agg(F.min("seq").alias("first_seq")), ["note_id", "source"])
 
 
-def conll(bio_: DataFrame, texts: DataFrame) -> DataFrame:
-    """note_id, text: tokens and labels of each note's texts, in order of their first annotation, with an empty line behind each."""
-    line = F.concat_ws("\t", F.col("token"), F.col("label"))
-    per = bio_.groupBy("note_id", "source").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("tok_ix", line.alias("line")))), lambda x: x["line"]), "\n").alias("sentence"))
-    per = per.join(texts.select("note_id", "source", "first_seq"), ["note_id", "source"])
-    ordered = F.transform(F.array_sort(F.collect_list(F.struct("first_seq", "sentence"))), lambda x: F.concat(x["sentence"], F.lit("\n")))
-    return per.groupBy("note_id").agg(F.array_join(ordered, "\n").alias("text"))
+def foreign_sentences(annotations: DataFrame, texts: DataFrame, most: int | None = None, whitelist: list[str] | None = None, blacklist: list[str] | None = None) -> DataFrame:
+    """note_id, source, first_seq, tokens, labels of each text. annotations and texts: as foreign_annotations() and foreign_texts() give them. A text's annotations meet in its row."""
+    of_text = annotations.groupBy("note_id", "source").agg(F.array_sort(F.collect_list(F.struct("seq", "labels", "selectors"))).alias("own"))
+    rows = texts.where(F.length("text") > 0).join(of_text, ["note_id", "source"], "left").select("note_id", "source", "first_seq", "text", "own")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for text, own in zip(batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
+                first: dict[str, int] = {}
+                spans = [s for a in own or () for s in placed(text, _kept(a["labels"], whitelist, blacklist), a["selectors"], first)]
+                made.append(plain.bio(text, spans, most))
+            columns = [pa.array([m[i] for m in made], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], *columns], ["note_id", "source", "first_seq", "tokens", "labels"])
+
+    kinds = dict(rows.dtypes)
+    return rows.mapInArrow(run, f"note_id {kinds['note_id']}, source {kinds['source']}, first_seq {kinds['first_seq']}, tokens array<string>, labels array<string>")
+
+
+def gathered(sentences: DataFrame) -> DataFrame:
+    """A note's sentences as one array, for labelled() and conll()."""
+    return sentences.groupBy("note_id").agg(F.collect_list(F.struct("source", "first_seq", "tokens", "labels")).alias("sentences"))

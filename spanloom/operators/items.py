@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.text import cut, uuid_urn
+from spanloom.functions.text import uuid_urn
 from spanloom.operators.matching import text_of_node
-from spanloom.operators.resolve import WINDOW
 from spanloom.plans.mapping import Plan
 
 
@@ -26,26 +26,30 @@ def item_urn(index: Column, plan: Plan) -> Column:
     return F.when(index == 0, note_urn(plan)).when(index.isNotNull(), uuid_urn(F.col("note_id"), index))
 
 
-def items(resolved: DataFrame, plan: Plan) -> DataFrame:
-    """One row an item, with ids of what it refers to and its selector in its container."""
+def item_fields(i: Column, plan: Plan) -> Column:
+    """An entry of a note's items, with ids of what it refers to and its selector in its container."""
     types = F.array(*[_strings(list(r.types)) for r in plan.rules]) if plan.rules else F.array(F.array().cast("array<string>"))
     scalar = F.array(*[F.lit(r.scalar) for r in plan.rules]) if plan.rules else F.array(F.lit(False))
     regex, xpaths = _strings([r.regex for r in plan.rules]), _strings(list(plan.xpaths))
-    rows = resolved.select("note_id", "note_uri", "note_text", F.col("items").alias("_all"), F.explode("items").alias("i"))
-    rows = rows.select("note_id", "note_uri", "i.*", F.when(F.col("i.doc") == 0, F.col("note_text")).otherwise(F.get("_all", F.col("i.doc") - 1)["text"]).alias("container_text"))
-    selector = F.struct(
-        "start", "end",
-        cut(F.col("container_text"), F.greatest(F.col("start") - WINDOW, F.lit(0)), F.greatest(F.col("start"), F.lit(0))).alias("prefix"),
-        F.substring("container_text", F.col("end") + 1, F.lit(WINDOW)).alias("suffix"),
-        F.get(xpaths, F.col("xp")).alias("xpath"), F.get(regex, F.col("rule")).alias("regex"),
-    )
-    urn = lambda c: item_urn(F.col(c), plan).alias(f"{c}_id")
-    return rows.select(
-        "note_id", "order_index", "tree_index", "cls", item_urn(F.col("order_index"), plan).alias("id"), F.get(types, F.col("rule")).alias("types"), F.get(scalar, F.col("rule")).alias("types_scalar"), "text", "level",
-        note_urn(plan).alias("note_urn"), urn("structure"), urn("locator"), urn("quotation"), urn("doc"), "structure", "locator", "quotation", "doc", "same_as", "html", "container_text", selector.alias("selector"),
+    selector = F.struct(i["start"].alias("start"), i["end"].alias("end"), i["prefix"].alias("prefix"), i["suffix"].alias("suffix"), F.get(xpaths, i["xp"]).alias("xpath"), F.get(regex, i["rule"]).alias("regex"))
+    same = lambda *names: [i[n].alias(n) for n in names]
+    urns = [item_urn(i[c], plan).alias(f"{c}_id") for c in ("structure", "locator", "quotation", "doc")]
+    return F.struct(
+        *same("order_index", "tree_index", "cls"), item_urn(i["order_index"], plan).alias("id"), F.get(types, i["rule"]).alias("types"), F.get(scalar, i["rule"]).alias("types_scalar"), *same("text", "level"),
+        note_urn(plan).alias("note_urn"), *urns, *same("structure", "locator", "quotation", "doc", "same_as", "html"), selector.alias("selector"),
     )
 
 
+def in_row(resolved: DataFrame, plan: Plan, make: Callable[[Column], Column]) -> Column:
+    """What `make` gives for each item's fields, as an array in the note's row."""
+    return F.transform(F.transform("items", lambda i: item_fields(i, plan)), make)
+
+
+def items(resolved: DataFrame, plan: Plan) -> DataFrame:
+    """One row an item."""
+    return resolved.select("note_id", F.explode(F.transform("items", lambda i: item_fields(i, plan))).alias("i")).select("note_id", "i.*")
+
+
 def note_items(trees: DataFrame, plan: Plan) -> DataFrame:
     """The root item of each note; it needs the tree and no match."""
     return trees.select("note_id", note_urn(plan).alias("id"), _strings(list(plan.types)).alias("types"), F.lit(plan.types_scalar).alias("types_scalar"), text_of_node(F.col("raw"), F.get("nodes", F.lit(0))).alias("text"), F.col("ser").alias("html"))
@@ -70,13 +74,13 @@ def now() -> Column:
     return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx")
 
 
-def item_json(plan: Plan) -> Column:
-    """A row of items() as a JSON-LD object."""
+def item_json(i: Column, plan: Plan) -> Column:
+    """item_fields() as a JSON-LD object."""
     fields = {
-        "@type": variant_of(F.col("types"), F.col("types_scalar")), "@id": F.col("id"), "generatedAtTime": now(), "text": F.col("text"), "orderIndex": F.col("order_index"), "treeIndex": F.col("tree_index"),
-        "note": F.col("note_urn"), "structure": F.col("structure_id"), "locator": F.col("locator_id"), "quotation": F.col("quotation_id"), "doc": F.col("doc_id"), "sameAs": F.col("same_as"), "html": F.col("html"),
+        "@type": variant_of(i["types"], i["types_scalar"]), "@id": i["id"], "generatedAtTime": now(), "text": i["text"], "orderIndex": i["order_index"], "treeIndex": i["tree_index"],
+        "note": i["note_urn"], "structure": i["structure_id"], "locator": i["locator_id"], "quotation": i["quotation_id"], "doc": i["doc_id"], "sameAs": i["same_as"], "html": i["html"],
     }
-    return F.to_json(_merged(fields, plan.metadata, {"level": F.col("level")}))
+    return F.to_json(_merged(fields, plan.metadata, {"level": i["level"]}))
 
 
 def note_json(plan: Plan, has_uri: Column) -> Column:
@@ -87,9 +91,8 @@ def note_json(plan: Plan, has_uri: Column) -> Column:
 
 
 def jsonld(resolved: DataFrame, plan: Plan) -> DataFrame:
-    """note_id, json: the graph of each note. Items meet again by note, as each is an object of its own."""
+    """note_id, json: the graph of each note, made where its items are."""
     uri = F.coalesce("note_uri", F.lit(plan.note_uri).cast("string")).isNotNull()
-    root = resolved.select("note_id", note_urn(plan).alias("id"), _strings(list(plan.types)).alias("types"), F.lit(plan.types_scalar).alias("types_scalar"), F.col("note_text").alias("text"), F.col("ser").alias("html"), uri.alias("_uri")).select("note_id", F.lit(0).alias("order_index"), note_json(plan, F.col("_uri")).alias("json"))
-    rows = root.unionByName(items(resolved, plan).select("note_id", "order_index", item_json(plan).alias("json")))
-    graph = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_index", "json"))), lambda x: x["json"]), ",")
-    return rows.groupBy("note_id").agg(F.concat(F.lit('{"@context":' + plan.context + ',"@graph":['), graph, F.lit("]}")).alias("json"))
+    rows = resolved.withColumns({"id": note_urn(plan), "types": _strings(list(plan.types)), "types_scalar": F.lit(plan.types_scalar), "text": F.col("note_text"), "html": F.col("ser"), "_uri": uri})
+    graph = F.array_join(F.concat(F.array(note_json(plan, F.col("_uri"))), in_row(rows, plan, lambda i: item_json(i, plan))), ",")
+    return rows.select("note_id", F.concat(F.lit('{"@context":' + plan.context + ',"@graph":['), graph, F.lit("]}")).alias("json"))

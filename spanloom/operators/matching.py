@@ -1,11 +1,13 @@
 """XPath rules applied to trees: matches in document order, with texts, contexts and markup.
 
-XPaths run in the JVM and give seeds - which node, by which XPath - as one sorted array in the note's row: no join, no
-shuffle. Texts are slices of the note's streams; each node's is cut once, however many matches or children ask for it.
+Seeds - which node, by which XPath - are one sorted array in the note's row: of the structural joins where these can
+evaluate the mapping, else of the JVM's XPath; no shuffle either way. Texts are slices of the note's streams; each
+node's is cut once, however many matches or children ask for it.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,12 +18,11 @@ from spanloom.functions.plain import canonical as plain_canonical
 from spanloom.functions.plain import collapse as plain_collapse
 from spanloom.functions.plain import context as plain_context
 from spanloom.functions.text import canonical, cut
+from spanloom.operators.structural import LATE, NOBODY, programs
 from spanloom.plans.mapping import SAME_AS, Plan, anchored, branches, kind_of
-from spanloom.sources.notes import ids_of
+from spanloom.sources.html_tree import Streams, parse
+from spanloom.sources.notes import SEEDS_DDL, Built, ids_of
 
-#: Neither attributes nor texts have a place among the nodes: they come last.
-LATE = 2**31 - 1
-SEED = "array<struct<order:int,xp:int,pos:int,owner:int,value:string>>"
 FIELDS = [("order", pa.int32()), ("xp", pa.int32()), ("pos", pa.int32()), ("node", pa.int32()), ("tree_index", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("prefix", pa.string()), ("suffix", pa.string()), ("html", pa.string()), ("same_as", pa.string()), ("up", pa.list_(pa.int32()))]
 MATCHES = "array<struct<order:int,xp:int,pos:int,node:int,tree_index:int,tag:string,text:string,prefix:string,suffix:string,html:string,same_as:string,up:array<int>>>"
 
@@ -39,7 +40,10 @@ def _seeds(xpath: str, xp: int) -> list[Column]:
     """Seeds of one XPath; value is null for nodes."""
     out = []
     for branch in branches(xpath):
-        if kind_of(branch) != "node":
+        if kind_of(branch) == "value":
+            one = F.struct(F.lit(LATE).alias("order"), F.lit(xp).alias("xp"), F.lit(0).alias("pos"), F.lit(NOBODY).alias("owner"), F.xpath_string("xml", F.lit(branch)).alias("value"))
+            out.append(F.array(one))
+        elif kind_of(branch) != "node":
             path = anchored(branch, "//*[@__root]")
             owners = F.transform(F.xpath("xml", F.lit(f"({path})/../@__nid")), lambda x: x.cast("int"))
             out.append(_pairs(F.xpath("xml", F.lit(path)), owners, xp))
@@ -54,8 +58,10 @@ def _seeds(xpath: str, xp: int) -> list[Column]:
 
 def seeds(trees: DataFrame, plan: Plan) -> DataFrame:
     """note_id, note_uri, raw, ser, nodes, seeds, linked: `linked` has a custom sameAs path's result for each seed, and is null for the usual path."""
+    if programs(plan):
+        return trees.select("note_id", "note_uri", "raw", "ser", "nodes", "seeds", "linked")
     found = [s for i, x in enumerate(plan.xpaths) for s in _seeds(x, i)]
-    rows = trees.withColumn("seeds", F.array_sort(F.concat(*found)) if found else F.array().cast(SEED))
+    rows = trees.withColumn("seeds", F.array_sort(F.concat(*found)) if found else F.array().cast(SEEDS_DDL))
     linked = F.lit(None).cast("array<string>")
     if plan.same_as and plan.same_as != SAME_AS:
         path = F.lit(" | ".join(anchored(b, "/*") for b in branches(plan.same_as)))
@@ -70,7 +76,7 @@ class Cutter:
     def __init__(self, raw: str, ser: str, nodes: dict[str, list], plan: Plan):
         self.raw, self.ser, self.nodes, self.plan = raw, ser, nodes, plan
         self._texts: dict[int, str] = {}
-        self._links = [(i, h) for i, (t, h) in enumerate(zip(nodes["tag"], nodes["href"], strict=True)) if t == "a" and h is not None]
+        self._links = [i for i, (t, h) in enumerate(zip(nodes["tag"], nodes["href"], strict=True)) if t == "a" and h is not None]
 
     def text(self, node: int) -> str:
         if node not in self._texts:
@@ -78,11 +84,15 @@ class Cutter:
         return self._texts[node]
 
     def same_as(self, node: int) -> str | None:
-        last = self.nodes["last"][node]
-        return next((h for i, h in self._links if node <= i <= last), None) if self.plan.same_as else None
+        """The first link in a node's interval, found by bisection."""
+        at = bisect_left(self._links, node)
+        found = self.plan.same_as and at < len(self._links) and self._links[at] <= self.nodes["last"][node]
+        return self.nodes["href"][self._links[at]] if found else None
 
     def match(self, seed: dict, linked: str | None) -> dict:
         node, value = seed["owner"], seed["value"]
+        if node == NOBODY:  # one value of the whole note, with no place in it
+            return {n: None for n, _ in FIELDS} | {"order": seed["order"], "xp": seed["xp"], "pos": seed["pos"], "text": plain_collapse(value), "prefix": "", "suffix": "", "up": []}
         parent = self.nodes["parent"][node]
         own = self.text(node)
         prefix, suffix = plain_context(own, self.text(parent)) if parent >= 0 else ("", "")
@@ -93,11 +103,18 @@ class Cutter:
         custom = self.plan.same_as != SAME_AS
         return {
             "order": seed["order"], "xp": seed["xp"], "pos": seed["pos"], "node": node, "tree_index": None if value is not None else node, "tag": self.nodes["tag"][node],
-            "text": own if value is None else plain_canonical(value), "prefix": prefix, "suffix": suffix, "html": plain_collapse(self.ser[self.nodes["ser_start"][node] : self.nodes["ser_end"][node]]),
+            "text": own if value is None else text_of_value(value), "prefix": prefix, "suffix": suffix, "html": plain_collapse(self.ser[self.nodes["ser_start"][node] : self.nodes["ser_end"][node]]),
             "same_as": None if value is not None else linked if custom else self.same_as(node), "up": up,
         }
 
 
+def text_of_value(value: str) -> str:
+    """An attribute's or text's value as an item's text: markup in it is read as a fragment of its own."""
+    if ("<" in value or "&" in value) and value.strip():
+        value = Streams(*parse(value), with_xml=False).raw
+    return plain_canonical(value)
+
+
 def described(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[str, list[dict]]]:
     """The text of each note of a batch of seeds(), and its matches."""
     nodes = batch.column(4)
@@ -110,6 +127,16 @@ def described(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[str, list[dic
         yield cutter.text(0), [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
 
 
+def described_built(made: Built, plan: Plan) -> tuple[str, list[dict]]:
+    """The same of a note that was matched where it was built."""
+    rows = made.streams.rows
+    nodes = {"parent": [r.parent for r in rows], "last": [r.last for r in rows], "tag": [r.tag for r in rows], "href": [r.href for r in rows]}
+    nodes |= {f"{s}_{e}": [getattr(r, s)[i] for r in rows] for s in ("raw", "ser") for i, e in enumerate(("start", "end"))}
+    cutter, linked = Cutter(made.streams.raw, made.streams.ser, nodes, plan), made.linked
+    found = [dict(zip(("order", "xp", "pos", "owner", "value"), x, strict=True)) for x in made.seeds or ()]
+    return cutter.text(0), [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
+
+
 def matches(seeded: DataFrame, plan: Plan) -> DataFrame:
     """note_id, note_text, matches. up holds a match's node and its ancestors, nearest first."""
 

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.operators.structural import programs
 from spanloom.plans.mapping import Plan
 from spanloom.sources.html_tree import _escape_attribute
 from spanloom.sources.notes import ids_of
@@ -46,7 +47,11 @@ def rdfa(trees: DataFrame, plan: Plan) -> DataFrame:
     first: dict[int, str] = {}
     for r in plan.rules:
         first.setdefault(r.xp, " ".join(r.types))
-    hits = [_hits(x, xp, first[xp]) for xp, x in enumerate(plan.xpaths)]
+    if programs(plan):
+        types = F.array(*[F.lit(first.get(xp)) for xp in range(len(plan.xpaths))]) if plan.xpaths else F.array().cast("array<string>")
+        hits = [F.transform(F.filter("seeds", lambda s: s["value"].isNull()), lambda s: F.struct(s["owner"].alias("id"), s["xp"].alias("xp"), F.get(types, s["xp"]).alias("types")))]
+    else:
+        hits = [_hits(x, xp, first[xp]) for xp, x in enumerate(plan.xpaths)]
     hits_all = F.array_sort(F.concat(*hits)) if hits else F.array().cast("array<struct<id:int,xp:int,types:string>>")
     rows = trees.withColumn("hits", hits_all)
 

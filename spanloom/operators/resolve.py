@@ -7,7 +7,7 @@ a note is one row, and notes need no shuffle.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import pyarrow as pa
@@ -15,13 +15,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.plain import collapse
-from spanloom.operators.matching import described
+from spanloom.operators.matching import described, described_built
 from spanloom.plans.mapping import ITEM_CLASSES, Plan, Rule
+from spanloom.sources.notes import Source, build
 
 WINDOW = 30
 ITEM = [
     ("order_index", pa.int32()), ("tree_index", pa.int32()), ("rule", pa.int32()), ("xp", pa.int32()), ("cls", pa.string()), ("node", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
-    ("start", pa.int32()), ("end", pa.int32()), ("doc", pa.int32()), ("structure", pa.int32()), ("locator", pa.int32()), ("quotation", pa.int32()), ("level", pa.int32()), ("same_as", pa.string()), ("html", pa.string()),
+    ("start", pa.int32()), ("end", pa.int32()), ("doc", pa.int32()), ("structure", pa.int32()), ("locator", pa.int32()), ("quotation", pa.int32()), ("level", pa.int32()), ("same_as", pa.string()), ("html", pa.string()), ("prefix", pa.string()), ("suffix", pa.string()),
 ]
 ITEM_DDL = "array<struct<" + ",".join(f"{n}:{'string' if t == pa.string() else 'int'}" for n, t in ITEM) + ">>"
 DROPPED_DDL = "array<struct<xp:int,node:int,text:string>>"
@@ -39,6 +40,32 @@ def locate(text: str, prefix: str, suffix: str, within: str, window: int = WINDO
     return -1
 
 
+class Places:
+    """All places of a text in its container, by what stands around them, so that many matches with the same text are located without scanning for each."""
+
+    KEY = 8
+
+    def __init__(self, text: str, within: str, window: int = WINDOW):
+        self.around: list[tuple[int, str, str]] = []
+        self._by: dict[tuple[int, int], dict[tuple[str, str], list[tuple[int, str, str]]]] = {}
+        at = within.find(text)
+        while at >= 0:
+            end = at + len(text)
+            self.around.append((at, collapse(within[max(0, at - window) : at]), collapse(within[end : end + window])))
+            at = within.find(text, max(end, at + 1)) if at < len(within) else -1
+
+    def first(self, prefix: str, suffix: str) -> int:
+        """As locate(): the first place behind that prefix and before that suffix, white space aside; -1 if there is none."""
+        before, after = collapse(prefix), collapse(suffix)
+        i, j = min(self.KEY, len(before)), min(self.KEY, len(after))
+        if (i, j) not in self._by:
+            groups = self._by[i, j] = {}
+            for x in self.around:
+                groups.setdefault((x[1][-i:] if i else "", x[2][:j]), []).append(x)
+        own = self._by[i, j].get((before[-i:] if i else "", after[:j]), ())
+        return next((at for at, b, a in own if b.endswith(before) and a.startswith(after)), -1)
+
+
 def fragments(text: str, split: str | None, find: str | None) -> list[tuple[int, str]]:
     """(offset, fragment) of a match by a rule's split and find; the whole text if find has no hit in any part."""
     parts = [p for p in re.split(split, text) if p and p.strip()] if split else [text]
@@ -65,6 +92,13 @@ class _State:
     levels: dict[int, int] = field(default_factory=dict)
     structure: int | None = None
     locator: int | None = None
+    places: dict[tuple[int, str], Places] = field(default_factory=dict)
+
+    def locate(self, match: dict, container: int) -> int:
+        key = container, match["text"]
+        if key not in self.places:
+            self.places[key] = Places(match["text"], self.text(container))
+        return self.places[key].first(match["prefix"], match["suffix"])
 
     def text(self, item: int) -> str:
         return self.items[item - 1]["text"] if item else self.note_text
@@ -82,7 +116,7 @@ class _State:
         """The items of one match; False if it isn't found in its container."""
         container, quotation = self.container(match["up"])
         text = match["text"]
-        start = locate(text, match["prefix"], match["suffix"], self.text(container))
+        start = self.locate(match, container)
         if start < 0:
             return False
         for rule in rules:
@@ -90,7 +124,8 @@ class _State:
                 if rule.cls not in ITEM_CLASSES:
                     continue
                 me = len(self.items) + 1
-                item = {n: None for n, _ in ITEM} | {"order_index": me, "tree_index": match["tree_index"], "rule": rule.seq, "xp": match["xp"], "cls": rule.cls, "node": match["node"], "tag": match["tag"], "text": fragment, "start": start + offset, "end": start + offset + len(fragment), "doc": container, "structure": self.structure, "locator": self.locator, "quotation": quotation, "html": match["html"]}
+                within, at, end = self.text(container), start + offset, start + offset + len(fragment)
+                item = {n: None for n, _ in ITEM} | {"order_index": me, "tree_index": match["tree_index"], "rule": rule.seq, "xp": match["xp"], "cls": rule.cls, "node": match["node"], "tag": match["tag"], "text": fragment, "start": at, "end": end, "prefix": within[max(0, at - WINDOW) : max(0, at)], "suffix": within[end : end + WINDOW], "doc": container, "structure": self.structure, "locator": self.locator, "quotation": quotation, "html": match["html"]}
                 if rule.cls in ("Locator", "Structure", "Annotation"):
                     item["same_as"] = match["same_as"]
                 self.items.append(item)
@@ -111,27 +146,59 @@ class _State:
         return True
 
 
-def _fold(batches: Iterator[pa.RecordBatch], plan: Plan) -> Iterator[pa.RecordBatch]:
+def _by_xpath(plan: Plan) -> dict[int, list[Rule]]:
     by_xpath: dict[int, list[Rule]] = {}
     for rule in plan.rules:
         by_xpath.setdefault(rule.xp, []).append(rule)
     for own in by_xpath.values():
         own.sort(key=lambda r: {"Document": 0, "Quotation": 1}.get(r.cls, 2))
-    dropped_type = pa.list_(pa.struct([("xp", pa.int32()), ("node", pa.int32()), ("text", pa.string())]))
-    for batch in batches:
-        texts, items, dropped = [], [], []
-        for note_text, found in described(batch, plan):
-            state = _State(note_text)
-            dropped.append([{"xp": m["xp"], "node": m["node"], "text": m["text"]} for m in found if not state.take(m, by_xpath[m["xp"]])])
-            texts.append(note_text)
-            items.append(state.items)
-        yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), pa.array(texts, pa.string()), pa.array(items, pa.list_(pa.struct(ITEM))), pa.array(dropped, dropped_type)], ["note_id", "note_uri", "ser", "note_text", "items", "dropped"])
+    return by_xpath
+
+
+def folded(notes: Iterable[tuple[str, list[dict]]], plan: Plan) -> list[pa.Array]:
+    """(text, matches) of notes to columns note_text, items, dropped."""
+    by_xpath = _by_xpath(plan)
+    texts, items, dropped = [], [], []
+    for note_text, found in notes:
+        state = _State(note_text)
+        dropped.append([{"xp": m["xp"], "node": m["node"], "text": m["text"]} for m in found if not state.take(m, by_xpath[m["xp"]])])
+        texts.append(note_text)
+        items.append(state.items)
+    return [pa.array(texts, pa.string()), pa.array(items, pa.list_(pa.struct(ITEM))), pa.array(dropped, pa.list_(pa.struct([("xp", pa.int32()), ("node", pa.int32()), ("text", pa.string())])))]
+
+
+RESOLVED = ["note_id", "note_uri", "ser", "note_text", "items", "dropped"]
+_DDL = f"note_uri string, ser string, note_text string, items {ITEM_DDL}, dropped {DROPPED_DDL}"
 
 
 def resolve(seeded: DataFrame, plan: Plan) -> DataFrame:
     """note_id, note_uri, ser, note_text, items, dropped: one row a note."""
-    kind = dict(seeded.dtypes)["note_id"]
-    return seeded.mapInArrow(lambda b: _fold(b, plan), f"note_id {kind}, note_uri string, ser string, note_text string, items {ITEM_DDL}, dropped {DROPPED_DDL}")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *folded(described(batch, plan), plan)], RESOLVED)
+
+    return seeded.mapInArrow(run, f"note_id {dict(seeded.dtypes)['note_id']}, {_DDL}")
+
+
+def resolve_source(source: Source, plan: Plan) -> DataFrame:
+    """As resolve(), in one pass over notes whose XPaths are all structural. No node leaves its batch."""
+    parsed = source.parsed
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sers: list[str] = []
+
+            def notes(batch: pa.RecordBatch = batch, sers: list[str] = sers) -> Iterator[tuple[str, list[dict]]]:
+                for payload in batch.column(2).to_pylist():
+                    made = build(*parsed(payload), plan)
+                    sers.append(made.streams.ser)
+                    yield described_built(made, plan)
+
+            columns = folded(notes(), plan)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sers, pa.string()), *columns], RESOLVED)
+
+    return source.rows.mapInArrow(run, f"note_id {dict(source.rows.dtypes)['note_id']}, {_DDL}")
 
 
 def dropped_matches(resolved: DataFrame) -> DataFrame:

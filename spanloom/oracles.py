@@ -38,6 +38,10 @@ def _note(html: str) -> str:
     return _text(rf"regexp_replace(regexp_replace(regexp_replace({marked}, '<br>', E'\n', 'g'), '</(?:li|div|h1|p|article)>', E'\n', 'g'), '<[^>]*>', '', 'g')")
 
 
+#: Headings of three levels as spanloom.queries makes them: g and i give their order, last_a is the last link.
+_HEADS = rf"""h AS (SELECT page_id AS note_id, {_one('h1')} AS h1, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)<', 1) AS a, regexp_extract_all(html, '<p><b>([^<]*)<', 1) AS b, regexp_extract_all(html, '<div class="ad">([^<]*)<', 1) AS d FROM pages),
+r AS (SELECT note_id, h1, a[-1] AS last_a, 1 AS level, [h1] AS l, 1 AS g FROM h UNION ALL SELECT note_id, h1, a[-1], 2, a, 2 FROM h UNION ALL SELECT note_id, h1, a[-1], 3, b, 3 FROM h UNION ALL SELECT note_id, h1, a[-1], 2, d, 4 FROM h),
+u AS (SELECT note_id, h1, last_a, level, g, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM r), t AS (SELECT note_id, h1, {_text("last_a")} AS last_a, level, g, i, {_text("x")} AS x FROM u)"""
 _TOKENS = r"regexp_extract_all(t, '[\p{L}\p{N}_]+|[^\p{L}\p{N}_\s]')"
 
 ORACLES: dict[str, str] = {
@@ -61,9 +65,7 @@ SELECT note_id, generate_subscripts(m, 1)::INT AS k, unnest(m) AS text FROM m WH
     "current_state": _P1 + f"SELECT p.note_id, p.k::INT AS k, {_one('h1')} AS structure_text, {_one('title')} AS locator_text FROM p JOIN pages ON pages.page_id = p.note_id",
     "regex_mark_words": rf"""WITH t AS (SELECT page_id AS note_id, unnest(regexp_extract_all({_BODY}, '>([^<]+)', 1)) AS x FROM pages), w AS (SELECT note_id, x, unnest(regexp_extract_all(x, '[\p{{L}}\p{{N}}_]+')) AS text FROM t)
 SELECT note_id, text, count(*) AS n FROM w WHERE regexp_matches(text, '^[Tt]h') AND trim(x) <> text GROUP BY ALL""",
-    "heading_levels": rf"""WITH h AS (SELECT page_id AS note_id, {_one('h1')} AS h1, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)<', 1) AS a, regexp_extract_all(html, '<p><b>([^<]*)<', 1) AS b, regexp_extract_all(html, '<div class="ad">([^<]*)<', 1) AS d FROM pages),
-r AS (SELECT note_id, h1, a[-1] AS last_a, 1 AS level, [h1] AS l, 1 AS g FROM h UNION ALL SELECT note_id, h1, a[-1], 2, a, 2 FROM h UNION ALL SELECT note_id, h1, a[-1], 3, b, 3 FROM h UNION ALL SELECT note_id, h1, a[-1], 2, d, 4 FROM h),
-u AS (SELECT note_id, h1, last_a, level, g, generate_subscripts(l, 1) AS i, unnest(l) AS x FROM r), t AS (SELECT note_id, h1, {_text("last_a")} AS last_a, level, g, i, {_text("x")} AS x FROM u)
+    "heading_levels": rf"""WITH {_HEADS}
 SELECT note_id, row_number() OVER (PARTITION BY note_id ORDER BY g, i)::INT AS order_index, level, x AS text, CASE level WHEN 2 THEN h1 WHEN 3 THEN coalesce(last_a, h1) END AS above FROM t""",
     "jsonld_items": _P1 + "SELECT note_id, k::INT AS order_index, t AS text, 'Doc' AS type, true AS of_note FROM p",
     "wadm_items": _P1 + "SELECT note_id, k::INT AS order_index, t AS exact, length(t)::INT AS span, '//p' AS xpath, 'Doc' AS tag FROM p",
@@ -103,4 +105,13 @@ SELECT note_id, 'B-Lead' AS label, count(*) AS n FROM w GROUP BY 1 UNION ALL SEL
 SELECT note_id, CASE WHEN value IS NULL THEN 'SpecificResource' ELSE 'TextualBody' END AS type, CASE WHEN value IS NULL THEN 'identifying' ELSE 'tagging' END AS purpose, value, count(*) AS n FROM i GROUP BY note_id, value""",
     "wadm_scope": _P1 + f""", n AS (SELECT note_id, count(*) + count(*) FILTER (lead) AS deep FROM p GROUP BY 1), c AS (SELECT page_id AS note_id, {_LINKS} + 3 AS two FROM pages)
 SELECT note_id, 'identifying' AS motivation, scopes, n FROM (SELECT note_id, unnest([{{'scopes': 1, 'n': 1}}, {{'scopes': 2, 'n': two}}, {{'scopes': 3, 'n': deep}}], recursive := true) FROM c JOIN n USING (note_id))""",
+    "parsed_nodes_items": _P1 + "SELECT note_id, k::INT AS order_index, t AS text FROM p",
+    "attribute_matches": rf"""WITH l AS (SELECT page_id AS note_id, regexp_extract_all(html, '<li><a href="([^"]*)">', 1) AS h FROM pages), u AS (SELECT note_id, generate_subscripts(h, 1) AS k, unnest(h) AS h FROM l)
+SELECT note_id, k::INT AS k, {_text(_text("h"))} AS text, 'a' AS tag, true AS placeless FROM u""",
+    "scalar_matches": f"""SELECT page_id AS note_id, unnest([0, 1]) AS xp, unnest([{_one('title')}, trim({_LINKS} || '/1 ' || {_one('h1')})]) AS text FROM pages""",
+    "scalar_items": f"SELECT page_id AS note_id, {_one('title')} AS text, 0 AS doc, 0 AS start, true AS placeless FROM pages",
+    "foreign_conll_errors": _P1 + f""", w AS (SELECT note_id, k, len({_TOKENS}) AS n FROM p), x AS (SELECT note_id, max(CASE WHEN k % 2 = 0 THEN 1 ELSE 0 END) AS good FROM p GROUP BY 1),
+f AS (SELECT page_id AS note_id, len({_TOKENS.replace("(t,", "(note,")}) AS n FROM (SELECT page_id, {_note(_BODY)} AS note FROM pages))
+SELECT w.note_id, count(*) FILTER (k % 2 = 1) AS errors, (CASE WHEN any_value(good) = 1 THEN any_value(f.n) ELSE 0 END)::INT AS tokens, any_value(good) = 1 AS labelled FROM w JOIN x USING (note_id) JOIN f USING (note_id) GROUP BY w.note_id""",
+    "tei_divisions": rf"""WITH {_HEADS} SELECT note_id, CASE WHEN level = 3 AND last_a IS NULL THEN 2 ELSE level END AS depth, x AS text, count(*) AS n FROM t GROUP BY ALL""",
 }

@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.api import Conll, Engine, Result
+from spanloom.api import Conll, Engine, Result, foreign_conll, foreign_errors
 from spanloom.functions import text as text_functions
-from spanloom.operators import conll, matching, wadm
-from spanloom.sources.notes import nodes, read_pages
+from spanloom.operators import conll, matching
+from spanloom.sources.notes import elements, nodes, read_pages
 
 #: The pages' own markup: every class, a regex rule, split and find.
 MAPPING = {
@@ -107,9 +107,10 @@ def container_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def offset_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every item's text and the slice of its container that its selector names."""
-    rows = _run(spark, sf_dir, MAPPING).items
-    cut = text_functions.cut(F.col("container_text"), F.col("selector.start"), F.col("selector.end"))
-    return rows.groupBy("cls").agg(F.count("*").alias("n"), F.count_if(cut == F.col("text")).alias("aligned"))
+    container = lambda i: F.when(i["doc"] == 0, F.col("note_text")).otherwise(F.get("items", i["doc"] - 1)["text"])
+    checked = F.transform("items", lambda i: F.struct(i["cls"].alias("cls"), (text_functions.cut(container(i), i["start"], i["end"]) == i["text"]).alias("same")))
+    rows = _run(spark, sf_dir, MAPPING).resolved.select(F.explode(checked).alias("i"))
+    return rows.groupBy("i.cls").agg(F.count("*").alias("n"), F.count_if("i.same").alias("aligned"))
 
 
 def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -166,17 +167,17 @@ def _bio(options: Conll) -> Callable[[SparkSession, str], DataFrame]:
 
 
 def wadm_selectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wadm.annotations(_run(spark, sf_dir, PARAGRAPHS).items).select("note_id", "order_index", F.explode("selectors").alias("s"))
+    rows = _run(spark, sf_dir, PARAGRAPHS).annotations().select("note_id", "order_index", F.explode("selectors").alias("s"))
     return rows.select("note_id", "order_index", F.col("s.type").alias("type"), F.coalesce("s.exact", F.lit("")).alias("exact"), F.coalesce(F.col("s.end") - F.col("s.start"), F.lit(-1)).alias("span"), F.coalesce("s.value", F.lit("")).alias("value"))
 
 
 def wadm_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wadm.annotations(_run(spark, sf_dir, LEADS).items).select("note_id", F.explode("bodies").alias("b"))
+    rows = _run(spark, sf_dir, LEADS).annotations().select("note_id", F.explode("bodies").alias("b"))
     return rows.groupBy("note_id", F.col("b.type").alias("type"), F.col("b.purpose").alias("purpose"), F.col("b.value").alias("value")).agg(F.count("*").alias("n"))
 
 
 def wadm_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = wadm.annotations(_run(spark, sf_dir, MAPPING).items)
+    rows = _run(spark, sf_dir, MAPPING).annotations()
     return rows.groupBy("note_id", "motivation", F.size("scope").alias("scopes")).agg(F.count("*").alias("n"))
 
 
@@ -200,13 +201,17 @@ def conll_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run(spark, sf_dir, MAPPING).conll(Conll(max_span_tokens=10, type_whitelist=["Doc"], blacklist=["Key"]))
 
 
-def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Headings of three levels, made of each page's title, links and leads, with the text of the heading above."""
+def _headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Notes of headings of three levels, made of each page's title, links and leads."""
     pages = read_pages(spark, sf_dir)
     heads = lambda tag, pattern: F.transform(F.regexp_extract_all("html", F.lit(pattern), F.lit(1)), lambda x: F.concat(F.lit(f"<{tag}>"), x, F.lit(f"</{tag}>")))
     made = F.concat(heads("h1", "<h1>([^<]*)</h1>"), heads("h2", "<li><a href=\"[^\"]*\">([^<]*)<"), heads("h3", "<p><b>([^<]*)<"), heads("h2", "<div class=\"ad\">([^<]*)<"))
-    notes = pages.select("note_id", F.array_join(made, "").alias("html"), "note_uri")
-    rows = Engine({"Structure": {"xpath": "//h1 | //h2 | //h3"}}).parse(notes).items
+    return pages.select("note_id", F.array_join(made, "").alias("html"), "note_uri")
+
+
+def heading_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings of three levels, with the text of the heading above."""
+    rows = Engine({"Structure": {"xpath": "//h1 | //h2 | //h3"}}).parse(_headings(spark, sf_dir)).items
     above = rows.select("note_id", F.col("order_index").alias("structure"), F.col("text").alias("above"))
     out = rows.select("note_id", "order_index", "level", "text", "structure").join(above, ["note_id", "structure"], "left")
     return out.select("note_id", "order_index", "level", "text", "above")
@@ -250,13 +255,63 @@ def rdfa_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("note_id", F.split("t", " ")[0].alias("tag"), F.regexp_extract("t", "typeof=\"([^\"]*)$", 1).alias("types")).agg(F.count("*").alias("n"))
 
 
+def _unescaped(text: Column) -> Column:
+    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
+        text = F.replace(text, F.lit(name), F.lit(char))
+    return text
+
+
 def tei_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts of the paragraphs of the TEI, read back."""
     rows = _run(spark, sf_dir, PARAGRAPHS).tei().select("note_id", F.posexplode(F.regexp_extract_all("xml", F.lit(r"(?s)<tei:p [^>]*>(.*?)</tei:p>"), F.lit(1))).alias("k", "t"))
-    text = F.regexp_replace("t", "<[^>]*>", "")
-    for name, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&amp;", "&")):
-        text = F.replace(text, F.lit(name), F.lit(char))
-    return rows.select("note_id", (F.col("k") + 1).alias("order_index"), text.alias("text"))
+    return rows.select("note_id", (F.col("k") + 1).alias("order_index"), _unescaped(F.regexp_replace("t", "<[^>]*>", "")).alias("text"))
+
+
+def parsed_nodes_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """document_items of pages that come as a table of parsed nodes instead of markup."""
+    run = Engine(PARAGRAPHS).parse_nodes(elements(read_pages(spark, sf_dir)))
+    return run.items.select("note_id", "order_index", "text")
+
+
+def attribute_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values of attributes as matches, and the text of the element around each."""
+    run = _run(spark, sf_dir, {"Annotation": {"Href": {"xpath": "//li/a/@href"}}})
+    found = matching.matched_nodes(run.trees, run.plan)
+    return found.select("note_id", (F.col("pos") + 1).alias("k"), "text", "tag", F.col("tree_index").isNull().alias("placeless"))
+
+
+def scalar_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """XPaths that give one value: a string and numbers put together."""
+    run = _run(spark, sf_dir, {"Locator": {"xpath": "string(//title)"}, "Annotation": {"N": {"xpath": "concat(count(//li/a), '/', count(//h1), ' ', normalize-space(//h1))"}}})
+    return matching.matched_nodes(run.trees, run.plan).select("note_id", "xp", "text")
+
+
+def scalar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The item of a string value stands in the note, where its text is first found."""
+    rows = _run(spark, sf_dir, {"Locator": {"xpath": "string(//title)"}, "Structure": {"xpath": "//h1"}}).items
+    return rows.where("cls = 'Locator'").select("note_id", "text", "doc", F.col("selector.start").alias("start"), F.col("html").isNull().alias("placeless"))
+
+
+def foreign_conll_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Web annotations of paragraphs, read back as from elsewhere, every second one damaged in one of three ways: which are errors, and what labels the others give."""
+    run = _run(spark, sf_dir, PARAGRAPHS)
+    seq = F.col("ix").cast("int") + 1
+    whole = F.to_json("r")
+    damaged = F.when(seq % 6 == 1, F.concat(F.lit("{"), whole)).when(seq % 6 == 3, F.concat(F.lit("["), whole, F.lit("]"))).when(seq % 6 == 5, F.lit('{"target": {"source": 5, "selector": []}}')).otherwise(whole)
+    given = _graph(run.wadm()).select("note_id", seq.alias("seq"), damaged.alias("json"))
+    bad = foreign_errors(given, run.jsonld()).groupBy("note_id").agg(F.count("*").alias("errors"))
+    lines = foreign_conll(given, run.jsonld()).select("note_id", (F.size(F.split("text", "\n")) - F.size(F.split("text", "\n\n"))).alias("tokens"), F.contains("text", F.lit("\tB-Doc\n")).alias("labelled"))
+    return bad.join(lines, "note_id", "full").select("note_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("labelled", F.lit(False)).alias("labelled"))
+
+
+def tei_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heads of the TEI of headings of three levels, with how many divisions are around them."""
+    rows = Engine({"Structure": {"xpath": "//h1 | //h2 | //h3"}}).parse(_headings(spark, sf_dir)).tei()
+    # Divisions lie below TEI, text and body, two blanks a level.
+    pattern = r"(?m)^( *)<tei:div[^>]*>\n *<tei:head [^>]*>([^<]*)</tei:head>"
+    both = F.arrays_zip(F.regexp_extract_all("xml", F.lit(pattern), F.lit(1)).alias("blanks"), F.regexp_extract_all("xml", F.lit(pattern), F.lit(2)).alias("text"))
+    heads = rows.select("note_id", F.posexplode(both).alias("k", "h"))
+    return heads.select("note_id", (F.length("h.blanks") / 2 - 2).cast("int").alias("depth"), _unescaped(F.col("h.text")).alias("text")).groupBy("note_id", "depth", "text").agg(F.count("*").alias("n"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -302,4 +357,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "conll_lines": conll_lines,
     "rdfa_types": rdfa_types,
     "tei_paragraphs": tei_paragraphs,
+    "parsed_nodes_items": parsed_nodes_items,
+    "attribute_matches": attribute_matches,
+    "scalar_matches": scalar_matches,
+    "scalar_items": scalar_items,
+    "foreign_conll_errors": foreign_conll_errors,
+    "tei_divisions": tei_divisions,
 }

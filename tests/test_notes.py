@@ -186,8 +186,8 @@ def test_foreign_annotations(spark):
     df = spark.createDataFrame([(1, json.dumps(ann), 1)], "note_id long, j string, seq int").select("note_id", "seq", c.parse_annotations(F.col("j")).alias("a"))
     rows = df.select("note_id", "a.source", "seq", "a.labels", "a.selectors")
     texts = spark.createDataFrame([(1, "s", "Ann met Bob.", 1)], "note_id long, source string, text string, first_seq int")
-    labels = c.bio(c.tokens(texts), c.spans(rows, texts, whitelist=["Per"]))
-    assert c.conll(labels, texts).first()["text"] == "Ann\tB-Per\nmet\tB-Per\nBob\tB-Per\n.\tO\n"
+    labels = c.gathered(c.foreign_sentences(rows, texts, whitelist=["Per"]))
+    assert c.conll(labels).first()["text"] == "Ann\tB-Per\nmet\tB-Per\nBob\tB-Per\n.\tO\n"
 
 
 def test_parsed_elements(spark):
