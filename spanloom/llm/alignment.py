@@ -31,6 +31,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,11 +41,11 @@ from spanloom.llm.common import bound_batches, stage, table, text_of
 
 A_NAME, B_NAME, BLANK = "byte_bpe_50k.json", "piece_bpe_32k.model", "▁"
 #: Characters of a block, rows of a batch of dictionary entries, and segments of documents looked at together.
-BLOCK, ROWS, TOGETHER = 1 << 25, 1 << 15, 1 << 19
+BLOCK, ROWS, TOGETHER = 1 << 25, 1 << 15, 1 << 17
 _ODD = re.compile(rf"[\s{BLANK}] |\A | \Z|{BLANK}")
 _CUT = re.compile(rf"(?<=[^\s{BLANK}]) ++(?!\Z)")
 PARTS = "block long, part int, ids array<{kind}>, sizes array<int>, codes binary, idx int, segment string"
-ALIGNED = "block long, idx int, groups string, links binary"
+ALIGNED = "block long, idx int, groups binary"
 
 
 def segments(text: str) -> list[str]:
@@ -89,7 +91,7 @@ def number(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordB
             flat.extend(map(numbers.__getitem__, own))
             sizes.append(len(own))
             size += len(text)
-        yield made([batch.column(0).to_pylist()], [sizes], [np.array(flat, "i4").tobytes()], [], [])
+        yield made([batch.column(0).to_pylist()], [sizes], [squeezed(np.array(flat, "i4"))], [], [])
         part += 1
         if size >= limit:
             yield from dictionary()
@@ -132,81 +134,102 @@ def compile(a_name: str, b_name: str):
     return a, a_bytes, [len(x) for x in a_bytes], b, b_bytes, [len(x) for x in b_bytes]
 
 
-class Aligner:
-    """Aligns segments whose tokens have the same bytes on both sides, many at once: places where tokens end are common to all."""
+class Groups:
+    """Groups of aligned tokens as a stream of ids: a group's a, BAR, its b, END."""
 
     def __init__(self, a_sizes: list[int], b_sizes: list[int]):
         self.a_sizes, self.b_sizes, self.wide = np.array(a_sizes), np.array(b_sizes), len(b_sizes)
-        #: An id as text with what follows it: a token of its own side, the other side, or a group.
-        self.texts = [f"{i}{sign}" for i in range(max(len(a_sizes), len(b_sizes))) for sign in ",|;"]
-
-    def __call__(self, a: list[list[int]], b: list[list[int]]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Each segment's groups as 'a,a|b,b;a|b'; where its links begin, and all links, as rows n_a, n_b, n_groups, pairs (a * wide + b, with repeats)."""
-        n_a, n_b = np.array([*map(len, a)], "i8"), np.array([*map(len, b)], "i8")
+        most = max(len(a_sizes), len(b_sizes))
+        self.kind = np.dtype("u2" if most < 2**16 - 1 else "u4")
+        self.end = 2 ** (8 * self.kind.itemsize) - 1
+        self.bar = self.end - 1
+        #: An id, at its end or before another one of its side, then BAR and END, as text.
+        self.texts = [f"{i}{sign}" for i in range(most) for sign in ("", ",")] + ["|", ";"]
+
+    def align(self, a: list[list[int]], b: list[list[int]]) -> list[bytes]:
+        """Streams of segments whose tokens have the same bytes on both sides, many at once: the places where tokens end that both sides have cut the groups."""
+        n_a = np.array([*map(len, a)], "i8")
         flat_a, flat_b = (np.fromiter(itertools.chain.from_iterable(x), "i8") for x in (a, b))
         ends_a, ends_b = np.cumsum(self.a_sizes[flat_a]), np.cumsum(self.b_sizes[flat_b])
         cuts = np.intersect1d(ends_a, ends_b, assume_unique=True)
         of_a, of_b = np.searchsorted(cuts, ends_a), np.searchsorted(cuts, ends_b)
-        sizes_a, sizes_b = np.bincount(of_a, minlength=len(cuts)), np.bincount(of_b, minlength=len(cuts))
-        first_a, first_b = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes_a, sizes_b))
+        first_a, first_b = (np.concatenate([[0], np.cumsum(np.bincount(x, minlength=len(cuts)))]) for x in (of_a, of_b))
+        group = np.arange(len(cuts))
+        out = np.empty(len(flat_a) + len(flat_b) + 2 * len(cuts), self.kind)
+        out[np.arange(len(flat_a)) + first_b[of_a] + 2 * of_a] = flat_a
+        out[first_a[1:] + first_b[:-1] + 2 * group] = self.bar
+        out[np.arange(len(flat_b)) + first_a[of_b + 1] + 2 * of_b + 1] = flat_b
+        out[first_a[1:] + first_b[1:] + 2 * group + 1] = self.end
         groups = np.concatenate([[0], of_a[np.cumsum(n_a) - 1] + 1])
-        # Pairs of a group: each of its a with each of its b.
+        edges = (first_a[groups] + first_b[groups] + 2 * groups).tolist()
+        return [out[i:j].tobytes() for i, j in zip(edges, edges[1:], strict=False)]
+
+    def links(self, stream: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """n_a, n_b, n_groups of segments (edges: where their streams begin and end), where each one's links begin, and all links as a * wide + b, with repeats."""
+        bar, end = stream == self.bar, stream == self.end
+        before = np.cumsum(end) - end
+        second = np.cumsum(bar) > before
+        is_a, is_b = ~second & ~end, second & ~bar & ~end
+        flat_a, flat_b = stream[is_a].astype("i8"), stream[is_b].astype("i8")
+        n = int(end.sum())
+        sizes_a, sizes_b = (np.bincount(before[x], minlength=n) for x in (is_a, is_b))
         each = sizes_a * sizes_b
-        edges = np.concatenate([[0], np.cumsum(each)])
-        group = np.repeat(np.arange(len(cuts)), each)
-        within = np.arange(edges[-1]) - edges[group]
+        starts = np.concatenate([[0], np.cumsum(each)])
+        group = np.repeat(np.arange(n), each)
+        within = np.arange(starts[-1]) - starts[group]
+        first_a, first_b = (np.concatenate([[0], np.cumsum(x)]) for x in (sizes_a, sizes_b))
         pairs = flat_a[first_a[group] + within // sizes_b[group]] * self.wide + flat_b[first_b[group] + within % sizes_b[group]]
-        # A group's text: its a, then its b.
-        codes = np.empty(len(flat_a) + len(flat_b), "i8")
-        codes[np.arange(len(flat_a)) + first_b[of_a]] = flat_a * 3 + np.isin(ends_a, cuts, assume_unique=True)
-        codes[np.arange(len(flat_b)) + first_a[of_b + 1]] = flat_b * 3 + 2 * np.isin(ends_b, cuts, assume_unique=True)
-        parts, at = [*map(self.texts.__getitem__, codes.tolist())], [0, *np.cumsum(n_a + n_b).tolist()]
-        texts = ["".join(parts[i:j])[:-1] for i, j in zip(at, at[1:], strict=False)]
-        starts = edges[groups] + 3 * np.arange(len(groups))
-        links = np.empty(starts[-1], "i8")
-        links[starts[:-1]], links[starts[:-1] + 1], links[starts[:-1] + 2] = n_a, n_b, np.diff(groups)
-        links[_spread(starts[:-1] + 3, np.diff(edges[groups]))] = pairs
-        return texts, starts, links
+        groups = np.concatenate([[0], np.cumsum(end)])[edges]
+        return np.diff(first_a[groups]), np.diff(first_b[groups]), np.diff(groups), starts[groups], pairs
+
+    def as_text(self, stream: np.ndarray, edges: np.ndarray) -> list[str]:
+        """Each segment's groups as 'a,a|b,b;a|b'."""
+        most = len(self.texts) // 2 - 1
+        ids = stream.astype("i8")
+        token = ids < self.bar
+        codes = np.where(token, 2 * ids + np.append(token[1:], False), np.where(ids == self.bar, 2 * most, 2 * most + 1))
+        parts, at = [*map(self.texts.__getitem__, codes.tolist())], edges.tolist()
+        return ["".join(parts[i:j])[:-1] for i, j in zip(at, at[1:], strict=False)]
+
+
+@functools.cache
+def groups_of(a_name: str, b_name: str) -> Groups:
+    both = compile(a_name, b_name)
+    return Groups(both[2], both[5])
 
 
 def align(batches: Iterator[pa.RecordBatch], a_name: str, b_name: str) -> Iterator[pa.RecordBatch]:
     """block, idx, segment, in order of segment, to ALIGNED: each distinct segment is tokenised and aligned once, for all blocks that have it. groups is null where bytes differ."""
-    a, a_bytes, a_sizes, b, b_bytes, b_sizes = compile(a_name, b_name)
-    aligner, kind = Aligner(a_sizes, b_sizes), link_type(len(a_sizes), len(b_sizes))
-    last: tuple[str, str | None, bytes] | None = None
+    a, a_bytes, _, b, b_bytes, _ = compile(a_name, b_name)
+    made = groups_of(a_name, b_name)
+    last: tuple[str, bytes | None] | None = None
 
-    def once(segments_: list[str]) -> tuple[list[str | None], list[bytes]]:
+    def once(segments_: list[str]) -> list[bytes | None]:
         found_a = [x.ids for x in a.encode_batch([" " + s for s in segments_], add_special_tokens=False)]
         found_b = b.encode(segments_, num_threads=1)
         good = [b"".join([a_bytes[i] for i in x]) == b" " + s.encode() == b"".join([b_bytes[i] for i in y]) for s, x, y in zip(segments_, found_a, found_b, strict=True)]
-        groups: list[str | None] = [None] * len(good)
-        links = [np.zeros(3, kind).tobytes()] * len(good)
-        if any(good):
-            texts, starts, made = aligner(list(itertools.compress(found_a, good)), list(itertools.compress(found_b, good)))
-            made, starts = made.astype(kind), starts.tolist()
-            for n, i in enumerate(np.flatnonzero(good)):
-                groups[i], links[i] = texts[n], made[starts[n] : starts[n + 1]].tobytes()
-        return groups, links
+        streams = iter(made.align(list(itertools.compress(found_a, good)), list(itertools.compress(found_b, good))) if any(good) else ())
+        return [next(streams) if x else None for x in good]
 
     for batch in batches:
         coded = batch.column(2).dictionary_encode()
         known = coded.dictionary.to_pylist()
-        groups, links = [], []
-        held = last is not None and bool(known) and known[0] == last[0]
-        if held:
-            groups, links = [last[1]], [last[2]]
-        for at in range(int(held), len(known), ROWS):
-            more = once(known[at : at + ROWS])
-            groups += more[0]
-            links += more[1]
+        streams = [last[1]] if last is not None and known and known[0] == last[0] else []
+        for at in range(len(streams), len(known), ROWS):
+            streams += once(known[at : at + ROWS])
         if known:
-            last = known[-1], groups[-1], links[-1]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(groups, pa.string()).take(coded.indices), pa.array(links, pa.binary()).take(coded.indices)], ["block", "idx", "groups", "links"])
+            last = known[-1], streams[-1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(streams, pa.binary()).take(coded.indices)], ["block", "idx", "groups"])
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Integers as a zstandard frame, their low bytes apart from their high ones."""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(values.view("u1").reshape(-1, values.itemsize).T).tobytes())
 
 
-def link_type(a: int, b: int) -> str:
-    """Integers that hold a pair of ids of vocabularies of these sizes."""
-    return "i4" if a * b < 2**31 else "i8"
+def restored(frame: bytes, kind: str) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(frame), "u1").reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(planes.T).view(kind).ravel()
 
 
 def _sums(values: np.ndarray, codes: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -245,30 +268,32 @@ def _filled(columns: dict[str, list]) -> pa.Table:
     return pa.table([pa.array(columns.get(f.name, [None] * n), f.type) for f in _FIGURES], schema=_FIGURES)
 
 
-def figures(key: tuple, parts: pa.Table, known: pa.Table, kind: str) -> pa.Table:
+def figures(key: tuple, parts: pa.Table, known: pa.Table, made: Groups) -> pa.Table:
     """One block: its documents' figures by part, its segments' pairs in numbers of its own, and in how many of its documents each pair is."""
     block = key[0].as_py()
-    known = known.sort_by("idx")
-    bad = np.asarray(known.column("groups").is_null()).astype("i8")
-    groups = known.column("groups").to_pylist()
-    lists = known.column("links").to_pylist()
-    flat_links, edges = np.frombuffer(b"".join(lists), kind), np.concatenate([[0], np.cumsum([*map(len, lists)])]) // np.dtype(kind).itemsize
-    n_a, n_b, n_groups = (flat_links[edges[:-1] + i].astype("i8") for i in range(3))
-    sizes = np.diff(edges) - 3
-    first = np.concatenate([[0], np.cumsum(sizes)])
-    names, pairs = np.unique(flat_links[_spread(edges[:-1] + 3, sizes)], return_inverse=True)
+    column = known.sort_by("idx").column("groups")
+    bad = np.asarray(column.is_null()).astype("i8")
+    del known
+    edges = np.concatenate([[0], np.cumsum(pc.coalesce(pc.binary_length(column), 0).to_numpy())]) // made.kind.itemsize
+    stream = np.frombuffer(b"".join(x for x in column.to_pylist() if x), made.kind)
+    n_a, n_b, n_groups, first, linked = made.links(stream, edges)
+    names, pairs = np.unique(linked, return_inverse=True)
+    pairs = pairs.astype("i4")
+    del linked, column
+    texts = [t for at in range(0, len(bad), ROWS) for t in made.as_text(stream[edges[at] : edges[min(at + ROWS, len(bad))]], edges[at : at + ROWS + 1] - edges[at])]
+    del stream
     counts, out = np.zeros(len(names), "i8"), []
     for row in parts.select(["part", "sizes", "codes"]).to_pylist():
-        codes, ends = np.frombuffer(row["codes"], "i4"), np.concatenate([[0], np.cumsum(row["sizes"])]).astype("i8")
+        codes, ends = restored(row["codes"], "i4"), np.concatenate([[0], np.cumsum(row["sizes"])]).astype("i8")
         good = _sums(bad, codes, ends) == 0
         counts += documents_with(codes, ends, good, first, pairs, len(names))
         flat, digests = codes.tolist(), []
         for doc, fine in enumerate(good.tolist()):
             own = flat[ends[doc] : ends[doc + 1]]
-            digests.append(hashlib.sha256(";".join([groups[x] for x in own]).encode()).hexdigest() if fine and own else "")
-        mine = {c: [(_sums(v, codes, ends) * good).tolist()] for c, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", sizes))}
+            digests.append(hashlib.sha256(";".join([texts[x] for x in own]).encode()).hexdigest() if fine and own else "")
+        mine = {c: [(_sums(v, codes, ends) * good).tolist()] for c, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", np.diff(first)))}
         out.append(_filled(mine | {"block": [block], "part": [row["part"]], "digests": [digests]}))
-    out.append(_filled({"block": [block], "first": [first.tobytes()], "pairs": [pairs.astype("i4").tobytes()]}))
+    out.append(_filled({"block": [block], "first": [squeezed(np.diff(first))], "pairs": [squeezed(pairs)]}))
     if len(names):
         met = np.flatnonzero(counts)
         out.append(_filled({"block": [block] * len(met), "local": met, "pair": names[met], "n": counts[met]}))
@@ -279,7 +304,7 @@ def compose(key: tuple, parts: pa.Table, counted: pa.Table) -> pa.Table:
     """One block: codes, figures and segments' pairs of its parts with the corpus' counts of its pairs, to documents."""
     rows = parts.to_pylist()
     whole = next(r for r in rows if r["first"] is not None)
-    first, pairs = np.frombuffer(whole["first"], "i8"), np.frombuffer(whole["pairs"], "i4")
+    first, pairs = np.concatenate([[0], np.cumsum(restored(whole["first"], "i8"))]), restored(whole["pairs"], "i4")
     local, counts, best = (counted.column(c).to_numpy() for c in ("local", "count", "best"))
     of_pair = np.zeros((2, int(pairs.max(initial=-1)) + 1), "i8")
     of_pair[0, local], of_pair[1, local] = counts, best
@@ -291,7 +316,7 @@ def compose(key: tuple, parts: pa.Table, counted: pa.Table) -> pa.Table:
         if row["digests"] is None:
             continue
         own = codes_of[row["part"]]
-        codes, ends = np.frombuffer(own["codes"], "i4"), np.concatenate([[0], np.cumsum(own["sizes"])]).astype("i8")
+        codes, ends = restored(own["codes"], "i4"), np.concatenate([[0], np.cumsum(own["sizes"])]).astype("i8")
         good = np.array([bool(d) for d in row["digests"]])
         columns = [own["ids"], row["n_a"], row["n_b"], row["n_groups"], row["n_links"], (_sums(best_of, codes, ends) * good).tolist(), (_sums(count_of, codes, ends) * good).tolist(), row["digests"]]
         for column, values in zip(out, columns, strict=True):
@@ -303,8 +328,7 @@ def compose(key: tuple, parts: pa.Table, counted: pa.Table) -> pa.Table:
 def align_corpus(docs: DataFrame, key: str, text: str = "text", a: str = A_NAME, b: str = B_NAME, block: int = BLOCK) -> DataFrame:
     """key, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every row."""
     bound_batches(docs.sparkSession)
-    both = compile(a, b)
-    wide, numbers = len(both[4]), link_type(len(both[1]), len(both[4]))
+    wide = groups_of(a, b).wide
     rows = docs.select(docs[key].alias("doc_id"), text_of(docs, text).alias("text"))
     kind = dict(rows.dtypes)["doc_id"]
     numbered = stage(rows.mapInArrow(lambda x: number(x, block), PARTS.format(kind=kind)), "align-blocks")
@@ -314,7 +338,7 @@ def align_corpus(docs: DataFrame, key: str, text: str = "text", a: str = A_NAME,
     parts = numbered.where("codes is not null").select("block", "part", "ids", "sizes", "codes")
     # Named anew: a cogroup of tables of one origin mixes up columns of the same identity.
     fresh = lambda df: df.select(*[F.col(c).alias(c, metadata={}) for c in df.columns])
-    found = stage(parts.groupBy("block").cogroup(fresh(back).groupBy("block")).applyInArrow(lambda k, x, y: figures(k, x, y, numbers), FIGURES), "align-figures")
+    found = stage(parts.groupBy("block").cogroup(fresh(back).groupBy("block")).applyInArrow(lambda k, x, y: figures(k, x, y, groups_of(a, b)), FIGURES), "align-figures")
     local = found.where("pair is not null").select("block", "local", "pair", "n")
     totals = local.groupBy("pair").agg(F.sum("n").alias("count")).withColumn("a", F.floor(F.col("pair") / wide).cast("int"))
     totals = stage(totals, "align-pairs")

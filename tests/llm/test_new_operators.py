@@ -78,9 +78,19 @@ def test_segments_join_to_the_text():
         assert "".join(" " + s for s in alignment.segments(text)) == (" " + text if text else "")
 
 
-def test_pairs_beyond_32_bits_take_64():
-    assert alignment.link_type(50257, 32000) == "i4"
-    assert alignment.link_type(1 << 17, 1 << 17) == "i8"
+def test_larger_vocabularies_take_wider_streams():
+    sizes = [1] * 70_000
+    for made in (alignment.Groups([1, 2, 3], [1, 2, 3]), alignment.Groups(sizes, sizes)):
+        stream = made.align([[0, 1], [2]] if made.kind == "u2" else [[69_999, 1], [2]], [[1, 0], [2]] if made.kind == "u2" else [[1, 0], [2]])
+        import numpy as np
+
+        flat = np.frombuffer(b"".join(stream), made.kind)
+        edges = np.concatenate([[0], np.cumsum([len(x) // made.kind.itemsize for x in stream])])
+        assert made.as_text(flat, edges) == (["0,1|1,0", "2|2"] if made.kind == "u2" else ["69999|1;1|0", "2|2"])
+        n_a, n_b, n_groups, first, pairs = made.links(flat, edges)
+        assert (n_a.tolist(), n_b.tolist(), n_groups.tolist()) == ([2, 1], [2, 1], [1, 1] if made.kind == "u2" else [2, 1])
+        assert first.tolist() == [0, len(pairs) - 1, len(pairs)]
+        assert pairs[-1] == 2 * made.wide + 2
 
 
 def sql_phrases(rows):
