@@ -275,28 +275,39 @@ def figures(key: tuple, parts: pa.Table, known: pa.Table, made: Groups) -> pa.Ta
     bad = np.asarray(column.is_null()).astype("i8")
     del known
     edges = np.concatenate([[0], np.cumsum(pc.coalesce(pc.binary_length(column), 0).to_numpy())]) // made.kind.itemsize
-    stream = np.frombuffer(b"".join(x for x in column.to_pylist() if x), made.kind)
-    n_a, n_b, n_groups, first, linked = made.links(stream, edges)
-    names, pairs = np.unique(linked, return_inverse=True)
-    pairs = pairs.astype("i4")
-    del linked, column
-    texts = [t for at in range(0, len(bad), ROWS) for t in made.as_text(stream[edges[at] : edges[min(at + ROWS, len(bad))]], edges[at : at + ROWS + 1] - edges[at])]
+    stream = np.frombuffer(b"".join(column.drop_null().to_pylist()), made.kind)
+    del column
+    # A stretch of segments at a time, so that what is laid out for them stays small.
+    few, texts, n_each, n_links, linked = "i4" if made.wide * len(made.a_sizes) < 2**31 else "i8", [], [], [], []
+    for at in range(0, len(bad), ROWS):
+        own = edges[at : at + ROWS + 1] - edges[at]
+        part = stream[edges[at] : edges[at] + own[-1]]
+        *n, starts, pairs = made.links(part, own)
+        n_each.append(np.stack(n))
+        n_links.append(np.diff(starts))
+        linked.append(pairs.astype(few))
+        texts += made.as_text(part, own)
     del stream
+    n_a, n_b, n_groups = np.concatenate(n_each, axis=1) if n_each else np.zeros((3, 0), "i8")
+    first = np.concatenate([[0], np.cumsum(np.concatenate(n_links))]) if n_links else np.zeros(1, "i8")
+    names, pairs = np.unique(np.concatenate(linked) if linked else np.zeros(0, few), return_inverse=True)
+    del linked
+    pairs = pairs.astype("i4")
     counts, out = np.zeros(len(names), "i8"), []
     for row in parts.select(["part", "sizes", "codes"]).to_pylist():
         codes, ends = restored(row["codes"], "i4"), np.concatenate([[0], np.cumsum(row["sizes"])]).astype("i8")
         good = _sums(bad, codes, ends) == 0
         counts += documents_with(codes, ends, good, first, pairs, len(names))
-        flat, digests = codes.tolist(), []
+        digests = []
         for doc, fine in enumerate(good.tolist()):
-            own = flat[ends[doc] : ends[doc + 1]]
+            own = codes[ends[doc] : ends[doc + 1]].tolist()
             digests.append(hashlib.sha256(";".join([texts[x] for x in own]).encode()).hexdigest() if fine and own else "")
         mine = {c: [(_sums(v, codes, ends) * good).tolist()] for c, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", np.diff(first)))}
         out.append(_filled(mine | {"block": [block], "part": [row["part"]], "digests": [digests]}))
     out.append(_filled({"block": [block], "first": [squeezed(np.diff(first))], "pairs": [squeezed(pairs)]}))
     if len(names):
         met = np.flatnonzero(counts)
-        out.append(_filled({"block": [block] * len(met), "local": met, "pair": names[met], "n": counts[met]}))
+        out.append(_filled({"block": [block] * len(met), "local": met, "pair": names[met].astype("i8"), "n": counts[met]}))
     return pa.concat_tables(out)
 
 
