@@ -72,6 +72,8 @@ _SPDX |= {x: [x, f"{x}-only", f"{x}-or-later"] for x in ("GPL-2.0", "GPL-3.0", "
 TEMPLATES |= {f"{name}/spdx/{own}": f"SPDX-License-Identifier: {own}" for name, all_own in _SPDX.items() for own in all_own}
 #: Whole licence texts by name, without their copyright lines; read by the driver.
 FULL = {p.stem: p.read_text("utf-8") for p in sorted(Path(__file__).with_name("licence_texts").glob("*.txt"))}
+#: Places of a text whose windows are cut in one row.
+STEP = 1024
 BLANK_LINE = "\\n[ \\t\\r]*\\n"
 
 
@@ -160,16 +162,24 @@ def best_templates(units: DataFrame, keys: list[str], templates: Templates) -> D
     return best_of(scored.where(F.col("cosine") >= F.col("_enough")), keys)
 
 
-def windows(files: DataFrame, key: str, templates: Templates) -> DataFrame:
-    """key, unit, terms: of each template the runs of as many terms that hold an anchor and enough of it; at the text's ends they are shorter."""
-    rows = files.select(key, terms_of(F.col("_text")).alias("all")).withColumn("known", F.array_intersect("all", listed(sorted(templates.idf))))
+def windows(files: DataFrame, key: str, templates: Templates, step: int = STEP) -> DataFrame:
+    """key, unit, terms: of each template the runs of as many terms that hold an anchor and enough of it; at the text's ends they are shorter.
+
+    Texts are cut into stretches of `step` places, each with what a window from its last place reaches, so that a row
+    holds one stretch's windows at most. Equal windows of a text are one unit.
+    """
+    reach = max(templates.sizes.values(), default=1) - 1
+    stretches = lambda terms: F.transform(F.sequence(F.lit(0), F.floor(F.greatest(F.size(terms) - 1, F.lit(0)) / step).cast("int")), lambda i: F.struct(i.alias("n"), F.slice(terms, i * step + 1, F.lit(step + reach)).alias("all")))
+    rows = files.select(key, terms_of(F.col("_text")).alias("terms")).select(key, F.explode(stretches(F.col("terms"))).alias("s")).select(key, "s.n", "s.all")
+    rows = rows.withColumnRenamed("n", "stretch").withColumn("known", F.array_intersect("all", listed(sorted(templates.idf))))
     met = rows.join(F.broadcast(templates.shapes(files.sparkSession)), templates.reached(F.col("known")))
     at = F.filter(F.transform("all", lambda t, i: F.when(F.array_contains("anchors", t), i)), lambda i: i.isNotNull())
     starts = F.array_distinct(F.flatten(F.transform(at, lambda i: F.sequence(i - F.col("n") + 1, i))))
-    begun = met.select(key, "template", "n", "own", "shares", "all", F.explode(starts).alias("start"))
-    run = F.slice("all", F.greatest("start", F.lit(0)) + 1, F.col("n") + F.least("start", F.lit(0)))
-    cut = begun.select(key, "template", "own", "shares", "start", run.alias("terms")).where(templates.reached(F.col("terms")))
-    return cut.select(key, F.concat_ws(":", "template", "start").alias("unit"), "terms")
+    # A start before the stretch is the stretch's before, but at the text's beginning; one behind it is the next one's.
+    own = F.filter(starts, lambda i: (i < step) & ((i >= 0) | (F.col("stretch") == 0)))
+    runs = F.transform(own, lambda i: F.slice("all", F.greatest(i, F.lit(0)) + 1, F.col("n") + F.least(i, F.lit(0))))
+    cut = met.select(key, F.explode(F.filter(runs, templates.reached)).alias("terms"))
+    return cut.withColumn("unit", F.md5(F.array_join("terms", " "))).dropDuplicates([key, "unit"]).select(key, "unit", "terms")
 
 
 def header_licences(files: DataFrame, key: str, templates: Templates) -> DataFrame:
