@@ -4,9 +4,9 @@ A text is compressed with both, in blocks of BLOCK bytes so that a long text is
 its own past. The difference of the two sizes, divided by the larger, is the raw figure; a logistic curve fitted on
 labelled texts that the dictionaries haven't seen turns it into the probability of label 1.
 
-The fit reads a bounded sample: at most PER_CLASS labelled rows of each class, the first by a hash of the id. Of each
-that trains a dictionary, PIECES pieces of PIECE characters from all over the text are taken, chosen by a hash. The
-curve is fitted on the raw figures of whole texts, computed on executors. Scoring reads every whole text. Rows whose
+The fit reads a bounded sample: at most PER_CLASS labelled rows of each class, the first by a hash of the id, and these
+whole: those that train the dictionaries reach the driver, and of those that the curve is fitted on the raw figures,
+computed on executors. Scoring reads every whole text. Rows whose
 crc32(doc_id as text) mod 4 is 2 are never learnt from, and labels, language, source and id are no inputs of a score.
 
 Defined results: a null or empty text has raw figure 0; without labels of both classes, all scores are the share of
@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.common import bound_batches, table, text_of
 
-PER_CLASS, PIECE, PIECES, DICTIONARY, LEVEL, BLOCK, KEEP = 2000, 2048, 16, 1 << 16, 3, 4096, 0.7
+PER_CLASS, DICTIONARY, LEVEL, BLOCK, KEEP = 500, 1 << 16, 3, 4096, 0.7
 
 
 @dataclass(frozen=True)
@@ -104,23 +104,16 @@ def logistic(xs: list[float], ys: list[int]) -> tuple[float, float]:
     return max(a, 0.0), b
 
 
-def pieces(text: Column, h: Column) -> Column:
-    """Up to PIECES pieces of a text in their order, chosen by a hash; the whole text where it has no more."""
-    n = F.greatest(F.lit(1), F.ceil(F.length(text) / PIECE)).cast("int")
-    drawn = F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.struct(F.xxhash64(h, i).alias("by"), i.alias("i")))), 1, PIECES)
-    return F.array_join(F.transform(F.array_sort(F.transform(drawn, lambda x: x["i"])), lambda i: F.substring(text, i * PIECE + 1, F.lit(PIECE))), "")
-
-
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
     """docs: doc_id, text; labels: doc_id, quality. Half of the sample trains the dictionaries, half the curve."""
     may = labels.select(labels["doc_id"].alias("_id"), labels["quality"].cast("int").alias("_y")).where(~held_out(F.col("_id")) & F.col("_id").isNotNull() & F.col("_y").isin(0, 1)).withColumn("_h", F.xxhash64("_id"))
     pick = [may.where(F.col("_y") == y).orderBy("_h", "_id").limit(per_class) for y in (0, 1)]
     sample = pick[0].unionByName(pick[1])  # at most 2 * per_class rows
-    # Lists of the sample that reach the driver hold pieces or figures, in one order.
+    # Lists of the sample that reach the driver hold texts or figures, in one order.
     rows = docs.select(docs["doc_id"], text_of(docs).alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("_id")).select("_h", "_y", F.xxhash64("text").alias("_t"), "text")
     first = lambda what, of: of.select("_h", "_y", "_t", what.alias("_x")).orderBy("_h", "_y", "_t").limit(2 * per_class).collect()
     learnt = F.col("_h").bitwiseAND(1) == 1
-    whole = first(F.when(learnt, pieces(F.col("text"), F.col("_h"))), rows)
+    whole = first(F.when(learnt, F.col("text")), rows)
     ones = sum(r["_y"] for r in whole)
     if not ones or ones == len(whole):
         share = (ones + 1e-9) / (len(whole) + 2e-9)
