@@ -5,10 +5,10 @@ number, so tiles are equal whatever the ids and no vector is hot. A tile holds a
 one matrix product in 64-bit floats while no sum can reach 2^53, else of Python integers, and keeps each query's k best
 by partial selection. The lists of a row of tiles merge in FAN-fold levels of a tree.
 
-Defined results: vectors that are null, empty or hold null or non-finite components take no part; shorter vectors
-count as if filled with zeros; repeated rows are rows of their own, and a query leaves out its own row only; null ids
-are no queries and sort last among ties; other columns aren't read; an empty table gives no rows. Bound: components
-times scale and scores of a result lie below 2^63; others fail the query, none is rounded.
+Defined results: vectors that are null, or hold null or non-finite components or one that is 2^63 or more when scaled,
+take no part; shorter vectors count as if filled with zeros, empty ones too; a score beyond 64 bits counts as the
+largest or smallest 64-bit integer; repeated rows are rows of their own, and a query leaves out its own row only; null ids
+are no queries and sort last among ties; other columns aren't read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,6 +28,9 @@ from spanloom.llm.common import bound_batches, stage, table
 QUERIES, VECTORS, LEAST, COLUMNS, BLOCK, FAN = 8192, 1 << 16, 1 << 10, 16, 128, 16
 
 
+LARGEST = 2**63 - 1
+
+
 def tile(k: int) -> Callable:
     def best(key: tuple, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         """Each query's k best vectors of the tile: highest score, then smallest place among the vectors in order of id."""
@@ -46,6 +49,8 @@ def tile(k: int) -> Callable:
             query_rows, query_ids = queries.column("row").to_pylist(), queries.column("id").to_pylist()
             for at in range(0, len(q), BLOCK):
                 scores = q[at : at + BLOCK] @ v.T
+                if not exact:
+                    scores = np.vectorize(lambda x: min(max(x, -LARGEST - 1), LARGEST), otypes=[object])(scores) if scores.size else scores
                 for i, line in enumerate(scores):
                     if exact:
                         floor = np.partition(line, n - take)[n - take]
@@ -67,7 +72,7 @@ def _dense(column: pa.ChunkedArray, width: int, kind: str | type) -> np.ndarray:
     column = column.combine_chunks()
     sizes = pc.list_value_length(column).to_numpy()
     flat, ends = column.flatten().to_numpy(zero_copy_only=False).astype(kind), np.cumsum([0, *sizes])
-    if (sizes == width).all():
+    if width and (sizes == width).all():
         return flat.reshape(-1, width)
     out = np.zeros((len(column), width), kind)
     for i, (a, b) in enumerate(zip(ends, ends[1:], strict=False)):
@@ -79,10 +84,9 @@ def top_k(vectors: DataFrame, key: str, values: str, is_query: Column, k: int, s
     """query_id, rank, vec_id, score: of each row that is_query the k rows with the highest inner products of floor(scale * x), without its own."""
     spark = vectors.sparkSession
     bound_batches(spark)
-    sound = F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)))
+    sound = F.col("v").isNotNull() & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(math.inf)) & (F.abs(x * scale) < 2.0**63))
     rows = vectors.select(vectors[key].alias("id"), vectors[values].cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("asks"))
-    beyond = F.raise_error(F.lit("a component times scale is 2^63 or more")).cast("long")
-    whole = F.transform("v", lambda x: F.when(F.abs(x * scale) >= 2.0**63, beyond).otherwise(F.floor(x * scale).cast("long")))
+    whole = F.transform("v", lambda x: F.floor(x * scale).cast("long"))
     rows = rows.where(sound).select("id", whole.alias("v"), "asks").withColumn("row", F.monotonically_increasing_id())
     rows = stage(rows, "topk-vectors")
     asked, total = rows.agg(F.count_if("asks"), F.count("*")).first()
