@@ -76,13 +76,14 @@ def slots(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.
 class Mix:
     """The parts of a mix: docs (with source sizes and places in the streams), blocks and schedule."""
 
-    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block: int = BLOCK, times: int = TIMES):
-        """docs: doc_id, text, source. weights: by source in code point order, null last; 1, 2, 3, repeating, by default."""
+    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block: int = BLOCK, times: int = TIMES, row: str | None = None, tie: str | None = None):
+        """docs: doc_id, text, source. weights: by source in code point order, null last; 1, 2, 3, repeating, by default. row: a column of unique numbers, else rows are numbered here; tie: one of numbers that order rows of one id and text ahead of these."""
         spark = docs.sparkSession
         bound_batches(spark)
         size = F.arrow_udf(count_words, T.LongType())(text_of(docs))
-        rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of(docs)).alias("hash"))
-        self.rows = rows = stage(rows.withColumn("row", F.monotonically_increasing_id()), "mix-rows")
+        number, ahead = docs[row].cast("long") if row else F.monotonically_increasing_id(), docs[tie].cast("long") if tie else F.lit(0).cast("long")
+        rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of(docs)).alias("hash"), ahead.alias("tie"), number.alias("row"))
+        self.rows = rows = stage(rows, "mix-rows")
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
         found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
         sizes = [r["size"] for r in found]
@@ -100,13 +101,13 @@ class Mix:
             self.bounds[np.flatnonzero(wanted)[-1] if total else -1 :] = POINTS
         # Places in a source's stream: buckets of the shuffled order, each source's buckets summed up, then rows in a bucket.
         most = max((r["docs"] for r in found), default=1)
-        rows = rows.join(F.broadcast(self.sources), rows["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
+        rows = rows.join(self.sources, rows["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
         shuffled = F.xxhash64("doc_id", "hash")
         rows = rows.withColumn("key", shuffled).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(-(-most // BUCKET))).cast("int"))
         buckets = prefix_sums(rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")), ["source_no"], "bucket", "words", "before").select("source_no", "bucket", "before")
         rows = rows.join(buckets, ["source_no", "bucket"])
-        within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "row").rowsBetween(Window.unboundedPreceding, -1)
-        self.docs = rows.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("key", "bucket", "before")
+        within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
+        self.docs = rows.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("key", "bucket", "before", "tie")
 
     def pieces(self) -> DataFrame:
         """Each document's part of each block that it reaches: block b of n holds the words from b * size div n to (b + 1) * size div n of its source."""
@@ -130,7 +131,7 @@ class Mix:
         # The slots are drawn again, from where earlier chunks end: what is joined has a row a chunk.
         counts = stage(counts, "mix-chunks")
         ranked = draw(chunks.join(counts, F.col("id") == F.col("chunk"), "left").select("id", "begin", "end", "bases"))
-        ranked = ranked.join(F.broadcast(self.sources.select("source_no", "n_blocks")), "source_no")
+        ranked = ranked.join(self.sources.select("source_no", "n_blocks"), "source_no")
         return ranked.select("slot", "source_no", F.expr("rank % n_blocks").alias("block"), F.expr("rank div n_blocks").alias("pass")).where(F.col("pass") < self.times)
 
     def taken(self) -> DataFrame:
@@ -143,7 +144,7 @@ def mix(docs: DataFrame, weights: list[float] | None = None, block: int = BLOCK,
     """doc_id, size, source_size, target, taken of every row of `docs`."""
     plan = Mix(docs, weights, block, times)
     taken = plan.taken().groupBy("row").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken"))
-    out = plan.rows.join(F.broadcast(plan.sources), plan.rows["source"].eqNullSafe(plan.sources["source"])).join(taken, "row", "left")
+    out = plan.rows.join(plan.sources, plan.rows["source"].eqNullSafe(plan.sources["source"])).join(taken, "row", "left")
     return out.select("doc_id", plan.rows["size"], "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
 
 
