@@ -1,6 +1,8 @@
 """The corpus operators against brute force on small tables with nulls, empty and long texts, ties, repeated rows and clashing names."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import Counter
@@ -419,6 +421,21 @@ class TestQuality:
         held = [r for r in classify(frame(spark, rows), labels).collect() if r["held_out"]]
         assert min(r["score"] for r in held if r["doc_id"] % 3) > max(r["score"] for r in held if not r["doc_id"] % 3) + 0.5
 
+    def test_the_fit_against_brute_force(self, corpus):
+        """Dictionaries from the whole texts of the sampled half, and the curve fitted on the other half's figures."""
+        from spanloom.llm.quality import dictionary, difference, fit, logistic
+
+        docs, labels = corpus
+        sample = labels.where("quality is not null").selectExpr("doc_id", "quality", "xxhash64(doc_id) AS h").join(docs, "doc_id").collect()
+        sample = [r for r in sample if zlib.crc32(str(r["doc_id"]).encode()) % 4 != 2]
+        picked = sorted((r for y in (0, 1) for r in sorted((r for r in sample if r["quality"] == y), key=lambda r: (r["h"], r["doc_id"]))[:60]), key=lambda r: r["h"])
+        good, bad = (dictionary([r["text"].encode() for r in picked if r["h"] & 1 and r["quality"] == y]) for y in (1, 0))
+        curve = [r for r in picked if not r["h"] & 1]
+        slope, offset = logistic([difference((r["text"] or "").encode(), good, bad) for r in curve], [r["quality"] for r in curve])
+        model = fit(docs, labels, per_class=60)
+        assert (model.good, model.bad) == (good, bad)
+        assert (model.slope, model.offset) == pytest.approx((slope, offset))
+
     def test_one_class_and_nothing(self, corpus, spark, empty):
         from spanloom.llm.quality import classify, keep_good
 
@@ -441,11 +458,11 @@ class TestTopK:
         rows += [(i, rows[40][1]) for i in range(200, 260)]  # ties
         rows += [(300, None), (320, [1.0, None]), (340, [float("nan")] * 6), (360, [float("inf")] * 6), (380, []), (40, rows[40][1]), (None, rows[3][1])]
         df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-        sound = [(r, i, [int(np.floor(64 * x)) for x in v]) for r, (i, v) in enumerate(rows) if v and all(x is not None and np.isfinite(x) for x in v)]
+        sound = [(r, i, [int(np.floor(64 * x)) for x in v]) for r, (i, v) in enumerate(rows) if v is not None and all(x is not None and np.isfinite(x) for x in v)]
         want = Counter()
         for r, i, q in sound:
             if i is not None and i % 20 == 0:
-                best = sorted(((-int(np.dot(q, v)), (j is None, j or 0), j) for s, j, v in sound if s != r))[:20]
+                best = sorted(((-sum(a * b for a, b in zip(q, v, strict=False)), (j is None, j or 0), j) for s, j, v in sound if s != r))[:20]
                 want.update((i, k + 1, j, -s) for k, (s, _, j) in enumerate(best))
         for size in (16, 1 << 16):
             got = top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20, queries=3, size=size)
@@ -477,10 +494,21 @@ class TestTopK:
         assert max(s for *_, s in want) > 2**53
         got = top_k(df, "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20)
         assert sorted(map(tuple, got.collect())) == sorted(want)
-        for value in (2.0**57, 2.0**40):  # a component, and a score
-            beyond = spark.createDataFrame([(0, [value]), (1, [value])], "vec_id long, embedding array<double>")
-            with pytest.raises(Exception, match="2\\^63|too (big|large)|out of|overflow"):
-                top_k(beyond, "vec_id", "embedding", F.col("vec_id") == 0, 20).collect()
+
+    def test_values_beyond_64_bits_end_nothing(self, spark):
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.topk import top_k
+
+        rows = [(0, [1.0, 1.0]), (1, [2.0, 1.0]), (2, [1e18, 1.0]), (3, [1e300, 0.0]), (4, [-(2.0**40), 0.0]), (5, [2.0**40, 0.0]), (20, [2.0**40, 0.0]), (6, []), (7, None), (8, [float("nan"), 0.0])]
+        got = top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding", F.col("vec_id") % 20 == 0, 20).collect()
+        ints = {i: [math.floor(64 * x) for x in v] + [0] * (2 - len(v)) for i, v in rows if i in (0, 1, 4, 5, 6, 20)}
+        want = []
+        for q in (0, 20):
+            scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], v, strict=True)))), i) for i, v in ints.items() if i != q)
+            want += [(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)]
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert max(s for *_, s in want) == 2**63 - 1
 
 
 class TestLicences:
@@ -603,6 +631,32 @@ class TestLicences:
             assert re.search(t.pattern, TEMPLATES[name]) and re.findall(TERM, TEMPLATES[name].lower())
 
 
+class TestLongLicences:
+    def test_a_notice_repeated_thousands_of_times(self, spark):
+        import time
+
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.licenses import scan
+
+        notice = "This work is licensed under the GNU General Public License, version 3. "
+        df = spark.createDataFrame([(1, "d/1", notice * 3500), (2, "d/2", "word " * 3000 + notice + "word " * 2000)], "id long, path string, text string")
+        begun = time.time()
+        got = {r["id"]: (r["licence"], r["via"], r["cosine"]) for r in scan(df, "id", "path", "text", F.lit(False)).collect()}
+        assert {(x[0], x[1]) for x in got.values()} == {("GPL-3.0", "header")} and min(x[2] for x in got.values()) > 0.99
+        assert time.time() - begun < 60
+
+    def test_stretches_lose_no_window(self, spark):
+        from spanloom.llm.licenses import Templates, windows
+
+        templates = Templates({"the": 90, "a": 80, "of": 70}, 100, {"X": "alpha of beta gamma", "Y": "the delta alpha of a beta"})
+        draw = random.Random(8)
+        texts = [(i, " ".join(draw.choice(["alpha", "beta", "gamma", "delta", "the", "a", "of", "x"]) for _ in range(draw.randrange(40)))) for i in range(60)]
+        df = spark.createDataFrame(texts, "_row long, _text string")
+        every = lambda step: sorted((r["_row"], *r["terms"]) for r in windows(df, "_row", templates, step).collect())
+        assert every(3) == every(7) == every(1 << 20) and len(every(7)) > 100
+
+
 class TestMixing:
     def test_targets(self):
         from spanloom.llm.mixing import targets
@@ -650,6 +704,46 @@ class TestMixing:
             assert at == 7 * i % 90
 
 
+    def test_taken_against_brute_force(self, spark):
+        """Slots drawn one by one, and blocks cut from each source's shuffled stream of words."""
+        from pyspark.sql import functions as F
+
+        from spanloom.llm.mixing import GOLDEN, POINTS, mix, targets
+
+        block, rows = 8, [(i, " ".join(f"w{j}" for j in range(i * 7 % 23)), [None, "a", "b", "c"][i % 4]) for i in range(160)]
+        df = frame(spark, rows)
+        got = {r["doc_id"]: r["taken"] for r in mix(df, block=block).collect()}
+        keys = {r["doc_id"]: r["k"] for r in df.select("doc_id", F.xxhash64("doc_id", F.xxhash64("text")).alias("k")).collect()}
+        names = ["a", "b", "c", None]
+        own = {s: sorted((r for r in rows if r[2] == s), key=lambda r: ((keys[r[0]] >> 20) % 1, keys[r[0]])) for s in names}
+        size = {s: sum(len(t.split()) for _, t, _ in own[s]) for s in names}
+        goal = targets([size[s] for s in names], [1, 2, 3, 1])
+        blocks = [max(1, round(size[s] / block)) for s in names]
+        wanted = [g / size[s] * n for g, s, n in zip(goal, names, blocks, strict=True)]
+        bounds = [math.floor(sum(wanted[: i + 1]) / sum(wanted) * POINTS) for i in range(4)]
+        bounds[-1] = POINTS
+        seen, times = Counter(), Counter()
+        for slot in range(round(sum(wanted))):
+            s = next(i for i, b in enumerate(bounds) if (slot % POINTS) * GOLDEN % POINTS < b)
+            if seen[s] < 3 * blocks[s]:
+                times[s, seen[s] % blocks[s]] += 1
+            seen[s] += 1
+        want = Counter()
+        for s, name in enumerate(names):
+            stream = [i for i, t, _ in own[name] for _ in t.split()]
+            for b in range(blocks[s]):
+                for i in stream[b * size[name] // blocks[s] : (b + 1) * size[name] // blocks[s]]:
+                    want[i] += times[s, b]
+        assert got == {i: want[i] for i, _, _ in rows}
+
+    def test_many_sources(self, spark):
+        from spanloom.llm.mixing import mix
+
+        df = spark.range(20_000).selectExpr("id AS doc_id", "'a b c' AS text", "concat('s', id) AS source")
+        got = mix(df).groupBy().agg({"taken": "sum", "target": "sum", "size": "sum"}).first()
+        assert got["sum(size)"] == 60_000 and got["sum(target)"] == pytest.approx(60_000) and abs(got["sum(taken)"] - 60_000) < 3_000
+
+
 class TestComponents:
     def test_chains_and_cliques(self, spark):
         from spanloom.llm.components import components

@@ -71,3 +71,15 @@ def test_empty_documents(spark, corpus):
     for name, step in pipeline.STAGES:
         docs = stage(step(spark, docs, corpus), f"empty-{name}")
         assert docs.count() == 0
+
+
+def test_rows_of_one_id_and_text_take_turns_of_their_own(spark, corpus):
+    rows = [(7, "one two three four five six seven eight", "en", "a", 39), (7, "one two three four five six seven eight", "de", "b", 39), (7, "one two three four five six seven eight", "fr", "b", 39), (8, "nine ten " * 40, "en", "a", 360), (9, "x " * 90, "en", "b", 180)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    first, second = (sorted(tuple(r) for r in pipeline.mixing(spark, docs.repartition(n, "lang"), corpus).collect()) for n in (1, 3))
+    assert first == second
+    words = Counter()
+    for _, text, _, source, _ in first:
+        words[source] += len(text.split())
+    assert abs(words["b"] - 2 * words["a"]) <= 3 * 64
+    assert {(r[0], r[2], r[3]) for r in first} <= {(r[0], r[2], r[3]) for r in rows}
