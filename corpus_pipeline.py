@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import bound_batches, stage, table, text_of
+from spanloom.llm.common import bound_batches, stage, table
 from spanloom.llm.exact_dedup import keep_largest
 from spanloom.llm.mixing import Mix
 from spanloom.llm.ngram_jaccard import keep_one
@@ -57,10 +57,10 @@ def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
 
 
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """id, hash, size, parts (from, to, times) of a document to a row for each pass that takes any of it: id, hash, size, runs."""
+    """row, size, parts (from, to, times) of a document to a row for each pass that takes any of it: row, size, runs."""
     for batch in batches:
         at, runs = [], []
-        for i, parts in enumerate(batch.column(3).to_pylist()):
+        for i, parts in enumerate(batch.column(2).to_pylist()):
             for turn in range(max(p["times"] for p in parts)):
                 own: list[dict] = []
                 for p in parts:
@@ -71,23 +71,24 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at.append(i)
                 runs.append(own)
         kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:3]), pa.array(runs, kind)], ["_id", "_hash", "_size", "_runs"])
+        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]), pa.array(runs, kind)], ["_of", "_size", "_runs"])
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources, weighed 1, 2, 3, repeating: a document's row for each pass that takes any of its words, with those words.
 
-    n_chars, where documents have it, follows the text. Documents without words carry nothing to mix and stay out.
+    n_chars, where documents have it, follows the text. Documents without words carry nothing to mix and stay out. Rows
+    are told apart by a number of their own, so rows of one id and text each take their own turns; which of them comes
+    first follows a hash of the whole row, so reruns agree.
     """
     bound_batches(spark)
-    plan = Mix(docs)
+    whole_row = F.to_json(F.struct(*[docs[c].cast("string") for c in docs.columns]))
+    rows = stage(docs.select(F.struct("*").alias("_row"), F.xxhash64(whole_row).alias("_tie"), F.monotonically_increasing_id().alias("_number")), "mix-numbered")
+    plan = Mix(rows.select("_row.doc_id", "_row.text", "_row.source", "_tie", "_number"), row="_number", tie="_tie")
     parts = plan.taken().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to", "times"))).alias("parts"))
-    held = parts.join(plan.rows.select("row", "doc_id", "hash", "size"), "row").select("doc_id", "hash", "size", "parts")
-    kind = dict(docs.dtypes)["doc_id"]
-    turns = stage(held.mapInArrow(_runs, f"_id {kind}, _hash long, _size long, _runs array<struct<from:long,to:long>>"), "mix-turns")
-    rows = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_key"), F.xxhash64(text_of(docs)).alias("_text"))
-    # Rows of one id and text are alike in the mix: one of them takes the turns of all.
-    out = rows.dropDuplicates(["_text", "_key"]).join(turns, (F.col("_text") == F.col("_hash")) & F.col("_key").eqNullSafe(F.col("_id")))
+    held = parts.join(plan.rows.select("row", "size"), "row").select("row", "size", "parts")
+    turns = stage(held.mapInArrow(_runs, "_of long, _size long, _runs array<struct<from:long,to:long>>"), "mix-turns")
+    out = rows.join(turns, F.col("_number") == F.col("_of"))
     whole = (F.size("_runs") == 1) & (F.col("_runs")[0]["from"] == 0) & (F.col("_runs")[0]["to"] == F.col("_size"))
     cut = F.arrow_udf(_cut, "string")
     some = cut(F.when(whole, F.lit("")).otherwise(F.col("_row.text")), F.when(whole, F.array().cast("array<struct<from:bigint,to:bigint>>")).otherwise(F.col("_runs")))
