@@ -7,10 +7,16 @@ next block tag; texts resolve the entities that the pages use.
 from __future__ import annotations
 
 
-def _text(sql: str) -> str:
-    """Entities resolved, then blanks and line feeds canonical, as in spanloom.functions.text.canonical."""
+def _decoded(sql: str) -> str:
+    """Entities resolved."""
     for name, char in (("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&copy;", "©"), ("&middot;", "·"), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
         sql = f"replace({sql}, '{name}', '{char}')"
+    return sql
+
+
+def _text(sql: str) -> str:
+    """Entities resolved, then blanks and line feeds canonical, as in spanloom.functions.text.canonical."""
+    sql = _decoded(sql)
     return rf"trim(regexp_replace(regexp_replace(regexp_replace({sql}, '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), ' *\n *', E'\n', 'g'), E' \n\t\r')"
 
 
@@ -114,4 +120,24 @@ SELECT note_id, k::INT AS k, {_text(_text("h"))} AS text, 'a' AS tag, true AS pl
 f AS (SELECT page_id AS note_id, len({_TOKENS.replace("(t,", "(note,")}) AS n FROM (SELECT page_id, {_note(_BODY)} AS note FROM pages))
 SELECT w.note_id, count(*) FILTER (k % 2 = 1) AS errors, (CASE WHEN any_value(good) = 1 THEN any_value(f.n) ELSE 0 END)::INT AS tokens, any_value(good) = 1 AS labelled FROM w JOIN x USING (note_id) JOIN f USING (note_id) GROUP BY w.note_id""",
     "tei_divisions": rf"""WITH {_HEADS} SELECT note_id, CASE WHEN level = 3 AND last_a IS NULL THEN 2 ELSE level END AS depth, x AS text, count(*) AS n FROM t GROUP BY ALL""",
+    "item_rows": rf"""WITH {_P}, c AS (SELECT page_id AS note_id, html, {_LINKS}::INT AS n, regexp_extract_all(html, '<li><a href="[^"]*">([^<]*)<', 1) AS a FROM pages),
+z AS (SELECT note_id, generate_subscripts(a, 1) AS i, unnest(a) AS a FROM c),
+d AS (SELECT p.*, c.n, (count(*) FILTER (lead) OVER (PARTITION BY note_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS leads FROM p JOIN c USING (note_id)),
+r AS (SELECT note_id, 1 AS order_index, 'Locator' AS cls, 'Locator' AS types, {_one('title')} AS text, 0 AS doc, NULL::INT AS structure, NULL::INT AS locator, NULL::INT AS quotation, NULL::INT AS level FROM c
+UNION ALL SELECT note_id, 1 + i, 'Annotation', 'Link', {_text('a')}, 0, NULL, 1, NULL, NULL FROM z
+UNION ALL SELECT note_id, n + 2, 'Annotation', 'Ad', {_text("regexp_extract(html, '(?s)<div class=.ad.>([^<]*)<', 1)")}, 0, NULL, 1, NULL, NULL FROM c
+UNION ALL SELECT note_id, n + 3, 'Quotation', 'Quotation', {_note("regexp_extract(html, '(?s)<article>.*</article>')")}, 0, NULL, 1, NULL, NULL FROM c
+UNION ALL SELECT note_id, n + 4, 'Structure', 'Structure', {_one('h1')}, n + 3, NULL, 1, n + 3, 1 FROM c
+UNION ALL SELECT note_id, n + 4 + k + leads, 'Document', 'Doc', t, n + 3, n + 4, 1, n + 3, NULL FROM d
+UNION ALL SELECT note_id, n + 5 + k + leads, 'Annotation', 'Lead,Key', t, n + 4 + k + leads, n + 4, 1, n + 3, NULL FROM d WHERE lead)
+SELECT note_id, order_index::INT AS order_index, cls, types, text, doc::INT AS doc, structure, locator, quotation, level FROM r""",
+    "two_classes": _P1 + """SELECT note_id, (2 * k - 1 + x)::INT AS order_index, CASE x WHEN 0 THEN 'Document' ELSE 'Annotation' END AS cls, t AS text, (CASE x WHEN 0 THEN 0 ELSE 2 * k - 1 END)::INT AS doc, length(t)::INT AS span, CASE x WHEN 1 THEN 0 END AS start, CASE x WHEN 0 THEN 'Doc' ELSE 'Para,Block' END AS types FROM p, (VALUES (0), (1)) v(x)""",
+    "tei_content": _P1 + f""", n AS (SELECT note_id, count(*)::INT AS n FROM p GROUP BY 1),
+r AS (SELECT page_id AS note_id, 0 AS k, 'head' AS kind, {_one('h1')} AS text, 0 AS names FROM pages UNION ALL SELECT note_id, k, 'p', t, lead::INT FROM p
+UNION ALL SELECT page_id, coalesce(n, 0) + 1, 'milestone', {_one('title')}, 0 FROM pages LEFT JOIN n ON note_id = page_id
+UNION ALL SELECT page_id, coalesce(n, 0) + 2, 'quote', {_note("regexp_extract(html, '(?s)<article>.*</article>')")}, 0 FROM pages LEFT JOIN n ON note_id = page_id)
+SELECT note_id, k::INT AS k, kind, text, names FROM r""",
+    "cleaned_html": rf"""WITH {_HEADS}, y AS (SELECT u.note_id, u.g, u.i, u.level, CASE g WHEN 1 THEN regexp_extract(html, '(?s)<h1>([^<]*)</h1>', 1) ELSE u.x END AS y FROM u JOIN pages ON page_id = note_id),
+x AS (SELECT note_id, g, i, level, replace(replace(replace({_decoded('y')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM y WHERE level < 3 AND length(trim(y)) > 0)
+SELECT note_id, '<div>' || string_agg('<h' || level || '>' || x || '</h' || level || '>', '' ORDER BY g, i) || '</div>' AS html FROM x GROUP BY note_id""",
 }

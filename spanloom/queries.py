@@ -314,6 +314,34 @@ def tei_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.select("note_id", (F.length("h.blanks") / 2 - 2).cast("int").alias("depth"), _unescaped(F.col("h.text")).alias("text")).groupBy("note_id", "depth", "text").agg(F.count("*").alias("n"))
 
 
+def item_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every item of the pages' own markup, with all that it refers to by order index."""
+    rows = _run(spark, sf_dir, MAPPING).items
+    return rows.select("note_id", "order_index", "cls", F.concat_ws(",", "types").alias("types"), "text", "doc", "structure", "locator", "quotation", "level")
+
+
+def two_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs as documents and as annotations by one XPath: the annotation stands in the document that it made."""
+    rows = _run(spark, sf_dir, PARAGRAPHS | {"Annotation": {"Para": {"xpath": "//p", "types": ["Para", "Block"]}}}).items
+    return rows.select("note_id", "order_index", "cls", "text", "doc", (F.col("selector.end") - F.col("selector.start")).alias("span"), F.when(F.col("cls") == "Annotation", F.col("selector.start")).alias("start"), F.concat_ws(",", "types").alias("types"))
+
+
+def tei_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the TEI of the pages' own markup holds, in its order: heads, paragraphs with names in them, milestones and quotes."""
+    pattern = r"(?s)<tei:(?:(head) [^>]*>([^<]*)</tei:head>|(p) [^>]*>(.*?)</tei:p>|(milestone) [^>]*?n=\"([^\"]*)\"[^>]*/>|(quote) [^>]*>([^<]*)</tei:quote>)"
+    found = F.filter(F.split(F.regexp_replace("xml", pattern, "\x01$1$3$5$7\x02$2$4$6$8\x01"), "\x01"), lambda x: F.contains(x, F.lit("\x02")))
+    rows = _run(spark, sf_dir, MAPPING).tei().select("note_id", F.posexplode(found).alias("k", "e"))
+    inner = F.split("e", "\x02")[1]
+    text = F.regexp_replace(F.regexp_replace(inner, "<[^>]*>", ""), "&#10;", "\n")
+    return rows.select("note_id", "k", F.split("e", "\x02")[0].alias("kind"), F.regexp_replace(_unescaped(text), r"^\s+|\s+$", "").alias("text"), F.size(F.regexp_extract_all(inner, F.lit("<tei:name "), F.lit(0))).alias("names"))
+
+
+def cleaned_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The markup of notes of headings, without those of one level, printed again."""
+    rows = Engine({"Structure": {"xpath": "//h1"}, "IGNORE": {"xpath": "//h3"}}).parse(_headings(spark, sf_dir)).roots
+    return rows.select("note_id", "html")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "note_scan": note_scan,
     "note_text": note_text,
@@ -363,4 +391,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "scalar_items": scalar_items,
     "foreign_conll_errors": foreign_conll_errors,
     "tei_divisions": tei_divisions,
+    "item_rows": item_rows,
+    "two_classes": two_classes,
+    "tei_content": tei_content,
+    "cleaned_html": cleaned_html,
 }
