@@ -66,6 +66,11 @@ class Result:
     def dropped(self) -> DataFrame:
         return resolve.dropped_matches(self.resolved)
 
+    @property
+    def offsets(self) -> DataFrame:
+        """note_id, order_index, note_start, note_end: where each item stands in its note's text."""
+        return resolve.note_offsets(self.source, self.plan)
+
     @property
     def mapping(self) -> str:
         """The mapping as it was applied, as JSON."""

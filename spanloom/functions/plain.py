@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 from bisect import bisect_left, bisect_right
 
+import numpy as np
+
 _TOKEN = re.compile(r"\w+|[^\w\s]")
 _BLANKS, _RUN, _FEEDS, _AROUND = re.compile(r"\s+"), re.compile("[ \t]+"), re.compile("\n{3,}"), re.compile(" *\n *")
 
@@ -17,6 +19,22 @@ def canonical(raw: str) -> str:
     return _AROUND.sub("\n", _FEEDS.sub("\n\n", _RUN.sub(" ", raw))).strip()
 
 
+def kept(raw: str) -> tuple[str, np.ndarray]:
+    """canonical(raw), and the place in raw of each of its characters: all that canonical() does is to drop some, and to write blanks for tabs."""
+    text, places = raw, np.arange(len(raw))
+    for pattern, new, most in ((_RUN, " ", 1), (_FEEDS, "\n\n", 2), (_AROUND, "\n", None)):
+        keep = np.ones(len(text), bool)
+        for m in pattern.finditer(text):
+            if most is None:
+                keep[m.start() : m.end()] = False
+                keep[text.index("\n", m.start())] = True
+            else:
+                keep[m.start() + most : m.end()] = False
+        text, places = pattern.sub(new, text), places[keep]
+    begin = len(text) - len(text.lstrip())
+    return text.strip(), places[begin : begin + len(text.strip())]
+
+
 def context(text: str, parent: str, most: int = 30) -> tuple[str, str]:
     at = parent.find(text)
     end = at + len(text)

@@ -115,8 +115,8 @@ def text_of_value(value: str) -> str:
     return plain_canonical(value)
 
 
-def described(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[str, list[dict]]]:
-    """The text of each note of a batch of seeds(), and its matches."""
+def cut_seeded(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[Cutter, list[dict]]]:
+    """Each note of a batch of seeds(), and its matches."""
     nodes = batch.column(4)
     flat, ends = nodes.flatten(), nodes.offsets.to_pylist()
     columns = {n: flat.field(n).to_pylist() for n in ("parent", "last", "tag", "href", "raw_start", "raw_end", "ser_start", "ser_end")}
@@ -124,17 +124,17 @@ def described(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[str, list[dic
     for i, (raw, ser, found, linked) in enumerate(zip(*(batch.column(c).to_pylist() for c in (2, 3, 5, 6)), strict=True)):
         own = {n: v[ends[i] - base : ends[i + 1] - base] for n, v in columns.items()}
         cutter = Cutter(raw, ser, own, plan)
-        yield cutter.text(0), [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
+        yield cutter, [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
 
 
-def described_built(made: Built, plan: Plan) -> tuple[str, list[dict]]:
+def cut_built(made: Built, plan: Plan) -> tuple[Cutter, list[dict]]:
     """The same of a note that was matched where it was built."""
     rows = made.streams.rows
     nodes = {"parent": [r.parent for r in rows], "last": [r.last for r in rows], "tag": [r.tag for r in rows], "href": [r.href for r in rows]}
     nodes |= {f"{s}_{e}": [getattr(r, s)[i] for r in rows] for s in ("raw", "ser") for i, e in enumerate(("start", "end"))}
     cutter, linked = Cutter(made.streams.raw, made.streams.ser, nodes, plan), made.linked
     found = [dict(zip(("order", "xp", "pos", "owner", "value"), x, strict=True)) for x in made.seeds or ()]
-    return cutter.text(0), [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
+    return cutter, [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
 
 
 def matches(seeded: DataFrame, plan: Plan) -> DataFrame:
@@ -142,7 +142,8 @@ def matches(seeded: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, found = zip(*described(batch, plan), strict=True) if len(batch) else ((), ())
+            cutters, found = zip(*cut_seeded(batch, plan), strict=True) if len(batch) else ((), ())
+            texts = [c.text(0) for c in cutters]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(found, pa.list_(pa.struct(FIELDS)))], ["note_id", "note_text", "matches"])
 
     return seeded.mapInArrow(run, f"note_id {dict(seeded.dtypes)['note_id']}, note_text string, matches {MATCHES}")

@@ -10,19 +10,21 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.plain import collapse
-from spanloom.operators.matching import described, described_built
+from spanloom.functions.plain import collapse, kept
+from spanloom.operators.matching import Cutter, cut_built, cut_seeded, seeds
+from spanloom.operators.structural import programs
 from spanloom.plans.mapping import ITEM_CLASSES, Plan, Rule
-from spanloom.sources.notes import Source, build
+from spanloom.sources.notes import Source, build, trees
 
 WINDOW = 30
 ITEM = [
     ("order_index", pa.int32()), ("tree_index", pa.int32()), ("rule", pa.int32()), ("xp", pa.int32()), ("cls", pa.string()), ("node", pa.int32()), ("tag", pa.string()), ("text", pa.string()),
-    ("start", pa.int32()), ("end", pa.int32()), ("doc", pa.int32()), ("structure", pa.int32()), ("locator", pa.int32()), ("quotation", pa.int32()), ("level", pa.int32()), ("same_as", pa.string()), ("html", pa.string()), ("prefix", pa.string()), ("suffix", pa.string()),
+    ("start", pa.int32()), ("end", pa.int32()), ("doc", pa.int32()), ("structure", pa.int32()), ("locator", pa.int32()), ("quotation", pa.int32()), ("level", pa.int32()), ("same_as", pa.string()), ("html", pa.string()), ("prefix", pa.string()), ("suffix", pa.string()), ("node_start", pa.int32()),
 ]
 ITEM_DDL = "array<struct<" + ",".join(f"{n}:{'string' if t == pa.string() else 'int'}" for n, t in ITEM) + ">>"
 DROPPED_DDL = "array<struct<xp:int,node:int,text:string>>"
@@ -125,7 +127,7 @@ class _State:
                     continue
                 me = len(self.items) + 1
                 within, at, end = self.text(container), start + offset, start + offset + len(fragment)
-                item = {n: None for n, _ in ITEM} | {"order_index": me, "tree_index": match["tree_index"], "rule": rule.seq, "xp": match["xp"], "cls": rule.cls, "node": match["node"], "tag": match["tag"], "text": fragment, "start": at, "end": end, "prefix": within[max(0, at - WINDOW) : max(0, at)], "suffix": within[end : end + WINDOW], "doc": container, "structure": self.structure, "locator": self.locator, "quotation": quotation, "html": match["html"]}
+                item = {n: None for n, _ in ITEM} | {"node_start": start, "order_index": me, "tree_index": match["tree_index"], "rule": rule.seq, "xp": match["xp"], "cls": rule.cls, "node": match["node"], "tag": match["tag"], "text": fragment, "start": at, "end": end, "prefix": within[max(0, at - WINDOW) : max(0, at)], "suffix": within[end : end + WINDOW], "doc": container, "structure": self.structure, "locator": self.locator, "quotation": quotation, "html": match["html"]}
                 if rule.cls in ("Locator", "Structure", "Annotation"):
                     item["same_as"] = match["same_as"]
                 self.items.append(item)
@@ -155,11 +157,12 @@ def _by_xpath(plan: Plan) -> dict[int, list[Rule]]:
     return by_xpath
 
 
-def folded(notes: Iterable[tuple[str, list[dict]]], plan: Plan) -> list[pa.Array]:
-    """(text, matches) of notes to columns note_text, items, dropped."""
+def folded(notes: Iterable[tuple[Cutter, list[dict]]], plan: Plan) -> list[pa.Array]:
+    """Notes with their matches to columns note_text, items, dropped."""
     by_xpath = _by_xpath(plan)
     texts, items, dropped = [], [], []
-    for note_text, found in notes:
+    for cutter, found in notes:
+        note_text = cutter.text(0)
         state = _State(note_text)
         dropped.append([{"xp": m["xp"], "node": m["node"], "text": m["text"]} for m in found if not state.take(m, by_xpath[m["xp"]])])
         texts.append(note_text)
@@ -176,7 +179,7 @@ def resolve(seeded: DataFrame, plan: Plan) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *folded(described(batch, plan), plan)], RESOLVED)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], batch.column(3), *folded(cut_seeded(batch, plan), plan)], RESOLVED)
 
     return seeded.mapInArrow(run, f"note_id {dict(seeded.dtypes)['note_id']}, {_DDL}")
 
@@ -189,11 +192,11 @@ def resolve_source(source: Source, plan: Plan) -> DataFrame:
         for batch in batches:
             sers: list[str] = []
 
-            def notes(batch: pa.RecordBatch = batch, sers: list[str] = sers) -> Iterator[tuple[str, list[dict]]]:
+            def notes(batch: pa.RecordBatch = batch, sers: list[str] = sers) -> Iterator[tuple[Cutter, list[dict]]]:
                 for payload in batch.column(2).to_pylist():
                     made = build(*parsed(payload), plan)
                     sers.append(made.streams.ser)
-                    yield described_built(made, plan)
+                    yield cut_built(made, plan)
 
             columns = folded(notes(), plan)
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(sers, pa.string()), *columns], RESOLVED)
@@ -201,6 +204,67 @@ def resolve_source(source: Source, plan: Plan) -> DataFrame:
     return source.rows.mapInArrow(run, f"note_id {dict(source.rows.dtypes)['note_id']}, {_DDL}")
 
 
+OFFSETS_DDL = "order_index int, note_start int, note_end int"
+
+
+def note_offsets(source: Source, plan: Plan) -> DataFrame:
+    """note_id, order_index, note_start, note_end: where each item stands in its note's text, whatever its container.
+
+    A container's text and the note's are both cut from the note's stream, with white space dropped in each; the places
+    that each has kept lead from one to the other. Null where an item's container has no place in the note: a value, or
+    an attribute's or text's.
+    """
+    parsed, structural_ = source.parsed, programs(plan) is not None
+
+    def notes(batch: pa.RecordBatch) -> Iterator[tuple[Cutter, list[dict]]]:
+        if structural_:
+            for payload in batch.column(2).to_pylist():
+                yield cut_built(build(*parsed(payload), plan), plan)
+        else:
+            yield from cut_seeded(batch, plan)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        by_xpath = _by_xpath(plan)
+        for batch in batches:
+            ids, rows = [], []
+            for n, (cutter, found) in enumerate(notes(batch)):
+                state = _State(cutter.text(0))
+                for m in found:
+                    state.take(m, by_xpath[m["xp"]])
+                for row in _in_note(cutter, state.items):
+                    ids.append(n)
+                    rows.append(row)
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, pa.int32()) for c in columns)], ["note_id", "order_index", "note_start", "note_end"])
+
+    rows = source.rows if structural_ else seeds(trees(source, plan), plan)
+    return rows.mapInArrow(run, f"note_id {dict(rows.dtypes)['note_id']}, {OFFSETS_DDL}")
+
+
+def _in_note(cutter: Cutter, items: list[dict]) -> Iterator[tuple[int, int | None, int | None]]:
+    places: dict[int, np.ndarray] = {}
+
+    def of_node(node: int) -> np.ndarray:
+        if node not in places:
+            begin, end = cutter.nodes["raw_start"][node], cutter.nodes["raw_end"][node]
+            places[node] = begin + kept(cutter.raw[begin:end])[1]
+        return places[node]
+
+    for item in items:
+        start, end = item["start"], item["end"]
+        if item["doc"]:
+            container = items[item["doc"] - 1]
+            if container["tree_index"] is None:
+                yield item["order_index"], None, None
+                continue
+            # A fragment begins where it was cut from its node's text.
+            own, shift = of_node(container["node"]), container["start"] - container["node_start"]
+            first, last = own[start + shift] if end > start else None, own[end + shift - 1] if end > start else None
+            note = of_node(0)
+            start, end = (int(np.searchsorted(note, first)), int(np.searchsorted(note, last)) + 1) if end > start else (None, None)
+        yield item["order_index"], start, end
+
+
 def dropped_matches(resolved: DataFrame) -> DataFrame:
     """Matches that weren't found in their container: note_id, xp, node, text."""
     return resolved.select("note_id", F.explode("dropped").alias("d")).select("note_id", "d.*")

@@ -140,4 +140,8 @@ SELECT note_id, k::INT AS k, kind, text, names FROM r""",
     "cleaned_html": rf"""WITH {_HEADS}, y AS (SELECT u.note_id, u.g, u.i, u.level, CASE g WHEN 1 THEN regexp_extract(html, '(?s)<h1>([^<]*)</h1>', 1) ELSE u.x END AS y FROM u JOIN pages ON page_id = note_id),
 x AS (SELECT note_id, g, i, level, replace(replace(replace({_decoded('y')}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS x FROM y WHERE level < 3 AND length(trim(y)) > 0)
 SELECT note_id, '<div>' || string_agg('<h' || level || '>' || x || '</h' || level || '>', '' ORDER BY g, i) || '</div>' AS html FROM x GROUP BY note_id""",
+    # A document is where its text and what is around it are first found, as context_window has it; its lead is where it is: behind the k-th mark put before paragraphs.
+    "note_offsets": rf"""WITH {_P}, n AS (SELECT page_id AS note_id, {_note(_BODY)} AS note, {_note("regexp_extract(html, '(?s)<article>.*</article>')")} AS art, string_split({_note("regexp_replace(" + _BODY + r", '<p>(<b>)?([^<\s])', '<p>\1' || chr(1) || '\2', 'g')")}, chr(1)) AS parts FROM pages),
+o AS (SELECT note_id, k, lead, instr(note, art) + instr(art, t) - 2 AS s, list_sum(list_transform(parts[1:k], lambda x: length(x))) AS mark, length(t) AS len, (count(*) FILTER (lead) OVER (PARTITION BY note_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT AS leads FROM p JOIN n USING (note_id))
+SELECT note_id, (k + leads + x)::INT AS order_index, CASE x WHEN 0 THEN 'Document' ELSE 'Annotation' END AS cls, CASE x WHEN 0 THEN s ELSE mark END::INT AS note_start, (CASE x WHEN 0 THEN s ELSE mark END + len)::INT AS note_end, true AS same FROM o, (VALUES (0), (1)) v(x) WHERE x = 0 OR lead""",
 }

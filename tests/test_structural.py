@@ -189,3 +189,24 @@ def test_many_equal_links_in_linear_time():
     places = resolve.Places("link", within)
     assert all(places.first(f" {i} ", f" {i} {i + 1} link") > 0 for i in range(n - 1))
     assert time.time() - begun < 5
+
+
+def test_kept_places():
+    draw = random.Random(9)
+    for _ in range(500):
+        raw = "".join(draw.choice("ab \t\n\r\x0b") for _ in range(draw.randrange(30)))
+        text, places = plain.kept(raw)
+        assert text == plain.canonical(raw) and len(text) == len(places)
+        assert all(raw[p] == c or (raw[p], c) == ("\t", " ") for p, c in zip(places, text, strict=True))
+
+
+def test_offsets_in_the_note(spark):
+    html = "<div>x <p>one  two\n three <b>two</b></p> <blockquote>q <i>r</i></blockquote><p title='q'>one</p></div>"
+    notes = spark.createDataFrame([(1, html)], "note_id long, html string")
+    mapping = {"Document": {"xpath": "//p", "split": " three "}, "Quotation": {"xpath": "//blockquote"}, "Annotation": {"A": {"xpath": "//b | //i"}}}
+    for how in (True, False):
+        run = Engine(mapping, structural=how).parse(notes)
+        note = run.roots.first()["text"]
+        rows = run.items.join(run.offsets, ["note_id", "order_index"]).collect()
+        assert len(rows) > 4
+        assert all(note[r["note_start"] : r["note_end"]] == r["text"] for r in rows)
