@@ -11,8 +11,9 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("P
 
 
 @pytest.fixture(scope="session")
-def spark():
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").getOrCreate()
+def spark(tmp_path_factory):
+    folder = tmp_path_factory.mktemp("shared")
+    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").config("spark.driver.memory", "6g").config("spark.checkpoint.dir", f"file://{folder}").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
