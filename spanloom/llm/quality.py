@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from spanloom.llm.common import bound_batches, table, text_of
 
-PER_CLASS, DICTIONARY, LEVEL, BLOCK, KEEP = 500, 1 << 16, 3, 4096, 0.7
+PER_CLASS, DICTIONARY, LEVEL, BLOCK, KEEP = 2000, 1 << 15, 3, 4096, 0.7
 
 
 @dataclass(frozen=True)
