@@ -202,10 +202,11 @@ def scan(files: DataFrame, key: str, path: str, text: str, is_licence_file: Colu
     if templates is None or full is None:
         counts = term_files(files, text)
         templates, full = templates or Templates(*counts), full or Templates(*counts, FULL, FULL_THRESHOLD, sublinear=True)
-    whole_text = full.has_rare(terms_of(text_of(files, text)))
-    may = F.col("_path").isNotNull() & (text_of(files, text).rlike(templates.pattern) | whole_text)
-    rows = files.select(files[key].alias("_key"), files[path].cast("string").alias("_path"), F.coalesce(is_licence_file, F.lit(False)).alias("_whole"), files[text])
-    rows = rows.select("_key", "_path", "_whole", F.when(may, text_of(files, text)).alias("_text"), F.monotonically_increasing_id().alias("_row"))
+    # What tells candidates are terms: a text without a template's anchors among them can't reach it.
+    telling = F.array_intersect(terms_of(text_of(files, text)), listed(sorted({*templates.anchors, *full.rare})))
+    rows = files.select(files[key].alias("_key"), files[path].cast("string").alias("_path"), F.coalesce(is_licence_file, F.lit(False)).alias("_whole"), text_of(files, text).alias("_text"), telling.alias("_telling"))
+    may = F.col("_path").isNotNull() & (F.arrays_overlap("_telling", listed(templates.anchors)) | full.has_rare(F.col("_telling")))
+    rows = rows.select("_key", "_path", "_whole", F.when(may, F.col("_text")).alias("_text"), F.monotonically_increasing_id().alias("_row"))
     rows = stage(rows, "licence-rows")  # with the texts of candidates only
     unique = rows.where("_text is not null").select("_row", "_path", "_whole", "_text")
     terms = unique.select("_row", terms_of(F.col("_text")).alias("terms")).where(full.has_rare(F.col("terms"))).withColumn("known", F.array_intersect("terms", listed(sorted(full.idf))))
