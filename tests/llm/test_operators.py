@@ -316,6 +316,31 @@ class TestPacking:
             assert all(r["doc_tokens"] == len(want) and r["ids_crc32"] == zlib.crc32(want[r["start"] : r["start"] + r["length"]].tobytes()) for r in own)
 
 
+class TestPackingByTheLibrary:
+    def test_all_pieces_hold_the_librarys_ids(self, spark):
+        """Every document of the smallest tables, by the tokenizers library alone."""
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        from spanloom.llm.packing import op2_packing
+
+        library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+        want = {i: [*library.encode(t, add_special_tokens=False).ids, 1] for i, t in texts.items()}
+        pieces, places = {}, {}
+        for r in op2_packing(spark, "/root/testdata/sf0.001").collect():
+            own = want[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+            assert (len(own), r["doc_tokens"]) == (r["length"], len(want[r["doc_id"]]))
+            assert r["ids_crc32"] == zlib.crc32(np.array(own, "<u4").tobytes())
+            pieces.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+            places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+        for i, own in pieces.items():
+            assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] and sum(n for _, n in own) == len(want[i])
+        assert pieces.keys() == want.keys()
+        for own in places.values():
+            assert [a for a, _ in sorted(own)] == [0, *np.cumsum([n for _, n in sorted(own)])[:-1]] and sum(n for _, n in own) <= 2048
+
+
 class TestSharding:
     def test_rows_law(self, docs, empty, spark):
         from spanloom.llm.sharding import hilbert_shards
@@ -331,6 +356,32 @@ class TestSharding:
         assert Counter((r["size"], r["text_crc32"]) for r in out) == Counter((len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for _, t, _ in ROWS)
         assert hilbert_shards(empty).count() == 0
 
+    def test_steps_and_places_against_brute_force(self, spark):
+        """Equi-depth steps, cells, the order and the cuts recomputed row by row."""
+        from spanloom.llm.sharding import STEPS, hilbert_index, hilbert_shards
+
+        draw = random.Random(10)
+        rows = [(i, draw.choice(["t", "text ", "longer text "]) * draw.randrange(40), draw.choice(["a", "b", "c", None])) for i in range(300)] + [(7, None, "a"), (7, None, "a")]
+        langs = ["en", "de", None]
+        df = spark.createDataFrame([(i, t, langs[n % 3], s) for n, (i, t, s) in enumerate(rows)], "doc_id long, text string, lang string, source string")
+        facts = []
+        for n, (i, t, s) in enumerate(rows):
+            raw = (t or "").encode()
+            size = len(raw) + 16
+            bits = size.bit_length()
+            facts.append((i, size, zlib.crc32(raw), bits * 4 + (size >> max(bits - 3, 0) & 3), langs[n % 3], s))
+
+        def step(column: int, value) -> int:
+            key = lambda v: (v is None, v if v is not None else 0)
+            own = sum(f[column] == value for f in facts)
+            upto = sum(key(f[column]) <= key(value) for f in facts)
+            return (2 * upto - own) * STEPS // (2 * len(facts))
+
+        want = sorted((hilbert_index(tuple(step(c, f[c]) for c in (3, 4, 5))), f[2], f[1], f[0]) for f in facts)
+        cuts = [-(-s * len(want) // 7) for s in range(8)]
+        placed = [(i, size, crc, shard, place - cuts[shard], curve) for place, (curve, crc, size, i) in enumerate(want) for shard in (place * 7 // len(want),)]
+        assert sorted(tuple(r) for r in hilbert_shards(df, 7).collect()) == sorted(placed)
+
     def test_curve_visits_neighbours(self):
         from spanloom.llm.sharding import STEPS, curve
 
