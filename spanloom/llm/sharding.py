@@ -62,11 +62,21 @@ def size_class(size: str) -> Column:
 
 
 def steps(rows: DataFrame, column: str) -> DataFrame:
-    """Each value of a dimension and its equi-depth step: the share of rows before the middle of its own. Nulls last."""
+    """Each value of a dimension and its equi-depth step: the share of rows before the middle of its own. Nulls last.
+
+    Values are summed up by range, each range in a task of its own, and ranges by their totals.
+    """
+    order = F.col("_v").asc_nulls_last()
     counts = rows.groupBy(F.col(column).alias("_v")).agg(F.count("*").alias("n"))
-    upto = Window.orderBy(F.col("_v").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
-    counts = counts.select("_v", "n", F.sum("n").over(upto).alias("upto"), F.sum("n").over(Window.partitionBy(F.lit(0))).alias("whole"))
-    return counts.select("_v", F.expr(f"cast((upto * 2 - n) * {STEPS} div (whole * 2) as int)").alias(f"step_{column}"))
+    ranged = stage(counts.repartitionByRange(order).withColumn("part", F.spark_partition_id()), "shard-values")
+    sums = ranged.groupBy("part").agg(F.sum("n").alias("n")).orderBy("part").collect()  # one row for each range partition
+    before, whole = {}, 0
+    for r in sums:
+        before[r["part"]] = whole
+        whole += r["n"]
+    offsets = F.lit([before.get(i, 0) for i in range(max(before, default=-1) + 1)] or [0]).cast("array<bigint>")
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)) + F.get(offsets, F.col("part"))
+    return ranged.withColumn("upto", upto).select("_v", F.expr(f"cast((upto * 2 - n) * {STEPS} div ({max(whole, 1)}L * 2) as int)").alias(f"step_{column}"))
 
 
 def hilbert_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
