@@ -9,7 +9,7 @@ owns: nothing but what reaches the least count leaves it. A pivot that occurs ve
 but its fragments may be many: it is dealt over several partitions by the fragments' hash, and these partial counts are
 added up. Parts' counts and longer phrases are then joined to candidates only.
 
-Counts are 64-bit integers, and scores quotients of 38-digit decimals, which hold 10^6 * a * a up to a = 10^16.
+Counts are 64-bit integers, and scores quotients of 38-digit decimals, which hold 10^6 * a * a up to a = 3 * 10^15.
 
 Defined results: a null text is empty; a null language is 'und'; repeated rows count each; a language without
 candidates gives no rows, an empty table none at all; other columns aren't read, whatever their names.

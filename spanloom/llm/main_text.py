@@ -53,11 +53,11 @@ PAGE_EDGES = frozenset(("header", "footer"))
 ROLES = frozenset("navigation banner contentinfo complementary search form alert alertdialog dialog menu menubar toolbar".split())
 WORDS = frozenset(
     "ad ads advert adverts advertisement advertisements advertising adsbygoogle banner banners sponsor sponsored promo promos promotion comment comments commentlist disqus reply replies respond cookie cookies consent gdpr notice notices alert newsletter subscribe subscription signup paywall "
-    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets share sharing social related recommended recommendations popup modal overlay toolbar pagination pager footer masthead".split()
+    "nav navbar navigation menu menus breadcrumb breadcrumbs sidebar sidebars widget widgets share sharing social related recommended recommendations popup modal overlay toolbar pagination pager footer masthead copyright adbox cookiebar".split()
 )
 #: A name with one of these says what a page has around its text, and not what the element is.
 AROUND = frozenset("has have with without no not hide layout".split())
-_WORD = re.compile(r"[a-z0-9]+")
+_WORD, _PART = re.compile("[a-z]+"), re.compile("[A-Z]?[a-z]+|[A-Z]+")
 #: Elements that a start tag ends when they are open, up to the nearest element that holds them together.
 ENDS: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset(("li",)), frozenset(("ul", "ol", "menu", "dir"))),
@@ -107,14 +107,15 @@ def kind_of(tag: str, attrs: str, around: Element | None) -> tuple[bool, bool]:
     root = tag in ("article", "main")
     if attrs:
         for m in _ATTRIBUTE.finditer(attrs):
-            name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            name, plain = m[1].lower(), m[2] or m[3] or m[4] or ""
+            value = plain.lower()
             if name == "role":
                 boilerplate |= value in ROLES
                 root |= value in ("main", "article")
             elif name == "itemprop":
                 root |= value == "articlebody"
             elif tag not in ("html", "body"):
-                names = [_WORD.findall(x) for x in value.split()]
+                names = [{*_WORD.findall(x.lower()), *map(str.lower, _PART.findall(x))} for x in plain.split()]
                 boilerplate |= any(not WORDS.isdisjoint(words) and AROUND.isdisjoint(words) for words in names)
     return boilerplate, root and not boilerplate
 

@@ -152,10 +152,17 @@ def test_main_text_of_parts_by_name(spark):
     <main><article><header><h1>A &amp; B</h1></header><p>One <b>bold</b>\n\t and<br>two&nbsp;x &am &lt;</p><div class="ad">no</div>
     <ul><li>three<li>four <i>4</i></ul><table><tr><td>five<td>six</table><blockquote><p>seven</blockquote><aside>no</aside>
     <form>no<input value=no></form><section id=comments><article><p>no</p></article></section>eight</article></main>
-    <div id="sidebar">no</div><footer>no</footer><noscript>no</noscript><p>no</p></body></html>"""
+    <div id="sidebar">no</div><div class="cookieNotice">no</div><div class="top ads_2">no</div><footer>no</footer><noscript>no</noscript><p>no</p></body></html>"""
     assert texts_of(spark, [(1, "http://a/1", html)]) == {1: "A & B\nOne bold and two x &am <\nthree\nfour 4\nfive\nsix\nseven\neight"}
 
 
+def test_words_of_classes():
+    for own in ("ad1", "box-ads", "cookieNotice", "SideBar", "reader_comments", "x share"):
+        assert main_text.kind_of("div", f' class="{own}"', None) == (True, False), own
+    for own in ("with-sidebar", "hasComments", "content", "adage header-less", "shadow", "loading"):
+        assert main_text.kind_of("div", f" id='{own}'", None) == (False, False), own
+
+
 def test_recurring_subtrees_go(spark):
     page = lambda i, host: (i, f"https://user@{host}:8080/{i}", f"<body><div><span>Home</span> <a href=/{i}>About</a></div><div><p>Text {i} of some length.</p></div><div><p>All rights reserved by us.</p></div>")
     got = texts_of(spark, [page(i, "Big.org" if i % 2 else "big.org") for i in range(8)] + [page(100 + i, "few.org") for i in range(3)] + [(200, None, page(0, "x")[2])])
