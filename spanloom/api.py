@@ -79,6 +79,11 @@ class Result:
     def jsonld(self) -> DataFrame:
         return item_ops.jsonld(self.resolved, self.plan)
 
+    @property
+    def placed(self) -> DataFrame:
+        """offsets, with each item's class and text, and what its note has there (found): one pass, so that no text is repeated or joined."""
+        return resolve.note_offsets(self.source, self.plan, texts=True)
+
     def annotations(self) -> DataFrame:
         return wadm.annotations(self.resolved, self.plan)
 

@@ -204,17 +204,18 @@ def resolve_source(source: Source, plan: Plan) -> DataFrame:
     return source.rows.mapInArrow(run, f"note_id {dict(source.rows.dtypes)['note_id']}, {_DDL}")
 
 
-OFFSETS_DDL = "order_index int, note_start int, note_end int"
+OFFSETS = [("order_index", pa.int32()), ("note_start", pa.int32()), ("note_end", pa.int32()), ("cls", pa.string()), ("text", pa.string()), ("found", pa.string())]
 
 
-def note_offsets(source: Source, plan: Plan) -> DataFrame:
-    """note_id, order_index, note_start, note_end: where each item stands in its note's text, whatever its container.
+def note_offsets(source: Source, plan: Plan, texts: bool = False) -> DataFrame:
+    """note_id, order_index, note_start, note_end: where each item stands in its note's text, whatever its container. texts: also cls, text, and found, which is what the note has there.
 
     A container's text and the note's are both cut from the note's stream, with white space dropped in each; the places
     that each has kept lead from one to the other. Null where an item's container has no place in the note: a value, or
     an attribute's or text's.
     """
     parsed, structural_ = source.parsed, programs(plan) is not None
+    fields = OFFSETS if texts else OFFSETS[:3]
 
     def notes(batch: pa.RecordBatch) -> Iterator[tuple[Cutter, list[dict]]]:
         if structural_:
@@ -231,14 +232,14 @@ def note_offsets(source: Source, plan: Plan) -> DataFrame:
                 state = _State(cutter.text(0))
                 for m in found:
                     state.take(m, by_xpath[m["xp"]])
-                for row in _in_note(cutter, state.items):
+                for item, row in zip(state.items, _in_note(cutter, state.items), strict=True):
                     ids.append(n)
-                    rows.append(row)
-            columns = list(zip(*rows, strict=True)) or [[]] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, pa.int32()) for c in columns)], ["note_id", "order_index", "note_start", "note_end"])
+                    rows.append((*row, item["cls"], item["text"], None if row[1] is None else state.note_text[row[1] : row[2]]) if texts else row)
+            columns = list(zip(*rows, strict=True)) or [[]] * len(fields)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(ids, pa.int64())), *(pa.array(c, t) for c, (_, t) in zip(columns, fields, strict=True))], ["note_id", *(n for n, _ in fields)])
 
     rows = source.rows if structural_ else seeds(trees(source, plan), plan)
-    return rows.mapInArrow(run, f"note_id {dict(rows.dtypes)['note_id']}, {OFFSETS_DDL}")
+    return rows.mapInArrow(run, ", ".join([f"note_id {dict(rows.dtypes)['note_id']}", *(f"{n} {'string' if t == pa.string() else 'int'}" for n, t in fields)]))
 
 
 def _in_note(cutter: Cutter, items: list[dict]) -> Iterator[tuple[int, int | None, int | None]]:

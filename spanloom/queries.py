@@ -345,9 +345,7 @@ def cleaned_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def note_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where paragraphs, and the leads that stand in them, are in their note's text, and whether they are what is there."""
     run = _run(spark, sf_dir, LEADS)
-    text = run.resolved.select("note_id", "note_text", F.explode("items").alias("i")).select("note_id", "note_text", "i.order_index", "i.cls", "i.text")
-    rows = text.join(run.offsets, ["note_id", "order_index"])
-    return rows.select("note_id", "order_index", "cls", "note_start", "note_end", (text_functions.cut(F.col("note_text"), F.col("note_start"), F.col("note_end")) == F.col("text")).alias("same"))
+    return run.placed.select("note_id", "order_index", "cls", "note_start", "note_end", (F.col("found") == F.col("text")).alias("same"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
