@@ -152,10 +152,11 @@ def tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token's slice is the token."""
-    texts = _run(spark, sf_dir, PARAGRAPHS).items.select("note_id", F.col("order_index").alias("source"), "text")
-    rows = conll.tokens(texts).join(texts, ["note_id", "source"])
-    return rows.groupBy("note_id").agg(F.count("*").alias("n"), F.count_if(text_functions.cut(F.col("text"), F.col("start"), F.col("end")) == F.col("token")).alias("exact"))
+    """Every token's slice is the token. Slices are compared where the text is, so no text meets its tokens by a join."""
+    texts = _run(spark, sf_dir, PARAGRAPHS).items.select("note_id", "text")
+    rows = texts.select("note_id", "text", text_functions.token_spans(F.col("text")).alias("found"))
+    exact = F.filter("found", lambda t: text_functions.cut(F.col("text"), t["start"], t["end"]) == t["token"])
+    return rows.groupBy("note_id").agg(F.sum(F.size("found")).alias("n"), F.sum(F.size(exact)).alias("exact")).where("n > 0")
 
 
 def _bio(options: Conll) -> Callable[[SparkSession, str], DataFrame]:

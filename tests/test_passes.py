@@ -17,3 +17,7 @@ def test_offsets_are_checked_where_the_note_is(spark):
     rows = [(r["order_index"], r["note_start"], r["note_end"], r["text"], r["found"]) for r in run.placed.orderBy("order_index").collect()]
     assert rows == [(1, 0, 5, "ab cd", "ab cd"), (2, 3, 5, "cd", "cd"), (3, 0, 5, "ab cd", "ab cd"), (4, 9, 11, "cd", "cd")]
     assert [tuple(r) for r in run.offsets.orderBy("order_index").collect()] == [(1, *r[:3]) for r in rows]
+
+
+def test_token_slices_are_compared_where_the_text_is(spark):
+    assert "Join" not in plan_of(q.token_spans(spark, SF))
