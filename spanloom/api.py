@@ -134,6 +134,12 @@ def conll_of(spark: SparkSession, annotations: dict | list, options: Conll | Non
         return spark.createDataFrame([(0, i, json.dumps(v)) for i, v in enumerate(values)], "note_id long, seq int, json string")
 
     if isinstance(annotations, list):
+def foreign_notes(annotations: DataFrame, graphs: DataFrame, options: Conll | None = None) -> DataFrame:
+    """note_id, errors, text: how many rows foreign_errors has of a note, and its text by foreign_conll (null: none), with each annotation and graph read once."""
+    o = options or Conll()
+    return conll_ops.foreign_notes(annotations, graphs, o.max_span_tokens, o.whitelist, o.blacklist, o.type_whitelist)
+
+
         if not jsonld:
             raise ValueError("a list of annotations needs the JSON-LD that holds their texts")
         out = foreign_conll(table(annotations), table([jsonld]), options)

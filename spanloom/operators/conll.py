@@ -86,9 +86,13 @@ def labelled(sentences: DataFrame) -> DataFrame:
 
 def conll(sentences: DataFrame) -> DataFrame:
     """note_id, text: tokens and labels of each note's texts, in order of their first annotation, with an empty line behind each."""
-    ordered = F.array_sort(F.transform(F.filter("sentences", lambda s: F.size(s["tokens"]) > 0), lambda s: F.struct(s["first_seq"].alias("first_seq"), s["tokens"].alias("tokens"), s["labels"].alias("labels"))))
+    return sentences.select("note_id", _lines("sentences").alias("text")).where(F.col("text") != "")
+
+
+def _lines(sentences: str) -> Column:
+    ordered = F.array_sort(F.transform(F.filter(sentences, lambda s: F.size(s["tokens"]) > 0), lambda s: F.struct(s["first_seq"].alias("first_seq"), s["tokens"].alias("tokens"), s["labels"].alias("labels"))))
     lines = F.transform(ordered, lambda s: F.concat(F.array_join(F.zip_with(s["tokens"], s["labels"], lambda t, m: F.concat_ws("\t", t, m)), "\n"), F.lit("\n")))
-    return sentences.select("note_id", F.array_join(lines, "\n").alias("text")).where(F.col("text") != "")
+    return F.array_join(lines, "\n")
 
 
 #: Selectors that are kept as they are, and where others hold their parts.
@@ -186,14 +190,19 @@ def graph_errors(graphs: DataFrame) -> DataFrame:
     return graphs.select(graphs["note_id"], wrong.alias("error")).where("error is not null")
 
 
+def _resource() -> tuple[Column, Column, Column]:
+    """source, text, types of a resource r."""
+    get = lambda field, kind: F.try_variant_get("r", f"$['{field}']", kind)
+    return get("@id", "string"), get("text", "string"), F.coalesce(get("@type", "array<string>"), F.array(get("@type", "string")))
+
+
 def foreign_texts(graphs: DataFrame, annotations: DataFrame, type_whitelist: list[str] | None = None) -> DataFrame:
     """note_id, source, text, first_seq of texts that annotations point to: resources of JSON-LD graphs (note_id, json), by their id.
 
     Of resources with one id the last with a text counts. type_whitelist: resources without one of these types are left out.
     """
-    get = lambda field, kind: F.try_variant_get("r", f"$['{field}']", kind)
-    types = F.coalesce(get("@type", "array<string>"), F.array(get("@type", "string")))
-    found = graphs.select("note_id", F.posexplode(_graph(F.col("json"))).alias("ix", "r")).select("note_id", "ix", get("@id", "string").alias("source"), get("text", "string").alias("text"), types.alias("types"))
+    source, text, types = _resource()
+    found = graphs.select("note_id", F.posexplode(_graph(F.col("json"))).alias("ix", "r")).select("note_id", "ix", source.alias("source"), text.alias("text"), types.alias("types"))
     if type_whitelist:
         found = found.where(F.arrays_overlap("types", F.lit(type_whitelist)))
     texts = found.where("text is not null").groupBy("note_id", "source").agg(F.max_by("text", "ix").alias("text"))
@@ -222,3 +231,41 @@ def foreign_sentences(annotations: DataFrame, texts: DataFrame, most: int | None
 def gathered(sentences: DataFrame) -> DataFrame:
     """A note's sentences as one array, for labelled() and conll()."""
     return sentences.groupBy("note_id").agg(F.collect_list(F.struct("source", "first_seq", "tokens", "labels")).alias("sentences"))
+
+
+def foreign_notes(rows: DataFrame, graphs: DataFrame, most: int | None = None, whitelist: list[str] | None = None, blacklist: list[str] | None = None, type_whitelist: list[str] | None = None) -> DataFrame:
+    """note_id, errors, text: annotations (note_id, seq, json) and graphs (note_id, json) that can't be read, counted, and the CoNLL text of the others, null without any.
+
+    Annotations and graphs are read once each: errors are counted where texts and their annotations are grouped.
+    """
+    counts = F.col("a.error").isNull()
+    if blacklist:
+        counts &= ~F.coalesce(F.arrays_overlap("a.types", F.lit(blacklist)), F.lit(False))
+    read = rows.select("note_id", "seq", parse_annotations(F.col("json")).alias("a"))
+    own = read.groupBy("note_id", F.col("a.source").alias("source")).agg(F.count("a.error").alias("bad"), F.min(F.when(counts, F.col("seq"))).alias("first_seq"), F.array_sort(F.collect_list(F.when(counts, F.struct("seq", "a.labels", "a.selectors")))).alias("own"))
+    source, text, types = _resource()
+    if type_whitelist:
+        text = F.when(F.arrays_overlap(types, F.lit(type_whitelist)), text)
+    # What can't be read is a null resource of its own; a list in a graph has none.
+    listed = graphs.select("note_id", F.posexplode(F.coalesce(F.transform(_graph(F.col("json")), lambda r: F.struct(r.alias("r"), F.lit(0).alias("bad"))), F.array(F.struct(F.lit(None).cast("variant").alias("r"), F.lit(1).alias("bad"))))).alias("ix", "x"))
+    found = listed.select("note_id", "ix", "x.r", "x.bad").select("note_id", "ix", source.alias("source"), text.alias("text"), "bad")
+    texts = found.groupBy("note_id", "source").agg(F.max_by("text", F.when(F.col("text").isNotNull(), F.col("ix"))).alias("text"), F.sum("bad").alias("bad_graphs"))
+    both = own.join(texts, ["note_id", "source"], "full").select("note_id", "first_seq", "text", "own", (F.coalesce("bad", F.lit(0)) + F.coalesce("bad_graphs", F.lit(0))).alias("errors"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for first_seq, text, own in zip(*(batch.column(c).to_pylist() for c in (1, 2, 3)), strict=True):
+                if not text or first_seq is None:
+                    made.append(None)
+                    continue
+                first: dict[str, int] = {}
+                spans = [s for a in own for s in placed(text, _kept(a["labels"], whitelist, blacklist), a["selectors"], first)]
+                made.append(plain.bio(text, spans, most))
+            columns = [pa.array([m and m[i] for m in made], pa.list_(pa.string())) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(4), batch.column(1), *columns], ["note_id", "errors", "first_seq", "tokens", "labels"])
+
+    kinds = dict(both.dtypes)
+    labelled = both.mapInArrow(run, f"note_id {kinds['note_id']}, errors long, first_seq {kinds['first_seq']}, tokens array<string>, labels array<string>")
+    sentence = F.when(F.col("tokens").isNotNull(), F.struct("first_seq", "tokens", "labels"))
+    return labelled.groupBy("note_id").agg(F.sum("errors").alias("errors"), F.collect_list(sentence).alias("sentences")).select("note_id", "errors", F.nullif(_lines("sentences"), F.lit("")).alias("text")).where("errors > 0 or text is not null")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.api import Conll, Engine, Result, foreign_conll, foreign_errors
+from spanloom.api import Conll, Engine, Result, foreign_notes
 from spanloom.functions import text as text_functions
 from spanloom.operators import conll, matching
 from spanloom.sources.notes import elements, nodes, read_pages
@@ -300,9 +300,8 @@ def foreign_conll_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = F.to_json("r")
     damaged = F.when(seq % 6 == 1, F.concat(F.lit("{"), whole)).when(seq % 6 == 3, F.concat(F.lit("["), whole, F.lit("]"))).when(seq % 6 == 5, F.lit('{"target": {"source": 5, "selector": []}}')).otherwise(whole)
     given = _graph(run.wadm()).select("note_id", seq.alias("seq"), damaged.alias("json"))
-    bad = foreign_errors(given, run.jsonld()).groupBy("note_id").agg(F.count("*").alias("errors"))
-    lines = foreign_conll(given, run.jsonld()).select("note_id", (F.size(F.split("text", "\n")) - F.size(F.split("text", "\n\n"))).alias("tokens"), F.contains("text", F.lit("\tB-Doc\n")).alias("labelled"))
-    return bad.join(lines, "note_id", "full").select("note_id", F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("labelled", F.lit(False)).alias("labelled"))
+    tokens = F.size(F.split("text", "\n")) - F.size(F.split("text", "\n\n"))
+    return foreign_notes(given, run.jsonld()).select("note_id", "errors", F.when(F.col("text").isNull(), 0).otherwise(tokens).alias("tokens"), F.coalesce(F.contains("text", F.lit("\tB-Doc\n")), F.lit(False)).alias("labelled"))
 
 
 def tei_divisions(spark: SparkSession, sf_dir: str) -> DataFrame:
