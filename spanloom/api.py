@@ -62,6 +62,14 @@ class Result:
         """note_id, error of notes that can't be read: null or blank markup, nodes that are no tree. They give no rows elsewhere and don't stop the others."""
         return self.source.errors
 
+    def matches(self, *columns: str) -> DataFrame:
+        """note_id and some of xp, pos, node, tree_index, tag, text, prefix, suffix, html, same_as: one row a match."""
+        if unknown := [c for c in columns if c not in matching.COLUMNS]:
+            raise ValueError(f"matches have no {', '.join(unknown)}")
+        if programs(self.plan):
+            return matching.matched_source(self.source, self.plan, columns)
+        return matching.matched_nodes(self.trees, self.plan).select("note_id", *columns)
+
     @property
     def dropped(self) -> DataFrame:
         return resolve.dropped_matches(self.resolved)

@@ -21,9 +21,14 @@ from spanloom.functions.text import canonical, cut
 from spanloom.operators.structural import LATE, NOBODY, programs
 from spanloom.plans.mapping import SAME_AS, Plan, anchored, branches, kind_of
 from spanloom.sources.html_tree import Streams, parse
-from spanloom.sources.notes import SEEDS_DDL, Built, ids_of
+from spanloom.sources.notes import SEEDS_DDL, Built, Source, build, ids_of
 
 FIELDS = [("order", pa.int32()), ("xp", pa.int32()), ("pos", pa.int32()), ("node", pa.int32()), ("tree_index", pa.int32()), ("tag", pa.string()), ("text", pa.string()), ("prefix", pa.string()), ("suffix", pa.string()), ("html", pa.string()), ("same_as", pa.string()), ("up", pa.list_(pa.int32()))]
+#: What a table of matches can have, besides note_id.
+COLUMNS = {n: "string" if t == pa.string() else "int" for n, t in FIELDS if n not in ("order", "up")}
+ALL = frozenset(n for n, _ in FIELDS)
+#: Matches of an Arrow batch that leaves a task.
+BATCH_MATCHES = 4096
 MATCHES = "array<struct<order:int,xp:int,pos:int,node:int,tree_index:int,tag:string,text:string,prefix:string,suffix:string,html:string,same_as:string,up:array<int>>>"
 
 
@@ -89,21 +94,23 @@ class Cutter:
         found = self.plan.same_as and at < len(self._links) and self._links[at] <= self.nodes["last"][node]
         return self.nodes["href"][self._links[at]] if found else None
 
-    def match(self, seed: dict, linked: str | None) -> dict:
+    def match(self, seed: dict, linked: str | None, wanted: frozenset[str] = ALL) -> dict:
+        """A match; of what has to be cut, only what is wanted is."""
         node, value = seed["owner"], seed["value"]
         if node == NOBODY:  # one value of the whole note, with no place in it
             return {n: None for n, _ in FIELDS} | {"order": seed["order"], "xp": seed["xp"], "pos": seed["pos"], "text": plain_collapse(value), "prefix": "", "suffix": "", "up": []}
         parent = self.nodes["parent"][node]
-        own = self.text(node)
-        prefix, suffix = plain_context(own, self.text(parent)) if parent >= 0 else ("", "")
-        up, at = [], node
+        context = "prefix" in wanted or "suffix" in wanted
+        own = self.text(node) if context or value is None and "text" in wanted else None
+        prefix, suffix = plain_context(own, self.text(parent)) if context and parent >= 0 else ("", "")
+        up, at = [], node if "up" in wanted else -1
         while at >= 0:
             up.append(at)
             at = self.nodes["parent"][at]
         custom = self.plan.same_as != SAME_AS
         return {
             "order": seed["order"], "xp": seed["xp"], "pos": seed["pos"], "node": node, "tree_index": None if value is not None else node, "tag": self.nodes["tag"][node],
-            "text": own if value is None else text_of_value(value), "prefix": prefix, "suffix": suffix, "html": plain_collapse(self.ser[self.nodes["ser_start"][node] : self.nodes["ser_end"][node]]),
+            "text": own if value is None else text_of_value(value), "prefix": prefix, "suffix": suffix, "html": plain_collapse(self.ser[self.nodes["ser_start"][node] : self.nodes["ser_end"][node]]) if "html" in wanted else None,
             "same_as": None if value is not None else linked if custom else self.same_as(node), "up": up,
         }
 
@@ -127,14 +134,14 @@ def cut_seeded(batch: pa.RecordBatch, plan: Plan) -> Iterator[tuple[Cutter, list
         yield cutter, [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
 
 
-def cut_built(made: Built, plan: Plan) -> tuple[Cutter, list[dict]]:
+def cut_built(made: Built, plan: Plan, wanted: frozenset[str] = ALL) -> tuple[Cutter, list[dict]]:
     """The same of a note that was matched where it was built."""
     rows = made.streams.rows
     nodes = {"parent": [r.parent for r in rows], "last": [r.last for r in rows], "tag": [r.tag for r in rows], "href": [r.href for r in rows]}
     nodes |= {f"{s}_{e}": [getattr(r, s)[i] for r in rows] for s in ("raw", "ser") for i, e in enumerate(("start", "end"))}
     cutter, linked = Cutter(made.streams.raw, made.streams.ser, nodes, plan), made.linked
     found = [dict(zip(("order", "xp", "pos", "owner", "value"), x, strict=True)) for x in made.seeds or ()]
-    return cutter, [cutter.match(s, linked[j] if linked else None) for j, s in enumerate(found)]
+    return cutter, [cutter.match(s, linked[j] if linked else None, wanted) for j, s in enumerate(found)]
 
 
 def matches(seeded: DataFrame, plan: Plan) -> DataFrame:
@@ -152,3 +159,26 @@ def matches(seeded: DataFrame, plan: Plan) -> DataFrame:
 def matched_nodes(trees: DataFrame, plan: Plan) -> DataFrame:
     """One row a match: note_id, xp, pos, node, tag, text, prefix, suffix, html, same_as."""
     return matches(seeds(trees, plan), plan).select("note_id", F.explode("matches").alias("m")).select("note_id", "m.*")
+
+
+def matched_source(source: Source, plan: Plan, columns: tuple[str, ...]) -> DataFrame:
+    """note_id and these COLUMNS of matched_nodes(), in one pass over notes whose XPaths are all structural: no node leaves its batch, and notes are done one by one."""
+    parsed, wanted = source.parsed, frozenset(columns)
+    fields = [(n, t) for n, t in FIELDS if n in wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(batch: pa.RecordBatch, at: list[int], rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *(pa.array([r[n] for r in rows], t) for n, t in fields)], ["note_id", *(n for n, _ in fields)])
+
+        for batch in batches:
+            at, rows = [], []
+            for n, payload in enumerate(batch.column(2).to_pylist()):
+                found = cut_built(build(*parsed(payload), plan), plan, wanted)[1]
+                at += [n] * len(found)
+                rows += found
+                if len(rows) >= BATCH_MATCHES:
+                    yield made(batch, at, rows)
+                    at, rows = [], []
+            yield made(batch, at, rows)
+
+    return source.rows.mapInArrow(run, ", ".join([f"note_id {dict(source.rows.dtypes)['note_id']}", *(f"{n} {COLUMNS[n]}" for n, _ in fields)])).select("note_id", *columns)

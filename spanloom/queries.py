@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from spanloom.api import Conll, Engine, Result, foreign_notes
 from spanloom.functions import text as text_functions
-from spanloom.operators import conll, matching
+from spanloom.operators import conll
 from spanloom.sources.notes import elements, nodes, read_pages
 
 #: The pages' own markup: every class, a regex rule, split and find.
@@ -72,14 +72,14 @@ def link_same_as(spark: SparkSession, sf_dir: str) -> DataFrame:
 def regex_mark_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regex hits in headings as items of their own."""
     rows = _run(spark, sf_dir, {"Annotation": {"Th": {"regex": r"\b[Tt]h\w*"}}, "IGNORE": {"xpath": ["//head", "//comment()", "//nav", "//p", "//footer", "//div"]}})
-    found = matching.matched_nodes(rows.trees, rows.plan)
+    found = rows.matches("node", "text")
     return found.select("note_id", F.row_number().over(Window.partitionBy("note_id").orderBy("node")).alias("k"), "text")
 
 
 def regex_mark_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Regex hits in all text of whole pages, counted."""
     rows = _run(spark, sf_dir, {"Annotation": {"Th": {"regex": r"\b[Tt]h\w*"}}, "IGNORE": {"xpath": ["//head", "//comment()"]}})
-    return matching.matched_nodes(rows.trees, rows.plan).groupBy("note_id", "text").agg(F.count("*").alias("n"))
+    return rows.matches("text").groupBy("note_id", "text").agg(F.count("*").alias("n"))
 
 
 def current_state(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -277,14 +277,14 @@ def parsed_nodes_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 def attribute_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of attributes as matches, and the text of the element around each."""
     run = _run(spark, sf_dir, {"Annotation": {"Href": {"xpath": "//li/a/@href"}}})
-    found = matching.matched_nodes(run.trees, run.plan)
+    found = run.matches("pos", "text", "tag", "tree_index")
     return found.select("note_id", (F.col("pos") + 1).alias("k"), "text", "tag", F.col("tree_index").isNull().alias("placeless"))
 
 
 def scalar_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """XPaths that give one value: a string and numbers put together."""
     run = _run(spark, sf_dir, {"Locator": {"xpath": "string(//title)"}, "Annotation": {"N": {"xpath": "concat(count(//li/a), '/', count(//h1), ' ', normalize-space(//h1))"}}})
-    return matching.matched_nodes(run.trees, run.plan).select("note_id", "xp", "text")
+    return run.matches("xp", "text")
 
 
 def scalar_items(spark: SparkSession, sf_dir: str) -> DataFrame:
