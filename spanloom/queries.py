@@ -142,7 +142,7 @@ def element_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def node_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Prefix and suffix of links within their list entries, and of headings within their articles."""
     result = _run(spark, sf_dir, {"Annotation": {"Link": {"xpath": "//li/a"}}, "Structure": {"xpath": "//h1"}, "IGNORE": {"xpath": "//comment()"}})
-    rows = matching.matched_nodes(result.trees, result.plan)
+    rows = result.matches("tag", "prefix", "suffix")
     return rows.groupBy("note_id", "tag").agg(F.count("*").alias("n"), F.max(F.length("prefix")).alias("prefix"), F.max(F.length("suffix")).alias("suffix"))
 
 
