@@ -46,8 +46,9 @@ def in_row(resolved: DataFrame, plan: Plan, make: Callable[[Column], Column]) ->
 
 
 def items(resolved: DataFrame, plan: Plan) -> DataFrame:
-    """One row an item."""
-    return resolved.select("note_id", F.explode(F.transform("items", lambda i: item_fields(i, plan))).alias("i")).select("note_id", "i.*")
+    """One row an item. Fields are made behind the explode, so that those which nobody asks for aren't made."""
+    rows = resolved.select("note_id", "note_uri", F.explode("items").alias("i"))
+    return rows.select("note_id", item_fields(F.col("i"), plan).alias("i")).select("note_id", "i.*")
 
 
 def note_items(trees: DataFrame, plan: Plan) -> DataFrame:
