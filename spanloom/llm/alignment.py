@@ -41,7 +41,7 @@ from spanloom.llm.common import bound_batches, stage, table, text_of
 
 A_NAME, B_NAME, BLANK = "byte_bpe_50k.json", "piece_bpe_32k.model", "▁"
 #: Characters of a block, rows of a batch of dictionary entries, and segments of documents looked at together.
-BLOCK, ROWS, TOGETHER = 1 << 25, 1 << 15, 1 << 17
+BLOCK, ROWS, TOGETHER = 1 << 25, 1 << 15, 1 << 15
 _ODD = re.compile(rf"[\s{BLANK}] |\A | \Z|{BLANK}")
 _CUT = re.compile(rf"(?<=[^\s{BLANK}]) ++(?!\Z)")
 PARTS = "block long, part int, ids array<{kind}>, sizes array<int>, codes binary, idx int, segment string"
@@ -268,14 +268,35 @@ def _filled(columns: dict[str, list]) -> pa.Table:
     return pa.table([pa.array(columns.get(f.name, [None] * n), f.type) for f in _FIGURES], schema=_FIGURES)
 
 
+def joined(column: pa.ChunkedArray, kind: np.dtype) -> np.ndarray:
+    """The values of a binary column one behind the other, nulls as nothing, without an object for each."""
+    column = column.drop_null()
+    parts = [np.frombuffer(c.buffers()[2], "u1")[int(o[0]) : int(o[-1])] for c in column.chunks if len(c) for o in [np.frombuffer(c.buffers()[1], "i4")[c.offset : c.offset + len(c) + 1]] if o[-1] > o[0]]
+    return (np.concatenate(parts) if parts else np.zeros(0, "u1")).view(kind)
+
+
+def numbered_pairs(linked: list[np.ndarray], kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values of arrays, sorted, and all values as their numbers; an array at a time, as one sort of all takes a multiple of their memory."""
+    names = np.unique(np.concatenate([np.zeros(0, kind), *map(np.unique, linked)]))
+    return names, np.concatenate([np.zeros(0, "i4"), *(np.searchsorted(names, x).astype("i4") for x in linked)])
+
+
+def composed(texts: pa.StringArray, codes: np.ndarray, ends: np.ndarray, together: int = 64) -> Iterator[pa.StringScalar]:
+    """Each document's groups as text, some documents at a time."""
+    for at in range(0, len(ends) - 1, together):
+        own = ends[at : at + together + 1]
+        rows = pa.ListArray.from_arrays((own - own[0]).astype("i4"), texts.take(pa.array(codes[own[0] : own[-1]])).cast(pa.large_string()))
+        yield from pc.binary_join(rows, pa.scalar(";", pa.large_string()))
+
+
 def figures(key: tuple, parts: pa.Table, known: pa.Table, made: Groups) -> pa.Table:
     """One block: its documents' figures by part, its segments' pairs in numbers of its own, and in how many of its documents each pair is."""
     block = key[0].as_py()
-    column = known.sort_by("idx").column("groups")
+    column = known.column("groups").take(pc.sort_indices(known.column("idx")))
     bad = np.asarray(column.is_null()).astype("i8")
     del known
     edges = np.concatenate([[0], np.cumsum(pc.coalesce(pc.binary_length(column), 0).to_numpy())]) // made.kind.itemsize
-    stream = np.frombuffer(b"".join(column.drop_null().to_pylist()), made.kind)
+    stream = joined(column, made.kind)
     del column
     # A stretch of segments at a time, so that what is laid out for them stays small.
     few, texts, n_each, n_links, linked = "i4" if made.wide * len(made.a_sizes) < 2**31 else "i8", [], [], [], []
@@ -286,28 +307,27 @@ def figures(key: tuple, parts: pa.Table, known: pa.Table, made: Groups) -> pa.Ta
         n_each.append(np.stack(n))
         n_links.append(np.diff(starts))
         linked.append(pairs.astype(few))
-        texts += made.as_text(part, own)
+        texts.append(pa.array(made.as_text(part, own), pa.string()))
     del stream
     n_a, n_b, n_groups = np.concatenate(n_each, axis=1) if n_each else np.zeros((3, 0), "i8")
     first = np.concatenate([[0], np.cumsum(np.concatenate(n_links))]) if n_links else np.zeros(1, "i8")
-    names, pairs = np.unique(np.concatenate(linked) if linked else np.zeros(0, few), return_inverse=True)
+    names, pairs = numbered_pairs(linked, few)
     del linked
-    pairs = pairs.astype("i4")
+    texts = pa.chunked_array(texts, pa.string()).combine_chunks()
     counts, out = np.zeros(len(names), "i8"), []
     for row in parts.select(["part", "sizes", "codes"]).to_pylist():
         codes, ends = restored(row["codes"], "i4"), np.concatenate([[0], np.cumsum(row["sizes"])]).astype("i8")
         good = _sums(bad, codes, ends) == 0
         counts += documents_with(codes, ends, good, first, pairs, len(names))
-        digests = []
-        for doc, fine in enumerate(good.tolist()):
-            own = codes[ends[doc] : ends[doc + 1]].tolist()
-            digests.append(hashlib.sha256(";".join([texts[x] for x in own]).encode()).hexdigest() if fine and own else "")
+        digests = [hashlib.sha256(x.as_buffer()).hexdigest() if fine and n else "" for x, fine, n in zip(composed(texts, codes, ends), good.tolist(), row["sizes"], strict=True)]
         mine = {c: [(_sums(v, codes, ends) * good).tolist()] for c, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups), ("n_links", np.diff(first)))}
         out.append(_filled(mine | {"block": [block], "part": [row["part"]], "digests": [digests]}))
     out.append(_filled({"block": [block], "first": [squeezed(np.diff(first))], "pairs": [squeezed(pairs)]}))
     if len(names):
         met = np.flatnonzero(counts)
         out.append(_filled({"block": [block] * len(met), "local": met, "pair": names[met].astype("i8"), "n": counts[met]}))
+    del texts
+    pa.default_memory_pool().release_unused()  # the next block, of this task or another, needs it again
     return pa.concat_tables(out)
 
 

@@ -71,3 +71,24 @@ def test_foreign_notes_are_read_once_and_as_by_parts(spark):
     for options in (Conll(), Conll(blacklist=["Y"]), Conll(whitelist=["P"]), Conll(type_whitelist=["Doc"])):
         texts = {r["note_id"]: r["text"] for r in foreign_conll(given, graphs, options).collect()}
         assert {r["note_id"]: (r["errors"], r["text"]) for r in foreign_notes(given, graphs, options).collect()} == {n: (errors.get(n, 0), texts.get(n)) for n in errors.keys() | texts}
+
+
+def test_a_block_s_pairs_and_texts_as_made_at_once():
+    import numpy as np
+    import pyarrow as pa
+
+    from spanloom.llm import alignment
+
+    one = np.random.default_rng(3)
+    linked = [one.integers(0, 50, n).astype("i4") for n in (7, 0, 40)]
+    names, numbers = np.unique(np.concatenate(linked), return_inverse=True)
+    made = alignment.numbered_pairs(linked, "i4")
+    assert made[0].tolist() == names.tolist() and made[1].tolist() == numbers.tolist()
+    assert [x.tolist() for x in alignment.numbered_pairs([], "i4")] == [[], []]
+    values = [b"ab", None, b"", b"cdef", b"gh"]
+    column = pa.chunked_array([pa.array(values[:2], pa.binary()), pa.array([b"zz", *values[2:]], pa.binary()).slice(1), pa.array([], pa.binary())])
+    assert alignment.joined(column, np.dtype("u2")).tobytes() == b"abcdefgh"
+    assert not len(alignment.joined(pa.chunked_array([], pa.binary()), np.dtype("u2")))
+    codes, ends = np.array([0, 1, 1, 2]), np.array([0, 2, 2, 4])
+    for together in (1, 2, 64):
+        assert [x.as_py() for x in alignment.composed(pa.array(["x", "y|z", ""]), codes, ends, together)] == ["x;y|z", "", "y|z;"]
