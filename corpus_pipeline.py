@@ -10,8 +10,8 @@ stages behind it turn into empty results.
 
 from __future__ import annotations
 
+import itertools
 import re
-from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import bound_batches, stage, table
 from spanloom.llm.exact_dedup import keep_largest
-from spanloom.llm.mixing import Mix
+from spanloom.llm.mixing import Mix, text_hash, words
 from spanloom.llm.ngram_jaccard import keep_one
 from spanloom.llm.packing import pack
 from spanloom.llm.quality import keep_good
@@ -42,56 +42,42 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_one(docs)
 
 
-def _cut(texts: pa.Array, runs: pa.Array) -> pa.Array:
-    """Each text's words from .. to of all runs, with the white space between them; a run over all words takes the whole text."""
+def _cut(texts: pa.Array, ends: pa.Array) -> pa.Array:
+    """Each text's words before the word of that number, with the white space behind them."""
     out = []
-    for text, own in zip(texts.cast(pa.binary()).to_pylist(), runs.to_pylist(), strict=True):
-        spans = [m.span() for m in _WORD.finditer(text)]
-        parts = []
-        for run in own:
-            begin = 0 if run["from"] == 0 else spans[run["from"]][0]
-            end = len(text) if run["to"] == len(spans) else spans[run["to"]][0]
-            parts.append(text[begin:end])
-        out.append(b"".join(parts).decode())
+    for text, end in zip(texts.cast(pa.binary()).to_pylist(), ends.to_pylist(), strict=True):
+        nth = next(itertools.islice(_WORD.finditer(text), end, None), None)
+        out.append(text[: nth.start() if nth else len(text)].decode())
     return pa.array(out, pa.string())
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row, size, parts (from, to, times) of a document to a row for each pass that takes any of it: row, size, runs."""
-    for batch in batches:
-        at, runs = [], []
-        for i, parts in enumerate(batch.column(2).to_pylist()):
-            for turn in range(max(p["times"] for p in parts)):
-                own: list[dict] = []
-                for p in parts:
-                    if p["times"] > turn and own and own[-1]["to"] == p["from"]:
-                        own[-1]["to"] = p["to"]
-                    elif p["times"] > turn:
-                        own.append({"from": p["from"], "to": p["to"]})
-                at.append(i)
-                runs.append(own)
-        kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-        yield pa.RecordBatch.from_arrays([*(c.take(pa.array(at, pa.int64())) for c in batch.columns[:2]), pa.array(runs, kind)], ["_of", "_size", "_runs"])
-
-
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources, weighed 1, 2, 3, repeating: a document's row for each pass that takes any of its words, with those words.
 
+    A pass over a source takes a stretch of its stream, so a document is taken whole but for those where the last pass
+    ends. Its source and its place in the shuffled order say how often; only documents of the one bucket of a source in
+    which its last pass ends meet a table, and no other text moves.
+
     n_chars, where documents have it, follows the text. Documents without words carry nothing to mix and stay out. Rows
     are told apart by a number of their own, so rows of one id and text each take their own turns; which of them comes
     first follows a hash of the whole row, so reruns agree.
     """
     bound_batches(spark)
     whole_row = F.to_json(F.struct(*[docs[c].cast("string") for c in docs.columns]))
-    rows = stage(docs.select(F.struct("*").alias("_row"), F.xxhash64(whole_row).alias("_tie"), F.monotonically_increasing_id().alias("_number")), "mix-numbered")
-    plan = Mix(rows.select("_row.doc_id", "_row.text", "_row.source", "_tie", "_number"), row="_number", tie="_tie")
-    parts = plan.taken().groupBy("row").agg(F.array_sort(F.collect_list(F.struct("from", "to", "times"))).alias("parts"))
-    held = parts.join(plan.rows.select("row", "size"), "row").select("row", "size", "parts")
-    turns = stage(held.mapInArrow(_runs, "_of long, _size long, _runs array<struct<from:long,to:long>>"), "mix-turns")
-    out = rows.join(turns, F.col("_number") == F.col("_of"))
-    whole = (F.size("_runs") == 1) & (F.col("_runs")[0]["from"] == 0) & (F.col("_runs")[0]["to"] == F.col("_size"))
+    rows = docs.select(F.struct("*").alias("_row"), F.xxhash64(whole_row).alias("_tie"), words(docs).alias("_size"), text_hash(docs).alias("hash"), F.monotonically_increasing_id().alias("_number"))
+    rows = stage(rows, "mix-numbered")
+    plan = Mix(rows.select("_row.doc_id", "_row.source", "_tie", "_size", "hash", "_number"), row="_number", tie="_tie", size="_size", hash="hash")
+    ends, extra = plan.turns()
+    rows = plan.placed(rows.where("_size > 0").select("_row", "_size", "_number", "hash", "_row.doc_id", F.col("_row.source").cast("string").alias("source"))).select("_row", "_size", "_number", "source_no", "bucket")
+    rows = rows.join(F.broadcast(ends), "source_no")
+    at_edge = F.coalesce(F.col("bucket") == F.col("edge"), F.lit(False))
+    sure = rows.where(~at_edge).withColumn("extra", F.when(F.col("bucket") < F.col("edge"), F.col("_size")).otherwise(0))
+    out = sure.unionByName(rows.where(at_edge).join(extra, F.col("_number") == F.col("row")).drop("row"))
+    # The words that each pass takes, from the first on.
+    out = out.withColumn("_end", F.explode(F.concat(F.array_repeat("_size", F.col("turns").cast("int")), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.array().cast("array<bigint>")))))
+    whole = F.col("_end") == F.col("_size")
     cut = F.arrow_udf(_cut, "string")
-    some = cut(F.when(whole, F.lit("")).otherwise(F.col("_row.text")), F.when(whole, F.array().cast("array<struct<from:bigint,to:bigint>>")).otherwise(F.col("_runs")))
+    some = cut(F.when(whole, F.lit("")).otherwise(F.col("_row.text")), F.col("_end"))
     out = out.withColumn("_cut", F.when(whole, F.col("_row.text")).otherwise(some))
     cols = {c: F.col(f"_row.`{c}`") for c in docs.columns} | {"text": F.col("_cut")}
     if "n_chars" in cols:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from spanloom.llm.common import LOWER, UPPER, bound_batches, stage, table, text_of
+from spanloom.llm.common import LOWER, UPPER, bound_batches, maybe_among, stage, table, text_of
 
 #: Counters of a Misra-Gries summary; also the most rows that are broadcast.
 COUNTERS = 1000
@@ -74,16 +74,19 @@ def decide(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def keep_largest(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """docs without copies, all columns: of equal texts one row with the largest doc_id.
 
-    Rows of hot digests that can't win leave on the map side; the others meet once, combined per task before the shuffle.
+    Rows of hot digests that can't win leave on the map side, and texts that no other row has stay there: a bitmap of
+    fixed size tells which may be repeated. Only these meet, once, combined per task before the shuffle.
     """
     spark = docs.sparkSession
     bound_batches(spark)
     rows = stage(docs.select(docs["doc_id"], digest(text_of(docs)).alias("digest")).withColumn("row", F.monotonically_increasing_id()), "digests")
     heavy = stage(heavy_winners(rows, counters), "heavy-winners").select(F.col("digest").alias("_hot"), F.col("win.doc_id").alias("_win"))
+    repeated = stage(rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select(F.xxhash64("digest").alias("hash")), "repeated")
     held = docs.select(F.struct("*").alias("_row"), docs["doc_id"].alias("_id"), digest(text_of(docs)).alias("_digest"))
     held = held.join(F.broadcast(heavy), F.col("_digest") == F.col("_hot"), "left").where(F.col("_hot").isNull() | F.col("_id").eqNullSafe(F.col("_win")))
-    best = held.groupBy("_digest").agg(F.max_by("_row", F.struct("_id", "_digest")).alias("_row"))
-    return best.select("_row.*")
+    held = maybe_among(held.select("_row", "_id", "_digest", F.xxhash64("_digest").alias("hash")), repeated)
+    best = held.where("maybe").groupBy("_digest").agg(F.max_by("_row", F.struct("_id", "_digest")).alias("_row"))
+    return held.where("not maybe").select("_row.*").unionByName(best.select("_row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,6 +39,15 @@ def count_words(texts: pa.Array) -> pa.Array:
     return pa.array([len(t.split()) for t in texts.cast(pa.binary()).to_pylist()], pa.int64())
 
 
+def words(docs: DataFrame) -> Column:
+    """Words of the text; a null text has none."""
+    return F.arrow_udf(count_words, T.LongType())(text_of(docs))
+
+
+def text_hash(docs: DataFrame) -> Column:
+    return F.xxhash64(text_of(docs))
+
+
 def targets(sizes: list[int], weights: list[float], times: float = TIMES) -> list[float]:
     """Each source's share of all words by weight, at most times its size; what is above is dealt out again by weight."""
     out, open_, left = [0.0] * len(sizes), set(range(len(sizes))), float(sum(sizes))
@@ -76,13 +85,12 @@ def slots(batches: Iterator[pa.RecordBatch], bounds: np.ndarray) -> Iterator[pa.
 class Mix:
     """The parts of a mix: docs (with source sizes and places in the streams), blocks and schedule."""
 
-    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block: int = BLOCK, times: int = TIMES, row: str | None = None, tie: str | None = None):
-        """docs: doc_id, text, source. weights: by source in code point order, null last; 1, 2, 3, repeating, by default. row: a column of unique numbers, else rows are numbered here; tie: one of numbers that order rows of one id and text ahead of these."""
+    def __init__(self, docs: DataFrame, weights: list[float] | None = None, block: int = BLOCK, times: int = TIMES, row: str | None = None, tie: str | None = None, size: str | None = None, hash: str | None = None):
+        """docs: doc_id, text, source. weights: by source in code point order, null last; 1, 2, 3, repeating, by default. row: a column of unique numbers, else rows are numbered here; tie: one of numbers that order rows of one id and text ahead of these; size, hash: what words() and text_hash() of the text gave, if that is known."""
         spark = docs.sparkSession
         bound_batches(spark)
-        size = F.arrow_udf(count_words, T.LongType())(text_of(docs))
         number, ahead = docs[row].cast("long") if row else F.monotonically_increasing_id(), docs[tie].cast("long") if tie else F.lit(0).cast("long")
-        rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), size.alias("size"), F.xxhash64(text_of(docs)).alias("hash"), ahead.alias("tie"), number.alias("row"))
+        rows = docs.select(docs["doc_id"], docs["source"].cast("string").alias("source"), (docs[size] if size else words(docs)).alias("size"), (docs[hash] if hash else text_hash(docs)).alias("hash"), ahead.alias("tie"), number.alias("row"))
         self.rows = rows = stage(rows, "mix-rows")
         found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("docs")).collect()
         found = sorted(found, key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -101,13 +109,42 @@ class Mix:
             self.bounds[np.flatnonzero(wanted)[-1] if total else -1 :] = POINTS
         # Places in a source's stream: buckets of the shuffled order, each source's buckets summed up, then rows in a bucket.
         most = max((r["docs"] for r in found), default=1)
-        rows = rows.join(self.sources, rows["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
-        shuffled = F.xxhash64("doc_id", "hash")
-        rows = rows.withColumn("key", shuffled).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(-(-most // BUCKET))).cast("int"))
-        buckets = prefix_sums(rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")), ["source_no"], "bucket", "words", "before").select("source_no", "bucket", "before")
-        rows = rows.join(buckets, ["source_no", "bucket"])
+        self.n_buckets = -(-most // BUCKET)
+        rows = self.placed(rows)
+        buckets = prefix_sums(rows.groupBy("source_no", "bucket").agg(F.sum("size").alias("words")), ["source_no"], "bucket", "words", "before")
+        self.buckets, self.rows_placed = buckets, rows
+        self.docs = self.begun(rows.join(buckets.select("source_no", "bucket", "before"), ["source_no", "bucket"])).drop("key", "bucket", "before", "tie")
+
+    def placed(self, rows: DataFrame) -> DataFrame:
+        """rows (doc_id, hash, source) with what self.sources has of the source, and their key and bucket in the shuffled order."""
+        rows = rows.join(F.broadcast(self.sources), rows["source"].eqNullSafe(self.sources["source"])).drop(self.sources["source"])
+        return rows.withColumn("key", F.xxhash64("doc_id", "hash")).withColumn("bucket", F.pmod(F.shiftright("key", 20), F.lit(self.n_buckets)).cast("int"))
+
+    @staticmethod
+    def begun(rows: DataFrame) -> DataFrame:
+        """Placed rows of whole buckets and the words `before` these, with `begin`: the words ahead of the row in its source's stream."""
         within = Window.partitionBy("source_no", "bucket").orderBy("key", "doc_id", "tie", "row").rowsBetween(Window.unboundedPreceding, -1)
-        self.docs = rows.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0))).drop("key", "bucket", "before", "tie")
+        return rows.withColumn("begin", F.col("before") + F.coalesce(F.sum("size").over(within), F.lit(0)))
+
+    def turns(self) -> tuple[DataFrame, DataFrame]:
+        """What taken() comes to a document, without its parts: a source's blocks are taken equally often, and the first few of them once more.
+
+        A row a source (source_no, turns, more, edge): times that each of its words is taken, words of its stream that are taken
+        once more, and the bucket in which these end (none: null). A row a document of such a bucket (row, extra): its words among those.
+        """
+        drawn = {r["source_no"]: r["n"] for r in self.drawn(self.chunks()).groupBy("source_no").agg(F.count("*").alias("n")).collect()}
+        rows = []
+        for r in self.sources.collect():
+            n, blocks = drawn.get(r["source_no"], 0), r["n_blocks"]
+            turns, first = divmod(min(n, self.times * blocks), blocks) if blocks else (0, 0)
+            rows.append((r["source_no"], turns, first * r["source_size"] // blocks if blocks else 0))
+        ends = self.rows.sparkSession.createDataFrame(rows, "source_no int, turns long, more long").coalesce(1)
+        last = self.buckets.join(F.broadcast(ends), "source_no").where("more > 0 and before < more and more <= before + words")
+        edges = stage(last.select("source_no", F.col("bucket").alias("edge"), "before"), "mix-edges")
+        ends = stage(ends.join(edges.select("source_no", "edge"), "source_no", "left"), "mix-ends")
+        own = self.rows_placed.join(F.broadcast(edges), "source_no").where("bucket = edge").join(F.broadcast(ends.select("source_no", "more")), "source_no")
+        extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("more") - F.col("begin")))
+        return ends, stage(self.begun(own).select("row", extra.cast("long").alias("extra")), "mix-extra")
 
     def pieces(self) -> DataFrame:
         """Each document's part of each block that it reaches: block b of n holds the words from b * size div n to (b + 1) * size div n of its source."""
@@ -118,19 +155,25 @@ class Mix:
         out = out.withColumn("from", F.greatest(F.lit(0), low("block") - F.col("begin"))).withColumn("to", F.least(F.col("size"), low("block + 1") - F.col("begin")))
         return out.where(F.col("to") > F.col("from")).select("doc_id", "row", "source_no", "block", "from", "to")
 
+    def chunks(self) -> DataFrame:
+        """id, begin, end and bases (null) of each chunk of slots."""
+        count = -(-self.n_slots // CHUNK)
+        ids = self.rows.sparkSession.range(0, count, 1, max(1, min(count // 4, 10_000)))
+        return ids.select("id", (F.col("id") * CHUNK).alias("begin"), F.least((F.col("id") + 1) * CHUNK, F.lit(self.n_slots)).alias("end"), F.lit(None).cast("array<struct<source_no:int,before:bigint>>").alias("bases"))
+
+    def drawn(self, chunks: DataFrame) -> DataFrame:
+        """chunk, slot, source_no, rank of the slots of chunks."""
+        bounds = self.bounds
+        return chunks.mapInArrow(lambda b: slots(b, bounds), "chunk long, slot long, source_no int, rank long")
+
     def schedule(self) -> DataFrame:
         """slot, source_no, block and pass of every slot."""
-        spark = self.rows.sparkSession
-        bounds, n = self.bounds, self.n_slots
-        count = -(-n // CHUNK)
-        chunks = spark.range(0, count, 1, max(1, min(count // 4, 10_000))).select("id", (F.col("id") * CHUNK).alias("begin"), F.least((F.col("id") + 1) * CHUNK, F.lit(n)).alias("end"))
-        draw = lambda c: c.mapInArrow(lambda b: slots(b, bounds), "chunk long, slot long, source_no int, rank long")
-        bases = "array<struct<source_no:int,before:bigint>>"
-        counts = draw(chunks.withColumn("bases", F.lit(None).cast(bases))).groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
+        chunks = self.chunks()
+        counts = self.drawn(chunks).groupBy("source_no", "chunk").agg(F.count("*").alias("n"))
         counts = prefix_sums(counts, ["source_no"], "chunk", "n", "before").groupBy("chunk").agg(F.collect_list(F.struct("source_no", "before")).alias("bases"))
         # The slots are drawn again, from where earlier chunks end: what is joined has a row a chunk.
         counts = stage(counts, "mix-chunks")
-        ranked = draw(chunks.join(counts, F.col("id") == F.col("chunk"), "left").select("id", "begin", "end", "bases"))
+        ranked = self.drawn(chunks.drop("bases").join(counts, F.col("id") == F.col("chunk"), "left").select("id", "begin", "end", "bases"))
         ranked = ranked.join(self.sources.select("source_no", "n_blocks"), "source_no")
         return ranked.select("slot", "source_no", F.expr("rank % n_blocks").alias("block"), F.expr("rank div n_blocks").alias("pass")).where(F.col("pass") < self.times)
 

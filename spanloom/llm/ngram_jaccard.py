@@ -47,7 +47,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import LOWER, UPPER, bound_batches, stage, table, text_of, unstage
+from spanloom.llm.common import LOWER, UPPER, bound_batches, maybe_among, stage, table, text_of, unstage
 from spanloom.llm.components import components
 
 WORDS, PERCENT = 5, 80
@@ -61,8 +61,6 @@ FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 2, 0.25, 32
 SIGNATURE = 8
 #: Open lists of a group ahead of a row's own that the row is given for the last pairs.
 AHEAD = 8
-#: Bits of the bitmap of wanted texts: 4 MB, broadcast.
-WANTED = 1 << 25
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -268,17 +266,6 @@ def make_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Recor
         yield pa.RecordBatch.from_arrays([batch.column(0), ns, _flat([wide_signature(x) for x in sets]), _flat(sets)], ["cid", "n", "wide", "set"])
 
 
-def maybe_among(rows: DataFrame, hashes: DataFrame) -> DataFrame:
-    """rows (with a column hash) with `maybe`: false where no row of `hashes` has that hash. The bitmap's size is fixed, whatever the rows."""
-    place = lambda c: F.pmod(F.col(c), F.lit(WANTED)) + 1
-    bits = hashes.select(place("hash").alias("p")).groupBy(F.bitmap_bucket_number("p").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("_bits"))
-    rows = rows.withColumn("_p", place("hash")).withColumn("_at", F.bitmap_bucket_number("_p"))
-    rows = rows.join(F.broadcast(bits), F.col("_at") == F.col("_bucket"), "left")
-    byte = F.expr("cast(conv(hex(substring(_bits, cast(bitmap_bit_position(_p) div 8 as int) + 1, 1)), 16, 10) as int)")
-    on = F.coalesce(byte.bitwiseAND(F.expr("shiftleft(1, cast(bitmap_bit_position(_p) % 8 as int))")) != 0, F.lit(False))
-    return rows.withColumn("maybe", on).drop("_p", "_at", "_bucket", "_bits")
-
-
 class Join:
     """The join of `docs` (doc_id, text); `members` has doc_id, hash, row, n_shingles and component_id of every row."""
 
@@ -313,8 +300,7 @@ class Join:
         links = self.verify(pairs)
         parts = components(links)
         unstage(pairs, links)
-        lists = self.shared_lists(parts)
-        lists = self.open(lists, parts)
+        lists = self.most_frequent(self.shared_lists(parts))
         for salt in range(ROUNDS):
             if self.few(lists):
                 break
@@ -354,24 +340,35 @@ class Join:
         return (low * 100 >= high * self.percent) & F.coalesce(differ <= F.col(na) + F.col(nb) - 2 * shared, F.lit(True))
 
     def shared_lists(self, parts: DataFrame) -> DataFrame:
-        """h, gid, n, bits, pos: the lists that hold groups of several components, staged. A group of several classes has no signature."""
+        """h, gid, n, pos, part: the lists that hold groups of several components, staged. part: the group's component, null if its classes are in several.
+
+        Prefixes are read here for the last time, so the rows are staged again without them.
+        """
         part = F.coalesce("component", "cid")
-        spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"), F.count("*").alias("own"))
-        groups = self.rows.join(spans, F.col("row") == F.col("gid")).select("gid", "n", F.when(F.col("own") == 1, F.col("bits")).alias("bits"), "low", "high", "prefix")
-        groups = stage(groups, "jaccard-spans")
-        index = groups.select("gid", "n", "bits", "low", "high", F.posexplode("prefix").alias("pos", "h"))
+        spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"))
+        groups = stage(self.rows.select("row", "n", "prefix").join(spans, F.col("row") == F.col("gid")).select("gid", "n", "low", "high", "prefix"), "jaccard-spans")
+        self.rows, old = stage(self.rows.select("id", "hash", "row", "n", "sig", "gkey"), "jaccard-rows"), self.rows
+        unstage(old)
+        index = groups.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
         shared = index.groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
         shared = stage(shared, "jaccard-shared-lists")
-        wanted = maybe_among(index.select("gid", "n", "bits", "pos", F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
-        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "bits", "pos"), "jaccard-lists")
+        own = F.when(F.col("low") == F.col("high"), F.col("low")).alias("part")
+        wanted = maybe_among(index.select("gid", "n", "pos", own, F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
+        lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "pos", "part"), "jaccard-lists")
         unstage(groups, shared)
         return lists
 
+    def signed(self, lists: DataFrame) -> DataFrame:
+        """lists with `bits`, their groups' signatures: rows carry these only where pairs are made. A group of several classes has none."""
+        signs = self.classes.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+        return lists.join(signs, "gid")
+
     def stars(self, lists: DataFrame, salt: int) -> DataFrame:
         """Pairs (a, b) of groups: each group with those TRIES of its lists' picked groups, of other components, with which it shares most lists.
 
         A list's picked group is the first by a hash with the round's salt.
         """
+        lists = stage(self.signed(lists), "jaccard-signed")
         picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("gid", F.lit(salt)).alias("key"), "gid", "n", "part", "bits")).alias("p"))
         rows = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & F.coalesce(F.col("part") != F.col("p.part"), F.lit(True)) & self.may_link("n", "p.n", "bits", "p.bits"))
         shared = rows.groupBy("gid", F.col("p.gid").alias("pivot")).agg(F.count("*").alias("c"))
@@ -412,12 +409,15 @@ class Join:
         return self.classes.join(parts, F.col("cid") == F.col("node"), "left").select("gid", "cid", "n", "bits", F.coalesce("component", "cid").alias("part"))
 
     def open(self, lists: DataFrame, parts: DataFrame) -> DataFrame:
-        """The lists with groups of several components, with `part` and the list's most frequent one. The old lists are deleted."""
+        """The lists that still have groups of several components, with `part` and the list's most frequent one. The old lists are deleted."""
         groups = self.parted(parts).groupBy("gid").agg(F.min("part").alias("low"), F.max("part").alias("high"))
-        # A group's component; null if its classes are in several.
         groups = groups.select("gid", F.when(F.col("low") == F.col("high"), F.col("low")).alias("part"))
-        placed = stage(lists.select("h", "gid", "n", "bits", "pos").join(groups, "gid").select("h", "gid", "n", "bits", "pos", "part"), "jaccard-placed")
+        placed = stage(lists.select("h", "gid", "n", "pos").join(groups, "gid").select("h", "gid", "n", "pos", "part"), "jaccard-placed")
         unstage(lists)
+        return self.most_frequent(placed)
+
+    def most_frequent(self, placed: DataFrame) -> DataFrame:
+        """Of lists with `part` those with groups of several components, with the list's most frequent one. The old lists are deleted."""
         counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"))
         open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
         open_ = open_.where("parts > 1 or mixed > 0").select("h", "most")
@@ -429,7 +429,7 @@ class Join:
         """Pairs of classes (a, b) of different components that share a list or a group, as far as places in the lists and signatures leave a link possible; staged."""
         apart = _apart()
         before = Window.partitionBy("gid").orderBy("pos").rowsBetween(-AHEAD, -1)
-        lists = stage(lists.withColumn("ahead", F.collect_list("h").over(before)), "jaccard-ahead")
+        lists = stage(self.signed(lists).withColumn("ahead", F.collect_list("h").over(before)), "jaccard-ahead")
         left = lists.where(apart).select("h", F.col("gid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("ia"), F.col("part").alias("part_a"), F.col("bits").alias("ba"), F.col("ahead").alias("ha"))
         right = lists.select("h", F.col("gid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("ib"), F.col("part").alias("part_b"), F.col("bits").alias("bb"), F.col("ahead").alias("hb"), apart.alias("apart"))
         differ = F.coalesce(F.col("part_a") != F.col("part_b"), F.lit(True))

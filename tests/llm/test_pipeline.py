@@ -83,3 +83,48 @@ def test_rows_of_one_id_and_text_take_turns_of_their_own(spark, corpus):
         words[source] += len(text.split())
     assert abs(words["b"] - 2 * words["a"]) <= 3 * 64
     assert {(r[0], r[2], r[3]) for r in first} <= {(r[0], r[2], r[3]) for r in rows}
+
+
+@pytest.fixture(scope="module")
+def sources(spark):
+    """Sources of several buckets, with rows that are alike in all columns."""
+    random.seed(8)
+    rows = [(i, " ".join(f"w{i}x{k}" for k in range(random.randint(0, 60))) + " \n" * (i % 2), f"s{i % 3}" if i % 7 else None) for i in range(900)]
+    rows += [(5000, "one two three", "s1")] * 40
+    return spark.createDataFrame(rows, "doc_id long, text string, source string")
+
+
+def test_turns_are_the_parts_of_the_schedule(spark, sources):
+    """A document's passes by source and bucket are those that the schedule's blocks add up to."""
+    from pyspark.sql import functions as F
+
+    from spanloom.llm.mixing import Mix
+
+    for docs in (sources, sources.where("source = 's0' or doc_id < 20")):
+        docs = stage(docs.withColumn("n", F.monotonically_increasing_id()), "test-mix")
+        plan = Mix(docs, block=16, row="n")
+        wanted = {r["row"]: r["taken"] for r in plan.taken().groupBy("row").agg(F.sum((F.col("to") - F.col("from")) * F.col("times")).alias("taken")).collect()}
+        ends, extra = plan.turns()
+        ends, extra = {r["source_no"]: r for r in ends.collect()}, {r["row"]: r["extra"] for r in extra.collect()}
+        got = {}
+        for r in plan.placed(plan.rows).collect():
+            end = ends[r["source_no"]]
+            last = extra[r["row"]] if r["bucket"] == end["edge"] else r["size"] if end["edge"] is not None and r["bucket"] < end["edge"] else 0
+            got[r["row"]] = end["turns"] * r["size"] + last
+        assert {k: n for k, n in got.items() if n} == wanted
+        assert len(extra) < len(got)
+
+
+def test_mixing_and_exact_copies_leave_texts_where_they_are(spark, sources):
+    """Before, all texts were dealt out by number and by digest. Now those of an edge or with copies only."""
+    from spanloom.llm.exact_dedup import keep_largest
+
+    sources = stage(sources, "test-sources")
+    assert "Union" in pipeline.mixing(spark, sources, "")._jdf.queryExecution().executedPlan().toString()
+    rows = {tuple(r) for r in sources.collect()}
+    kept = keep_largest(sources)
+    best = {}
+    for r in rows:
+        best[r[1].lower()] = max(best.get(r[1].lower(), r), r, key=lambda x: x[0])
+    assert sorted((r[0], r[1]) for r in kept.collect()) == sorted((r[0], r[1]) for r in best.values())
+    assert "Union" in kept._jdf.queryExecution().executedPlan().toString()
