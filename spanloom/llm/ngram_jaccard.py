@@ -401,6 +401,11 @@ class Join:
             wide = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
             both = pairs.join(wide("b"), "b").join(wide("a"), "a").select("a", "b", "na", "nb", "wa", "wb")
             pairs = stage(both.mapInArrow(lambda b: near_enough(b, percent), "a long, b long"), "jaccard-near-pairs")
+            if pairs.isEmpty():
+                return pairs
+            # Sets of earlier calls that no pair is left of stay where they are.
+            left = pairs.select(F.xxhash64("a").alias("hash")).unionByName(pairs.select(F.xxhash64("b").alias("hash")))
+            sets = maybe_among(sets.withColumn("hash", F.xxhash64("cid")), left).where("maybe")
         both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
         return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
 

@@ -128,3 +128,30 @@ def test_mixing_and_exact_copies_leave_texts_where_they_are(spark, sources):
         best[r[1].lower()] = max(best.get(r[1].lower(), r), r, key=lambda x: x[0])
     assert sorted((r[0], r[1]) for r in kept.collect()) == sorted((r[0], r[1]) for r in best.values())
     assert "Union" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_contract_blocks_first(spark, monkeypatch):
+    """A block's edges take no step: before, a chain took several. Blocks that meet take steps, and give the same."""
+    from spanloom.llm import components as of
+
+    random.seed(2)
+    chain = [(i, i + 1) for i in range(3000)]
+    edges = chain + [(random.randrange(5000, 8000), random.randrange(5000, 8000)) for _ in range(1200)] + [(9, 9)]
+    least = {}
+    for a, b in sorted(edges):
+        least.setdefault(a, a), least.setdefault(b, b)
+    while True:
+        moved = [(a, b) for a, b in edges if least[a] != least[b]]
+        if not moved:
+            break
+        for a, b in moved:
+            least[a] = least[b] = min(least[a], least[b])
+    wanted = {k: v for k, v in least.items() if k != v}
+    table = spark.createDataFrame(edges, "a long, b long").repartition(4)
+    steps = []
+    monkeypatch.setattr(of, "stage", lambda df, name: steps.append(name) or stage(df, name))
+    assert {r["node"]: r["component"] for r in of.components(table).collect()} == wanted
+    assert len(steps) == 1
+    monkeypatch.setattr(of, "BLOCK", 1500)
+    assert {r["node"]: r["component"] for r in of.components(table).collect()} == wanted
+    assert len(steps) > 2
