@@ -11,13 +11,16 @@ each one's first n - ceil(PERCENT / 100 * n) + 1; these are its prefix.
 3. The lists of each group's FIRST first shingles give the first pairs: each group with a group of each of these lists,
    picked by a hash, so that a large family meets in many different ones; and each group's smallest class with its
    other classes. They are verified on whole sets, which are made again for the classes that need it.
-4. All prefixes are inverted. Only lists that hold groups of several components are kept, and move again.
+4. All prefixes are inverted, an even share of the shingles at a time, so that only a share is on disk. A list of two
+   groups that nothing links yet is a pair, which its two ends tell; of the others only lists that hold groups of
+   several components are kept, and their rows move again. Prefixes themselves move for the groups that links reach.
 5. In rounds, while more pairs remain than a few for each row of the lists and rounds find links, every group of an open list is paired with TRIES groups: of the picked groups of
    its lists that it may link with those with which it shares most lists. So pairs are in proportion to groups. Lists
    that are of one component by now are done.
 6. What is left to look at are pairs in a list, or classes in a group, that aren't in the same component yet; only
    members outside of a list's most frequent component are paired with the rest. So a large group of near copies costs as many pairs as it has rows, and no link between different
-   components is lost.
+   components is lost. Of the pairs that signatures leave, PICKS of each class are verified first, and those that are
+   in one component then need no look: so a dense family moves sets in proportion to its classes.
 
 Two groups that share an open list and also one of the AHEAD open lists ahead of it in both prefixes meet in that one
 already, under looser bounds; so a pair of long documents isn't made once for every shingle that they share.
@@ -59,6 +62,10 @@ BLOCK, LONG = 1 << 19, 4096
 FIRST, TRIES, ROUNDS, FEW, WORTH = 8, 8, 2, 0.25, 32
 #: 64-bit words of a set's signature.
 SIGNATURE = 8
+#: Shares of the shingles whose lists are made one after the other; a power of two.
+SHARES = 4
+#: Pairs of a class that are verified in a round before the rest of the last pairs.
+PICKS = 4
 #: Open lists of a group ahead of a row's own that the row is given for the last pairs.
 AHEAD = 8
 
@@ -258,6 +265,16 @@ def _flat(arrays: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), values)
 
 
+def make_wide(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """cid, text to cid, n, wide (signature)."""
+    for batch in batches:
+        ns, wide = [], []
+        for one in _sets(batch.column(1), size):
+            ns.append(len(one))
+            wide.append(wide_signature(one))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ns, pa.int32()), _flat(wide)], ["cid", "n", "wide"])
+
+
 def make_sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
     """cid, text to cid, n, wide (signature), set."""
     for batch in batches:
@@ -283,12 +300,12 @@ class Join:
         self.groups = stage(full.groupBy("gkey").agg(F.min("row").alias("gid"), F.first("n").alias("n"), F.first(F.slice("prefix", 1, FIRST)).alias("firsts"), F.min_by("bits", "row").alias("bits")), "jaccard-groups")
         classes = full.groupBy("gkey", "sig").agg(F.min("row").alias("cid"), F.min("id").alias("least"), F.min_by(F.struct("id", "hash", "n", "bits"), "row").alias("of"))
         self.classes = stage(classes.join(self.groups.select("gkey", "gid"), "gkey").select("gkey", "sig", "gid", "cid", "least", "of.id", "of.hash", "of.n", "of.bits"), "jaccard-classes")
-        self.sets: list[DataFrame] = []
+        self.wide: list[DataFrame] = []
         parts = self.components()
         named = self.classes.join(parts, F.col("cid") == F.col("node"), "left").withColumn("component", F.coalesce("component", "cid"))
         ids = named.groupBy("component").agg(F.min("least").alias("component_id"), F.min("cid").alias("first"))
         named = stage(named.join(ids, "component").select("gkey", "sig", "cid", "first", "component_id"), "jaccard-components")
-        unstage(parts, self.classes, *self.sets)
+        unstage(parts, self.classes)
         joined = self.rows.join(named, ["gkey", "sig"], "left")
         component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
         self.members = joined.select(F.col("id").alias("doc_id"), "hash", "row", F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"), "first")
@@ -296,11 +313,13 @@ class Join:
     def components(self) -> DataFrame:
         """node, component of the classes that links reach. Each staged table is deleted as soon as its successor is there."""
         inside = self.classes.where("cid <> gid").select(F.col("gid").alias("a"), F.col("cid").alias("b"))
-        pairs = stage(self.first_pairs().unionByName(inside), "jaccard-pairs")
+        met = self.met()
+        pairs = stage(self.first_pairs(met).unionByName(inside), "jaccard-pairs")
         links = self.verify(pairs)
         parts = components(links)
-        unstage(pairs, links)
-        lists = self.most_frequent(self.shared_lists(parts))
+        unstage(met, pairs, links)
+        placed, twos = self.shared_lists(parts)
+        lists = self.most_frequent(placed)
         for salt in range(ROUNDS):
             if self.few(lists):
                 break
@@ -316,20 +335,60 @@ class Join:
             if found <= FEW * tried:
                 break
         known = stage(self.parted(parts), "jaccard-class-parts")
-        rest = self.rest(known, lists)
-        if not rest.isEmpty():
-            links = self.verify(rest, screened=True)
+        rest = self.rest(known, lists, twos)
+        unstage(known, lists, twos, self.groups)
+        near = self.screened(rest)
+        unstage(rest)
+        return self.settle(parts, near)
+
+    def settle(self, parts: DataFrame, pairs: DataFrame) -> DataFrame:
+        """parts with the links of staged pairs of classes. In rounds, PICKS pairs of each class are verified, and pairs of one component by then are dropped; then what is left. Both tables are deleted."""
+        for salt in range(ROUNDS + 1):
+            picked = stage(self.picks(pairs, salt), "jaccard-picked-pairs") if salt < ROUNDS else pairs
+            all_of_them = salt == ROUNDS or 2 * picked.count() >= pairs.count()
+            if all_of_them and picked is not pairs:
+                unstage(picked)
+                picked = pairs
+            if picked.isEmpty():
+                unstage(picked)
+                break
+            links = self.verify(picked, screened=True)
             parts, old = components(_edges(parts).unionByName(links)), parts
-            unstage(old, links)
-        unstage(rest, known, lists, self.groups)
+            unstage(old, links, picked)
+            if all_of_them:
+                break
+            pairs, old = stage(self.apart(pairs, parts), "jaccard-near-pairs"), pairs
+            unstage(old)
         return parts
 
-    def first_pairs(self) -> DataFrame:
-        """Pairs (a, b) of groups' first classes: each group with one of each list of its first shingles, picked by a hash of the list's own, as far as may_link()."""
-        lists = self.groups.select("gid", "n", "bits", F.explode("firsts").alias("h"))
-        picked = lists.groupBy("h").agg(F.min(F.struct(F.xxhash64("h", "gid").alias("key"), "gid", "n", "bits")).alias("p"), F.count("*").alias("k")).where("k > 1").select("h", "p")
-        pairs = lists.join(picked, "h").where((F.col("gid") != F.col("p.gid")) & self.may_link("n", "p.n", "bits", "p.bits"))
-        return pairs.select(F.least("gid", "p.gid").alias("a"), F.greatest("gid", "p.gid").alias("b")).distinct()
+    @staticmethod
+    def picks(pairs: DataFrame, salt: int) -> DataFrame:
+        """Of pairs (a, b) the first PICKS of each end by hashes of the round's own."""
+        ends = pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y")))
+        best = ends.groupBy("x").agg(*[F.min(F.struct(F.xxhash64("x", "y", F.lit(salt * PICKS + i)).alias("key"), "y")).alias(f"p{i}") for i in range(PICKS)])
+        best = best.select("x", F.explode(F.array(*[f"p{i}.y" for i in range(PICKS)])).alias("y"))
+        return best.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    @staticmethod
+    def apart(pairs: DataFrame, parts: DataFrame) -> DataFrame:
+        """Pairs (a, b) of classes of different components."""
+        side = lambda x: parts.select(F.col("node").alias(x), F.col("component").alias(f"p{x}"))
+        return pairs.join(side("b"), "b", "left").join(side("a"), "a", "left").where(F.coalesce("pa", "a") != F.coalesce("pb", "b")).select("a", "b")
+
+    def met(self) -> DataFrame:
+        """Pairs (a, b) of groups, staged: each group with one of each list of its first shingles, picked by a hash of the list's own."""
+        lists = self.groups.select("gid", F.explode("firsts").alias("hash"))
+        picked = lists.groupBy("hash").agg(F.min(F.struct(F.xxhash64("hash", "gid").alias("key"), "gid")).alias("p"), F.count("*").alias("k")).where("k > 1").select(F.col("hash").alias("h"), F.col("p.gid").alias("pivot"))
+        picked = stage(picked, "jaccard-picked")
+        rows = maybe_among(lists, picked.select(F.col("h").alias("hash"))).where("maybe").join(picked, F.col("hash") == F.col("h")).where("gid <> pivot")
+        met = stage(rows.select(F.least("gid", "pivot").alias("a"), F.greatest("gid", "pivot").alias("b")).distinct(), "jaccard-met")
+        unstage(picked)
+        return met
+
+    def first_pairs(self, met: DataFrame) -> DataFrame:
+        """Those of the pairs (a, b) of groups that may_link() leaves: signatures join pairs instead of lists."""
+        side = lambda x: self.groups.select(F.col("gid").alias(x), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
+        return met.join(side("b"), "b").join(side("a"), "a").where(self.may_link("na", "nb", "sa", "sb")).select("a", "b")
 
     def may_link(self, na: str, nb: str, a: str, b: str) -> Column:
         """Whether two sets of these sizes and signatures can link: they differ in so many members at least as their signatures in bits. A null signature says nothing."""
@@ -339,28 +398,56 @@ class Join:
         differ = functools.reduce(Column.__add__, bits)
         return (low * 100 >= high * self.percent) & F.coalesce(differ <= F.col(na) + F.col(nb) - 2 * shared, F.lit(True))
 
-    def shared_lists(self, parts: DataFrame) -> DataFrame:
-        """h, gid, n, pos, part: the lists that hold groups of several components, staged. part: the group's component, null if its classes are in several.
+    def heads(self, parts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """gid, n, prefix, low, high of the groups, and `from`, `to`: their components (low, high) in an order that has components of several classes below 0 and groups that are alone as they are.
 
-        Prefixes are read here for the last time, so the rows are staged again without them.
+        Groups that are alone, from the rows as they lie; the others, whose prefixes move, staged; and the staged table
+        that tells them apart, to be deleted with these.
         """
+        ends = parts.select(F.col("node").alias("cid")).unionByName(parts.select(F.col("component").alias("cid"))).distinct()
+        reached = self.classes.join(ends, "cid", "left_semi").select("gid").unionByName(self.classes.where("cid <> gid").select("gid")).distinct()
         part = F.coalesce("component", "cid")
-        spans = self.classes.join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"))
-        groups = stage(self.rows.select("row", "n", "prefix").join(spans, F.col("row") == F.col("gid")).select("gid", "n", "low", "high", "prefix"), "jaccard-spans")
-        self.rows, old = stage(self.rows.select("id", "hash", "row", "n", "sig", "gkey"), "jaccard-rows"), self.rows
-        unstage(old)
-        index = groups.select("gid", "n", "low", "high", F.posexplode("prefix").alias("pos", "h"))
-        shared = index.groupBy("h").agg(F.count("*").alias("k"), F.min("low").alias("low"), F.max("high").alias("high")).where("k > 1 and low < high").select("h")
-        shared = stage(shared, "jaccard-shared-lists")
+        spans = self.classes.select("gid", "cid").join(reached, "gid", "left_semi").join(parts, F.col("cid") == F.col("node"), "left").groupBy("gid").agg(F.min(part).alias("low"), F.max(part).alias("high"))
+        full = self.rows.where("n > 0")
+        copies = full.select(F.col("row").alias("gid")).join(self.groups.select("gid"), "gid", "left_anti")
+        spans = stage(spans.unionByName(copies, allowMissingColumns=True), "jaccard-spans")
+        rows = maybe_among(full.select(F.col("row").alias("gid"), "n", "prefix", F.xxhash64("row").alias("hash")), spans.select(F.xxhash64("gid").alias("hash")))
+        alone = [F.col("gid").alias(x) for x in ("low", "high", "from", "to")]
+        sure = rows.where("not maybe").select("gid", "n", "prefix", *alone)
+        known = spans.withColumn("copy", F.col("low").isNull()).select(F.col("gid").alias("g"), "low", "high", "copy")
+        other = rows.where("maybe").drop("hash", "maybe").join(known, F.col("gid") == F.col("g"), "left").where("not coalesce(copy, false)")
+        other = other.select("gid", "n", "prefix", F.coalesce("low", "gid").alias("low"), F.coalesce("high", "gid").alias("high"), F.coalesce(-1 - F.col("high"), "gid").alias("from"), F.coalesce(-1 - F.col("low"), "gid").alias("to"))
+        return sure, stage(other, "jaccard-reached"), spans
+
+    def shared_lists(self, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Staged, of the lists that hold groups of several components: h, gid, n, pos, part; and as pairs (a, b) of groups those that hold just two, both alone. part: the group's component, null if its classes are in several.
+
+        Prefixes are read here for the last time, so the rows are staged again without them.
+        """
+        sure, other, spans = self.heads(parts)
+        groups = sure.unionByName(other)
+        index = groups.select("from", "to", F.explode("prefix").alias("h"))
+        alone = (F.col("k") == 2) & (F.col("from") >= 0)
+        shares = []
+        for share in range(SHARES):
+            held = index.where(F.col("h").bitwiseAND(F.lit(SHARES - 1)) == share)
+            held = held.groupBy("h").agg(F.count("*").alias("k"), F.min("from").alias("from"), F.max("to").alias("to")).where("k > 1 and from < to")
+            shares.append(stage(held.select(F.when(~alone, F.col("h")).alias("h"), F.when(alone, F.col("from")).alias("a"), F.when(alone, F.col("to")).alias("b")), "jaccard-shared-lists"))
+        shared = functools.reduce(DataFrame.unionByName, shares)
+        twos = stage(shared.where("h is null").select("a", "b").distinct(), "jaccard-twos")
+        shared = shared.where("h is not null").select("h")
         own = F.when(F.col("low") == F.col("high"), F.col("low")).alias("part")
-        wanted = maybe_among(index.select("gid", "n", "pos", own, F.col("h").alias("hash")), shared.select(F.col("h").alias("hash"))).where("maybe")
+        placed = groups.select("gid", "n", own, F.posexplode("prefix").alias("pos", "hash"))
+        wanted = maybe_among(placed, shared.select(F.col("h").alias("hash"))).where("maybe")
         lists = stage(wanted.join(shared, F.col("hash") == F.col("h")).select("h", "gid", "n", "pos", "part"), "jaccard-lists")
-        unstage(groups, shared)
-        return lists
+        self.rows, old = stage(self.rows.select("id", "hash", "row", "n", "sig", "gkey"), "jaccard-rows"), self.rows
+        unstage(old, other, spans, *shares)
+        return lists, twos
 
     def signed(self, lists: DataFrame) -> DataFrame:
-        """lists with `bits`, their groups' signatures: rows carry these only where pairs are made. A group of several classes has none."""
-        signs = self.classes.groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
+        """lists with `bits`, their groups' signatures: rows carry these only where pairs are made. A group of several classes has none, and neither has one of so large sets that hardly any signatures tell two of them apart."""
+        telling = F.col("n") * 2 * (100 - self.percent) < 36 * SIGNATURE * (100 + self.percent)
+        signs = self.classes.select("gid", F.when(telling, F.col("bits")).alias("bits")).groupBy("gid").agg(F.when(F.count("*") == 1, F.first("bits")).alias("bits"))
         return lists.join(signs, "gid")
 
     def stars(self, lists: DataFrame, salt: int) -> DataFrame:
@@ -382,32 +469,52 @@ class Join:
         k, pairs = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("out"))).first()
         return (pairs or 0) <= WORTH * (k or 0)
 
-    def verify(self, pairs: DataFrame, screened: bool = False) -> DataFrame:
-        """Of staged pairs of classes (a, b) those that link, staged. Sets that earlier calls made are used again. screened: wide signatures go first, where most pairs won't link, so that few sets move."""
-        size, percent = self.size, self.percent
+    def made(self, pairs: DataFrame, make: Callable, kinds: str, name: str, known: DataFrame | None = None) -> DataFrame:
+        """What make() gives for the texts of the classes of pairs (a, b), staged; not for those in `known`."""
+        size = self.size
         asked = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        if self.sets:
-            known = functools.reduce(DataFrame.unionByName, [x.select("cid") for x in self.sets])
-            asked = asked.join(known, "cid", "left_anti")
+        if known is not None:
+            asked = asked.join(known.select("cid"), "cid", "left_anti")
         asked = stage(self.classes.join(asked, "cid", "left_semi").select("cid", F.col("id").alias("_id"), F.col("hash").alias("_hash")), "jaccard-asked")
-        if not self.sets or not asked.isEmpty():
-            texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
-            got = texts.join(asked, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("cid", "text").dropDuplicates(["cid"])
-            self.sets.append(stage(got.mapInArrow(lambda b: make_sets(b, size), "cid long, n int, wide array<long>, set array<long>"), "jaccard-sets"))
+        texts = maybe_among(self.texts, asked.select(F.col("_hash").alias("hash"))).where("maybe").select("id", "hash", "text")
+        got = texts.join(asked, (F.col("hash") == F.col("_hash")) & F.col("id").eqNullSafe(F.col("_id"))).select("cid", "text").dropDuplicates(["cid"])
+        out = stage(got.mapInArrow(lambda b: make(b, size), kinds), name)
         unstage(asked)
-        sets = functools.reduce(DataFrame.unionByName, self.sets)
-        side = lambda x: sets.select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
-        if screened:
-            wide = lambda x: sets.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
-            both = pairs.join(wide("b"), "b").join(wide("a"), "a").select("a", "b", "na", "nb", "wa", "wb")
-            pairs = stage(both.mapInArrow(lambda b: near_enough(b, percent), "a long, b long"), "jaccard-near-pairs")
-            if pairs.isEmpty():
-                return pairs
-            # Sets of earlier calls that no pair is left of stay where they are.
-            left = pairs.select(F.xxhash64("a").alias("hash")).unionByName(pairs.select(F.xxhash64("b").alias("hash")))
-            sets = maybe_among(sets.withColumn("hash", F.xxhash64("cid")), left).where("maybe")
-        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
-        return stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
+        return out
+
+    def near(self, pairs: DataFrame, wide: DataFrame) -> DataFrame:
+        """Of pairs (a, b) those that sizes and wide signatures leave possible, staged."""
+        percent = self.percent
+        side = lambda x: wide.select(F.col("cid").alias(x), F.col("n").alias(f"n{x}"), F.col("wide").alias(f"w{x}"))
+        both = pairs.join(side("b"), "b").join(side("a"), "a").select("a", "b", "na", "nb", "wa", "wb")
+        return stage(both.mapInArrow(lambda b: near_enough(b, percent), "a long, b long"), "jaccard-near-pairs")
+
+    def screened(self, pairs: DataFrame) -> DataFrame:
+        """near() of staged pairs of which most won't link: only wide signatures are made of their texts, where verify() has none. These are deleted."""
+        known = functools.reduce(DataFrame.unionByName, self.wide)
+        more = self.made(pairs, make_wide, "cid long, n int, wide array<long>", "jaccard-wide", known)
+        near = self.near(pairs, known.unionByName(more))
+        unstage(more, *self.wide)
+        return near
+
+    def verify(self, pairs: DataFrame, screened: bool = False) -> DataFrame:
+        """Of staged pairs of classes (a, b) those that link, staged. Sets move for pairs that near() leaves, unless they were screened before, and are deleted again."""
+        percent = self.percent
+        sets = self.made(pairs, make_sets, "cid long, n int, wide array<long>, set array<long>", "jaccard-sets")
+        near = pairs if screened else self.near(pairs, sets)
+        if not screened:
+            known = [x.select("cid") for x in self.wide]
+            wide = functools.reduce(lambda rows, x: rows.join(x, "cid", "left_anti"), known, sets.select("cid", "n", "wide"))
+            self.wide.append(stage(wide, "jaccard-wide"))
+
+        def side(x: str) -> DataFrame:
+            held = maybe_among(sets.select("cid", "set", F.xxhash64("cid").alias("hash")), near.select(F.xxhash64(x).alias("hash")))
+            return held.where("maybe").select(F.col("cid").alias(x), F.col("set").alias(f"s{x}"))
+
+        both = near.join(side("b"), "b").join(side("a"), "a").select("a", "b", "sa", "sb")
+        links = stage(both.mapInArrow(lambda b: linked(b, percent), "a long, b long"), "jaccard-links")
+        unstage(sets, *([] if screened else [near]))
+        return links
 
     def parted(self, parts: DataFrame) -> DataFrame:
         """gid, cid, n, bits, part (component) of all classes."""
@@ -422,16 +529,22 @@ class Join:
         return self.most_frequent(placed)
 
     def most_frequent(self, placed: DataFrame) -> DataFrame:
-        """Of lists with `part` those with groups of several components, with the list's most frequent one. The old lists are deleted."""
-        counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"))
-        open_ = counts.groupBy("h").agg(F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
-        open_ = open_.where("parts > 1 or mixed > 0").select("h", "most")
-        lists = stage(placed.join(open_, "h"), "jaccard-open-lists")
+        """Of lists with `part` those with groups of several components, with the list's most frequent one. The old lists are deleted.
+
+        Behind a row's place a set must have as many shingles left as a link needs; rows too far back for a link even
+        with the list's smallest set leave.
+        """
+        counts = placed.groupBy("h", "part").agg(F.count("*").alias("k"), F.min("n").alias("least"))
+        open_ = counts.groupBy("h").agg(F.min("least").alias("least"), F.count("*").alias("parts"), F.count_if(F.col("part").isNull()).alias("mixed"), F.max_by("part", F.struct(F.col("part").isNotNull(), "k", "part")).alias("most"))
+        open_ = open_.where("parts > 1 or mixed > 0").select("h", "most", "least")
+        # A link is with a set of `percent` % of the row's own at least.
+        shared = F.expr(f"((n + greatest(least, (n * {self.percent} + 99) div 100)) * {self.percent} + {99 + self.percent}) div {100 + self.percent}")
+        lists = stage(placed.join(open_, "h").where(F.col("pos") + shared <= F.col("n")).drop("least"), "jaccard-open-lists")
         unstage(placed)
         return lists
 
-    def rest(self, classes: DataFrame, lists: DataFrame) -> DataFrame:
-        """Pairs of classes (a, b) of different components that share a list or a group, as far as places in the lists and signatures leave a link possible; staged."""
+    def rest(self, classes: DataFrame, lists: DataFrame, twos: DataFrame) -> DataFrame:
+        """Pairs of classes (a, b) of different components that share a list or a group, as far as places in the lists and signatures leave a link possible; staged. twos: pairs of groups besides those of the lists."""
         apart = _apart()
         before = Window.partitionBy("gid").orderBy("pos").rowsBetween(-AHEAD, -1)
         lists = stage(self.signed(lists).withColumn("ahead", F.collect_list("h").over(before)), "jaccard-ahead")
@@ -444,8 +557,8 @@ class Join:
         near = (F.col("ia") + least <= F.col("na")) & (F.col("ib") + least <= F.col("nb")) & self.may_link("na", "nb", "ba", "bb")
         # A list that both are in is open, as they are of several components; so the first of those that they share makes the pair.
         first = ~F.arrays_overlap("ha", "hb")
-        pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        pairs = stage(pairs, "jaccard-open-pairs")
+        pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+        pairs = stage(pairs.unionByName(twos).distinct(), "jaccard-open-pairs")
         unstage(lists)
         side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
         may = self.may_link("na", "nb", "sa", "sb")

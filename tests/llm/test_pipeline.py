@@ -155,3 +155,49 @@ def test_components_contract_blocks_first(spark, monkeypatch):
     monkeypatch.setattr(of, "BLOCK", 1500)
     assert {r["node"]: r["component"] for r in of.components(table).collect()} == wanted
     assert len(steps) > 2
+
+
+def test_a_dense_family_is_verified_by_few_pairs(spark, monkeypatch):
+    """A family that the first shingles don't unite: its pairs aren't verified one and all, and lists of two groups move no rows. Links at the edge of the threshold are as brute force has them."""
+    from spanloom.llm import ngram_jaccard as of
+
+    random.seed(8)
+    word = lambda: f"w{random.randrange(10**6)}"
+
+    def changed(base, n):
+        own = list(base)
+        for at in random.sample(range(len(own)), n):
+            own[at] = word()
+        return " ".join(own)
+
+    large = [word() for _ in range(400)]
+    texts = [changed(large, random.randint(3, 5)) for _ in range(100)]
+    for _ in range(60):
+        base = [word() for _ in range(random.randint(60, 300))]
+        texts += [changed(base, len(base) // 60) for _ in range(2)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in map(str.split, texts)]
+    part = list(range(len(texts)))
+    find = lambda x: x if part[x] == x else find(part[x])
+    links = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                part[max(find(i), find(j))] = min(find(i), find(j))
+                links += 1
+    assert links > 1000
+    pairs, lists, verify, shared = [], [], of.Join.verify, of.Join.shared_lists
+    monkeypatch.setattr(of.Join, "verify", lambda self, x, **options: pairs.append(x.count()) or verify(self, x, **options))
+
+    def counted(self, parts):
+        out = shared(self, parts)
+        held = out[0] if isinstance(out, tuple) else out
+        lists.append(Counter(r["h"] for r in held.select("h").collect()))
+        return out
+
+    monkeypatch.setattr(of.Join, "shared_lists", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in of.Join(docs).members.collect()}
+    assert got == {i: find(i) for i in range(len(texts))}
+    assert sum(pairs) < 10 * len(texts) < links
+    assert lists[0] and min(lists[0].values()) > 2
