@@ -321,7 +321,7 @@ class Join:
         placed, twos = self.shared_lists(parts)
         lists = self.most_frequent(placed)
         for salt in range(ROUNDS):
-            if self.few(lists):
+            if self.few(lists, twos):
                 break
             pairs = stage(self.stars(lists, salt), "jaccard-pairs")
             tried = pairs.count()
@@ -420,7 +420,7 @@ class Join:
         return sure, stage(other, "jaccard-reached"), spans
 
     def shared_lists(self, parts: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Staged, of the lists that hold groups of several components: h, gid, n, pos, part; and as pairs (a, b) of groups those that hold just two, both alone. part: the group's component, null if its classes are in several.
+        """Staged, of the lists that hold groups of several components: h, gid, n, pos, part; and as pairs (a, b) of groups, with the number of their lists, those that hold just two, both alone. part: the group's component, null if its classes are in several.
 
         Prefixes are read here for the last time, so the rows are staged again without them.
         """
@@ -434,7 +434,7 @@ class Join:
             held = held.groupBy("h").agg(F.count("*").alias("k"), F.min("from").alias("from"), F.max("to").alias("to")).where("k > 1 and from < to")
             shares.append(stage(held.select(F.when(~alone, F.col("h")).alias("h"), F.when(alone, F.col("from")).alias("a"), F.when(alone, F.col("to")).alias("b")), "jaccard-shared-lists"))
         shared = functools.reduce(DataFrame.unionByName, shares)
-        twos = stage(shared.where("h is null").select("a", "b").distinct(), "jaccard-twos")
+        twos = stage(shared.where("h is null").groupBy("a", "b").agg(F.count("*").alias("lists")), "jaccard-twos")
         shared = shared.where("h is not null").select("h")
         own = F.when(F.col("low") == F.col("high"), F.col("low")).alias("part")
         placed = groups.select("gid", "n", own, F.posexplode("prefix").alias("pos", "hash"))
@@ -463,11 +463,12 @@ class Join:
         return best.select(F.col("pivot").alias("a"), F.col("gid").alias("b"))
 
     @staticmethod
-    def few(lists: DataFrame) -> bool:
+    def few(lists: DataFrame, twos: DataFrame) -> bool:
         """Whether all pairs that rest() would look at are in proportion to the lists, so that rounds can't save any."""
         sizes = lists.groupBy("h").agg(F.count("*").alias("k"), F.count_if(_apart()).alias("out"))
         k, pairs = sizes.agg(F.sum("k"), F.sum(F.col("k") * F.col("out"))).first()
-        return (pairs or 0) <= WORTH * (k or 0)
+        two = twos.agg(F.sum("lists")).first()[0] or 0
+        return (pairs or 0) + 4 * two <= WORTH * ((k or 0) + 2 * two)
 
     def made(self, pairs: DataFrame, make: Callable, kinds: str, name: str, known: DataFrame | None = None) -> DataFrame:
         """What make() gives for the texts of the classes of pairs (a, b), staged; not for those in `known`."""
@@ -558,7 +559,7 @@ class Join:
         # A list that both are in is open, as they are of several components; so the first of those that they share makes the pair.
         first = ~F.arrays_overlap("ha", "hb")
         pairs = left.join(right, "h").where((F.col("a") != F.col("b")) & differ & once & near & first).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-        pairs = stage(pairs.unionByName(twos).distinct(), "jaccard-open-pairs")
+        pairs = stage(pairs.unionByName(twos.select("a", "b")).distinct(), "jaccard-open-pairs")
         unstage(lists)
         side = lambda x: classes.select(F.col("gid").alias(f"g{x}"), F.col("cid").alias(f"c{x}"), F.col("part").alias(f"p{x}"), F.col("n").alias(f"n{x}"), F.col("bits").alias(f"s{x}"))
         may = self.may_link("na", "nb", "sa", "sb")
